@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat_format, decontam, embed_dedup, html_extract, langid, pii, sharding, simhash
+from cohortlens.llm import chat_format, decontam, embed_dedup, html_extract, langid, lm_score, pii, sharding, simhash
 from cohortlens.llm.common import table
 
 
@@ -25,6 +25,12 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(langid.remainder("doc_id", 10) == 0, F.lit(False))
+    found = lm_score.score(table(spark, sf_dir, "documents"), langid.remainder("doc_id", 10) != 0)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
@@ -51,7 +57,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_sharding, op3_langid, op5_pii, op6_chat, op7_embeddings, op9_simhash, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_sharding, op3_langid, op4_lm_score, op5_pii, op6_chat, op7_embeddings, op9_simhash, op10_decontam)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": r"""
