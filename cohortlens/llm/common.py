@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,3 +51,8 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_id(source: DataFrame, rest: str, name: str = "id") -> T.StructType:
+    """The schema of ``source``'s id column, whatever its type, followed by the fields of a DDL text."""
+    return T.StructType([T.StructField(name, source.schema["id"].dataType), *T.StructType.fromDDL(rest).fields])

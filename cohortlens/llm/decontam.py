@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import with_id
+
 #: Lower-cases A-Z and turns every byte that is not of a word into a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -194,10 +196,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes)
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
                       F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    schema = with_id(out, "text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
     for i in range(max(1, blocks)):  # one block unless the benchmark is larger than the bound
         rows = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(max(1, blocks))) == i).collect()
         shared = spark.sparkContext.broadcast(build_index([(r["name"], r["text"]) for r in rows], window, k))

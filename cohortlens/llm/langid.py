@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import with_id
+
 # First and last code point of the ranges of scripts.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)],
@@ -213,8 +215,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             spans = pa.array([[{"start": s, "end": e, "lang": g} for s, e, g in f[2]] for f in found], span)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans], names=["id", "lang_pred", "score", "spans"])
 
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, with_id(source, "lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")).withColumnRenamed("id", id_col)
 
 
 def remainder(id_col: str, n: int):

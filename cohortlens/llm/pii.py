@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import with_id
+
 # Order of kinds in the output.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "iban", "ssn", "url")
@@ -179,8 +181,7 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t, automaton)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["id", "spans"])
 
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, with_id(source, "spans array<struct<kind:string,start:long,end:long>>")).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat_format, decontam, embed_dedup, html_extract, langid, lm_score, pii, sharding, simhash
+from cohortlens.llm import chat_format, decontam, embed_dedup, html_extract, langid, lm_score, pii, sharding, simhash, sp_sampling
 from cohortlens.llm.common import table
 
 
@@ -49,6 +49,16 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: Piece vocabulary of op8 and of the pipeline; read where it lies.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sp_sampling.decode(sp_sampling.encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("text_sha256"),
+                        "log_prob", "perturbed", "inclusion")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,7 +67,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_sharding, op3_langid, op4_lm_score, op5_pii, op6_chat, op7_embeddings, op9_simhash, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_sharding, op3_langid, op4_lm_score, op5_pii, op6_chat, op7_embeddings, op8_sentencepiece, op9_simhash, op10_decontam)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": r"""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import keep, shuffle_partitions
+from cohortlens.llm.common import keep, shuffle_partitions, with_id
 from cohortlens.llm.components import connected_components
 
 BITS = 64
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = b"".join(fingerprint(t.as_py(), shingle, seed) for t in b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], names=["id", "fp"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(run, with_id(source, "fp long"))
 
 
 def variant_masks(radius: int) -> list[tuple[int, int]]:
