@@ -29,5 +29,6 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def event_stream(spark: SparkSession, folder: str, schema: T.StructType, name: str = "events.parquet") -> DataFrame:
-    """The files of one table in a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """The files of one table in a folder as a stream; event times without a zone are those of the session."""
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
