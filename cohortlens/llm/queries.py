@@ -54,8 +54,8 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sp_sampling.decode(sp_sampling.encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
-    return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("text_sha256"),
+    found = sp_sampling.encode(table(spark, sf_dir, "documents"), PIECES, decoded=True)
+    return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxh64"), F.sha2("text", 256).alias("text_sha256"),
                         "log_prob", "perturbed", "inclusion")
 
 

@@ -38,8 +38,9 @@ from cohortlens.llm.common import with_id
 SPACE = "▁"
 _LITERAL = "\udfff"  # stands for U+2581 of the text while it is cut; no valid text holds it
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_SHORT = 24  # characters of a unit that is worked on in arrays
-_CHUNK = 4_000_000  # characters of text worked on at once
+_SHORT = 48  # characters of a unit whose backward sums are products of plain numbers; longer ones go by logarithms
+_CHUNK = 2_000_000  # characters of text worked on at once
+_SHIFT = 8
 U = np.uint64
 _BASE, _SPREAD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
@@ -69,12 +70,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _uniform(key: np.ndarray, *more: np.ndarray | int) -> np.ndarray:
+def _uniform(key: np.ndarray, turn: int, place: np.ndarray | int, step: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) from hashes of the arguments."""
-    for i, m in enumerate(more):
-        m = np.asarray(m).astype(U)
-        key = _mix(key + m * U(0xD1342543DE82EF95) + U(2 * i + 1))
-    return ((key >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
+    at = np.asarray(place).astype(U) * U(0xD1342543DE82EF95) + np.asarray(step).astype(U) * U(0xAF251AF3B0F025B5)
+    x = _mix(key + U((turn + 1) * 0xDA942042E4DD58B5 % (1 << 64)) + at)
+    return ((x >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 class Lattice:
@@ -84,49 +84,77 @@ class Lattice:
         self.normal, self.byte = pieces["normal"], pieces["byte"]
         self.longest = max(map(len, self.normal), default=1)
         first = min(self.normal.values(), default=0)
-        self.weight = {i: -alpha * math.log(i - first + 100) for i in self.normal.values()}
-        self.of_byte = -alpha * math.log(max(self.normal.values(), default=0) - first + 200)
-        size = 1 << max(4, (len(self.normal) * 4).bit_length())
-        self.keys, self.ids, self.shift, self.rounds = np.zeros(size, U), np.full(size, -1, np.int64), U(64 - size.bit_length() + 1), 1
-        self.weights = np.zeros(max(self.normal.values(), default=0) + 1)
-        for piece, i in self.normal.items():
+        # rounded so that the weights in tables and their logarithms agree
+        rounded = lambda w: math.log(float(np.float32(math.exp(w))))
+        self.weight = {i: rounded(-alpha * math.log(i - first + 100)) for i in self.normal.values()}
+        self.of_byte = rounded(-alpha * math.log(max(self.normal.values(), default=0) - first + 200))
+        self.log_weight = np.full(len(pieces["text"]), self.of_byte)
+        for i, w in self.weight.items():
+            self.log_weight[i] = w
+        # by piece plus _SHIFT, so that minus the number of bytes has an entry as well
+        self.logs = np.concatenate([self.of_byte * np.arange(_SHIFT, 0, -1), self.log_weight])
+        self.plain = np.exp(self.logs).astype(np.float32)
+        self.logs[_SHIFT:] = self.log_weight
+        if self.longest > 63:
+            raise ValueError("pieces of more than 63 characters")
+        # pieces and their proper beginnings by hash; a beginning that is no piece has -2
+        self.strings = strings = {p[:k]: -2 for p in self.normal for k in range(1, len(p))} | self.normal
+        size = 1 << (len(strings) * 4).bit_length()
+        self.keys, self.ids, self.shift, self.rounds = np.zeros(size, U), np.full(size, -1, np.int32), U(65 - size.bit_length()), 1
+        for piece, i in strings.items():
             h = 0
             for c in piece:
                 h = (h * int(_BASE) + ord(c) + 1) & (2**64 - 1)
             at, n = (h * int(_SPREAD) & (2**64 - 1)) >> int(self.shift), 1
-            while self.ids[at] >= 0:
+            while self.ids[at] != -1:
                 at, n = (at + 1) % size, n + 1
             self.keys[at], self.ids[at], self.rounds = h, i, max(self.rounds, n)
-            self.weights[i] = self.weight[i]
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Piece of each hash of a string, or -1."""
+        """Of each hash of a string its piece, -2 for a mere beginning of pieces, or -1."""
         at = ((h * _SPREAD) >> self.shift).astype(np.int64)
         out = np.where(self.keys[at] == h, self.ids[at], -1)
-        open_ = np.flatnonzero((out < 0) & (self.ids[at] >= 0))
+        open_ = np.flatnonzero((out == -1) & (self.ids[at] != -1))
         for n in range(1, self.rounds):
             if not len(open_):
                 break
             to = (at[open_] + n) % len(self.ids)
             hit = self.keys[to] == h[open_]
             out[open_[hit]] = self.ids[to[hit]]
-            open_ = open_[~hit & (self.ids[to] >= 0)]
+            open_ = open_[~hit & (self.ids[to] != -1)]
         return out
 
+    def spelt(self, c: str) -> int:
+        """What stands for a character without a piece: its byte piece, or minus the number of its bytes."""
+        data = self.bytes_of(c)
+        return self.byte[data[0]] if len(data) == 1 else -len(data)
+
+    def log_of(self, piece: int) -> float:
+        return float(self.log_weight[piece]) if piece >= 0 else -piece * self.of_byte
+
     def bytes_of(self, c: str) -> bytes:
         return SPACE.encode() if c == _LITERAL else c.encode("utf-8", "surrogatepass")
 
     def edges(self, unit: str) -> tuple[list[list[tuple[int, int, float]]], list[float]]:
-        """Of each place of one unit the edges (length, piece or -1 for bytes, weight), and the backward log sums."""
+        """Of each place of one unit the edges (length, piece or minus its bytes, weight), and the backward log sums."""
         n = len(unit)
-        beta, out = [0.0] * (n + 1), [[] for _ in range(n)]
+        beta, out, strings, weight = [0.0] * (n + 1), [[] for _ in range(n)], self.strings, self.weight
         for i in range(n - 1, -1, -1):
-            found = [(k, p, self.weight[p]) for k in range(1, min(self.longest, n - i) + 1) if (p := self.normal.get(unit[i : i + k])) is not None]
+            found = []
+            for k in range(1, n - i + 1):
+                p = strings.get(unit[i : i + k])
+                if p is None:
+                    break
+                if p >= 0:
+                    found.append((k, p, weight[p]))
             if not found or found[0][0] > 1:
-                found.insert(0, (1, -1, self.of_byte * len(self.bytes_of(unit[i]))))
-            terms = [w + beta[i + k] for k, _, w in found]
-            top = max(terms)
-            beta[i] = top + math.log(sum(math.exp(t - top) for t in terms)) if len(terms) > 1 else terms[0]
+                found.insert(0, (1, self.spelt(unit[i]), self.log_of(self.spelt(unit[i]))))
+            if len(found) == 1:
+                beta[i] = found[0][2] + beta[i + found[0][0]]
+            else:
+                terms = [w + beta[i + k] for k, _, w in found]
+                top = max(terms)
+                beta[i] = top + math.log(sum([math.exp(t - top) for t in terms]))
             out[i] = found
         return out, beta
 
@@ -166,83 +194,159 @@ class Lattice:
 
 
 class Units:
-    """Tables of distinct units: by length, the cumulative chances and pieces of each place and edge length."""
+    """Tables over the characters of distinct units: cumulative chances, pieces and lengths of the edges from each.
+
+    A row is found by its distance from the unit's end and the unit's rank (longest first), so
+    that all characters at one distance, which the backward sums take at once, lie together.
+    """
 
     def __init__(self, lattice: Lattice, units: list[str]) -> None:
         self.lattice, self.units = lattice, units
         self.length = np.array([len(u) for u in units], np.int64)
-        self.row = np.zeros(len(units), np.int64)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for n in np.unique(self.length):
-            if n > _SHORT:
-                continue
-            own = np.flatnonzero(self.length == n)
-            self.row[own] = np.arange(len(own))
-            self.tables[int(n)] = self._table([units[i] for i in own], int(n))
-
-    def _table(self, units: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lattice, widest = self.lattice, min(self.lattice.longest, n)
-        cp = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
-        code = cp.astype(U) + U(1)
-        utf8 = np.where(cp == ord(_LITERAL), 3, 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)) * lattice.of_byte
-        beta = np.zeros((len(units), n + 1))
-        cumulative = np.ones((len(units), n, widest), np.float32)
-        ids = np.full((len(units), n, widest), -1, np.int32)
-        chances = np.full((len(units), n, widest), -np.inf)
-        for i in range(n - 1, -1, -1):
-            h = np.zeros(len(units), U)
-            score = np.full((len(units), widest), -np.inf)
-            for k in range(min(widest, n - i)):
-                h = h * _BASE + code[:, i + k]
-                found = lattice.lookup(h)
-                ids[:, i, k] = found
-                w = np.where(found >= 0, lattice.weights[found], utf8[:, i] if k == 0 else -np.inf)
-                score[:, k] = w + beta[:, i + k + 1]
-            top = score.max(1)
-            e = np.exp(score - top[:, None])
-            total = e.sum(1)
-            beta[:, i] = top + np.log(total)
-            chances[:, i] = score - beta[:, i : i + 1]
-            cumulative[:, i] = np.cumsum(e, 1) / total[:, None]
-            # the last possible edge takes what rounding leaves
-            last = widest - 1 - np.argmax(e[:, ::-1] > 0, 1)
-            cumulative[:, i][np.arange(widest) >= last[:, None]] = 1.0
-        return cumulative, ids, chances
+        order = np.argsort(-self.length, kind="stable")
+        self.rank = np.empty(len(units), np.int64)
+        self.rank[order] = np.arange(len(units))
+        # units that are at least so long; the rows of distance d begin at base[d], those of distance 0 are the ends
+        reach = np.searchsorted(-self.length[order], -np.arange(int(self.length.max(initial=0)) + 1), "right")
+        self.base = np.concatenate([[0], np.cumsum(reach)])[:-1]
+        cp = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(cp)
+        start = np.cumsum(self.length) - self.length
+        left = np.repeat(start + self.length, self.length) - np.arange(n)  # characters up to the end
+        row_of = self.base[left] + np.repeat(self.rank, self.length)
+        total = int(reach.sum())
+
+        # each character's strings, one character longer a turn, as long as they begin a piece
+        h = cp.astype(U) + U(1)
+        code, found, count = h, lattice.lookup(h), np.ones(n, np.int8)
+        on = np.flatnonzero((found != -1) & (left > 1))
+        bare = np.flatnonzero(found < 0)
+        found[bare] = [lattice.spelt(chr(c)) for c in cp[bare].tolist()]
+        edges: list[tuple[np.ndarray, int, np.ndarray, np.ndarray | int]] = [(slice(None), 1, found, 0)]
+        at, h = on, h[on]
+        for k in range(1, min(lattice.longest, len(reach) - 1)):
+            h = h * _BASE + code[at + k]
+            found = lattice.lookup(h)
+            hit = np.flatnonzero(found >= 0)
+            some = at[hit]
+            column = count[some]
+            edges.append((some, k + 1, found[hit], column))
+            count[some] = column + 1
+            on = np.flatnonzero((found != -1) & (left[at] > k + 1))
+            at, h = at[on], h[on]
+        # a column for each edge, in order of length
+        columns = int(count.max(initial=1))
+        # pieces (shifted) and widths in one number
+        self.code = np.zeros((total, columns), np.int32)
+        weight = np.zeros((total, columns), np.float32)
+        row_of *= columns
+        for rows, k, piece, column in edges:
+            place, piece = row_of[rows] + column, piece + _SHIFT
+            self.code.ravel()[place] = piece * 64 + k
+            weight.ravel()[place] = lattice.plain[piece]
+
+        self.cumulative = np.ones((total, columns), np.float32)
+        log_total = np.zeros(len(units))
+        long = int(np.searchsorted(-self.length[order], -_SHORT, "left"))  # ranks below are longer
+        for r in range(long):
+            log_total[r] = self._by_logs(units[order[r]], r)
+        beta = np.zeros(total)
+        beta[long : len(units)] = 1.0
+        for back in range(1, min(len(reach) - 1, _SHORT) + 1):
+            lo, hi = self.base[back] + long, self.base[back] + reach[back]
+            sums = beta[self.base[back - (self.code[lo:hi] & 63)] + np.arange(long, reach[back])[:, None]]
+            sums *= weight[lo:hi]
+            for c in range(1, columns):
+                sums[:, c] += sums[:, c - 1]
+            beta[lo:hi] = sums[:, -1]
+            np.divide(sums, sums[:, -1:], out=self.cumulative[lo:hi], casting="same_kind")
+        if len(units) > long:
+            log_total[long:] = np.log(beta[self.base[self.length[order[long:]]] + np.arange(long, len(units))])
+        self.log_total, self.beta = log_total[self.rank], beta
+
+    def draw(self, unit: int, uniforms: Iterator[float], barred: list[tuple[tuple[int, int], ...]]) -> tuple[tuple[tuple[int, int], ...], float, float] | None:
+        """:meth:`Lattice.draw` of a unit of the tables."""
+        size, rank = int(self.length[unit]), int(self.rank[unit])
+        if size > _SHORT:
+            return self.lattice.draw(self.units[unit], uniforms, barred)
+        log_of, base, beta = self.lattice.log_of, self.base, self.beta
+        whole = -float(self.log_total[unit])
+        chance = [math.exp(whole + sum([log_of(p) for _, p in b])) for b in barred]
+        left, done, mass, live = size, [], 1.0, range(len(barred))
+        while left:
+            row = base[left] + rank
+            here, options, total = float(beta[row]), [], 0.0
+            for x in self.code[row].tolist():
+                k, p = x & 63, (x >> 6) - _SHIFT
+                if not k:
+                    break
+                weight = float(self.lattice.plain[p + _SHIFT])
+                rest = mass * weight * float(beta[base[left - k] + rank]) / here
+                took = [b for b in live if len(barred[b]) > len(done) and barred[b][len(done)] == (k, p)]
+                own = max(0.0, rest - sum([chance[b] for b in took])) if took else rest
+                options.append((own, rest, k, p, took))
+                total += own
+            if total <= 1e-15:
+                return None
+            u = next(uniforms) * total
+            for own, rest, k, p, took in options:
+                u -= own
+                if u < 0:
+                    break
+            else:
+                own, rest, k, p, took = next(o for o in reversed(options) if o[0] > 0)
+            mass, live = rest, took
+            done.append((k, p))
+            left -= k
+        if tuple(done) in barred:
+            return None
+        log_p = whole + sum([log_of(p) for _, p in done])
+        return tuple(done), log_p, sum(chance) + math.exp(log_p)
+
+    def _by_logs(self, unit: str, rank: int) -> float:
+        edges, beta = self.lattice.edges(unit)
+        for i, found in enumerate(edges):
+            chance = np.cumsum([math.exp(w + beta[i + k] - beta[i]) for k, _, w in found])
+            self.cumulative[self.base[len(unit) - i] + rank, : len(found)] = chance / chance[-1]
+        return beta[0]
 
     def sample(self, unit: np.ndarray, key: np.ndarray, place: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each occurrence of a unit: pieces in order (flat; bytes as -1), edge lengths, how many, and the log probability."""
-        n_out, log_p = np.zeros(len(unit), np.int64), np.zeros(len(unit))
-        got: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
-        length = self.length[unit]
-        for n, (cumulative, ids, chances) in self.tables.items():
-            occ = np.flatnonzero(length == n)
-            row, at, step = self.row[unit[occ]], np.zeros(len(occ), np.int64), 0
-            while len(occ):
-                u = np.minimum(_uniform(key[occ], turn, place[occ], step).astype(np.float32), np.float32(1 - 2.0**-24))
-                k = (cumulative[row, at] <= u[:, None]).sum(1)
-                k = np.minimum(k, cumulative.shape[2] - 1)
-                got.append((occ, step, ids[row, at, k].astype(np.int64), k + 1))
-                log_p[occ] += chances[row, at, k]
-                at = at + k + 1
-                n_out[occ] += 1
-                more = at < n
-                occ, row, at, step = occ[more], row[more], at[more], step + 1
-        for o in np.flatnonzero(length > _SHORT).tolist():
-            segments, log_p[o], _ = self.lattice.draw(self.units[unit[o]], _stream(int(key[o]), turn, int(place[o])), [])
-            n_out[o] = len(segments)
-            got += [(np.array([o]), s, np.array([p]), np.array([k])) for s, (k, p) in enumerate(segments)]
+        """Of each occurrence of a unit: pieces in order (flat), edge lengths, how many, and the log probability."""
+        lattice = self.lattice
+        n_out, log_p = np.zeros(len(unit), np.int64), -self.log_total[unit]
+        got: list[tuple[np.ndarray, np.ndarray]] = []
+        occ, rank, left = np.arange(len(unit)), self.rank[unit], self.length[unit]
+        base = key + place.astype(U) * U(0xD1342543DE82EF95)
+        step = 0
+        while len(occ):
+            u = (_mix(base + U((turn * 0xDA942042E4DD58B5 + (step + 1) * 0xAF251AF3B0F025B5) % (1 << 64))) >> U(40)).astype(np.float32) * np.float32(2.0**-24)
+            row = self.base[left] + rank
+            column = np.count_nonzero(self.cumulative[row] <= u[:, None], axis=1)
+            column += row * self.code.shape[1]
+            code = self.code.ravel()[column]
+            got.append((occ, code))
+            k = code & 63
+            log_p[occ] += lattice.logs[code >> 6]
+            n_out[occ] += 1
+            left = left - k
+            on = np.flatnonzero(left)
+            occ, rank, left, base, step = occ[on], rank[on], left[on], base[on], step + 1
         start = np.concatenate([[0], np.cumsum(n_out)])
-        flat, widths = np.zeros(start[-1], np.int64), np.zeros(start[-1], np.int64)
-        for occ, step, piece, k in got:
-            flat[start[occ] + step], widths[start[occ] + step] = piece, k
-        return flat, widths, n_out, log_p
+        flat = np.empty(start[-1], np.int32)
+        for step, (occ, code) in enumerate(got):
+            flat[start[occ] + step] = code
+        return (flat >> 6) - _SHIFT, flat & 63, n_out, log_p
 
 
 def _stream(key: int, turn: int, place: int) -> Iterator[float]:
-    step = 0
+    """Numbers in [0, 1) from hashes of the arguments and a step, one at a time."""
+    word = (1 << 64) - 1
+    at = key + (turn + 1) * 0xDA942042E4DD58B5 + place * 0xD1342543DE82EF95
     while True:
-        yield from _uniform(np.full(64, key, U), turn, place, np.arange(step, step + 64)).tolist()
-        step += 64
+        at = (at + 0x9E3779B97F4A7C15) & word
+        x = ((at ^ (at >> 30)) * 0xBF58476D1CE4E5B9) & word
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & word
+        yield ((x ^ (x >> 31)) >> 11) * 2.0**-53
 
 
 def _gumbel(u: np.ndarray, log_mass: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -330,7 +434,7 @@ def segment(keys: list[str], texts: list[str | None], pieces: dict, samples: int
                 g, p, i, barred = head
                 heads[d].remove(head)
                 barred = [*barred, pieces_at(d, p, i)] if not barred else barred
-                drawn = lattice.draw(names[unit[begin[d] + i]], _stream(int(key[d]), 2000 + turn, i), barred)
+                drawn = units.draw(unit[begin[d] + i], _stream(int(key[d]), 2000 + turn, i), barred)
                 if drawn is None:
                     continue
                 segments, log_p, used = drawn
@@ -365,8 +469,8 @@ def segment(keys: list[str], texts: list[str | None], pieces: dict, samples: int
                 ids, wide, cut = whole[parent]
                 keep = cut[since - 1]
                 count = rounds[turn][1][lo : lo + n - since + 1] - rounds[turn][1][lo]
-                own = np.concatenate([ids[:keep], [x for _, x in first], own]).astype(np.int64)
-                widths = np.concatenate([wide[:keep], [k for k, _ in first], widths]).astype(np.int64)
+                own = np.concatenate([ids[:keep], np.array([x for _, x in first], np.int32), own])
+                widths = np.concatenate([wide[:keep], np.array([k for k, _ in first], np.int32), widths])
                 cut = np.concatenate([cut[:since], keep + len(first) + count])
             else:
                 cut = rounds[turn][1][lo : lo + n + 1] - rounds[turn][1][lo]
@@ -396,11 +500,14 @@ def _held(paths, rounds, d: int, p: int, i: int) -> float:
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     offsets = np.cumsum([0, *map(len, rows)])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int32, copy=False)))
+
 
+def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", samples: int = 3, alpha: float = 0.5, seed: int = 0, decoded: bool = False) -> DataFrame:
+    """(``id_col``, ``sample`` from 1, ``ids array<int>``, ``log_prob``, ``perturbed``, ``inclusion``): up to ``samples`` rows for each row; no shuffle.
 
-def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", samples: int = 3, alpha: float = 0.5, seed: int = 0) -> DataFrame:
-    """(``id_col``, ``sample`` from 1, ``ids array<int>``, ``log_prob``, ``perturbed``, ``inclusion``): up to ``samples`` rows for each row; no shuffle."""
+    With ``decoded`` also ``text``, spelt by the pieces, from the same worker.
+    """
     if samples < 1:
         raise ValueError("samples must be positive")
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model_file))
@@ -408,7 +515,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     fields = ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces.value, alpha)
+        lattice, speller = Lattice(pieces.value, alpha), Speller(pieces.value["text"])
         for b in batches:
             keys, texts, first = b.column(1).to_pylist(), b.column(2).to_pylist(), 0
             while first < len(texts):
@@ -420,20 +527,51 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 owner = [first + i for i, rows in enumerate(found) for _ in rows]
                 rows = [(n, *x) for of_text in found for n, x in enumerate(of_text, 1)]
                 columns = [pa.array([r[i] for r in rows], kind) if i != 1 else _lists([r[1] for r in rows]) for i, (_, kind) in enumerate(fields)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), *columns], names=["id", *[n for n, _ in fields]])
+                names = ["id", *[n for n, _ in fields]]
+                if decoded:
+                    columns.append(speller.spell(columns[1]))
+                    names.append("text")
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), *columns], names=names)
                 first = last
 
-    return source.mapInArrow(run, with_id(source, "sample int, ids array<int>, log_prob double, perturbed double, inclusion double")).withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, with_id(source, "sample int, ids array<int>, log_prob double, perturbed double, inclusion double" + ", text string" * decoded)).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with ``text``, the exact text that the pieces spell."""
-    text = encoded.sparkSession.sparkContext.broadcast(load_pieces(model_file)["text"])
+    """``encoded`` with ``text``, the exact text that the pieces spell; null ids spell nothing."""
+    shared = encoded.sparkSession.sparkContext.broadcast(load_pieces(model_file)["text"])
 
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def spell(ids):
-        pieces = text.value
-        joined = (b"".join([pieces[i] for i in x]).decode("utf-8", "replace") if x is not None and len(x) else "" for x in ids)
-        return type(ids)([x[1:] if x[:1] == " " else x for x in joined])
-
-    return encoded.withColumn("text", spell(F.col(ids_col)))
+        return Speller(shared.value).spell(ids)
+
+    return encoded.withColumn("text", spell(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))))
+
+
+class Speller:
+    """Texts of lists of pieces."""
+
+    def __init__(self, text: list[bytes]) -> None:
+        self.size = np.array([len(t) for t in text], np.int64)
+        self.begin, self.letters = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(text), np.uint8)
+
+    def spell(self, ids: pa.ListArray) -> pa.Array:
+        offsets = ids.offsets.to_numpy()
+        piece = ids.values.to_numpy()[offsets[0] : offsets[-1]]
+        size = self.size[piece]
+        ends = np.concatenate([[0], np.cumsum(size)])  # bytes up to each piece
+        from_ = np.repeat(self.begin[piece] - ends[:-1], size)
+        from_ += np.arange(ends[-1])
+        data = self.letters[from_]
+        cut = ends[offsets - offsets[0]]
+        # the space that encoding put first
+        first = cut[:-1][cut[1:] > cut[:-1]]
+        first = first[data[first] == 32]
+        cut = cut - np.searchsorted(first, cut)
+        data = np.delete(data, first).tobytes()
+        out = pa.StringArray.from_buffers(len(ids), pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # pieces that no text has
+            out = pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:], strict=False)], pa.string())
+        return out
