@@ -87,3 +87,17 @@ def best_repeat(calls: DataFrame, cutoff: float) -> DataFrame:
     called = top.withColumn("y", F.coalesce(F.col("top") > cutoff, F.lit(False)) & ~F.col("forced_normal"))
     counts = called.groupBy("repeat_id").agg(F.count_if(F.expr("y and is_true")).alias("tp"), F.count_if(F.expr("y and not is_true")).alias("fp"), F.count_if(F.expr("not y and is_true")).alias("fn"), F.count_if(F.expr("not y and not is_true")).alias("tn"))
     return counts.withColumn("mcc", mcc(*[F.col(c) for c in ("tp", "fp", "fn", "tn")]))
+
+
+def left_out_scores(rows: DataFrame, fold: str | None = None) -> DataFrame:
+    """(sample, chr, score): both scores' sum of each sample against the other samples, or other folds.
+
+    ``rows`` has hypo_z, hyper_z, their site counts and the percentage; three sets of totals, no repeats.
+    """
+    from cohortlens.functions.scalar import z_value
+    from cohortlens.operators.scores import inter_score
+
+    for v in ("hypo_z", "hyper_z", "percentage"):
+        rows = leave_out(rows, ["chr"], v, fold)
+    z = {v: z_value(F.col(v), F.col(f"{v}_mu"), F.col(f"{v}_sd")) for v in ("hypo_z", "hyper_z", "percentage")}
+    return rows.select("sample", "chr", (inter_score(z["hypo_z"], z["hyper_z"], F.col("hypo_n"), F.col("hyper_n")) + z["percentage"]).alias("score"))

@@ -197,3 +197,30 @@ def x37(spark, sf):
     over = Window.partitionBy("sample")
     k = b.withColumn("n_batches", F.count("*").over(over)).withColumn("share", F.col("n") / F.sum("n").over(over)).where("q >= 20000")
     return meta_etl.first_by(k, ["sample"], [F.col("n").desc(), F.col("batch")]).select("sample", "batch", "n_batches", "share", "q")
+
+
+def left_out_sql(rest: str) -> str:
+    """Scores with parameters of what ``rest`` (a template of a value) leaves in."""
+    def z(v: str) -> str:
+        n, s, q = (rest.format(v=e) for e in (f"({v} IS NOT NULL)::INT", f"coalesce({v}, 0)", f"coalesce({v} * {v}, 0)"))
+        return f"({v} - coalesce({s} / nullif({n}, 0), 0)) / nullif(sqrt(greatest({q} / nullif({n}, 0) - ({s} / nullif({n}, 0)) ** 2, 0)), 0)"
+    rows = """SELECT e.sample, e.chr, hypo_z, hyper_z, hypo_n, hyper_n, percentage, fold FROM eprows e JOIN shares s ON s.sample = e.sample AND s.chr = e.chr AND s.threshold = e.threshold
+        JOIN (SELECT sample, ntile(4) OVER (ORDER BY sample) - 1 AS fold FROM refs) f ON f.sample = e.sample WHERE e.threshold = 0.5::DOUBLE AND e.recall = 0.2::DOUBLE"""
+    return f"""SELECT sample, chr, coalesce((b * sqrt(hyper_n) - a * sqrt(hypo_n)) / nullif(sqrt(hyper_n + hypo_n), 0), 0) + c AS score FROM (SELECT sample, chr, hypo_n, hyper_n, {z('hypo_z')} AS a, {z('hyper_z')} AS b, {z('percentage')} AS c FROM ({rows}))"""
+
+
+def tracks(spark, sf):
+    rows = C.episcore_rows(spark, sf).where("threshold = 0.5D and recall = 0.2D").join(C.share_rows(spark, sf), ["sample", "threshold", "chr"])
+    return rows.join(resample.fold_ids(C.reference(spark, sf), [], ["sample"], 4), "sample")
+
+
+@query("X20_loo_scores", left_out_sql("(sum({v}) OVER (PARTITION BY chr) - {v})"), "score")
+def x20(spark, sf):
+    """Scores of the reference's own samples, each against the others."""
+    return resample.left_out_scores(tracks(spark, sf))
+
+
+@query("X20_fold_scores", left_out_sql("(sum({v}) OVER (PARTITION BY chr) - sum({v}) OVER (PARTITION BY chr, fold))"), "score")
+def x20b(spark, sf):
+    """Scores of the reference's own samples, each against the other folds."""
+    return resample.left_out_scores(tracks(spark, sf), "fold")
