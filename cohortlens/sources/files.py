@@ -20,7 +20,7 @@ SHEETS = {
     "episcore": ("sample", "target_bam", "background_bam"),
     "est_ff": ("sample", "pileup"),
     "perturbed_res": ("sample", "full_name", "clean_bam", "perturbed_res", "original_res"),
-    "aipt_ref_40": ("sample", "clean_bam", "deconv_res"),
+    "ref_40": ("sample", "clean_bam", "deconv_res"),
     "grid_search": ("sample", "clean_bam", "deconv_res"),
 }
 #: What stands for a missing value in text tables.
