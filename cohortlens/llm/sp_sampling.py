@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -234,8 +236,8 @@ class Units:
             count[some] = column + 1
             on = np.flatnonzero((found != -1) & (left[at] > k + 1))
             at, h = at[on], h[on]
-        # a column for each edge, in order of length
-        columns = int(count.max(initial=1))
+        # a column for each edge, in order of length; in eights, so that eight comparisons are one number
+        columns = -(-int(count.max(initial=1)) // 8) * 8
         # pieces (shifted) and widths in one number
         self.code = np.zeros((total, columns), np.int32)
         weight = np.zeros((total, columns), np.float32)
@@ -320,17 +322,24 @@ class Units:
         step = 0
         while len(occ):
             u = (_mix(base + U((turn * 0xDA942042E4DD58B5 + (step + 1) * 0xAF251AF3B0F025B5) % (1 << 64))) >> U(40)).astype(np.float32) * np.float32(2.0**-24)
-            row = self.base[left] + rank
-            column = np.count_nonzero(self.cumulative[row] <= u[:, None], axis=1)
-            column += row * self.code.shape[1]
-            code = self.code.ravel()[column]
+            row = self.base.take(left)
+            row += rank
+            passed = (self.cumulative.take(row, 0) <= u[:, None]).view(U)
+            column = ((passed * U(0x0101010101010101)) >> U(56)).sum(1, dtype=np.int64) if passed.shape[1] > 1 else ((passed[:, 0] * U(0x0101010101010101)) >> U(56)).astype(np.int64)
+            row *= self.code.shape[1]
+            column += row
+            code = self.code.ravel().take(column)
             got.append((occ, code))
-            k = code & 63
-            log_p[occ] += lattice.logs[code >> 6]
-            n_out[occ] += 1
-            left = left - k
+            gain = lattice.logs.take(code >> 6)
+            if step:
+                log_p[occ] += gain
+                n_out[occ] += 1
+            else:
+                log_p += gain
+                n_out += 1
+            left = left - (code & 63)
             on = np.flatnonzero(left)
-            occ, rank, left, base, step = occ[on], rank[on], left[on], base[on], step + 1
+            occ, rank, left, base, step = occ.take(on), rank.take(on), left.take(on), base.take(on), step + 1
         start = np.concatenate([[0], np.cumsum(n_out)])
         flat = np.empty(start[-1], np.int32)
         for step, (occ, code) in enumerate(got):
@@ -360,17 +369,20 @@ def segment(keys: list[str], texts: list[str | None], pieces: dict, samples: int
     from xxhash import xxh64_intdigest
 
     lattice = lattice or Lattice(pieces, alpha)
-    place: dict[str, int] = {}
+    place: dict[str, int] = defaultdict(count().__next__)  # a new unit, without its first space, takes the next number
     flat: list[int] = []
     starts = [0]
     for t in texts:
         if t:
-            cut = _UNIT.findall(SPACE + t.replace(SPACE, _LITERAL).replace(" ", SPACE))
-            for u in set(cut).difference(place):
-                place[u] = len(place)
+            if SPACE in t:
+                t = t.replace(SPACE, _LITERAL)
+            if "  " in t or t[0] == " " or t[-1] == " ":
+                cut = [u[1:] for u in _UNIT.findall(SPACE + t.replace(" ", SPACE))]
+            else:  # every unit is one space and a word
+                cut = t.split(" ")
             flat.extend(map(place.__getitem__, cut))
         starts.append(len(flat))
-    names = list(place)
+    names = [SPACE + u for u in place]
     units, unit, begin = Units(lattice, names), np.array(flat, np.int64), np.array(starts, np.int64)
     n_docs = len(texts)
     key = np.array([xxh64_intdigest(k.encode("utf-8", "surrogatepass"), seed) for k in keys], U)
@@ -390,22 +402,26 @@ def segment(keys: list[str], texts: list[str | None], pieces: dict, samples: int
         offset = np.concatenate([[0], np.cumsum(size)])
         occ = begin[docs][which] + since[which] + np.arange(offset[-1]) - offset[which]
         pieces_, widths, n_out, log_p = units.sample(unit[occ], key[doc[occ]], inner[occ], turn)
-        total = np.cumsum(log_p)
-        held = before[which] + total - log_p - np.concatenate([[0.0], total])[offset[which]]
+        total = np.concatenate([[0.0], np.cumsum(log_p)])
+        held = total[:-1] - total[offset[which]]
+        # exp(-Gumbel) of each branch, but for the mass that is held before: the smallest is the best branch
         with np.errstate(all="ignore"):
-            mass = held + np.log1p(-np.exp(np.minimum(log_p, 0.0)))
-        u = _uniform(key[doc[occ]], 1000 + turn, inner[occ], 0)
-        branch = _gumbel(u, mass, bound[which])
-        rounds.append((pieces_, np.concatenate([[0], np.cumsum(n_out)]), widths, branch, log_p, held, offset))
+            branch = -np.log(_uniform(key[doc[occ]], 1000 + turn, inner[occ], 0)) / (np.exp(held) * np.abs(np.expm1(np.minimum(log_p, 0.0))))
+        held += before[which]
+        rounds.append((pieces_, np.concatenate([[0], np.cumsum(n_out)]), widths, branch, log_p, held, offset, bound, before))
 
     def best_branches(turn: int, r: int, count: int) -> list[tuple[float, int]]:
+        """Keys and units of the best branches off a path: Gumbels truncated at the path's own key."""
         lo, hi = rounds[turn][6][r], rounds[turn][6][r + 1]
         values = rounds[turn][3][lo:hi]
-        if hi - lo > count:
-            some = np.argpartition(-values, count - 1)[:count]
-        else:
-            some = np.arange(hi - lo)
-        return [(float(values[i]), int(i)) for i in some if values[i] > -np.inf]
+        some = np.argpartition(values, count - 1)[:count] if hi - lo > count else np.arange(hi - lo)
+        bound, before = float(rounds[turn][7][r]), float(rounds[turn][8][r])
+        out = []
+        for i, v in zip(some.tolist(), values[some].tolist(), strict=True):
+            if 0 < v < math.inf:
+                away = math.log(v) - before + bound
+                out.append((bound - (away + math.log1p(math.exp(-away)) if away > 0 else math.log1p(math.exp(away))), i))
+        return out
 
     docs = np.arange(n_docs)
     run_round(0, docs, np.zeros(n_docs, np.int64), root, np.zeros(n_docs))
@@ -468,10 +484,10 @@ def segment(keys: list[str], texts: list[str | None], pieces: dict, samples: int
             if first is not None:
                 ids, wide, cut = whole[parent]
                 keep = cut[since - 1]
-                count = rounds[turn][1][lo : lo + n - since + 1] - rounds[turn][1][lo]
+                after = rounds[turn][1][lo : lo + n - since + 1] - rounds[turn][1][lo]
                 own = np.concatenate([ids[:keep], np.array([x for _, x in first], np.int32), own])
                 widths = np.concatenate([wide[:keep], np.array([k for k, _ in first], np.int32), widths])
-                cut = np.concatenate([cut[:since], keep + len(first) + count])
+                cut = np.concatenate([cut[:since], keep + len(first) + after])
             else:
                 cut = rounds[turn][1][lo : lo + n + 1] - rounds[turn][1][lo]
             whole[p] = (own, widths, cut)
@@ -555,15 +571,23 @@ class Speller:
         self.size = np.array([len(t) for t in text], np.int64)
         self.begin, self.letters = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(text), np.uint8)
 
-    def spell(self, ids: pa.ListArray) -> pa.Array:
+    def spell(self, ids: pa.ListArray, block: int = 100_000) -> pa.Array:
+        """The text of each list; so many pieces at a time as fit in a processor's cache."""
         offsets = ids.offsets.to_numpy()
-        piece = ids.values.to_numpy()[offsets[0] : offsets[-1]]
-        size = self.size[piece]
-        ends = np.concatenate([[0], np.cumsum(size)])  # bytes up to each piece
-        from_ = np.repeat(self.begin[piece] - ends[:-1], size)
-        from_ += np.arange(ends[-1])
-        data = self.letters[from_]
-        cut = ends[offsets - offsets[0]]
+        pieces = ids.values.to_numpy()[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        parts, ends, done = [], [np.zeros(1, np.int64)], 0
+        for lo in range(0, len(pieces), block):
+            piece = pieces[lo : lo + block]
+            size = self.size.take(piece)
+            end = np.cumsum(size)
+            from_ = np.repeat((self.begin.take(piece) - end + size).astype(np.int32), size)
+            from_ += np.arange(len(from_), dtype=np.int32)
+            parts.append(self.letters.take(from_))
+            ends.append(end + done)
+            done += len(from_)
+        data = np.concatenate([*parts, np.empty(0, np.uint8)])
+        cut = np.concatenate(ends).take(offsets)
         # the space that encoding put first
         first = cut[:-1][cut[1:] > cut[:-1]]
         first = first[data[first] == 32]
