@@ -29,7 +29,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cpgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(
-        "concat('chr', 1 + p_partkey % 22) as chr", "p_partkey * 10 as start", "p_partkey * 10 + 1 as end", "p_size - 25 as meandiff", "(p_retailprice - 900) / 100 as recall", "p_partkey as part", "p_size as size"
+        "concat('chr', 1 + p_partkey % 22) as chr", "p_partkey * 10 as start", "p_partkey * 10 + 1 as end", "p_size - 25 as meandiff", "(p_partkey * 37 % 100) / 100 as recall", "p_partkey as part", "p_size as size"
     )
 
 

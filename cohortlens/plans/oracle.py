@@ -9,7 +9,7 @@ VIEWS = {
         l_partkey * 10 + CAST(l_quantity AS INT) AS "end", l_returnflag AS text, round(l_discount * 10, 1) AS prob_class_1, CAST(l_linenumber AS DOUBLE) AS mTcount,
         CAST(100 + 2 * l_quantity AS BIGINT) AS insert_size, l_linestatus AS status, l_partkey AS part, l_extendedprice AS price FROM lineitem""",
     "cpgs": """SELECT concat('chr', 1 + p_partkey % 22) AS chr, p_partkey * 10 AS start, p_partkey * 10 + 1 AS "end", p_size - 25 AS meandiff,
-        (p_retailprice - 900) / 100 AS recall, p_partkey AS part, p_size AS size FROM part""",
+        (p_partkey * 37 % 100) / 100 AS recall, p_partkey AS part, p_size AS size FROM part""",
     "probes": """SELECT chr, start, start + size * 2 AS "end" FROM cpgs WHERE part % 10 = 0""",
     "meta": """SELECT s_suppkey AS sample, CASE WHEN s_suppkey % 2 = 0 THEN 'dev' ELSE 'test' END AS set, CASE WHEN s_suppkey % 5 <> 0 THEN 'Normal' ELSE concat('T', 1 + s_suppkey % 22) END AS label,
         (s_suppkey % 30) * 0.005::DOUBLE AS ff_before_mq, s_acctbal AS balance FROM supplier""",
