@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontam, langid, pii, simhash, sp_sampling
+from cohortlens.llm import decontam, langid, pii, shingles, sp_sampling
 from cohortlens.llm.common import keep, table
 from cohortlens.llm.queries import PIECES
 
@@ -26,11 +26,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (words in fives, up to 5 bits of 64) the first document stays."""
+    """Of each group of near copies (a Jaccard similarity of 0.8 or more of words in fives) the first document stays."""
     # numbered in a written table: the number, unlike the id, tells repeated rows apart
     order = F.struct(F.col("doc_id"), F.monotonically_increasing_id().alias("n"))
     numbered, _ = keep(docs.withColumn("_row", order), "numbered")
-    groups = simhash.near_duplicates(numbered, id_col="_row", shingle=5, radius=5)
+    groups = shingles.near_duplicates(numbered, id_col="_row", shingle=5)
     first = groups.where(F.col("_row.n") == F.col("component_id.n")).select(F.col("_row.n").alias("_n"))
     return numbered.withColumn("_n", F.col("_row.n")).join(first, "_n", "left_semi").select(*docs.columns)
 

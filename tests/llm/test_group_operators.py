@@ -215,3 +215,52 @@ def test_pipeline_stages(spark):
 def test_pipeline_runs(spark):
     ids = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert 0 < len(ids) < 200 and corpus_pipeline.ORACLE_SQL is None
+
+
+def plain_shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def plain_groups(texts):
+    sets = [plain_shingles(t) for t in texts]
+    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    return grouped([(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if near(sets[i], sets[j])], range(len(texts)))
+
+
+@pytest.mark.parametrize("small", (2, 16))
+def test_near_copies_by_jaccard(spark, small):
+    """Near copies on both sides of 0.8, a large cluster, a line in most texts, and short texts."""
+    rng = random.Random(7)
+    line = " ".join(f"line{i}" for i in range(12))
+    texts = [None, "", " ", "a", "A", "a b c d", "a b c d e", line, line + " x", line + " y"]
+    for length in (30, 60, 200, 900):
+        for _ in range(6):
+            words = [f"w{rng.randrange(5000)}" for _ in range(length)]
+            for changes in (0, 0, 1, 2, length // 60, length // 45, length // 35):
+                other = list(words)
+                for at in rng.sample(range(length), changes):
+                    other[at] = f"new{rng.randrange(10**6)}"
+                texts.append(" ".join(other) + (" " + line if rng.random() < 0.6 else ""))
+    words = [f"v{i}" for i in range(80)]
+    texts += [" ".join(words[:k] + [f"u{k}x{r}"] + words[k + 1 :]) for k in range(0, 80, 2) for r in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in corpus_pipeline.shingles.near_duplicates(docs, small=small).collect()}
+    assert got == plain_groups(texts) and len(set(got.values())) < len(texts) - 100
+
+
+def test_pipeline_drops_near_copies(spark):
+    """The case of the review: similar by 0.8 to 0.95, and far apart by SimHash."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        for c in range(2):
+            other = list(words)
+            for at in (rng.sample(range(10, 140), 1 + g % 3) if c else ()):
+                other[at] = "other"
+            rows.append((2 * g + c, " ".join(other), "en", "s", 1))
+    want = {i for i, root in plain_groups([r[1] for r in rows]).items() if i == root}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert want == set(range(0, 24, 2))
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == want
