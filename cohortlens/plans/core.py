@@ -195,9 +195,19 @@ INTERVALS = """SELECT l_orderkey AS id, l_linenumber AS line, concat('chr', 1 +
     LEFT JOIN cpgs p ON p.chr = i.chr AND p.start BETWEEN least(i.start, i."end") AND greatest(i.start, i."end") GROUP BY ALL""")
 def j9(spark, sf):
     """Intervals with their length, target sites inside and whether they are kept; ends may be reversed."""
-    rows = C.table(spark, sf, "lineitem").where("l_orderkey % 20 = 0").selectExpr("l_orderkey as id", "l_linenumber as line", "concat('chr', 1 + l_partkey % 22) as chr", "l_partkey * 10 as start",
+    return with_points(C.table(spark, sf, "lineitem").where("l_orderkey % 20 = 0"), C.cpgs(spark, sf))
+
+
+@query("J9_X34_points_inside_all")
+def j9_all(spark, sf):
+    """The same over all intervals; tested against brute force."""
+    return with_points(C.table(spark, sf, "lineitem"), C.cpgs(spark, sf))
+
+
+def with_points(items, sites):
+    rows = items.selectExpr("l_orderkey as id", "l_linenumber as line", "concat('chr', 1 + l_partkey % 22) as chr", "l_partkey * 10 as start",
         "l_partkey * 10 + (case when l_linenumber % 2 = 0 then -1 else 1 end) * cast(l_quantity * 40 as bigint) as end").distinct()
-    out = R.points_inside(rows, C.cpgs(spark, sf).select("chr", F.col("start").alias("pos")))
+    out = R.points_inside(rows, sites.select("chr", F.col("start").alias("pos")))
     return out.select("id", "line", "chr", "start", "end", F.abs(F.col("end") - F.col("start")).alias("length"), "n_points", (F.col("n_points") >= 3).alias("keep"))
 
 

@@ -56,6 +56,23 @@ def test_containing_a_point_with_short_and_long_reads(spark):
     assert got == {r[0] for r in reads if any(c == r[2] and r[3] <= p <= r[4] for c, p in points)}
 
 
+def test_points_inside_all_intervals(spark):
+    from cohortlens.plans import cohort, core
+
+    sf = "/root/testdata/sf0.001"
+    points = {}
+    for r in cohort.cpgs(spark, sf).select("chr", "start").collect():
+        points.setdefault(r["chr"], []).append(r["start"])
+    want = set()
+    for r in cohort.table(spark, sf, "lineitem").selectExpr("l_orderkey as id", "l_linenumber as line", "l_partkey as part", "cast(l_quantity * 40 as bigint) as length").collect():
+        start = r["part"] * 10
+        end = start + (-r["length"] if r["line"] % 2 == 0 else r["length"])
+        n = sum(min(start, end) <= p <= max(start, end) for p in points.get(f"chr{1 + r['part'] % 22}", []))
+        want.add((r["id"], r["line"], f"chr{1 + r['part'] % 22}", start, end, r["length"], n, n >= 3))
+    got = [tuple(r) for r in core.j9_all(spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want and any(r[0] % 20 for r in got)
+
+
 def test_levels_and_z_by_hand(spark):
     sites = [(1, "chr1", 0, 1, 3, 1, -2), (1, "chr2", 0, 1, 1, 3, -1), (1, "chr3", 0, 1, 2, 2, -1), (1, "chr1", 5, 6, 9, 0, 0), (1, "chr1", 7, 8, 1, 1, 4)]
     z = methyl.intra_z(methyl.levels(spark.createDataFrame(sites, "sample long, chr string, start long, end long, meth long, unmeth long, meandiff long"), ["sample"]), ["sample"])
