@@ -44,7 +44,17 @@ def s3(spark, sf):
 @query("S4_table_scan", "SELECT name, CAST(prob_class_1 AS VARCHAR) AS prob_class_1 FROM reads WHERE sample < 20")
 def s4(spark, sf):
     """A gzipped TSV with a projection."""
-    rows = C.reads(spark, sf).where("sample < 20").selectExpr("name", "chr", "cast(prob_class_1 as string) as prob_class_1")
+    return scanned(spark, C.reads(spark, sf).where("sample < 20"))
+
+
+@query("S4_table_scan_all", "SELECT name, CAST(prob_class_1 AS VARCHAR) AS prob_class_1 FROM reads")
+def s4_all(spark, sf):
+    """The same over all samples."""
+    return scanned(spark, C.reads(spark, sf))
+
+
+def scanned(spark, rows):
+    rows = rows.selectExpr("name", "chr", "cast(prob_class_1 as string) as prob_class_1")
     rows.write.csv(path := X.scratch(spark, "scan"), sep="\t", header=True, compression="gzip")
     return X.read_table(spark, path, ["name", "prob_class_1"])
 
@@ -141,9 +151,19 @@ def s18(spark, sf):
 @query("S19_sample_files", "SELECT concat('s', sample) AS sample FROM meta WHERE sample < 3")
 def s19(spark, sf):
     """Samples by the names of their files."""
+    return listed(spark, C.meta(spark, sf).where("sample < 3"))
+
+
+@query("S19_sample_files_all", "SELECT concat('s', sample) AS sample FROM meta")
+def s19_all(spark, sf):
+    """The same over all samples."""
+    return listed(spark, C.meta(spark, sf))
+
+
+def listed(spark, meta):
     base = X.scratch(spark, "files")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for r in C.meta(spark, sf).where("sample < 3").select("sample").collect():
+    for r in meta.select("sample").collect():
         at = jvm.org.apache.hadoop.fs.Path(f"{base}/s{r['sample']}_beta_value.tsv.gz")
         out = at.getFileSystem(conf).create(at)
         out.write(0)  # Spark leaves out files without content
@@ -176,7 +196,17 @@ def s22(spark, sf):
 @query("S24_workbook", "SELECT CAST(sample AS VARCHAR) AS sample, label FROM meta WHERE sample < 30")
 def s24(spark, sf):
     """The first sheet of a workbook."""
-    rows = C.meta(spark, sf).where("sample < 30").selectExpr("cast(sample as string)", "label").collect()
+    return from_book(spark, C.meta(spark, sf).where("sample < 30"))
+
+
+@query("S24_workbook_all", "SELECT CAST(sample AS VARCHAR) AS sample, label FROM meta")
+def s24_all(spark, sf):
+    """The same over all samples."""
+    return from_book(spark, C.meta(spark, sf))
+
+
+def from_book(spark, meta):
+    rows = meta.selectExpr("cast(sample as string)", "label").collect()
     X.write_xlsx(spark, ["sample", "label"], [tuple(r) for r in rows], path := X.scratch(spark, "book.xlsx"))
     return X.read_xlsx(spark, path)
 
