@@ -73,8 +73,10 @@ def x13(spark, sf):
 @query("X11_X12_unique_draws")
 def x11(spark, sf):
     """Distinct random subsets of the normals; tested against their definition."""
-    pool = [r["sample"] for r in C.meta(spark, sf).where("label = 'Normal'").select("sample").limit(1000).collect()]
-    return resample.unique_draws(spark, pool, 3, 50)
+    pool = C.meta(spark, sf).where("label = 'Normal'").select("sample")
+    drawn = resample.unique_draws(spark, range(pool.count()), 3, 50).withColumnRenamed("sample", "place")
+    ranked = spark.createDataFrame(pool.sort("sample").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])), "place long, sample long")
+    return drawn.join(ranked, "place").select("repeat_id", "role", "sample")
 
 
 SWEEP = """, rstats AS (SELECT repeat_id, chr, coalesce(avg(percentage), 0) AS m, stddev_pop(percentage) AS sd FROM fixedshares JOIN draws USING (sample) WHERE role = 'ref' GROUP BY ALL), rz AS (SELECT repeat_id, s.sample, s.chr, (s.percentage - m) / nullif(sd, 0) AS z FROM fixedshares s JOIN rstats USING (chr))"""

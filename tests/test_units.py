@@ -141,6 +141,17 @@ def test_unique_draws(spark):
     assert len(resample.unique_draws(spark, [1, 2, 3], 2, 100).collect()) == 6  # all three pairs
 
 
+def test_unique_draws_query_has_all_normals(spark, monkeypatch):
+    from cohortlens.plans import mixture
+
+    rows = spark.range(3000).selectExpr("id * 7 as sample", "if(id % 2 = 0, 'Normal', 'Other') as label")
+    want = sorted(map(tuple, resample.unique_draws(spark, [i * 7 for i in range(0, 3000, 2)], 3, 50).collect()))
+    assert max(r[2] for r in want) > 14_000
+    for parts in (2, 7):
+        monkeypatch.setattr(mixture.C, "meta", lambda spark, sf, parts=parts: rows.repartition(parts))
+        assert sorted(map(tuple, mixture.x11(spark, "").collect())) == want
+
+
 def test_auc_and_delta_with_ties(spark):
     rng = random.Random(2)
     rows = [(1, i, float(rng.randrange(6)), rng.random() < 0.4) for i in range(80)]
