@@ -1,24 +1,29 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts words and pairs of adjacent tokens of all training documents.  A count
-``c`` is quantised to level ``1 + floor(log_base c)``, and the filter holds (n-gram, level)
-for each level up to that, so a count is read back by probing levels until one is missing.
-Pairs are counted in shards of the hash space; each shard fills its own region of the
-filter, and regions are gathered and broadcast.  The filter has ``bits_per_entry`` bits for
-each entry, at most ``max_filter_bytes``: where that is too small, the least count from
-which pairs are held rises (estimated from a hash slice of all pairs), so the broadcast is
-bounded at any size of the corpus.
-
-A token's probability is ``w * c(h, t) / c(h) + (1 - w) * (c(t) + 0.1) / (N + 0.1 (V + 1))``
-with all counts read from the filter; ``w`` applies after a history that the filter knows.
-
-The base score needs exact counts.  The words with the largest counts (at most
-``heavy_limit``) are broadcast with their counts; other words, none of which is frequent,
-are joined with the table of counts.  So no hot key is ever shuffled, and nothing is dropped.
+The filter holds quantised counts of words and of pairs of adjacent tokens of all training
+documents, however rare.  A count ``c`` is quantised to level ``1 + floor(log_base c)``; the
+filter has (n-gram, level) for each level up to that, so a count is read back by probing
+levels until one is missing.  The filter is cut into regions by hash.  Each region is sized
+from the entries it gets (``bits_per_entry`` for each), so its error rate is the same for a
+corpus of any size, and no region ever fills up.
+
+A filter that holds all pairs grows with the corpus, so it can't be broadcast whole.
+Probes come to the regions instead: texts are coded in chunks of bounded size; a chunk sends
+each of its distinct n-grams once to the region of its hash, with its training count there.
+The task of a region adds up the counts, fills the region, probes it for every chunk and
+answers with levels, and with exact counts of words.  Answers meet their chunk again, which
+is scored then.  So frequent words and pairs are hot nowhere (a chunk asks once), a task
+holds one chunk or one region, and nothing but sums comes to the driver.
+
+A token's probability after a history ``h`` that the filter knows is
+``(c(h, t) + prior * p(t)) / (c(h) + prior)`` with ``p(t) = (c(t) + 0.1) / (N + 0.1 (V + 1))``,
+else ``p(t)``, all counts read from the filter.  The base score has exact counts (words are
+told apart by 64-bit hashes).
 
 Edge cases: a null or empty text is its end token alone; documents without an id are not
 trained on and not held out; repeated rows stay apart; without training documents every
-count is 0; an empty table gives no rows; other columns are not looked at.
+count is 0; an empty table gives no rows; a text is coded whole, however long; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -26,23 +31,21 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, repeat
-from operator import add
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.llm.common import keep
 
 END = b" "  # no word holds a space
 U = np.uint64
-#: One pair in so many is counted beforehand to size the filter.
-SLICE = 64
-#: Bytes of text that are worked on at once, and distinct words or pairs held before they are sent on.
-_CHUNK, _HELD = 3_000_000, 300_000
+#: Tokens of a chunk (or one text, if that has more), its distinct words, and tokens of a region at most.
+CHUNK, WORDS, REGION = 2_000_000, 600_000, 2_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,305 +68,239 @@ def pair(h: np.ndarray, t: np.ndarray) -> np.ndarray:
     return _mix(h * U(0xC2B2AE3D27D4EB4F) + _mix(t))
 
 
-def _coded(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct tokens, the tokens of all texts as places in them, and where each text begins (and the end)."""
-    place: dict[bytes, int] = defaultdict(count().__next__)  # a new word takes the next number
-    place[END]
-    flat: list[int] = []
-    starts = [0]
-    for t in texts:
-        if t:
-            flat.extend(map(place.__getitem__, t.lower().split()))
-        flat.append(0)
-        starts.append(len(flat))
-    return list(place), np.array(flat, np.int64), np.array(starts, np.int64)
+def levels_of(counts: np.ndarray, base: float) -> np.ndarray:
+    """The level of each count; 0 of none."""
+    return np.where(counts > 0, 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(base) + 1e-9), 0).astype(np.int64)
 
 
-def _pairs(flat: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Hashes of adjacent tokens; the one across each border of texts is left out."""
-    inside = np.ones(max(0, len(flat) - 1), bool)
-    inside[starts[1:-1] - 1] = False
-    h = hashes[flat]
-    return pair(h[:-1], h[1:])[inside]
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
-    """The rows, in record batches with a bounded size of text."""
-    for b in batches:
-        sizes = [x.as_buffer().size if x.is_valid else 0 for x in b.column(text_at)]
-        first = size = 0
-        for i, n in enumerate(sizes):
-            if i > first and size + n > _CHUNK:
-                yield b.slice(first, i - first)
-                first, size = i, 0
-            size += n
-        if first < b.num_rows:
-            yield b.slice(first)
-
-
-def _levels(counts: np.ndarray, base: float) -> np.ndarray:
-    return 1 + np.floor(np.log(counts) / math.log(base) + 1e-9).astype(np.int64)
-
-
-def _count_of(level: int, base: float) -> float:
+def count_of(level: int, base: float) -> float:
     """The middle of the counts of a level."""
+    if level == 0:
+        return 0.0
     low, high = math.ceil(base ** (level - 1) - 1e-9), math.ceil(base**level - 1e-9) - 1
     return (low + max(low, high)) / 2
 
 
-class Filter:
-    """Regions of a log-frequency Bloom filter in blocks of 512 bits, one region for each shard of the hash space."""
+class Region:
+    """A log-frequency Bloom filter in blocks of 512 bits; all that is asked of a key lies in one line of memory."""
 
-    def __init__(self, regions: int, bits: int, base: float, probes: int, data: np.ndarray | None = None) -> None:
-        if bits % 512 or not 1 <= probes <= 7:
-            raise ValueError("regions are blocks of 512 bits, with up to 7 probes")
-        self.regions, self.bits, self.base, self.probes = regions, bits, base, probes
-        self.data = np.zeros(regions * bits // 8, np.uint8) if data is None else data
+    def __init__(self, entries: int, bits_per_entry: float, probes: int) -> None:
+        if not 1 <= probes <= 7:
+            raise ValueError("from 1 to 7 probes")
+        self.probes, self.blocks, self.top = probes, max(1, math.ceil(entries * bits_per_entry / 512)), 0
+        self.data = np.zeros(self.blocks * 64, np.uint8)
 
-    @staticmethod
-    def shard(grams: np.ndarray, regions: int) -> np.ndarray:
-        return ((grams & U(0xFFFFFF)) % U(regions)).astype(np.int64)
+    def _starts(self, keys: np.ndarray) -> np.ndarray:
+        return (((_mix(keys) >> U(32)) * U(self.blocks)) >> U(32)).astype(np.int64) << 9
 
-    @staticmethod
-    def key(grams: np.ndarray) -> np.ndarray:
-        return grams >> U(24)  # 40 bits
-
-    def _block(self, keys: np.ndarray) -> np.ndarray:
-        """First bit of the key's block of 512 in its region; all that is asked of a key lies in one line of memory."""
-        return ((((_mix(keys) >> U(32)) * U(self.bits // 512)) >> U(32)) << U(9)).astype(np.int64)
+    def _bits(self, keys: np.ndarray, level: int) -> np.ndarray:
+        return _mix(keys + U(level * 0xD6E8FEB86659FD93 % (1 << 64)))
 
     def insert(self, keys: np.ndarray, levels: np.ndarray) -> None:
-        """Into a filter of one region."""
-        start = self._block(keys)
+        start, self.top = self._starts(keys), max(self.top, int(levels.max(initial=0)))
         for level in range(1, int(levels.max(initial=0)) + 1):
             some = levels >= level
             keys, start, levels = keys[some], start[some], levels[some]
-            bits = _mix(keys + U(level * 0xD6E8FEB86659FD93 % (1 << 64)))
+            bits = self._bits(keys, level)
             for probe in range(self.probes):
                 at = start + ((bits >> U(9 * probe)) & U(511)).astype(np.int64)
                 np.bitwise_or.at(self.data, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
-    def _held(self, keys: np.ndarray, start: np.ndarray, level: int) -> np.ndarray:
-        """Places of the keys, with their blocks' first bits, that the filter has at a level."""
-        at, bits = np.arange(len(keys)), _mix(keys + U(level * 0xD6E8FEB86659FD93 % (1 << 64)))
-        for probe in range(self.probes):
-            place = start + ((bits >> U(9 * probe)) & U(511)).astype(np.int64)
-            hit = np.flatnonzero((self.data[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
-            at, start, bits = at[hit], start[hit], bits[hit]
-        return at
-
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        """The count of each n-gram as the filter has it."""
-        out = np.zeros(len(grams))
-        keys = self.key(grams)
-        start = self.shard(grams, self.regions) * self.bits + self._block(keys)
-        at = self._held(keys, start, 1)
-        keys, some = np.unique(grams[at], return_index=True)  # those that are held come again and again
-        back = np.searchsorted(keys, grams[at])
-        keys, start = self.key(keys), start[at][some]
-        counts, left, level = np.full(len(keys), _count_of(1, self.base)), np.arange(len(keys)), 1
-        while len(left):
-            level += 1
-            hit = self._held(keys, start, level)
-            left, keys, start = left[hit], keys[hit], start[hit]
-            counts[left] = _count_of(level, self.base)
-        out[at] = counts[back]
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level that repeated probes find for each key, 0 where the first is missing."""
+        out, left, start = np.zeros(len(keys), np.uint8), np.arange(len(keys)), self._starts(keys)
+        for level in range(1, self.top + 1):
+            bits = self._bits(keys, level)
+            for probe in range(self.probes):
+                at = start + ((bits >> U(9 * probe)) & U(511)).astype(np.int64)
+                hit = np.flatnonzero((self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                keys, left, start, bits = keys[hit], left[hit], start[hit], bits[hit]
+            if not len(keys):
+                break
+            out[left] = level
         return out
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _chunk_schema(source: DataFrame) -> T.StructType:
+    kind = T.ArrayType(source.schema["id"].dataType)
+    return T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", kind), *T.StructType.fromDDL("train binary, starts binary, flat binary, words binary, n_tokens long").fields])
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel().astype(U)
+def coded_chunks(rows: DataFrame) -> DataFrame:
+    """Texts of (``id``, ``text`` binary, ``train``) in chunks: ids, training flags, where each text begins, tokens as places in the chunk's words, hashes of the words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        place: dict[bytes, int] = defaultdict(count().__next__)  # a new word takes the next number
+        place[END]
+        flat: list[np.ndarray] = []
+        starts, ids, train = [0], [], []
 
-def _blobs(grams: np.ndarray, counts: np.ndarray, regions: int) -> pa.RecordBatch:
-    """One row for each shard: keys that came once, keys that came more often, and their counts."""
-    shard = Filter.shard(grams, regions)
-    order = np.argsort(shard, kind="stable")
-    keys, counts, cut = Filter.key(grams)[order], counts[order], np.searchsorted(shard[order], np.arange(regions + 1))
-    rows = []
-    for s in range(regions):
-        k, c = keys[cut[s] : cut[s + 1]], counts[cut[s] : cut[s + 1]]
-        if len(k):
-            rows.append((s, _packed(k[c == 1]), _packed(k[c > 1]), c[c > 1].astype("<u4").tobytes()))
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["shard", "once", "more", "counts"])
+        def flush() -> pa.RecordBatch:
+            nonlocal at
+            blobs = (np.array(train, np.uint8), np.array(starts, "<i8"), np.concatenate(flat), _word_hashes(list(place)).astype("<u8"))
+            chosen = pa.concat_arrays(ids)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(chosen)], pa.int32()), chosen)
+            out = [pa.array([at], pa.int64()), listed, *[pa.array([x.tobytes()], pa.binary()) for x in blobs], pa.array([starts[-1]], pa.int64())]
+            at += 1
+            place.clear()
+            place.default_factory = count().__next__
+            place[END]
+            for held in (flat, ids, train):
+                held.clear()
+            starts[:] = [0]
+            return pa.RecordBatch.from_arrays(out, names=["chunk", "ids", "train", "starts", "flat", "words", "n_tokens"])
 
+        for b in batches:
+            first = 0
+            for i, (text, learn) in enumerate(zip(b.column(1), b.column(2).to_pylist(), strict=True)):
+                text = text.as_py()
+                if len(place) > WORDS or starts[-1] >= CHUNK:
+                    if i > first:
+                        ids.append(b.column(0).slice(first, i - first))
+                    yield flush()
+                    first = i
+                found = list(map(place.__getitem__, text.lower().split())) if text else []
+                found.append(0)
+                flat.append(np.array(found, "<u4"))
+                starts.append(starts[-1] + len(found))
+                train.append(learn)
+            if b.num_rows > first:
+                ids.append(b.column(0).slice(first))
+        if flat:
+            yield flush()
 
-_BLOBS = "shard int, once binary, more binary, counts binary"
+    return rows.select("id", "text", "train").mapInArrow(run, _chunk_schema(rows))
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(``word``, ``n_train``, ``n``) of all tokens of (``text`` binary, ``train``), and the pairs of one hash slice as a space and their hash."""
+class Chunk:
+    """A coded chunk; n-grams in the order in which they go to the regions and answers come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}  # both counts in one number, those of training documents from bit 40 on
+    def __init__(self, row: dict) -> None:
+        self.train, self.starts, self.flat, self.hashes = (np.frombuffer(row[c], kind) for c, kind in (("train", np.uint8), ("starts", "<i8"), ("flat", "<u4"), ("words", "<u8")))
+        keys = single(self.hashes)
+        self.order = np.argsort(keys, kind="stable")  # sorted keys are sorted by region too
+        self.words = keys[self.order]
+        inside = np.ones(max(0, len(self.flat) - 1), bool)
+        inside[self.starts[1:-1] - 1] = False
+        self.second = np.flatnonzero(inside) + 1  # the tokens that follow another one
+        self.learnt = np.repeat(self.train, np.diff(self.starts)).astype(bool)
 
-        def flush() -> pa.RecordBatch:
-            both = np.fromiter(held.values(), np.int64, len(held))
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(both >> 40), pa.array(both & ((1 << 40) - 1))], names=["word", "n_train", "n"])
-            held.clear()
-            return out
-
-        for b in _chunks(batches, 0):
-            train = np.array(b.column(1).to_pylist(), bool)
-            words, flat, starts = _coded(b.column(0).to_pylist())
-            of_train = np.repeat(train, np.diff(starts))
-            counts = np.bincount(flat, minlength=len(words)) + (np.bincount(flat[of_train], minlength=len(words)) << 40)
-            have = held.get
-            held.update(zip(words, map(add, counts.tolist(), map(have, words, repeat(0))), strict=True))
-            if len(flat) > 1:
-                grams, inside = _pairs(flat, starts, _word_hashes(words)), np.ones(len(flat), bool)
-                inside[starts[1:] - 1] = False
-                grams = grams[of_train[:-1][inside[:-1]]]
-                some, counts = np.unique(grams[grams >> U(32) & U(SLICE - 1) == 0], return_counts=True)
-                for g, c in zip(some.tolist(), counts.tolist(), strict=True):
-                    w = END + g.to_bytes(8, "big")
-                    held[w] = have(w, 0) + c + (c << 40)
-            if len(held) > _HELD:
-                yield flush()
-        yield flush()
-
-    return docs.select("text", "train").mapInArrow(run, "word binary, n_train long, n long").groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n").alias("n"))
-
-
-def _of_counts(rows: DataFrame, column: str) -> list[tuple[int, int, int]]:
-    """(least count, n-grams, sum of counts) by sixteenths of an octave of the count; a bounded number of rows."""
-    rows = rows.groupBy(F.floor(F.log2(F.col(column)) * 16).alias("b")).agg(F.min(column).alias("least"), F.count("*").alias("n"), F.sum(column).alias("sum"))
-    return sorted((r["least"], r["n"], r["sum"]) for r in rows.collect())
-
-
-def build_filter(docs: DataFrame, counts: DataFrame, tokens: int, base: float, probes: int, bits_per_entry: int, max_filter_bytes: int, min_pair: int) -> tuple[Filter, int]:
-    """The filter of all words and of the pairs with ``min_pair`` or more; and the least count of a pair that it has."""
-    words = counts.where("n_train > 0 and (substring(word, 1, 1) <> X'20' or length(word) = 1)")
-    level = lambda c: float(_levels(np.array([max(1, c)]), base)[0])
-    entries = sum(n * level(least) for least, n, _ in _of_counts(words, "n_train"))
-    slices = _of_counts(counts.where("substring(word, 1, 1) = X'20' and length(word) > 1"), "n_train")
-    room = max_filter_bytes * 8 / bits_per_entry
-    of_pairs = lambda least: SLICE * sum(n * level(c) for c, n, _ in slices if c >= least)
-    while entries + of_pairs(min_pair) > room and any(c >= min_pair for c, _, _ in slices):
-        min_pair += 1 + min_pair // 8
-    bits = min(max_filter_bytes * 8, int((entries + of_pairs(min_pair)) * bits_per_entry * 1.1) + 4096)
-    regions = max(64, min(1 << 16, tokens // 2_500_000))
-    bits = max(1, bits // regions // 512) * 512
-
-    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    def pair_keys(self) -> np.ndarray:
+        """Keys of the pairs that end in ``second``; the last bit is 0."""
+        h = self.hashes[self.flat]
+        return pair(h[self.second - 1], h[self.second]) & ~U(1)
+
+    def word_counts(self) -> np.ndarray:
+        return np.bincount(self.flat[self.learnt], minlength=len(self.hashes))[self.order]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct pairs and their training counts."""
+        keys = np.sort(self.pair_keys() | self.learnt[self.second].astype(U))
+        whole = keys & ~U(1)
+        first = _firsts(whole)
+        return whole[first], np.add.reduceat((keys & U(1)).astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+
+
+def region_of(keys: np.ndarray, regions: int) -> np.ndarray:
+    return (((keys >> U(32)) * U(regions)) >> U(32)).astype(np.int64)
 
-        def flush() -> pa.RecordBatch:
-            grams, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return _blobs(grams, n, regions)
-
-        for b in _chunks(batches, 0):
-            words, flat, starts = _coded(b.column(0).to_pylist())
-            held.append(_pairs(flat, starts, _word_hashes(words)))
-            if sum(map(len, held)) > 10 * _HELD:
-                yield flush()
-        if held:
-            yield flush()
 
-    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_PARTS = ("words", "word_counts", "pairs", "pair_counts")
+
+
+def asked(chunks: DataFrame, regions: int) -> DataFrame:
+    """Each chunk's distinct words and pairs with their training counts there, by region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _blobs(single(_word_hashes(b.column(0).to_pylist())), b.column(1).to_numpy(zero_copy_only=False), regions)
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        # keys of words and of pairs are apart: the pairs' least count doesn't hold for words
-        region = Filter(1, bits, base, probes)
-        for words in (False, True):
-            rows = pdf[pdf["words"] == words]
-            if len(rows):
-                keys = np.concatenate([_unpacked(x) for c in ("once", "more") for x in rows[c]])
-                n = np.concatenate([np.ones(sum(len(x) // 5 for x in rows["once"]), np.int64), *[np.frombuffer(x, "<u4").astype(np.int64) for x in rows["counts"]]])
-                order = np.argsort(keys, kind="stable")
-                keys, n = keys[order], n[order]
-                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                keys, n = keys[first], np.add.reduceat(n, first)
-                some = n >= (1 if words else min_pair)
-                region.insert(keys[some], _levels(n[some], base))
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "bits": [region.data.tobytes()]})
-
-    blobs = docs.where("train").select("text").mapInArrow(of_docs, _BLOBS).withColumn("words", F.lit(False))
-    blobs = blobs.union(words.select("word", "n_train").mapInArrow(of_words, _BLOBS).withColumn("words", F.lit(True)))
-    data = np.zeros(regions * bits // 8, np.uint8)
-    for r in blobs.groupBy("shard").applyInPandas(fill, "shard int, bits binary").toLocalIterator():
-        data[r["shard"] * bits // 8 : (r["shard"] + 1) * bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(regions, bits, base, probes, data), min_pair
-
-
-def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", weight: float = 0.2, base: float = 1.5, probes: int = 6, bits_per_entry: int = 12,
-          max_filter_bytes: int = 64_000_000, heavy_limit: int = 200_000, min_pair: int = 2) -> DataFrame:
+            for row in b.to_pylist():
+                chunk = Chunk(row)
+                parts, cuts = [], []
+                for keys, counts in ((chunk.words, chunk.word_counts()), chunk.pairs()):
+                    cuts.append(np.searchsorted(region_of(keys, regions), np.arange(regions + 1)))
+                    parts.append((keys.astype("<u8"), counts.astype("<u8" if counts.max(initial=0) >> 32 else "<u4")))
+                some = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
+                columns = [[x[cut[r] : cut[r + 1]].tobytes() for r in some] for part, cut in zip(parts, cuts, strict=True) for x in part]
+                for s in range(0, len(some), 512):
+                    part = [pa.array(some[s : s + 512], pa.int32()), pa.array(np.full(len(some[s : s + 512]), row["chunk"])), *[pa.array(c[s : s + 512], pa.binary()) for c in columns]]
+                    yield pa.RecordBatch.from_arrays(part, names=["region", "chunk", *_PARTS])
+
+    source = chunks.select("chunk", "train", "starts", "flat", "words")
+    return source.mapInArrow(run, "region int, chunk long, " + ", ".join(f"{c} binary" for c in _PARTS))
+
+
+def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sums of their counts (64 bits), each key's place among the distinct ones, and the first key of each chunk."""
+    found = [np.frombuffer(k, "<u8") for k in keys]
+    sizes = [len(k) for k in found]
+    n = [np.frombuffer(c, "<u4" if len(c) == 4 * size else "<u8").astype(np.int64) for c, size in zip(counts, sizes, strict=True)]
+    every, n = np.concatenate(found), np.concatenate(n)
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], n[order]
+    first = _firsts(every)
+    back = np.empty(len(every), np.int64)
+    back[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(every)))
+    return every[first], np.add.reduceat(n, first) if len(first) else n, back, np.cumsum([0, *sizes])
+
+
+def answered(asks: DataFrame, base: float, probes: int, bits_per_entry: float) -> DataFrame:
+    """The regions' answers to each chunk, and on one row of a region the sums of its words: training tokens and distinct words."""
+
+    def answer(asks: pa.Table) -> pa.Table:
+        columns = {c: asks.column(c).to_pylist() for c in _PARTS}
+        words, n, word_back, word_cut = _summed(columns["words"], columns["word_counts"])
+        pairs, m, pair_back, pair_cut = _summed(columns["pairs"], columns["pair_counts"])
+        word_levels, pair_levels = levels_of(n, base), levels_of(m, base)
+        region = Region(int(word_levels.sum() + pair_levels.sum()), bits_per_entry, probes)
+        for keys, levels in ((words, word_levels), (pairs, pair_levels)):
+            some = levels > 0
+            region.insert(keys[some], levels[some])
+        exact, word_levels, pair_levels = n[word_back].astype("<i8"), region.levels(words)[word_back], region.levels(pairs)[pair_back]
+        rows = range(asks.num_rows)
+        cut = lambda x, at: pa.array([x[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())
+        once = lambda x: pa.array([int(x) if i == 0 else 0 for i in rows], pa.int64())
+        parts = {"region": asks.column("region"), "chunk": asks.column("chunk"), "exact": cut(exact, word_cut), "word_levels": cut(word_levels, word_cut), "pair_levels": cut(pair_levels, pair_cut)}
+        return pa.table(parts | {"tokens": once(n.sum()), "distinct": once((n > 0).sum())})
+
+    return asks.groupBy("region").applyInArrow(answer, "region int, chunk long, exact binary, word_levels binary, pair_levels binary, tokens long, distinct long")
+
+
+def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", prior: float = 100.0, base: float = 1.5, probes: int = 6, bits_per_entry: float = 12,
+          region_tokens: int = REGION) -> DataFrame:
     """(``id_col``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``) of each row; ``train`` is the condition for training rows."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    counts, _ = keep(count_words(rows), "words")
-    is_word = "(substring(word, 1, 1) <> X'20' or length(word) = 1)"
-    words = counts.where(is_word)
-    total, distinct, tokens = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+    chunks, _ = keep(coded_chunks(rows), "chunks")
+    tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
+    answers, _ = keep(answered(asked(chunks, max(64, -(-tokens // region_tokens))), base, probes, bits_per_entry), "answers")
+    total, distinct = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     divisor = total + 0.1 * (distinct + 1)
-
-    # the least count of a word that is broadcast: as low as the limit allows
-    least, held = None, 0
-    for low, n, _ in reversed(_of_counts(words, "n")):
-        held += n
-        if held > heavy_limit:
-            break
-        least = low
-    frequent = words.where(F.col("n") >= least) if least is not None else words.limit(0)
-    heavy = spark.sparkContext.broadcast({bytes(r["word"]): r["n_train"] for r in frequent.select("word", "n_train").toLocalIterator()})
-    found, _ = build_filter(rows, counts, tokens, base, probes, bits_per_entry, max_filter_bytes, min_pair)
-    shared = spark.sparkContext.broadcast((found.regions, found.bits, found.data))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regions, bits, data = shared.value
-        model, exact = Filter(regions, bits, base, probes, data), heavy.value
-        probed: dict[bytes, float] = {}  # the filter's counts of frequent words, which every batch has
-        for b in _chunks(batches, 2):
-            tokens, flat, starts = _coded(b.column(2).to_pylist())
-            exactly = np.fromiter(map(exact.get, tokens, repeat(-1)), np.float64, len(tokens))
-            term = np.where(exactly >= 0, np.log10((np.maximum(exactly, 0) + 0.1) / divisor), 0.0)
-            sums = np.add.reduceat(term[flat], starts[:-1])
-            known = np.add.reduceat((exactly > 0)[flat].astype(np.int64), starts[:-1])
-
-            hashes = _word_hashes(tokens)
-            one = np.fromiter(map(probed.get, tokens, repeat(-1.0)), np.float64, len(tokens))
-            new = np.flatnonzero(one < 0)
-            one[new] = model.counts(single(hashes[new]))
-            again = new[exactly[new] >= 0]
-            probed.update(zip(map(tokens.__getitem__, again.tolist()), one[again].tolist(), strict=True))
-            h, t = flat[:-1], flat[1:]
-            both = np.zeros(len(flat))  # of each token, with the one before
-            if len(h):
-                some = np.flatnonzero((one[h] >= 1) & (one[t] >= 1))
-                a, c = h[some], t[some]
-                both[1:][some] = np.minimum(model.counts(pair(hashes[a], hashes[c])), np.minimum(one[a], one[c]))
-                history = np.concatenate([[0.0], one[h]])
-            else:
-                history = np.zeros(len(flat))
-            both[starts[:-1]] = history[starts[:-1]] = 0.0  # the first token of a text has no history
-            w = np.where(history > 0, weight, 0.0)
-            p = w * both / np.maximum(history, 1) + (1 - w) * (one[flat] + 0.1) / divisor
-            scores = np.add.reduceat(np.log10(p), starts[:-1])
-
-            tail = np.flatnonzero(exactly[flat] < 0)
-            offsets = pa.array(np.searchsorted(tail, starts).astype(np.int32))
-            rest = pa.ListArray.from_arrays(offsets, pa.array(list(map(tokens.__getitem__, flat[tail].tolist())), pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(starts)), pa.array(known), pa.array(sums), pa.array(scores), rest], names=["row", "id", "n_tokens", "known", "base", "score", "rest"])
-
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    scored, _ = keep(numbered.mapInArrow(run, f"row long, id {kind}, n_tokens long, known long, base double, score double, rest array<binary>"), "scored")
-    rest = scored.select("row", F.explode("rest").alias("word"))
-    rare = words.select("word", "n_train")
-    if least is not None:
-        rare = words.where(F.col("n") < least).select("word", "n_train")
-    term = F.log10((F.col("n_train") + 0.1) / divisor)
-    rest = rest.join(rare, "word").groupBy("row").agg(F.sum(term).alias("more"), F.count_if(F.col("n_train") > 0).alias("more_known"))
-    out = scored.drop("rest").join(rest, "row", "left")
-    return out.select(F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-                      (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    middle = np.array([count_of(level, base) for level in range(256)])
+
+    def mark(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, right = left.drop_columns(["ids"]).to_pylist()[0], right.sort_by("region")
+        joined = lambda c, kind: np.frombuffer(b"".join(right.column(c).to_pylist()), kind)
+        chunk = Chunk(row)
+        exact, known = np.empty(len(chunk.hashes)), np.empty(len(chunk.hashes))
+        exact[chunk.order], known[chunk.order] = joined("exact", "<i8"), middle[joined("word_levels", np.uint8)]
+        flat, starts = chunk.flat, chunk.starts[:-1]
+        p = (known[flat] + 0.1) / divisor
+        keys = chunk.pair_keys()
+        distinct_keys, back = np.unique(keys, return_inverse=True)
+        assert len(distinct_keys) == len(levels := joined("pair_levels", np.uint8))
+        h, t = known[flat[chunk.second - 1]], known[flat[chunk.second]]
+        both = np.minimum(middle[levels][back], np.minimum(h, t))
+        p[chunk.second] = np.where(h > 0, (both + prior * p[chunk.second]) / (h + prior), p[chunk.second])
+        sums = lambda x: np.add.reduceat(x, starts)
+        out = {"id": left.column("ids").combine_chunks().flatten(), "n_tokens": np.diff(chunk.starts), "n_known": sums((exact > 0)[flat].astype(np.int64)),
+               "base_score": sums(np.log10((exact + 0.1) / divisor)[flat]), "score": sums(np.log10(p))}
+        return pa.table(out)
+
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double").fields])
+    asks = answers.select("chunk", "region", "exact", "word_levels", "pair_levels")
+    out = chunks.drop("n_tokens").groupBy("chunk").cogroup(asks.groupBy("chunk")).applyInArrow(mark, schema)
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

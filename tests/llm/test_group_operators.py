@@ -103,31 +103,68 @@ def test_quantisation_bound_holds():
     assert (np.abs(near - exact) <= ea[:, None] * (1 + eb) + eb).all()
 
 
-def test_language_model(spark):
+def plain_scores(texts, learn, prior=100.0, base=1.5):
+    """(n_tokens, n_known, base score, model score) of each text from whole counts, quantised but not hashed."""
+    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), None] for t in texts]
+    one = collections.Counter(w for t, ok in zip(tokens, learn, strict=True) if ok for w in t)
+    two = collections.Counter(p for t, ok in zip(tokens, learn, strict=True) if ok for p in itertools.pairwise(t))
+    n, v = sum(one.values()), len(one)
+    def middle(c):
+        if not c:
+            return 0.0
+        level = next(k for k in itertools.count(1) if base**k > c + 1e-6)
+        low, high = math.ceil(base ** (level - 1)), math.ceil(base**level) - 1
+        return (low + max(low, high)) / 2
+    out = []
+    for t in tokens:
+        model = 0.0
+        for h, w in zip([0, *t], t, strict=False):
+            p = (middle(one[w]) + 0.1) / (n + 0.1 * (v + 1))
+            if one[h]:
+                p = (min(middle(two[h, w]), middle(one[h]), middle(one[w])) + prior * p) / (middle(one[h]) + prior)
+            model += math.log10(p)
+        out.append((len(t), sum(one[w] > 0 for w in t), sum(math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), model))
+    return n, out
+
+
+@pytest.mark.parametrize(("chunk", "region"), [(2_000_000, 2_000_000), (50, 20)])
+def test_language_model(spark, monkeypatch, chunk, region):
+    monkeypatch.setattr(lm_score, "CHUNK", chunk)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(40)]
-    rows = [(i, " ".join(rng.choices(words, range(1, 41), k=rng.randrange(30)))) for i in range(120)] + [(None, "w1 q"), (130, None), (131, ""), (5, "A b\tA"), (20, "é unseen")]
-    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), None]
-    c = collections.Counter(w for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10 for w in tokens(t))
-    n, v = sum(c.values()), len(c)
-    want = sorted((str(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 6)) for i, t in rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for limit in (5, 100_000):
-        got = lm_score.score(df, langid.remainder("doc_id", 10) != 0, heavy_limit=limit).collect()
-        assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-        assert all(r["score"] < 0 for r in got)
+    rows = [(i, " ".join(rng.choices(words, range(1, 41), k=rng.randrange(30)))) for i in range(120)] + [(None, "w1 q"), (130, None), (131, ""), (5, "A b\tA"), (20, "é unseen"), (7, "x " * 5000)]
+    n, plain = plain_scores([t for _, t in rows], [i is not None and zlib.crc32(str(i).encode()) % 10 > 0 for i, _ in rows])
+    want = sorted((str(i), *x[:2], n, round(x[2], 6), round(x[3], 6)) for (i, _), x in zip(rows, plain, strict=True))
+    extra = [F.lit(1).alias(c) for c in ("id", "train", "chunk", "words", "score", "n_tokens")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *extra)
+    got = lm_score.score(df, langid.remainder("doc_id", 10) != 0, bits_per_entry=200, region_tokens=region).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
     assert lm_score.score(df.limit(0), F.lit(True)).collect() == []
+    alone = {r["doc_id"]: (r["n_known"], r["train_tokens"]) for r in lm_score.score(df, F.lit(False)).collect()}
+    assert set(alone.values()) == {(0, 0)}
 
 
 def test_log_frequency_filter():
     rng = np.random.default_rng(6)
     grams, counts = rng.integers(0, 2**63, 4000, dtype=np.uint64), rng.geometric(0.1, 4000)
-    f = lm_score.Filter(1, 512 * 400, 1.5, 6)
-    f.insert(f.key(grams), lm_score._levels(counts, 1.5))
-    got = f.counts(grams)
-    want = np.array([lm_score._count_of(int(x), 1.5) for x in lm_score._levels(counts, 1.5)])
-    assert (got >= want).all() and (got == want).mean() > 0.97  # never under, seldom over
-    assert (f.counts(rng.integers(0, 2**63, 4000, dtype=np.uint64)) > 0).mean() < 0.05
+    counts[:3] = 2**32 + 3, 2**40, 2**55
+    levels = lm_score.levels_of(counts, 1.5)
+    f = lm_score.Region(int(levels.sum()), 12, 6)
+    f.insert(grams, levels)
+    got = f.levels(grams)
+    assert (got >= levels).all() and (got == levels).mean() > 0.97  # never under, seldom over
+    assert (f.levels(rng.integers(0, 2**63, 4000, dtype=np.uint64)) > 0).mean() < 0.05
+    assert lm_score.count_of(int(lm_score.levels_of(np.array([2**32 + 3]), 1.5)[0]), 1.5) == pytest.approx(2**32, rel=0.25)
+    full = lm_score.Region(1, 12, 6)
+    full.data[:] = 255
+    full.insert(grams[:1], levels[:1])
+    assert (full.levels(grams) == full.top).all()  # ends whatever it holds
+
+
+def test_counts_of_64_bits_are_summed():
+    keys, counts = np.array([5, 9], "<u8"), np.array([2**32 + 3, 1], "<u8")
+    found, n, back, cut = lm_score._summed([keys.tobytes(), keys[:1].tobytes()], [counts.tobytes(), np.array([4], "<u4").tobytes()])
+    assert found.tolist() == [5, 9] and n.tolist() == [2**32 + 7, 1] and back.tolist() == [0, 1, 0] and cut.tolist() == [0, 2, 3]
 
 
 @pytest.fixture(scope="module")

@@ -14,6 +14,7 @@ import pytest
 import xxhash
 
 from cohortlens.llm import queries
+from tests.llm.test_group_operators import plain_scores
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,6 +76,10 @@ def test_language_model(spark, docs):
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
     held = [got[i] for i in out if out[i]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    _, plain = plain_scores([d["text"] for d in docs], [not out[d["doc_id"]] for d in docs])
+    # 12 bits an entry give some half percent of false probes, each of which changes one token by a level
+    off = [abs(got[d["doc_id"]]["score"] - x[3]) / x[0] for d, x in zip(docs, plain, strict=True)]
+    assert max(off) < 0.1 and sum(off) / len(off) < 0.01
 
 
 def test_personal_data(spark, docs):
