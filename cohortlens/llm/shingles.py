@@ -1,19 +1,8 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, with a prefix index.
+"""Sets of word shingles and the exact check of candidate pairs by their Jaccard similarity.
 
-A text's shingles are put into one order that holds for all texts (shingles that a sample
-shows in several texts come last, by how often; the others by hash).  Two sets with a
-similarity of 4/5 or more share a shingle among the first fifth of each, whatever the order,
-so only these are indexed and no pair is missed; the sample decides about costs alone.  Pairs
-that meet are left out where sizes or places rule the similarity out; all others are
-verified by intersecting the whole sets.  Equal sets are one class beforehand.
-
-Keys with more than ``small`` classes first try their classes against one of them; pairs
-of classes that are connected by then need no comparison, all others are compared in blocks.
-
-Shingles and sets are told apart by 64-bit hashes.  Edge cases: texts without words (or
-null) are one class; a text with fewer words than a shingle is one shingle; texts of any
-length are read whole; rows with a null id keep their class but don't give it its id;
-repeated rows stay; an empty table gives no rows.
+Shingles and sets are told apart by 64-bit hashes.  A text without words (or null) has the
+empty set; one with fewer words than a shingle is one shingle; texts of any length are read
+whole.
 """
 
 from __future__ import annotations
@@ -21,22 +10,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import keep, shuffle_partitions, with_id
-from cohortlens.llm.components import connected_components
+from cohortlens.llm.common import keep
 
 U = np.uint64
-#: Texts in the sample that finds frequent shingles (at least; one in 64 of large tables), and frequent shingles that are broadcast.
-_SAMPLE, _FREQUENT = 10_000, 500_000
 #: Bits of the broadcast filter of classes to be verified, and classes that a task remembers.
 _WANTED, _HELD = 26, 200_000
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
     return x ^ (x >> U(31))
@@ -53,172 +38,29 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     n, size = max(1, len(words) - shingle + 1), min(shingle, len(words))
     out = np.zeros(n, U)
     for i in range(size):
-        out = _mix(out * U(0xC2B2AE3D27D4EB4F) + hashes[i : i + n])
+        out = mix(out * U(0xC2B2AE3D27D4EB4F) + hashes[i : i + n])
     return np.unique(out)
 
 
 def class_of(found: np.ndarray) -> int:
+    """The 64-bit name of a set."""
     from xxhash import xxh3_64_intdigest
 
     return int(np.uint64(xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
-def prefix(found: np.ndarray, hot: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The first fifth of a set (rounded down, and one more): frequent shingles come last."""
-    n = len(found) // 5 + 1
-    at = np.minimum(np.searchsorted(hot, found), max(0, len(hot) - 1))
-    rank = np.where(hot[at] == found, times[at], 0) if len(hot) else np.zeros(len(found), np.int64)
-    return found[np.lexsort((found, rank))[:n]]
-
-
-def can_reach(size_a, at_a, size_b, at_b):
-    """Whether sets whose first common shingle is at these places can have a similarity of 4/5."""
-    return 9 * np.minimum(size_a - at_a, size_b - at_b) >= 4 * (size_a + size_b)
-
-
-def histogram(found: np.ndarray) -> bytes:
-    """How many of a set's hashes end in each byte."""
-    return np.bincount((found & U(255)).astype(np.int64), minlength=256).astype("<u2" if len(found) < 1 << 16 else "<u4").tobytes()
-
-
-def may_overlap(a: bytes, b: bytes) -> bool:
-    """Whether sets with these histograms can have a similarity of 4/5: they share no more than the smaller of each count."""
-    a, b = (np.frombuffer(x, "<u2" if len(x) == 512 else "<u4").astype(np.int64) for x in (a, b))
-    return bool(9 * np.minimum(a, b).sum() >= 4 * (a.sum() + b.sum()))
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-
-
-def _frequent(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles in three texts of a sample or more, and in how many."""
-    every = max(1, min(64, source.count() // _SAMPLE))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle).view(np.int64))], names=["h"])
-
-    # by text: equal texts are one in all that follows
-    some = source.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
-    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "h").limit(_FREQUENT)
-    rows = counts.toPandas()
-    hot, times = rows["h"].to_numpy(np.int64).view(U), rows["n"].to_numpy(np.int64)
-    order = np.argsort(hot)
-    return hot[order], times[order]
-
-
-def _small_pairs(small: int):
-    """Reads (key, class, size, place) sorted by key and class; yields pairs (u, v, nulls), and of larger keys stars and their entries (nulls, entry)."""
-    names = ["u", "v", "key", "cls", "size", "at"]
-
-    def out(u, v, rest=None) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        if rest is None:
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *[pa.nulls(len(u), k) for k in kinds]], names=names)
-        n = len(rest[0])
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *[pa.array(x, k) for x, k in zip(rest, kinds, strict=True)]], names=names)
-
-    def star(hub, x) -> Iterator[pa.RecordBatch]:
-        _, cls, size, at = x
-        hit = can_reach(np.int64(hub[2]), np.int64(hub[3]), size.astype(np.int64), at.astype(np.int64)) & (cls != hub[1])
-        yield out(np.full(int(hit.sum()), hub[1]), cls[hit])
-        yield out(None, None, x)
-
-    def solve(x) -> Iterator[pa.RecordBatch]:
-        key, cls, size, at = x
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        length = np.diff(first, append=len(key))
-        run, few = np.repeat(np.arange(len(first)), length), np.repeat(length <= small, length)
-        for d in range(1, small):
-            i = np.flatnonzero((run[d:] == run[:-d]) & few[d:]) if len(run) > d else np.empty(0, np.int64)
-            if not len(i):
-                break
-            j = i + d
-            hit = can_reach(size[i].astype(np.int64), at[i].astype(np.int64), size[j].astype(np.int64), at[j].astype(np.int64))
-            yield out(cls[i[hit]], cls[j[hit]])
-        for s, n in zip(first[length > small], length[length > small], strict=True):
-            part = [c[s : s + n] for c in x]
-            yield from star([c[0] for c in part], part)
+def sets_of(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(``cls``, ``grams``) of each class in ``wanted`` (column ``cls``), from a pass over (``text``); some others may come too.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hub, last = None, None, None
-        for b in batches:
-            x = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if held is not None:
-                x = [np.concatenate([h, c]) for h, c in zip(held, x, strict=True)]
-            if not len(x[0]):
-                continue
-            again = np.concatenate([[(x[0][0], x[1][0]) == last], (x[0][1:] == x[0][:-1]) & (x[1][1:] == x[1][:-1])])
-            x = [c[~again] for c in x]  # a class that several tasks have met
-            held = None
-            if not len(x[0]):
-                continue
-            if hub is not None:  # the key goes on: pass its entries on as they come
-                n = int(np.argmin(np.append(x[0] == hub[0], False)))
-                if n:
-                    yield from star(hub, [c[:n] for c in x])
-                    last = (x[0][n - 1], x[1][n - 1])
-                x = [c[n:] for c in x]
-                if not len(x[0]):
-                    continue
-                hub = None
-            start = int(np.searchsorted(x[0], x[0][-1]))
-            if start:
-                yield from solve([c[:start] for c in x])
-            held, last = [c[start:] for c in x], None
-            if len(held[0]) > 50_000:
-                hub, last = [c[0] for c in held], (held[0][-1], held[1][-1])
-                yield from star(hub, held)
-                held = None
-        if held is not None and len(held[0]):
-            yield from solve(held)
-
-    return run
-
-
-def _rest_pairs(entries: DataFrame, roots: DataFrame, block: int = 2048) -> DataFrame:
-    """Pairs of unconnected classes of one key from its entries: blocks of a key meet in pairs."""
-    placed = entries.join(roots, entries["cls"] == roots["node"], "left").select("key", "cls", "size", "at", F.coalesce("root", "cls").alias("root"))
-    sizes = placed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", "n")
-    dealt = placed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("cls"), "n").cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("key", "cls", "size", "at", "root", "own", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, i, j = pdf["own"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
-        cls, root, size, at = (pdf[c].to_numpy(np.int64) for c in ("cls", "root", "size", "at"))
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        us, vs = [], []
-        for x in left:
-            hit = right[can_reach(size[x], at[x], size[right], at[right]) & (root[right] != root[x])]
-            hit = hit[cls[hit] > cls[x]] if i == j else hit
-            us.append(np.full(len(hit), cls[x]))
-            vs.append(cls[hit])
-        u, v = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (us, vs))
-        return pd.DataFrame({"u": u, "v": v})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(meet, "u long, v long")
-
-
-def _verified(source: DataFrame, bins: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs with a similarity of 4/5 or more."""
-    spark = source.sparkSession
-    pairs, _ = keep(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "met_pairs")
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit = [may_overlap(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3)], names=["u", "v", "a", "b"]).filter(pa.array(hit, pa.bool_())).select(["u", "v"])
-
-    both = pairs.join(bins.select(F.col("cls").alias("u"), F.col("bins").alias("a")), "u").join(bins.select(F.col("cls").alias("v"), F.col("bins").alias("b")), "v")
-    pairs, _ = keep(both.select("u", "v", "a", "b").mapInArrow(possible, "u long, v long"), "pairs")
-    asked = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).select(F.col("cls").bitwiseAND((1 << _WANTED) - 1).alias("bit")).distinct()
-    parts = asked.groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
-    wanted = np.zeros(1 << (_WANTED - 3), np.uint8)
+    A filter of 8 MB says which classes are wanted, at any number of them.
+    """
+    spark = texts.sparkSession
+    bit = F.col("cls").bitwiseAND((1 << _WANTED) - 1)
+    parts = wanted.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    held = np.zeros(1 << (_WANTED - 3), np.uint8)
     for r in parts.toLocalIterator():
-        wanted[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(wanted)
+        held[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
@@ -226,56 +68,18 @@ def _verified(source: DataFrame, bins: DataFrame, pairs: DataFrame, shingle: int
             for t in b.column(0):
                 found = shingle_set(t.as_py(), shingle)
                 cls = class_of(found)
-                bit = cls & ((1 << _WANTED) - 1)
-                if bits[bit >> 3] >> (bit & 7) & 1 and cls not in seen:
+                at = cls & ((1 << _WANTED) - 1)
+                if bits[at >> 3] >> (at & 7) & 1 and cls not in seen:
                     seen = set() if len(seen) > _HELD else seen
                     seen.add(cls)
-                    kind = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array([cls], pa.int64()), kind], names=["cls", "grams"])
-
-    sets, _ = keep(source.select("text").mapInArrow(run, "cls long, grams array<long>").dropDuplicates(["cls"]), "sets")
-    both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("cls").alias("v"), F.col("grams").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    links, _ = keep(both.where(9 * common >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "links")
-    return links
+                    grams = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([cls], pa.int64()), grams], names=["cls", "grams"])
 
+    return texts.select("text").mapInArrow(run, "cls long, grams array<long>").dropDuplicates(["cls"])
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, small: int = 16) -> DataFrame:
-    """(``id_col``, ``component_id``) of each row; the component's id is the smallest id reachable by links of similarity 4/5 or more."""
-    spark = docs.sparkSession
-    source = _texts(docs, id_col, text_col)
-    shared = spark.sparkContext.broadcast(_frequent(source, shingle))
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_of(x) for x in sets], pa.int64()), pa.array([histogram(x) for x in sets], pa.binary())], names=["id", "cls", "bins"])
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hot, times), seen = shared.value, set()
-        for b in batches:
-            for t in b.column(0):
-                found = shingle_set(t.as_py(), shingle)
-                cls = class_of(found)
-                if not len(found) or cls in seen:
-                    continue
-                seen = set() if len(seen) > _HELD else seen
-                seen.add(cls)
-                keys = prefix(found, hot, times).view(np.int64)
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(n, cls, np.int64)), pa.array(np.full(n, len(found), np.int32)), pa.array(np.arange(n, dtype=np.int32))], names=["key", "cls", "size", "at"])
-
-    prints, _ = keep(source.mapInArrow(describe, with_id(source, "cls long, bins binary")), "prints")
-    bins = prints.groupBy("cls").agg(F.first("bins").alias("bins"))
-    entries = source.select("text").mapInArrow(index, "key long, cls long, size int, at int")
-    spread = entries.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "cls")
-    met, _ = keep(spread.mapInArrow(_small_pairs(small), "u long, v long, key long, cls long, size int, at int"), "met")
-    links = _verified(source, bins, met.where("u is not null").select("u", "v"), shingle)
-    rest = met.where("u is null").select("key", "cls", "size", "at")
-    if not rest.isEmpty():
-        links = links.union(_verified(source, bins, _rest_pairs(rest, connected_components(links)), shingle))
-    roots = connected_components(links)
-    classes = prints.groupBy("cls").agg(F.min("id").alias("least"))
-    placed, _ = keep(classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root")), "classes")
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("id", "cls").join(placed.join(named, "root").select("cls", "component_id"), "cls").select(F.col("id").alias(id_col), "component_id")
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (``u``, ``v``) of classes whose sets have a Jaccard similarity of 4/5 or more."""
+    both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("cls").alias("v"), F.col("grams").alias("b")), "v")
+    # |a n b| / |a u b| >= 4/5, as whole numbers
+    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
