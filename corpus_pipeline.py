@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontam, langid, pii, shingles, sp_sampling
+from cohortlens.llm import decontam, langid, pii, simhash, sp_sampling
 from cohortlens.llm.common import keep, table
 from cohortlens.llm.queries import PIECES
 
@@ -26,13 +26,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (a Jaccard similarity of 0.8 or more of words in fives) the first document stays."""
-    # numbered in a written table: the number, unlike the id, tells repeated rows apart
-    order = F.struct(F.col("doc_id"), F.monotonically_increasing_id().alias("n"))
-    numbered, _ = keep(docs.withColumn("_row", order), "numbered")
-    groups = shingles.near_duplicates(numbered, id_col="_row", shingle=5)
-    first = groups.where(F.col("_row.n") == F.col("component_id.n")).select(F.col("_row.n").alias("_n"))
-    return numbered.withColumn("_n", F.col("_row.n")).join(first, "_n", "left_semi").select(*docs.columns)
+    """Of each group of near copies (a Jaccard similarity of 0.8 or more of words in fives) one document stays, the one with the smallest id.
+
+    Candidates come from SimHashes and are checked exactly (:func:`simhash.near_copies`).
+    Documents without an id stay only if none of their group has one; of rows with equal ids
+    and texts one stays; texts without words are one group.
+    """
+    prints = F.xxhash64(F.lit(1), "doc_id", "text"), F.xxhash64(F.lit(2), "text", "doc_id")  # both together tell rows apart
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), prints[0].alias("a"), prints[1].alias("b")).alias("row"), F.col("text").alias("text"))
+    groups = simhash.near_copies(named, id_col="row", shingle=5)
+    first = groups.where(F.col("row") == F.col("component_id")).select("row.a", "row.b").distinct()
+    rows = docs.select(F.struct("*").alias("row"), prints[0].alias("a"), prints[1].alias("b"))
+    return rows.join(first, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
