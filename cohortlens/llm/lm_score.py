@@ -45,7 +45,7 @@ from cohortlens.llm.common import keep
 END = b" "  # no word holds a space
 U = np.uint64
 #: Tokens of a chunk (or one text, if that has more), its distinct words, and tokens of a region at most.
-CHUNK, WORDS, REGION = 2_000_000, 600_000, 2_000_000
+CHUNK, WORDS, REGION = 1_000_000, 300_000, 2_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,6 +68,16 @@ def pair(h: np.ndarray, t: np.ndarray) -> np.ndarray:
     return _mix(h * U(0xC2B2AE3D27D4EB4F) + _mix(t))
 
 
+def packed(x: np.ndarray, kind: str) -> bytes:
+    """Numbers as planes of bytes: of small ones, all but the first planes are zeros and cost nothing once compressed."""
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes()
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
+
+
 def levels_of(counts: np.ndarray, base: float) -> np.ndarray:
     """The level of each count; 0 of none."""
     return np.where(counts > 0, 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(base) + 1e-9), 0).astype(np.int64)
@@ -123,11 +133,11 @@ class Region:
 
 def _chunk_schema(source: DataFrame) -> T.StructType:
     kind = T.ArrayType(source.schema["id"].dataType)
-    return T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", kind), *T.StructType.fromDDL("train binary, starts binary, flat binary, words binary, n_tokens long").fields])
+    return T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", kind), *T.StructType.fromDDL("train binary, sizes binary, flat binary, words binary, n_tokens long").fields])
 
 
 def coded_chunks(rows: DataFrame) -> DataFrame:
-    """Texts of (``id``, ``text`` binary, ``train``) in chunks: ids, training flags, where each text begins, tokens as places in the chunk's words, hashes of the words."""
+    """Texts of (``id``, ``text`` binary, ``train``) in chunks: ids, training flags, tokens of each text, tokens as places in the chunk's words, hashes of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
@@ -138,10 +148,10 @@ def coded_chunks(rows: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal at
-            blobs = (np.array(train, np.uint8), np.array(starts, "<i8"), np.concatenate(flat), _word_hashes(list(place)).astype("<u8"))
+            blobs = (bytes(train), packed(np.diff(starts), "<u8"), packed(np.concatenate(flat), "<u4"), _word_hashes(list(place)).astype("<u8").tobytes())
             chosen = pa.concat_arrays(ids)
             listed = pa.ListArray.from_arrays(pa.array([0, len(chosen)], pa.int32()), chosen)
-            out = [pa.array([at], pa.int64()), listed, *[pa.array([x.tobytes()], pa.binary()) for x in blobs], pa.array([starts[-1]], pa.int64())]
+            out = [pa.array([at], pa.int64()), listed, *[pa.array([x], pa.binary()) for x in blobs], pa.array([starts[-1]], pa.int64())]
             at += 1
             place.clear()
             place.default_factory = count().__next__
@@ -149,7 +159,7 @@ def coded_chunks(rows: DataFrame) -> DataFrame:
             for held in (flat, ids, train):
                 held.clear()
             starts[:] = [0]
-            return pa.RecordBatch.from_arrays(out, names=["chunk", "ids", "train", "starts", "flat", "words", "n_tokens"])
+            return pa.RecordBatch.from_arrays(out, names=["chunk", "ids", "train", "sizes", "flat", "words", "n_tokens"])
 
         for b in batches:
             first = 0
@@ -177,14 +187,16 @@ class Chunk:
     """A coded chunk; n-grams in the order in which they go to the regions and answers come back."""
 
     def __init__(self, row: dict) -> None:
-        self.train, self.starts, self.flat, self.hashes = (np.frombuffer(row[c], kind) for c, kind in (("train", np.uint8), ("starts", "<i8"), ("flat", "<u4"), ("words", "<u8")))
+        self.train, self.hashes = np.frombuffer(row["train"], np.uint8), np.frombuffer(row["words"], "<u8")
+        self.sizes, self.flat = unpacked(row["sizes"], "<u8").astype(np.int64), unpacked(row["flat"], "<u4")
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         keys = single(self.hashes)
         self.order = np.argsort(keys, kind="stable")  # sorted keys are sorted by region too
         self.words = keys[self.order]
         inside = np.ones(max(0, len(self.flat) - 1), bool)
         inside[self.starts[1:-1] - 1] = False
         self.second = np.flatnonzero(inside) + 1  # the tokens that follow another one
-        self.learnt = np.repeat(self.train, np.diff(self.starts)).astype(bool)
+        self.learnt = np.repeat(self.train, self.sizes).astype(bool)
 
     def pair_keys(self) -> np.ndarray:
         """Keys of the pairs that end in ``second``; the last bit is 0."""
@@ -218,28 +230,28 @@ def asked(chunks: DataFrame, regions: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):  # one at a time: a row is a whole chunk
+                row = b.slice(i, 1).to_pylist()[0]
                 chunk = Chunk(row)
                 parts, cuts = [], []
                 for keys, counts in ((chunk.words, chunk.word_counts()), chunk.pairs()):
                     cuts.append(np.searchsorted(region_of(keys, regions), np.arange(regions + 1)))
-                    parts.append((keys.astype("<u8"), counts.astype("<u8" if counts.max(initial=0) >> 32 else "<u4")))
+                    parts += [(keys, cuts[-1], True), (counts, cuts[-1], False)]
                 some = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
-                columns = [[x[cut[r] : cut[r + 1]].tobytes() for r in some] for part, cut in zip(parts, cuts, strict=True) for x in part]
+                columns = [[packed(np.diff(x[cut[r] : cut[r + 1]], prepend=x[:1] * 0) if steps else x[cut[r] : cut[r + 1]], "<u8") for r in some] for x, cut, steps in parts]
                 for s in range(0, len(some), 512):
                     part = [pa.array(some[s : s + 512], pa.int32()), pa.array(np.full(len(some[s : s + 512]), row["chunk"])), *[pa.array(c[s : s + 512], pa.binary()) for c in columns]]
                     yield pa.RecordBatch.from_arrays(part, names=["region", "chunk", *_PARTS])
 
-    source = chunks.select("chunk", "train", "starts", "flat", "words")
+    source = chunks.select("chunk", "train", "sizes", "flat", "words")
     return source.mapInArrow(run, "region int, chunk long, " + ", ".join(f"{c} binary" for c in _PARTS))
 
 
 def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the sums of their counts (64 bits), each key's place among the distinct ones, and the first key of each chunk."""
-    found = [np.frombuffer(k, "<u8") for k in keys]
-    sizes = [len(k) for k in found]
-    n = [np.frombuffer(c, "<u4" if len(c) == 4 * size else "<u8").astype(np.int64) for c, size in zip(counts, sizes, strict=True)]
-    every, n = np.concatenate(found), np.concatenate(n)
+    """From sorted keys as steps, and counts: distinct keys, the sums of their counts (64 bits), each key's place among the distinct ones, and the first key of each chunk."""
+    sizes = [len(k) // 8 for k in keys]
+    every = np.concatenate([np.cumsum(unpacked(k, "<u8"), dtype=U) for k in keys])
+    n = np.concatenate([unpacked(c, "<u8") for c in counts]).astype(np.int64)
     order = np.argsort(every, kind="stable")
     every, n = every[order], n[order]
     first = _firsts(every)
@@ -260,11 +272,11 @@ def answered(asks: DataFrame, base: float, probes: int, bits_per_entry: float) -
         for keys, levels in ((words, word_levels), (pairs, pair_levels)):
             some = levels > 0
             region.insert(keys[some], levels[some])
-        exact, word_levels, pair_levels = n[word_back].astype("<i8"), region.levels(words)[word_back], region.levels(pairs)[pair_back]
+        exact, word_levels, pair_levels = n[word_back], region.levels(words)[word_back], region.levels(pairs)[pair_back]
         rows = range(asks.num_rows)
-        cut = lambda x, at: pa.array([x[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())
+        cut = lambda x, at, kind: pa.array([packed(x[at[i] : at[i + 1]], kind) for i in rows], pa.binary())
         once = lambda x: pa.array([int(x) if i == 0 else 0 for i in rows], pa.int64())
-        parts = {"region": asks.column("region"), "chunk": asks.column("chunk"), "exact": cut(exact, word_cut), "word_levels": cut(word_levels, word_cut), "pair_levels": cut(pair_levels, pair_cut)}
+        parts = {"region": asks.column("region"), "chunk": asks.column("chunk"), "exact": cut(exact, word_cut, "<u8"), "word_levels": cut(word_levels, word_cut, "u1"), "pair_levels": cut(pair_levels, pair_cut, "u1")}
         return pa.table(parts | {"tokens": once(n.sum()), "distinct": once((n > 0).sum())})
 
     return asks.groupBy("region").applyInArrow(answer, "region int, chunk long, exact binary, word_levels binary, pair_levels binary, tokens long, distinct long")
@@ -283,20 +295,20 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         row, right = left.drop_columns(["ids"]).to_pylist()[0], right.sort_by("region")
-        joined = lambda c, kind: np.frombuffer(b"".join(right.column(c).to_pylist()), kind)
+        joined = lambda c, kind: np.concatenate([unpacked(x.as_py(), kind) for x in right.column(c)])
         chunk = Chunk(row)
         exact, known = np.empty(len(chunk.hashes)), np.empty(len(chunk.hashes))
-        exact[chunk.order], known[chunk.order] = joined("exact", "<i8"), middle[joined("word_levels", np.uint8)]
+        exact[chunk.order], known[chunk.order] = joined("exact", "<u8"), middle[joined("word_levels", "u1")]
         flat, starts = chunk.flat, chunk.starts[:-1]
         p = (known[flat] + 0.1) / divisor
         keys = chunk.pair_keys()
         distinct_keys, back = np.unique(keys, return_inverse=True)
-        assert len(distinct_keys) == len(levels := joined("pair_levels", np.uint8))
+        assert len(distinct_keys) == len(levels := joined("pair_levels", "u1"))
         h, t = known[flat[chunk.second - 1]], known[flat[chunk.second]]
         both = np.minimum(middle[levels][back], np.minimum(h, t))
         p[chunk.second] = np.where(h > 0, (both + prior * p[chunk.second]) / (h + prior), p[chunk.second])
         sums = lambda x: np.add.reduceat(x, starts)
-        out = {"id": left.column("ids").combine_chunks().flatten(), "n_tokens": np.diff(chunk.starts), "n_known": sums((exact > 0)[flat].astype(np.int64)),
+        out = {"id": left.column("ids").combine_chunks().flatten(), "n_tokens": chunk.sizes, "n_known": sums((exact > 0)[flat].astype(np.int64)),
                "base_score": sums(np.log10((exact + 0.1) / divisor)[flat]), "score": sums(np.log10(p))}
         return pa.table(out)
 

@@ -162,8 +162,8 @@ def test_log_frequency_filter():
 
 
 def test_counts_of_64_bits_are_summed():
-    keys, counts = np.array([5, 9], "<u8"), np.array([2**32 + 3, 1], "<u8")
-    found, n, back, cut = lm_score._summed([keys.tobytes(), keys[:1].tobytes()], [counts.tobytes(), np.array([4], "<u4").tobytes()])
+    pack = lambda x: lm_score.packed(np.array(x, np.uint64), "<u8")
+    found, n, back, cut = lm_score._summed([pack([5, 4]), pack([5])], [pack([2**32 + 3, 1]), pack([4])])
     assert found.tolist() == [5, 9] and n.tolist() == [2**32 + 7, 1] and back.tolist() == [0, 1, 0] and cut.tolist() == [0, 2, 3]
 
 
