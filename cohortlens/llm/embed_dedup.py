@@ -19,14 +19,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.llm.common import keep
 from cohortlens.llm.components import connected_components
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, exact, with the largest component from 0.5 to 1: squares neither over- nor underflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scales and error bounds of the rows of ``x`` brought to unit length."""
-    x = x / np.abs(x).max(1, keepdims=True)  # neither over- nor underflow in the squares
+    x = _scaled(x)
     unit = x / np.sqrt((x * x).sum(1, keepdims=True))
     scale = np.abs(unit).max(1) / 127
     code = np.rint(unit / scale[:, None]).astype(np.int8)
@@ -46,7 +52,7 @@ def possible_pairs(a, b, threshold: float) -> np.ndarray:
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise cosines in double precision."""
-    a, b = (x / np.abs(x).max(1, keepdims=True) for x in (a, b))
+    a, b = _scaled(a), _scaled(b)
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
@@ -68,7 +74,7 @@ def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def tile_links(a: pd.Series, b: pd.Series | None, threshold: float, strip: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class, links) sums and forest edges as (kind, u, v) columns; kind 0: u has v links, kind 1: u and v are connected."""
-    load = lambda t: (np.frombuffer(t["ids"], np.int64), np.frombuffer(t["counts"], np.int64), np.frombuffer(t["vectors"], np.float32).reshape(-1, t["dim"]).astype(np.float64))
+    load = lambda t: (np.frombuffer(t["ids"], np.int64), np.frombuffer(t["counts"], np.int64), np.frombuffer(t["vectors"], t["kind"]).reshape(-1, t["dim"]).astype(np.float64))
     ia, ca, va = load(a)
     ib, cb, vb = (ia, ca, va) if b is None else load(b)
     qa, qb = quantise(va), quantise(vb)
@@ -93,7 +99,9 @@ def tile_links(a: pd.Series, b: pd.Series | None, threshold: float, strip: int =
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile: int = 2048) -> DataFrame:
     """(``id_col``, ``n_links``, ``component_id``, ``kept``) of each row."""
-    vector = F.col(vector_col).cast("array<float>")
+    # single precision stays so until it is computed with; all other numbers are doubles
+    single = isinstance(vectors.schema[vector_col].dataType, T.ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    vector = F.col(vector_col).cast("array<float>" if single else "array<double>")
     good = F.size(vector) > 0
     good &= F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.when(F.coalesce(good, F.lit(False)) & F.col(label_col).isNotNull(), vector).alias("vector"))
@@ -107,11 +115,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf.iloc[[0]][["label", "dim", "tiles", "own"]].copy()
         head["ids"], head["counts"] = [pdf["class"].to_numpy(np.int64).tobytes()], [pdf["n"].to_numpy(np.int64).tobytes()]
-        head["vectors"] = [np.stack(pdf["vector"].to_numpy()).astype(np.float32).tobytes()]
+        head["kind"] = "<f4" if single else "<f8"
+        head["vectors"] = [np.stack(pdf["vector"].to_numpy()).astype(head["kind"].iloc[0]).tobytes()]
         return head
 
     kind = classes.schema["label"].dataType.simpleString()
-    packed = dealt.groupBy("label", "dim", "own").applyInPandas(pack, f"label {kind}, dim int, tiles int, own int, ids binary, counts binary, vectors binary")
+    packed = dealt.groupBy("label", "dim", "own").applyInPandas(pack, f"label {kind}, dim int, tiles int, own int, ids binary, counts binary, kind string, vectors binary")
     packed, _ = keep(packed, "tiles")
     pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 

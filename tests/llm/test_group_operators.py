@@ -94,6 +94,22 @@ def test_embeddings(spark, tile):
     assert embed_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_embeddings_in_double_precision(spark):
+    rng = np.random.default_rng(9)
+    turned = lambda c: [c, math.sqrt(1 - c * c)]
+    rows = [[1.0, 0.0], [1e300, 0.0], [1e-60, 0.0], [5e-324, 0.0], turned(0.93 + 1e-12), turned(0.93 - 1e-12), [1.7e308, 1.7e308], [1.0, float("inf")], [0.0, -0.0]]
+    rows += [(rng.normal(size=2) * 10.0 ** rng.integers(-200, 200)).tolist() for _ in range(40)]
+    unit = [np.array(v) / np.abs(v).max() for v in map(np.array, rows)]
+    cos = lambda a, b: float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b))
+    good = [i for i, v in enumerate(rows) if np.isfinite(v).all() and np.any(v)]
+    links = [(i, j) for i, j in itertools.combinations(good, 2) if cos(unit[i], unit[j]) >= 0.93]
+    roots, n = grouped(links, range(len(rows))), collections.Counter(x for p in links for x in p)
+    assert (0, 4) in links and (0, 5) not in links and (0, 1) in links and (0, 3) in links
+    df = spark.createDataFrame([(i, v, 1, 2, 3, "x") for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int, class int, tiles int, id string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == {i: (n[i], roots[i], roots[i] == i) for i in range(len(rows))}
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=(200, 32)) ** 3, rng.normal(size=(200, 32)) ** 3
