@@ -1,9 +1,9 @@
 """Chat formatting by schema fingerprints, with DataFrame operations only.
 
-A record's nested field paths are hashed; the hash selects a declarative mapping that turns
-the record into canonical turns (rows of conversation, order, role, text).  Records come as
-JSON text, each row with a layout of its own, or as a typed table whose schema is hashed.
-An unknown layout is an error that names its paths, never a silent drop.
+The nested field paths that any layout knows are hashed, of each JSON record and of a typed
+table's schema alike; the fingerprint selects a declarative mapping that turns it into
+canonical turns (rows of conversation, order, role, text).  Records of one column may have a
+layout each.  Fields that no layout knows don't matter.
 
 The template writes each turn as ``### <role>: <text></turn>`` and a line end.  Control
 strings inside roles and texts are escaped reversibly: a backslash as two, ``###`` as
@@ -12,10 +12,13 @@ mark is always the template's own.  The loss mask is the list of spans (code poi
 formatted text) of the assistants' escaped texts.
 
 Edge cases: a null text or role is empty; turns of one number are ordered by role and text;
-null conversation ids are one conversation; conversations without turns don't occur;
-repeated rows are repeated turns; an empty table gives no rows; columns besides those of the
-layout are not looked at.  A conversation becomes one row by definition, so it must fit in a
-row, but no other group is gathered.
+null conversation ids are one conversation; repeated rows are repeated turns; an empty table
+gives no rows; columns besides those of the layout are not looked at.  Records that are null,
+not JSON, of no known layout, or whose list of turns is empty or null give no turns and are
+listed with the reason by :func:`rejected_records`; none stops the job.  A typed table of no
+known layout is an error that names its fields.  A text that isn't one (a list of parts)
+becomes its JSON.  A conversation becomes one row by definition, so it must fit in a row, but
+no other group is gathered.
 """
 
 from __future__ import annotations
@@ -41,8 +44,9 @@ def _text(path: str) -> Column:
 
 
 def _listed(path: str, role: str, text: str) -> Column:
-    found = F.try_variant_get("v", path, f"array<struct<{role}:string,{text}:string>>")
-    return F.transform(found, lambda m: F.struct(m[role].alias("role"), m[text].alias("text")))
+    """Turns of the objects in an array; what isn't text in them is its JSON."""
+    found = F.try_variant_get("v", path, "array<variant>")
+    return F.transform(found, lambda m: F.struct(F.try_variant_get(m, f"$.{role}", "string").alias("role"), F.try_variant_get(m, f"$.{text}", "string").alias("text")))
 
 
 def _speaker(turns: Column) -> Column:
@@ -55,56 +59,91 @@ def _asked(instruction: str, more: str) -> Column:
     return F.when(extra == "", _text(instruction)).otherwise(F.concat_ws("\n\n", _text(instruction), extra))
 
 
-# The field paths of each known layout and what makes turns of it.
+# The field paths of each known layout of a record and what makes turns of it.
 LAYOUTS: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
+    "messages": (("messages", "messages[].content", "messages[].role"), lambda: _speaker(_listed("$.messages", "role", "content"))),
+    "conversations": (("conversations", "conversations[].from", "conversations[].value"), lambda: _speaker(_listed("$.conversations", "from", "value"))),
+    "system_prompt_response": (("prompt", "response", "system"), lambda: F.array(_turn("system", _text("$.system")), _turn("user", _text("$.prompt")), _turn(ASSISTANT, _text("$.response")))),
+    "instruction_input_output": (("input", "instruction", "output"), lambda: F.array(_turn("user", _asked("$.instruction", "$.input")), _turn(ASSISTANT, _text("$.output")))),
     "prompt_response": (("prompt", "response"), lambda: F.array(_turn("user", _text("$.prompt")), _turn(ASSISTANT, _text("$.response")))),
     "prompt_completion": (("completion", "prompt"), lambda: F.array(_turn("user", _text("$.prompt")), _turn(ASSISTANT, _text("$.completion")))),
-    "system_prompt_response": (("prompt", "response", "system"), lambda: F.array(_turn("system", _text("$.system")), _turn("user", _text("$.prompt")), _turn(ASSISTANT, _text("$.response")))),
     "instruction_output": (("instruction", "output"), lambda: F.array(_turn("user", _text("$.instruction")), _turn(ASSISTANT, _text("$.output")))),
-    "instruction_input_output": (("input", "instruction", "output"), lambda: F.array(_turn("user", _asked("$.instruction", "$.input")), _turn(ASSISTANT, _text("$.output")))),
-    "messages": (("messages", "messages[].content", "messages[].role"), lambda: _speaker(_listed("$.messages", "role", "content"))),
-    "conversations": (("conversations", "conversations[].from", "conversations[].value"), lambda: _speaker(_listed("$.conversations", "from", "value"))),
 }
 
+# Typed tables of one row a turn, as conversation, order, role and text.
+ROW_LAYOUTS: dict[str, tuple[str, ...]] = {
+    "conv_id": ("conv_id", "turn", "role", "text"),
+    "conversation_id": ("conversation_id", "index", "role", "content"),
+    "id": ("id", "position", "from", "value"),
+}
 
-def paths_text(paths: tuple[str, ...]) -> str:
-    """Field paths as :func:`record_shape` writes those of a record: only names, objects and arrays."""
-    tree: dict = {}
-    for path in sorted(paths):
-        at = tree
-        for part in path.split("."):
-            at = at.setdefault(part.removesuffix("[]"), {} if not part.endswith("[]") else {})
-    def write(node: dict) -> str:
-        return "{" + ",".join(name + (f":[{write(below)}]" if below else "") for name, below in sorted(node.items())) + "}"
-    return write(tree)
 
+def print_of(paths) -> int:
+    """The fingerprint of a set of field paths: XXH64 with seed 42 of the sorted paths, one a line, as a signed long."""
+    from xxhash import xxh64_intdigest
 
-def record_shape(v: Column) -> Column:
-    """Nested field paths of a variant, without types of scalars."""
-    shape = F.schema_of_variant(v)
-    shape = F.regexp_replace(shape, r"OBJECT<", "{")
-    shape = F.regexp_replace(shape, r"ARRAY<", "[")
-    shape = F.regexp_replace(shape, r": (?:[A-Z_]+(?:\(\d+, ?\d+\))?)(?=[,>])", "")
-    # what is left are closing angles: objects and arrays close in the order they were opened, which names alone can't tell
-    shape = F.regexp_replace(shape, r">>", "}]")
-    shape = F.regexp_replace(shape, r">", "}")
-    return F.regexp_replace(shape, r"(:|,) ", "$1")
+    found = xxh64_intdigest("\n".join(sorted(paths)).encode(), seed=42)
+    return found - (1 << 64) if found >> 63 else found
 
 
-def fingerprint(shape: Column) -> Column:
-    return F.xxhash64(shape)
+def registry(layouts: dict[str, tuple[str, ...]]) -> tuple[list[str], dict[int, str]]:
+    """All paths that the layouts know, and the layout of each set of known paths by its fingerprint.
+
+    Of several layouts whose paths are all there the first one holds; sets without any have no
+    entry.  Paths that no layout knows are left out of fingerprints, so further fields of a
+    record don't change its mapping.
+    """
+    known = sorted({p for paths in layouts.values() for p in paths})
+    # a path below another can't be there without it
+    above = {p: p.split("[]")[0] for p in known}
+    sets: list[frozenset[str]] = [frozenset()]
+    for p in known:
+        sets += [s | {p} for s in sets if above[p] == p or above[p] in s]
+    found = {}
+    for s in sets:
+        name = next((n for n, paths in layouts.items() if s.issuperset(paths)), None)
+        if name:
+            found[print_of(s)] = name
+    return known, found
+
+
+def _record_paths(v: Column, known: list[str]) -> Column:
+    """The sorted known paths of a variant: fields, and fields of the objects in its arrays."""
+    fields = lambda x, path: F.coalesce(F.map_keys(F.try_variant_get(x, path, "map<string,variant>")), F.array().cast("array<string>"))
+    found = fields(v, "$")
+    for name in sorted({p.split("[]")[0] for p in known if "[]" in p}):
+        items = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+        prefix = F.lit(f"{name}[].")
+        names = F.flatten(F.transform(items, lambda m: fields(m, "$")))
+        found = F.concat(found, F.transform(names, lambda k: F.concat(prefix, k)))  # noqa: B023  used at once
+    return F.array_sort(F.array_intersect(found, F.lit(known)))
+
+
+def _read(records: DataFrame, id_col: str, json_col: str) -> tuple[DataFrame, dict[int, str]]:
+    known, found = registry({n: paths for n, (paths, _) in LAYOUTS.items()})
+    rows = records.select(F.col(id_col).alias("conv_id"), F.col(json_col).cast("string").alias("record"), F.try_parse_json(F.col(json_col).cast("string")).alias("v"))
+    rows = rows.withColumn("paths", F.array_join(_record_paths(F.col("v"), known), "\n"))
+    return rows.withColumn("print", F.xxhash64("paths")), found
 
 
 def turns_of_records(records: DataFrame, id_col: str = "conv_id", json_col: str = "record") -> DataFrame:
-    """Canonical turns (``conv_id``, ``turn``, ``role``, ``text``) of JSON records of any known layouts."""
-    rows = records.select(F.col(id_col).alias("conv_id"), F.parse_json(F.col(json_col)).alias("v"))
-    rows = rows.withColumn("shape", record_shape(F.col("v"))).withColumn("print", fingerprint(F.col("shape")))
-    turns = F.raise_error(F.concat(F.lit("no mapping for a record with the fields "), F.coalesce("shape", F.lit("null")))).cast("array<struct<role:string,text:string>>")
-    for paths, make in LAYOUTS.values():
-        turns = F.when(F.col("print") == fingerprint(F.lit(paths_text(paths))), make()).otherwise(turns)
+    """Canonical turns (``conv_id``, ``turn``, ``role``, ``text``) of JSON records of any known layouts; those without turns are in :func:`rejected_records`."""
+    rows, found = _read(records, id_col, json_col)
+    turns = None
+    for name, (_, make) in LAYOUTS.items():
+        chosen = F.col("print").isin([p for p, n in found.items() if n == name])
+        turns = F.when(chosen, make()) if turns is None else turns.when(chosen, make())
     return rows.select("conv_id", F.posexplode(turns).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")
 
 
+def rejected_records(records: DataFrame, id_col: str = "conv_id", json_col: str = "record") -> DataFrame:
+    """(``conv_id``, ``record``, ``reason``) of the records that have no turns: null, not JSON, or of no known layout (empty lists are none)."""
+    rows, found = _read(records, id_col, json_col)
+    reason = F.when(F.col("record").isNull(), "null").when(F.col("v").isNull(), "not JSON")
+    reason = reason.when(~F.col("print").isin(list(found)), F.concat(F.lit("no mapping for the fields "), F.replace("paths", F.lit("\n"), F.lit(", "))))
+    return rows.select("conv_id", "record", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     """Nested field paths of a schema."""
     if isinstance(kind, T.ArrayType):
@@ -114,23 +153,24 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     return []
 
 
-# Typed tables of one row a turn, as conversation, order, role and text.
-ROW_LAYOUTS = (("conv_id", "turn", "role", "text"), ("conversation_id", "index", "role", "content"), ("id", "position", "from", "value"))
-
+def turns_of_table(table: DataFrame, id_col: str | None = None) -> DataFrame:
+    """Canonical turns of a typed table, by the fingerprint of its schema: rows by turn, or one record a row.
 
-def turns_of_table(table: DataFrame) -> DataFrame:
-    """Canonical turns of a typed table: rows by turn, or one record a row with its id first."""
+    The conversation of a record is ``id_col``, or else the first column that its layout doesn't use.
+    """
     paths = set(field_paths(table.schema))
-    for layout in ROW_LAYOUTS:
-        if paths >= set(layout):
-            return table.select(*[F.col(c).alias(n) for c, n in zip(layout, ("conv_id", "turn", "role", "text"), strict=True)])
-    for layout, _ in LAYOUTS.values():
-        tops = {p for p in layout if "[" not in p}
-        if paths >= set(layout):
-            rest = [c for c in table.columns if c not in tops]
-            record = F.to_json(F.struct(*sorted(tops)), {"ignoreNullFields": "false"})
-            return turns_of_records(table.select(F.col(rest[0]).alias("conv_id"), record.alias("record")))
-    raise ValueError(f"no mapping for a table with the fields {sorted(paths)}")
+    known, found = registry(ROW_LAYOUTS)
+    name = found.get(print_of(paths.intersection(known)))
+    if name:
+        return table.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(ROW_LAYOUTS[name], ("conv_id", "turn", "role", "text"), strict=True)])
+    known, found = registry({n: p for n, (p, _) in LAYOUTS.items()})
+    name = found.get(print_of(paths.intersection(known)))
+    tops = sorted({p.split("[]")[0] for p in LAYOUTS[name][0]}) if name else []
+    rest = [id_col] if id_col else [c for c in table.columns if c not in tops]
+    if not name or not rest:
+        raise ValueError(f"no mapping for a table with the fields {sorted(paths)}")
+    record = F.to_json(F.struct(*tops), {"ignoreNullFields": "false"})
+    return turns_of_records(table.select(F.col(f"`{rest[0]}`").alias("conv_id"), record.alias("record")))
 
 
 def escape(text: Column) -> Column:
@@ -152,14 +192,14 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """(``conv_id``, ``formatted``, ``loss_spans array<struct<start,end>>``) of canonical turns."""
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    head = F.concat(F.lit("### "), F.replace(escape(role), F.lit(":"), F.lit("\\c")), F.lit(": "))
-    rows = turns.select("conv_id", "turn", role.alias("role"), head.alias("head"), escape(text).alias("body"))
-    order = ["turn", "role", "body"]
-    size = F.char_length("head") + F.char_length("body") + len(TURN_END)
-    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
-    rows = rows.withColumn("start", (F.coalesce(F.sum(size).over(before), F.lit(0)) + F.char_length("head")).cast("long"))
-    piece = F.struct("place", F.concat("head", "body", F.lit(TURN_END)).alias("piece"), (F.col("role") == ASSISTANT).alias("loss"), "start", (F.col("start") + F.char_length("body")).alias("end"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    # escaped after the shuffle, which the order by plain texts needs
+    head, body = F.concat(F.lit("### "), F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\c")), F.lit(": ")), escape(F.col("text"))
+    size = (F.char_length(head) + F.char_length(body) + len(TURN_END)).cast("long")
+    ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.withColumn("place", F.row_number().over(ordered)).withColumn("before", F.coalesce(F.sum(size).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    start = F.col("before") + F.char_length(head)
+    piece = F.struct("place", F.concat(head, body, F.lit(TURN_END)).alias("piece"), (F.col("role") == ASSISTANT).alias("loss"), start.alias("start"), (start + F.char_length(body)).alias("end"))
     out = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     spans = F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
     return out.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), spans.alias("loss_spans"))

@@ -246,8 +246,53 @@ def test_chat_layouts(spark):
     assert all(got[i] == turns for i, (_, turns) in enumerate(records))
     typed = spark.createDataFrame([(5, "i", "o")], "key long, instruction string, output string")
     assert [r["text"] for r in chat_format.turns_of_table(typed).orderBy("turn").collect()] == ["i", "o"]
-    with pytest.raises(Exception, match="no mapping"):
-        chat_format.turns_of_records(spark.createDataFrame([(1, '{"what": 1}')], "conv_id long, record string")).collect()
+    assert chat_format.rejected_records(df).collect() == []
+
+
+def test_chat_mappings_are_selected_by_fingerprint():
+    known, found = chat_format.registry({n: paths for n, (paths, _) in chat_format.LAYOUTS.items()})
+    assert {"messages[].role", "prompt"} <= set(known)
+    for name, (paths, _) in chat_format.LAYOUTS.items():
+        assert found[chat_format.print_of(paths)] == name
+    assert found[chat_format.print_of(["prompt", "response", "completion"])] == "prompt_response"
+    assert chat_format.print_of(["prompt"]) not in found and chat_format.print_of([]) not in found
+
+
+def test_chat_odd_records_stop_nothing(spark):
+    turn = {"role": "user", "content": "q"}
+    good = [
+        ({"messages": [turn], "id": 7, "meta": {"messages": 1}}, [("user", "q")]), ({"messages": [{**turn, "name": "bob"}, {"role": "gpt"}, {"content": "x"}]}, [("user", "q"), ("assistant", None), (None, "x")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text"}]}, {"role": "user", "content": 5}]}, [("user", '[{"type":"text"}]'), ("user", "5")]),
+        ({"prompt": None, "response": "r", "extra": []}, [("user", None), ("assistant", "r")]), ({"messages": [turn], "prompt": "p", "response": "r"}, [("user", "q")]),
+        ({"prompt": "é" * 300_000, "response": "###" * 100_000}, [("user", "é" * 300_000), ("assistant", "###" * 100_000)]),
+    ]
+    bad = ['{"messages": []}', '{"messages": null}', '{"messages": "x"}', '{"messages": [1, 2]}', "{", "", None, "[]", "3", '{"what": 1}', '{"prompt": "p"}']
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(good)] + [(100 + i, b) for i, b in enumerate(bad)] + [(None, bad[0])], "conv_id long, record string")
+    df = df.select("*", *[F.lit(1).alias(c) for c in ("v", "paths", "print", "turn", "role")])
+    got = defaultdict(list)
+    for r in chat_format.turns_of_records(df).orderBy("conv_id", "turn").collect():
+        got[r["conv_id"]].append((r["role"], r["text"]))
+    assert got == {i: turns for i, (_, turns) in enumerate(good)}
+    out = chat_format.rejected_records(df).collect()
+    assert sorted((r["conv_id"] or 0, r["record"]) for r in out) == sorted([(100 + i, b) for i, b in enumerate(bad)] + [(0, bad[0])], key=lambda x: x[0])
+    assert {r["reason"] for r in out if r["conv_id"] in (104, 105)} == {"not JSON"} and [r["reason"] for r in out if r["conv_id"] == 106] == ["null"]
+    assert chat_format.turns_of_records(df.limit(0)).collect() == [] and chat_format.rejected_records(df.limit(0)).collect() == []
+    formatted = chat_format.digest(chat_format.format_turns(chat_format.turns_of_records(df))).collect()
+    assert {r["conv_id"]: r["formatted_chars"] for r in formatted}[5] == 300_000 + 200_000 + len("### user: </turn>\n### assistant: </turn>\n")
+
+
+def test_chat_tables_with_other_columns(spark):
+    rows = [(1, 0, "user", "a", 9, "x", "y", None, 3), (1, 1, "assistant", "b", 9, "x", "y", None, 3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, id long, content string, piece string, place string, before long")
+    assert [tuple(r) for r in chat_format.turns_of_table(df).orderBy("turn").collect()] == [r[:4] for r in rows]
+    assert chat_format.format_turns(chat_format.turns_of_table(df)).first()["formatted"] == "### user: a</turn>\n### assistant: b</turn>\n"
+    other = spark.createDataFrame([(4, 0, "user", "a", "x")], "conversation_id long, index long, role string, content string, text string")
+    assert tuple(chat_format.turns_of_table(other).first()) == (4, 0, "user", "a")
+    record = spark.createDataFrame([("k", [("user", "q", "n")], 2)], "key string, messages array<struct<role:string,content:string,name:string>>, v int")
+    assert tuple(chat_format.turns_of_table(record).first()) == ("k", 0, "user", "q")
+    assert chat_format.turns_of_table(record, "v").first()["conv_id"] == 2
+    with pytest.raises(ValueError, match="no mapping"):
+        chat_format.turns_of_table(spark.range(1))
 
 
 # --- decontamination -----------------------------------------------------------------------------------------------
