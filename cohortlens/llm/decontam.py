@@ -1,17 +1,16 @@
 """Benchmark decontamination by winnowing.
 
-Words are coded against the benchmark's vocabulary and hashed in k-grams; of each run of
-``window - k + 1`` consecutive k-grams the one with the smallest hash is kept.  Two texts
-that share ``window`` consecutive words share such a run and so a kept hash at the same
-place in it.  Kept hashes of documents are joined with those of benchmark items, and each
-hit is extended word by word to the maximal common span on its diagonal, which checks it
-exactly.  Items shorter than ``window`` are one window each and are joined by the hash of
-their whole length.
-
-The benchmark is the stated query set.  It is cut into blocks of at most
-``block_bytes`` of text; the index of a block is broadcast (the bound is checked), and
-each block makes one more pass inside the same scan of the documents.  Nothing is
-shuffled, and no row, item or hit is dropped at any size.
+Words are hashed in k-grams; of each run of ``window - k + 1`` consecutive k-grams the one
+with the smallest hash is kept.  Two texts that share ``window`` consecutive words share such a
+run and so a kept hash at the same place in it.  Kept hashes of documents are joined with
+those of benchmark items, and each hit is extended to the windows around it, which are
+looked up among the item's and compared word by word.  Items shorter than ``window`` are one
+window each, and are kept and joined by their own length.
+
+A benchmark of at most ``block_bytes`` of text (checked) is broadcast and documents are read
+once, without a shuffle.  A larger one stays a table: its kept hashes are joined with those
+of the documents (after a filter of 8 MB), and each text meets just the items that share one.
+Both ways give the same rows, and no row, item or hit is dropped at any size.
 
 Edge cases: a null or empty text has no words, no hits and ``contaminated`` false; null or
 wordless items match nothing; an item without an id marks words but is not listed; repeated
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import with_id
+from cohortlens.llm.common import keep, with_id
 
 #: Lower-cases A-Z and turns every byte that is not of a word into a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -64,6 +63,24 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
 
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each range, its number once for each of its places, and the places."""
+    n = hi - lo
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
+
+
+def _of_item(grams: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """A hash of a gram and the item that has it."""
+    out = (grams + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(31))
+
+
+def fingerprints(ids: np.ndarray, window: int, k: int) -> np.ndarray:
+    """The places of the k-grams that are kept."""
+    return winnow(_grams(ids, k), window - k + 1)
+
+
 def build_index(items: list[tuple[str | None, str | None]], window: int, k: int) -> dict:
     """What a worker needs to mark documents against ``items`` (id as text, text)."""
     vocabulary: dict[bytes, int] = {}
@@ -71,32 +88,31 @@ def build_index(items: list[tuple[str | None, str | None]], window: int, k: int)
     for name, text in items:
         words = words_of(text)
         if words:
-            coded.append([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words])
+            coded.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.uint64))
             names.append(name)
-    hashes, owner, place = [], [], []
-    short: dict[int, dict[int, list[int]]] = {}
-    for i, ids in enumerate(coded):
-        a = np.array(ids, np.uint64)
-        if len(ids) < window:
-            short.setdefault(len(ids), {}).setdefault(int(_grams(a, len(ids))[0]), []).append(i)
-        else:
-            g = _grams(a, k)
-            at = winnow(g, window - k + 1)
-            hashes.append(g[at])
-            owner += [i] * len(at)
-            place += at.tolist()
-    h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-    order = np.argsort(h, kind="stable")
-    return {
-        "window": window, "k": k, "vocabulary": vocabulary, "coded": coded, "names": names, "hashes": h[order],
-        "owner": np.array(owner, np.int64)[order], "place": np.array(place, np.int64)[order],
-        "short": {m: (np.array(sorted(t), np.uint64), t) for m, t in sorted(short.items())},
-    }
+    # of each length of window (that of short items is their own): kept hashes with their items, and all windows of each item
+    lengths: dict[int, dict] = {}
+    starts = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+    for m in sorted({min(window, len(c)) for c in coded}):
+        own = [i for i, c in enumerate(coded) if min(window, len(c)) == m]
+        size = min(k, m)
+        kept = [_grams(coded[i], size)[fingerprints(coded[i], m, size)] for i in own]
+        found = np.unique(np.rec.fromarrays([np.concatenate(kept), np.repeat(own, [len(x) for x in kept])], names="hash,item"))
+        grams = [_grams(coded[i], m) for i in own]
+        windows = _of_item(np.concatenate(grams), np.repeat(own, [len(x) for x in grams]))
+        windows, first = np.unique(windows, return_index=True)
+        place = np.concatenate([starts[i] + np.arange(len(x)) for i, x in zip(own, grams, strict=True)])[first]
+        lengths[m] = {"size": size, "hashes": found["hash"].copy(), "items": found["item"].astype(np.int64), "windows": windows, "places": place}
+    return {"vocabulary": vocabulary, "words": np.concatenate(coded) if coded else np.empty(0, np.uint64), "names": names, "lengths": lengths}
 
 
 def mark(texts: list[str | None], index: dict) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
-    """Of each text the number of words, the hit spans of words (may overlap) and the items that occur."""
-    get, window, k = index["vocabulary"].get, index["window"], index["k"]
+    """Of each text the number of words, the hit spans of words (may overlap) and the items that occur.
+
+    A kept hash that document and item have in common is extended to all windows that contain
+    it; each is looked up among the item's windows and compared word by word.
+    """
+    get = index["vocabulary"].get
     flat: list[int] = []
     starts, counts = [], []
     for t in texts:
@@ -107,44 +123,42 @@ def mark(texts: list[str | None], index: dict) -> list[tuple[int, list[tuple[int
         flat.append(0)
     ids = np.array(flat, np.uint64)
     out: list[tuple[int, list[tuple[int, int]], set[int]]] = [(n, [], set()) for n in counts]
-    bounds = np.array(starts)
-    doc_of = lambda p: int(np.searchsorted(bounds, p, "right")) - 1
-
-    if len(index["hashes"]):
-        g = _grams(ids, k)
-        at = winnow(g, window - k + 1)
-        # a k-gram with a word that the benchmark lacks cannot match
-        gone = np.concatenate([[0], np.cumsum(ids == 0)])
-        at = at[gone[at + k] == gone[at]]
-        lo = np.searchsorted(index["hashes"], g[at], "left")
-        hi = np.searchsorted(index["hashes"], g[at], "right")
-        reach: dict[tuple[int, int], int] = {}  # by item and diagonal, how far it has been read
-        for p, a, b in zip(*(x[lo < hi].tolist() for x in (at, lo, hi)), strict=True):
-            for j in range(a, b):
-                item, q = int(index["owner"][j]), int(index["place"][j])
-                if p < reach.get((item, p - q), -1):
-                    continue
-                other = index["coded"][item]
-                back = 0
-                while back < q and back < p and flat[p - back - 1] == other[q - back - 1]:
-                    back += 1
-                ahead = 0
-                while q + ahead < len(other) and p + ahead < len(flat) and flat[p + ahead] == other[q + ahead]:
-                    ahead += 1
-                reach[item, p - q] = p + max(ahead, 1)
-                if back + ahead >= window:
-                    d = doc_of(p)
-                    out[d][1].append((p - back - starts[d], p + ahead - starts[d]))
-                    out[d][2].add(item)
-    for m, (hashes, items) in index["short"].items():
-        g = _grams(ids, m)
-        i = np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)
-        for p in np.flatnonzero(hashes[i] == g).tolist():
-            for item in items[int(g[p])]:
-                if flat[p : p + m] == index["coded"][item]:
-                    d = doc_of(p)
-                    out[d][1].append((p - starts[d], p + m - starts[d]))
-                    out[d][2].add(item)
+    if not index["lengths"]:
+        return out
+    bounds, gone = np.array(starts), np.concatenate([[0], np.cumsum(ids == 0)])
+    for m, part in index["lengths"].items():
+        size, grams = part["size"], _grams(ids, part["size"])
+        at = winnow(grams, m - size + 1)
+        at = at[gone[at + size] == gone[at]]  # a k-gram with a word that the benchmark lacks cannot match
+        which, place = _spread(np.searchsorted(part["hashes"], grams[at], "left"), np.searchsorted(part["hashes"], grams[at], "right"))
+        if not len(which):
+            continue
+        # windows of words of the benchmark alone that hold the k-gram, each with the item once
+        first = (at[which][:, None] - np.arange(m - size + 1)).ravel()
+        item = np.repeat(part["items"][place], m - size + 1)
+        inside = (first >= 0) & (first + m <= len(ids))
+        first, item = first[inside], item[inside]
+        known = gone[first + m] == gone[first]
+        first, item = np.unique(np.stack([first[known], item[known]]), axis=1)
+        whole = np.zeros(len(first), np.uint64)
+        spots, back = np.unique(first, return_inverse=True)
+        if len(spots):
+            whole = _grams(ids[(spots[:, None] + np.arange(m)).ravel()], m)[::m][back]
+        key = _of_item(whole, item)
+        near = np.minimum(np.searchsorted(part["windows"], key), len(part["windows"]) - 1)
+        hit = np.flatnonzero(part["windows"][near] == key)
+        first, item, near = first[hit], item[hit], part["places"][near[hit]]
+        for s in range(0, len(first), 65_536):
+            words = np.arange(m)
+            same = (ids[first[s : s + 65_536, None] + words] == index["words"][near[s : s + 65_536, None] + words]).all(1)
+            spot, which = first[s : s + 65_536][same], item[s : s + 65_536][same]
+            doc = np.searchsorted(bounds, spot, "right") - 1
+            for d in np.unique(doc).tolist():
+                own = doc == d
+                places = np.unique(spot[own]) - starts[d]
+                cut = np.flatnonzero(np.diff(places) > m) + 1  # runs of windows that touch are one span
+                out[d][1].extend((int(x[0]), int(x[-1]) + m) for x in np.split(places, cut))
+                out[d][2].update(which[own].tolist())
     return out
 
 
@@ -159,32 +173,110 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-#: Characters of text that are worked on at once.
-_CHUNK = 2_000_000
+_SPANS = "spans array<struct<start:long,end:long>>, items array<string>"
+#: Characters of text that are worked on at once; bits of the filter of an unbounded benchmark's hashes.
+_CHUNK, _BITS = 2_000_000, 26
+
+
+def _results(found: list, index: dict) -> list[pa.Array]:
+    spans = [[{"start": s, "end": e} for s, e in _merged(f[1])] for f in found]
+    items = [sorted({index["names"][x] for x in f[2] if index["names"][x] is not None}) for f in found]
+    return [pa.array(spans, _FOUND), pa.array(items, pa.list_(pa.string()))]
+
 
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size < _CHUNK):
+            size += len(texts[last] or "")
+            last += 1
+        yield first, last
+        first = last
+
+
+def _marked(source: DataFrame, items: list[tuple[str | None, str | None]], window: int, k: int) -> DataFrame:
+    """(``id``, ``n_words``, spans, items) against a benchmark that is broadcast."""
+    shared = source.sparkSession.sparkContext.broadcast(build_index(items, window, k))
 
-def _marker(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for b in batches:
             texts = b.column(1).to_pylist()
-            spans, items, counts = b.column(3).to_pylist(), b.column(4).to_pylist(), []
-            first = 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size < _CHUNK):
-                    size += len(texts[last] or "")
-                    last += 1
-                for i, (n, found, which) in enumerate(mark(texts[first:last], index), first):
-                    counts.append(n)
-                    if found:
-                        spans[i] = _merged([(s["start"], s["end"]) for s in spans[i]] + found)
-                        spans[i] = [{"start": s, "end": e} for s, e in spans[i]]
-                        items[i] = sorted({*items[i], *(index["names"][x] for x in which if index["names"][x] is not None)})
-                first = last
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(spans, _FOUND), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "n_words", "spans", "items"])
-
-    return run
+            for first, last in _chunks(texts):
+                found = mark(texts[first:last], index)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array([f[0] for f in found], pa.int64()), *_results(found, index)], names=["id", "n_words", "spans", "items"])
+
+    return source.mapInArrow(run, with_id(source, f"n_words long, {_SPANS}"))
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _kept(ids: np.ndarray, m: int, k: int) -> np.ndarray:
+    """Kept hashes of one length of window, told apart from those of other lengths."""
+    size = min(k, m)
+    return _grams(ids, size)[fingerprints(ids, m, size)] + np.uint64(m * 0x9E3779B97F4A7C15 % (1 << 64))
+
+
+def _joined(source: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
+    """The same against a benchmark of any size: kept hashes are joined, and a document meets the items that share one."""
+    spark = source.sparkSession
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = _hashes(words_of(text.as_py()))
+                found = np.unique(_kept(words, min(window, len(words)), k)) if len(words) else words
+                columns = [pa.array(found.view(np.int64)), pa.array(np.full(len(found), key)), pa.array(np.full(len(found), min(window, len(words)), np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["hash", "item", "m"])
+
+    numbered, _ = keep(items.select(F.monotonically_increasing_id().alias("item"), "name", "text"), "items")
+    prints, _ = keep(numbered.select("item", "text").mapInArrow(of_items, "hash long, item long, m int"), "item_prints")
+    lengths = sorted(r["m"] for r in prints.select("m").distinct().collect())  # as many as the window has words at most
+    bit = F.col("hash").bitwiseAND((1 << _BITS) - 1)
+    parts = prints.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    held = np.zeros(1 << (_BITS - 3), np.uint8)
+    for r in parts.toLocalIterator():
+        held[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(held)  # 8 MB
+
+    # texts are told apart by 128 bits; equal ones are one from here on
+    named = source.select("id", "text", F.xxhash64(F.lit(1), "text").alias("a"), F.xxhash64(F.lit(2), "text").alias("b"))
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            for text, x, y in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                words = _hashes(words_of(text.as_py()))
+                found = np.unique(np.concatenate([_kept(words, m, k) for m in lengths if m <= len(words)] or [words[:0]]))
+                at = (found & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+                found = found[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([x.as_py()] * len(found), pa.int64()), pa.array([y.as_py()] * len(found), pa.int64())], names=["hash", "a", "b"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [len(words_of(t.as_py())) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(counts, pa.int64())], names=["id", "a", "b", "n_words"])
+
+    hits = named.select("text", "a", "b").mapInArrow(of_docs, "hash long, a long, b long").distinct()
+    met, _ = keep(hits.join(prints.select("hash", "item"), "hash").select("a", "b", "item").distinct(), "met")
+    asked = met.join(numbered, "item").select("a", "b", "name", F.col("text").alias("item_text"))
+    texts = named.select("a", "b", "text").join(met.select("a", "b").distinct(), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in (("a", pa.int64()), ("b", pa.int64()), ("spans", _FOUND), ("items", pa.list_(pa.string())))})
+        index = build_index(list(zip(right.column("name").to_pylist(), right.column("item_text").to_pylist(), strict=True)), window, k)
+        return pa.table([left.column("a"), left.column("b"), *_results(mark(left.column("text").to_pylist(), index), index)], names=["a", "b", "spans", "items"])
+
+    found, _ = keep(texts.groupBy("a", "b").cogroup(asked.groupBy("a", "b")).applyInArrow(verify, f"a long, b long, {_SPANS}"), "spans")
+    rows = named.mapInArrow(count, with_id(source, "a long, b long, n_words long"))
+    none = F.expr("cast(array() as array<struct<start:long,end:long>>)"), F.expr("cast(array() as array<string>)")
+    return rows.join(found, ["a", "b"], "left").select("id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -192,17 +284,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Of each document: id, ``n_words``, merged hit ``spans`` of words and the sorted ``items`` (as strings) that occur."""
     if not 1 <= k <= window:
         raise ValueError("k must be from 1 to window")
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes)
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
-                      F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    schema = with_id(out, "text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
-    for i in range(max(1, blocks)):  # one block unless the benchmark is larger than the bound
-        rows = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(max(1, blocks))) == i).collect()
-        shared = spark.sparkContext.broadcast(build_index([(r["name"], r["text"]) for r in rows], window, k))
-        out = out.mapInArrow(_marker(shared), schema)
+    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = _marked(source, [(r["name"], r["text"]) for r in items.collect()], window, k) if total <= block_bytes else _joined(source, items, window, k)
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
