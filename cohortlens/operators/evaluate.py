@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortlens.functions.scalar import mcc, ratio
+from cohortlens.functions.scalar import is_trisomy, mcc, ratio
 
 
 def combo_metrics(rows: DataFrame, keys: list[str], cutoff: float, score: str = "score") -> DataFrame:
@@ -136,7 +136,7 @@ def match_status(rows: DataFrame, meta: DataFrame, score: str = "score", cutoff:
     """TP, FN, TN, FP or UNK by sample from its label and scores; T15 with a fraction under 0.01 is FN."""
     known = rows.groupBy("sample").agg((F.count_if(F.coalesce(F.col(score) < cutoff, F.lit(False))) == F.count("*")).alias("below"), (F.count_if(F.col(score) > cutoff) > 0).alias("above"))
     j = known.join(meta, "sample")
-    t = F.col("label").startswith("T")
+    t = is_trisomy(F.col("label"))
     n = F.lower("label") == "normal"
     status = (
         F.when((F.col("label") == "T15") & (F.col("ff_before_mq") < 0.01), "FN")

@@ -8,12 +8,23 @@ from pyspark.sql.window import Window
 
 
 def nearest_record(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, ties: list[Column]) -> DataFrame:
-    """Each left row with the right row of its keys of the nearest date; ``ties`` order equally near ones."""
-    days = F.abs(F.datediff(F.col(left_date), F.col(right_date)))
-    numbered = left.withColumn("_left", F.monotonically_increasing_id())
-    pairs = numbered.join(right, keys).withColumn("days", days.cast("long"))
-    rank = F.row_number().over(Window.partitionBy("_left").orderBy("days", *ties))
-    return pairs.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_left")
+    """Each left row with the right row of its keys of the nearest date, and ``days`` between them; ``ties`` order equally near ones.
+
+    Of right rows with one date the first by ``ties`` stays.  Then both sides of a key go in one
+    stream by date, in which the last record up to a row and the first one from it on are
+    carried to it: two candidates a row, never a key's pairs.  Rows without a date, and rows
+    whose keys have no record, have none.
+    """
+    rest = [c for c in right.columns if c not in keys]
+    days = first_by(right.withColumn("_day", F.to_date(right_date)).where("_day is not null"), [*keys, "_day"], ties)
+    records = days.select(*keys, "_day", F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_left"), F.struct(*rest).alias("_record"))
+    # written by no one: the number is of this row in this plan, and both windows are over the same rows
+    asked = left.where(F.col(left_date).isNotNull()).select(*keys, F.to_date(left_date).alias("_day"), F.lit(1).alias("_side"), F.monotonically_increasing_id().alias("_left"), F.struct(*[c for c in left.columns if c not in keys]).alias("_row"))
+    both = asked.withColumn("_record", F.lit(None).cast(records.schema["_record"].dataType)).unionByName(records.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)))
+    last = lambda *order: F.last("_record", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumn("_near", F.array(last(F.col("_day").asc()), last(F.col("_day").desc()))).where("_side = 1").withColumn("_near", F.explode("_near")).where("_near is not null")
+    flat = near.select("_left", *keys, "_row.*", "_near.*", F.abs(F.datediff("_day", F.to_date(f"_near.{right_date}"))).cast("long").alias("days"))
+    return first_by(flat, ["_left"], [F.col("days"), *ties]).drop("_left")
 
 
 def distinct_over(value: str, keys: list[str]) -> Column:

@@ -9,18 +9,25 @@ from pyspark.sql.window import Window
 SITE = ["chr", "start", "end"]
 
 
-def latest_probe(sites: DataFrame, probes: DataFrame, at: str = "start") -> DataFrame:
+def latest_probe(sites: DataFrame, probes: DataFrame, at: str = "start", width: int = 100_000) -> DataFrame:
     """``sites`` with the latest-starting probe at or before their position (``probe_start``, ``probe_end``), by chromosome.
 
-    Both sides go in one sorted stream and the last probe is carried on: one shuffle, no pairs.
+    Chromosomes are cut into bins of ``width``.  Both sides of a bin go in one sorted stream and
+    the last probe is carried on; a bin's stream begins with the last probe of the bins before
+    it, which a table of one row a bin tells.  So a task holds bins, not whole chromosomes.
     """
-    both = sites.select("chr", F.col(at).alias("_at"), F.lit(1).alias("_site"), F.struct(*sites.columns).alias("_row"), F.lit(None).cast("struct<s:bigint,e:bigint>").alias("_probe"))
+    bin_of = lambda c: F.floor(F.col(c) / width).alias("_bin")
     probe = F.struct(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"))
-    # of probes with one start the longest is last
-    marks = probes.select("chr", F.col("start").alias("_at"), F.lit(0).alias("_site"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), probe.alias("_probe"))
-    over = Window.partitionBy("chr").orderBy("_at", "_site", F.col("_probe.e")).rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.unionByName(marks).withColumn("_last", F.last("_probe", ignorenulls=True).over(over)).where("_site = 1")
-    return carried.select("_row.*", F.col("_last.s").alias("probe_start"), F.col("_last.e").alias("probe_end"))
+    marks = probes.select("chr", bin_of("start"), F.col("start").cast("long").alias("_at"), probe.alias("_probe")).where("_at is not null")
+    own = marks.groupBy("chr", "_bin").agg(F.max("_probe").alias("_own"))  # of probes with one start the longest
+    bins = sites.select("chr", bin_of(at)).distinct().join(own, ["chr", "_bin"], "full")
+    before = Window.partitionBy("chr").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.withColumn("_probe", F.last("_own", ignorenulls=True).over(before)).where("_probe is not null").select("chr", "_bin", F.lit(None).cast("long").alias("_at"), "_probe")
+    rows = sites.select("chr", bin_of(at), F.col(at).cast("long").alias("_at"), F.struct(*sites.columns).alias("_row"))
+    both = rows.withColumn("_probe", F.lit(None).cast(marks.schema["_probe"].dataType)).unionByName(marks.unionByName(carried).withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
+    over = Window.partitionBy("chr", "_bin").orderBy(F.col("_at").asc_nulls_first(), F.col("_row").isNotNull(), F.col("_probe.e")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.when(F.col("_at").isNotNull(), F.last("_probe", ignorenulls=True).over(over))).where("_row is not null")
+    return found.select("_row.*", F.col("_last.s").alias("probe_start"), F.col("_last.e").alias("probe_end"))
 
 
 def probes_over(sites: DataFrame, probes: DataFrame) -> DataFrame:

@@ -41,6 +41,19 @@ def at_thresholds(reads: DataFrame, thresholds: list[float]) -> DataFrame:
     return reads.where(F.col("prob_class_1") >= min(thresholds)).withColumn("threshold", F.explode(reached))
 
 
+def threshold_counts(reads: DataFrame, thresholds: list[float], keys: list[str], counts: dict[str, Column]) -> DataFrame:
+    """Counts by ``keys`` of the reads that reach each threshold and fulfil a condition, where any read reaches it.
+
+    Counts are additive, so a read goes once through one aggregation, with a column for each
+    threshold; it is not copied for the thresholds.
+    """
+    reached = {t: F.col("prob_class_1") >= t for t in map(float, sorted(thresholds))}
+    wide = [F.count_if(c if name is None else c & counts[name]).alias(f"_{i}_{name or ''}") for i, c in enumerate(reached.values()) for name in (None, *counts)]
+    rows = reads.where(F.col("prob_class_1") >= min(reached)).groupBy(*keys).agg(*wide)
+    long = [F.struct(F.lit(t).alias("threshold"), F.col(f"_{i}_").alias("_n"), *[F.col(f"_{i}_{name}").alias(name) for name in counts]) for i, t in enumerate(reached)]
+    return rows.select(*keys, F.explode(F.array(*long)).alias("_c")).where("_c._n > 0").select(*keys, "_c.threshold", *[f"_c.{name}" for name in counts])
+
+
 def replace_probability(original: DataFrame, perturbed: DataFrame) -> DataFrame:
     """``original`` with the perturbed probability where the name has one; of repeated names the largest counts."""
     new = perturbed.groupBy("name").agg(F.max("prob_class_1").alias("perturbed"))

@@ -13,10 +13,18 @@ from cohortlens.operators.evaluate import roc_auc, sample_confusion
 def repeated_scores(rows: DataFrame, draws: DataFrame, value: str) -> DataFrame:
     """(repeat_id, sample, chr, z) of every sample against each repeat's reference; the repeat is one more key.
 
-    Parameters (repeats x chromosomes) are the small side; every sample meets each repeat once by chromosome.
+    Every sample meets each repeat by chromosome.  Chromosomes are few, so samples are dealt into
+    slices and a chromosome's parameters (one row with all repeats) go to each of them: keys are
+    as many as tasks, and repeats multiply rows after the join.
     """
     stats = rows.join(draws.select("repeat_id", "sample"), "sample").groupBy("repeat_id", "chr").agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("_m"), F.stddev_pop(value).alias("_sd"))
-    return rows.join(stats, "chr").select("repeat_id", "sample", "chr", z_value(F.col(value), F.col("_m"), F.col("_sd")).alias("z"))
+    slices = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    # some hundred repeats a row, so that a row is small however many there are
+    packed = stats.groupBy("chr", F.floor(F.col("repeat_id") / 256).alias("_block")).agg(F.collect_list(F.struct("repeat_id", "_m", "_sd")).alias("_stats"))
+    packed = packed.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    dealt = rows.withColumn("_slice", F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int"))
+    met = dealt.join(packed, ["chr", "_slice"]).select("sample", "chr", value, F.explode("_stats").alias("_s"))
+    return met.select("_s.repeat_id", "sample", "chr", z_value(F.col(value), F.col("_s._m"), F.col("_s._sd")).alias("z"))
 
 
 def repeated_ez(rows: DataFrame, draws: DataFrame, value: str) -> DataFrame:

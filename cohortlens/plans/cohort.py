@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.functions.scalar import AUTOSOMES
 from cohortlens.operators import methyl, resample, scores
 from cohortlens.operators import reads as R
 from cohortlens.operators.evaluate import combo_metrics, with_roles
+from cohortlens.sources.files import scratch
 
 THRESHOLDS = [0.3, 0.5, 0.7]
 RECALLS = [0.2, 0.5, 0.8]
@@ -60,10 +62,16 @@ def side(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def episcore_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """hypo and hyper z values by sample, combination and chromosome; all combinations in one plan."""
-    calls = side(R.at_thresholds(reads(spark, sf_dir), THRESHOLDS), ["sample", "threshold", "chr", "start"])
-    panel = cpgs(spark, sf_dir).withColumn("recalls", F.filter(F.array(*map(F.lit, RECALLS)), lambda r: F.col("recall") >= r)).select("chr", "start", "meandiff", F.explode("recalls").alias("recall"))
-    level = methyl.levels(calls.join(panel, ["chr", "start"]), ["sample", *COMBO])
+    """hypo and hyper z values by sample, combination and chromosome; all combinations in one pass over the reads.
+
+    Reads off the panel go before the first shuffle; recalls multiply a sample's sites after it.
+    """
+    panel = cpgs(spark, sf_dir).withColumn("recalls", F.filter(F.array(*map(F.lit, RECALLS)), lambda r: F.col("recall") >= r)).select("chr", "start", "meandiff", "recalls").where(F.size("recalls") > 0)
+    on_panel = reads(spark, sf_dir).join(panel.select("chr", "start"), ["chr", "start"], "left_semi")
+    calls = R.threshold_counts(on_panel, THRESHOLDS, ["sample", "chr", "start"], {"meth": F.col("status") == "O", "unmeth": F.col("status") == "F"})
+    sites = calls.join(panel, ["chr", "start"]).withColumn("recall", F.explode("recalls"))
+    # of one partitioning for both steps that follow
+    level = methyl.levels(sites, ["sample", *COMBO]).repartition("sample", *COMBO)
     return methyl.wide_directions(methyl.intra_z(level, ["sample", *COMBO]), ["sample", *COMBO])
 
 
@@ -76,33 +84,38 @@ def ez_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def share_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.read_shares(R.at_thresholds(reads(spark, sf_dir), THRESHOLDS), ["sample", "threshold"])
+    some = reads(spark, sf_dir).where(F.col("chr").isin(*AUTOSOMES))
+    return scores.shares_of(R.threshold_counts(some, THRESHOLDS, ["sample", "chr"], {"n_reads": F.lit(True)}), ["sample", "threshold"]).select("sample", "threshold", "chr", "n_reads", "percentage")
 
 
 def cohort_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample, threshold, recall, chr, episcore, zscore) of all combinations against the dev normals."""
     ref = reference(spark, sf_dir)
     rows = episcore_rows(spark, sf_dir)
-    epi = scores.episcore(rows, scores.reference_stats(rows, ref, [*COMBO, "chr"], ["hypo_z", "hyper_z"]), [*COMBO, "chr"])
-    shares = share_rows(spark, sf_dir)
-    z = scores.zscore(shares, scores.reference_stats(shares, ref, ["threshold", "chr"], ["percentage"]), ["threshold", "chr"])
+    epi = scores.episcore_of(rows, ref, [*COMBO, "chr"])
+    z = scores.zscore_of(share_rows(spark, sf_dir), ref, ["threshold", "chr"])
     return epi.join(z.select("sample", "threshold", "chr", "zscore"), ["sample", "threshold", "chr"]).select("sample", *COMBO, "chr", "episcore", "zscore")
 
 
 def cohort_ezscores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.ezscore_of(cohort_scores(spark, sf_dir), ez_reference(spark, sf_dir), [*COMBO, "chr"])
+
+
+def held_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort's scores, written once, for what reads them again and again."""
     rows = cohort_scores(spark, sf_dir)
-    stats = scores.ez_stats(rows, ez_reference(spark, sf_dir), [*COMBO, "chr"])
-    return scores.ezscore(rows, stats, [*COMBO, "chr"])
+    rows.write.parquet(path := scratch(spark, "scores"))
+    return spark.read.schema(rows.schema).parquet(path)
 
 
-def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grid_rows(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
     """Episcores of the dev samples as ``score``, with the truth."""
     m = meta(spark, sf_dir).where("set = 'dev'").select("sample", "label", (F.col("label") == "Normal").alias("is_normal"))
-    return cohort_scores(spark, sf_dir).join(m, "sample").withColumn("score", F.col("episcore"))
+    return (cohort_scores(spark, sf_dir) if held is None else held).join(m, "sample").withColumn("score", F.col("episcore"))
 
 
-def grid_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dev = cohort_scores(spark, sf_dir).withColumn("score", F.col("episcore"))
+def grid_metrics(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    dev = (cohort_scores(spark, sf_dir) if held is None else held).withColumn("score", F.col("episcore"))
     return combo_metrics(with_roles(dev, meta(spark, sf_dir).where("set = 'dev'")), ["chr", *COMBO], CUTOFF)
 
 

@@ -51,7 +51,8 @@ def t6(spark, sf):
     SELECT chr, threshold, recall, has_target, min_recall FROM whole WHERE min_recall = (SELECT min_recall FROM found ORDER BY round({MCC}, 8) DESC, min_recall DESC LIMIT 1)""", "threshold recall min_recall")
 def t5(spark, sf):
     """All least recalls tried at once."""
-    return evaluate.flexible_search(C.grid_metrics(spark, sf), C.grid_rows(spark, sf), C.CUTOFF)
+    held = C.held_scores(spark, sf)
+    return evaluate.flexible_search(C.grid_metrics(spark, sf, held), C.grid_rows(spark, sf, held), C.CUTOFF)
 
 
 @query("T1_T2_chr_order", "SELECT chr, row_number() OVER (ORDER BY n NULLS LAST, chr) AS place, CASE chr WHEN 'chrX' THEN 23 WHEN 'chrY' THEN 24 WHEN 'chrM' THEN 25 ELSE n END AS code FROM (SELECT chr, TRY_CAST(replace(chr, 'chr', '') AS INT) AS n FROM (SELECT chr FROM chrs UNION ALL SELECT unnest(['chrX', 'chrY', 'chrM'])))")
@@ -69,9 +70,9 @@ def t7(spark, sf):
     e, z = rows.select("sample", "threshold", "recall", "episcore"), rows.where("recall = 0.2D").select("sample", F.col("threshold").alias("z_threshold"), "zscore")
     # z scores don't depend on the recall; of samples without sites at 0.2 they come from the shares
     shares = C.share_rows(spark, sf).where("chr = 'chr21'")
-    z = scores.zscore(shares, scores.reference_stats(shares, C.reference(spark, sf), ["threshold", "chr"], ["percentage"]), ["threshold", "chr"]).select("sample", F.col("threshold").alias("z_threshold"), "zscore")
+    z = scores.zscore_of(shares, C.reference(spark, sf), ["threshold", "chr"]).select("sample", F.col("threshold").alias("z_threshold"), "zscore")
     epi = C.episcore_rows(spark, sf)
-    e = scores.episcore(epi, scores.reference_stats(epi, C.reference(spark, sf), [*C.COMBO, "chr"], ["hypo_z", "hyper_z"]), [*C.COMBO, "chr"]).where("chr = 'chr21'").select("sample", "threshold", "recall", "episcore")
+    e = scores.episcore_of(epi, C.reference(spark, sf), [*C.COMBO, "chr"]).where("chr = 'chr21'").select("sample", "threshold", "recall", "episcore")
     abnormal = C.meta(spark, sf).where("label <> 'Normal'").select("sample")
     s = F.col("episcore") + F.col("zscore")
     found = e.join(abnormal, "sample", "left_semi").join(z, "sample").groupBy("threshold", "recall", "z_threshold").agg(F.min(s).alias("min_ez"), F.bool_and(F.coalesce(s > -1, F.lit(False))).alias("all_pass"))
@@ -83,7 +84,7 @@ def t7(spark, sf):
 def t8(spark, sf):
     """Five largest by group."""
     shares = C.share_rows(spark, sf)
-    z = scores.zscore(shares, scores.reference_stats(shares, C.reference(spark, sf), ["threshold", "chr"], ["percentage"]), ["threshold", "chr"])
+    z = scores.zscore_of(shares, C.reference(spark, sf), ["threshold", "chr"])
     return snp.ranked(z, ["threshold", "chr"], [F.round("zscore", 8).desc_nulls_last(), F.col("sample")]).where("rank <= 5").select("threshold", "chr", "sample", "zscore")
 
 
@@ -107,9 +108,9 @@ def a14(spark, sf):
 def a15(spark, sf):
     """Either score's flag over the union of both combination lists."""
     rows = C.episcore_rows(spark, sf)
-    e = scores.episcore(rows, scores.reference_stats(rows, C.reference(spark, sf), [*C.COMBO, "chr"], ["hypo_z", "hyper_z"]), [*C.COMBO, "chr"])
+    e = scores.episcore_of(rows, C.reference(spark, sf), [*C.COMBO, "chr"])
     shares = C.share_rows(spark, sf).withColumn("recall", F.explode(F.array(F.lit(0.9), F.lit(0.2))))
-    z = scores.zscore(shares, scores.reference_stats(shares, C.reference(spark, sf), [*C.COMBO, "chr"], ["percentage"]), [*C.COMBO, "chr"])
+    z = scores.zscore_of(shares, C.reference(spark, sf), [*C.COMBO, "chr"])
     fe = evaluate.max_chr_flags(e, C.COMBO, [C.CUTOFF], "episcore").select("sample", *C.COMBO, F.col("flag").alias("e"))
     fz = evaluate.max_chr_flags(z, C.COMBO, [C.CUTOFF], "zscore").select("sample", *C.COMBO, F.col("flag").alias("z"))
     either = fe.join(fz, ["sample", *C.COMBO], "outer")
@@ -129,9 +130,9 @@ def a17(spark, sf):
     """Combined scores of all pairs of combinations, their flags summed."""
     rows = C.episcore_rows(spark, sf).where("recall = 0.2D")
     ref = C.reference(spark, sf)
-    e = scores.episcore(rows, scores.reference_stats(rows, ref, [*C.COMBO, "chr"], ["hypo_z", "hyper_z"]), [*C.COMBO, "chr"])
+    e = scores.episcore_of(rows, ref, [*C.COMBO, "chr"])
     shares = C.share_rows(spark, sf)
-    z = scores.zscore(shares, scores.reference_stats(shares, ref, ["threshold", "chr"], ["percentage"]), ["threshold", "chr"]).select("sample", F.col("threshold").alias("zt"), "chr", "zscore")
+    z = scores.zscore_of(shares, ref, ["threshold", "chr"]).select("sample", F.col("threshold").alias("zt"), "chr", "zscore")
     pairs = e.select("sample", "threshold", "chr", "episcore").join(z, ["sample", "chr"])
     ez = scores.ezscore(pairs, scores.ez_stats(pairs, C.ez_reference(spark, sf), ["threshold", "zt", "chr"]), ["threshold", "zt", "chr"])
     return evaluate.max_chr_flags(ez, ["threshold", "zt"], [2.0], "ezscore").groupBy("sample").agg(F.count_if("flag").alias("n"))
@@ -174,7 +175,7 @@ def a23(spark, sf):
 @query("A24_quantiles", "SELECT chr, quantile_cont(zscore, 0.05) AS p05, quantile_cont(zscore, 0.5) AS p50, quantile_cont(zscore, 0.95) AS p95, quantile_cont(zscore, 0.99) AS p99 FROM zscores GROUP BY 1", "p05 p50 p95 p99")
 def a24(spark, sf):
     shares = C.share_rows(spark, sf)
-    z = scores.zscore(shares, scores.reference_stats(shares, C.reference(spark, sf), ["threshold", "chr"], ["percentage"]), ["threshold", "chr"])
+    z = scores.zscore_of(shares, C.reference(spark, sf), ["threshold", "chr"])
     return admission.quantiles(z, ["chr"], "zscore", {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
@@ -288,7 +289,8 @@ def a32(spark, sf):
 
 @query("A32_mann_whitney", """WITH v AS (SELECT chr, score, positive FROM labelled WHERE score IS NOT NULL), g AS (SELECT chr, score, count(*) AS t FROM v GROUP BY ALL), u AS (SELECT a.chr, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS u FROM v a JOIN v b ON a.chr = b.chr AND a.positive AND NOT b.positive GROUP BY 1),
     s AS (SELECT chr, count(*) FILTER (positive) AS n1, count(*) FILTER (NOT positive) AS n2 FROM v GROUP BY 1), k AS (SELECT chr, sum(t::DOUBLE * t * t - t) AS k FROM g GROUP BY 1)
-    SELECT s.chr, coalesce(u.u, 0) AS u, greatest(abs(coalesce(u.u, 0) - n1 * n2 / 2.0) - 0.5, 0) / nullif(sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - k / ((n1 + n2) * (n1 + n2 - 1)::DOUBLE))), 0) AS z FROM s JOIN k USING (chr) LEFT JOIN u USING (chr)""", "u z")
+    , f AS (SELECT s.chr, coalesce(u.u, 0) AS u, greatest(abs(coalesce(u.u, 0) - n1 * n2 / 2.0) - 0.5, 0) / nullif(sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - k / ((n1 + n2) * (n1 + n2 - 1)::DOUBLE))), 0) AS z, abs(z) / sqrt(2.0) AS x FROM s JOIN k USING (chr) LEFT JOIN u USING (chr))
+    SELECT chr, u, z, power(1 / (1 + 0.0705230784 * x + 0.0422820123 * x ** 2 + 0.0092705272 * x ** 3 + 0.0001520143 * x ** 4 + 0.0002765672 * x ** 5 + 0.0000430638 * x ** 6), 16) AS p_value FROM f""", "u z p_value")
 def a32b(spark, sf):
     """U and its normal approximation from grouped ranks."""
     return admission.mann_whitney(labelled(spark, sf), ["chr"], "score", "positive")
@@ -350,6 +352,12 @@ def a41(spark, sf):
     return n.crossJoin(F.broadcast(e)).agg(F.sum((F.col("n") - F.col("e")) * (F.col("n") - F.col("e")) / F.col("e")).alias("chi2"), (F.count("*") - 1).alias("df"))
 
 
+@query("A41_uniform_fit")
+def a41b(spark, sf):
+    """The same with a p value from seeded draws; tested against the chi-square distribution."""
+    return admission.uniform_fit(C.reads(spark, sf).groupBy("chr").agg(F.count("*").alias("n")), "n")
+
+
 @query("A18_partial_final", """SELECT sample, sum(n)::BIGINT AS n_abnormal, sum(n) / (3 * 3) AS ratio FROM (SELECT sample, threshold, count(*) FILTER (f) AS n FROM (SELECT sample, threshold, recall, coalesce(max(episcore) > 1.5, false) AS f FROM scores GROUP BY ALL) GROUP BY ALL) GROUP BY 1""", "ratio")
 def a18(spark, sf):
     """Counts by slice, then their sum over all slices: additive shards."""

@@ -296,11 +296,11 @@ def j20(spark, sf):
     return a.crossJoin(F.broadcast(b)).groupBy("threshold", "recall", "z_threshold").agg(F.count("*").alias("n"))
 
 
-@query("J22_nearest_record", """SELECT o_orderkey, event_id, abs(date_diff('day', d, e.t)) AS days FROM (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS d FROM orders WHERE o_orderstatus = 'F') o JOIN (SELECT event_id, user_id, ts::DATE AS t FROM events) e ON e.user_id = o.o_custkey
+@query("J22_nearest_record", """SELECT o_orderkey, event_id, abs(date_diff('day', d, e.t)) AS days FROM (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS d FROM orders) o JOIN (SELECT event_id, user_id, ts::DATE AS t FROM events) e ON e.user_id = o.o_custkey
     QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(date_diff('day', d, e.t)), event_id) = 1""")
 def j22(spark, sf):
     """Each order's nearest event of the same customer, in days."""
-    left = C.table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_custkey").alias("who"), F.to_date("o_orderdate").alias("d"))
+    left = C.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("who"), F.to_date("o_orderdate").alias("d"))
     right = C.table(spark, sf, "events").select("event_id", F.col("user_id").alias("who"), F.to_date("ts").alias("t"))
     return meta_etl.nearest_record(left, right, ["who"], "d", "t", [F.col("event_id")]).select("o_orderkey", "event_id", "days")
 
@@ -379,8 +379,7 @@ def x9(spark, sf):
 @query("X5_episcore", "SELECT sample, chr, episcore FROM episcores WHERE threshold = 0.5::DOUBLE AND recall = 0.5::DOUBLE", "episcore")
 def x5(spark, sf):
     rows = C.episcore_rows(spark, sf).where("threshold = 0.5D and recall = 0.5D")
-    stats = scores.reference_stats(rows, C.reference(spark, sf), ["threshold", "recall", "chr"], ["hypo_z", "hyper_z"])
-    return scores.episcore(rows, stats, ["threshold", "recall", "chr"]).select("sample", "chr", "episcore")
+    return scores.episcore_of(rows, C.reference(spark, sf), ["threshold", "recall", "chr"]).select("sample", "chr", "episcore")
 
 
 BEST = "SELECT chr, CASE WHEN i % 2 = 0 THEN 0.5 ELSE 0.7 END::DOUBLE AS threshold, CASE WHEN i % 3 = 0 THEN 0.2 ELSE 0.5 END::DOUBLE AS recall FROM (SELECT concat('chr', i) AS chr, i FROM range(1, 23) t(i))"
@@ -394,7 +393,7 @@ def best(spark):
 def x6(spark, sf):
     """Each chromosome at its own combination; standardised over all chromosomes of the combination before the choice."""
     rows = C.episcore_rows(spark, sf)
-    epi = scores.episcore(rows, scores.reference_stats(rows, C.reference(spark, sf), [*C.COMBO, "chr"], ["hypo_z", "hyper_z"]), [*C.COMBO, "chr"])
+    epi = scores.episcore_of(rows, C.reference(spark, sf), [*C.COMBO, "chr"])
     return scores.at_best_combo(epi, best(spark), C.COMBO).select("sample", "chr", *C.COMBO, "episcore")
 
 
@@ -405,8 +404,8 @@ def x7(spark, sf):
     """Unique reads with a site, their shares by chromosome at its threshold, against the reference."""
     points = C.cpgs(spark, sf).where("recall > 0.3D").select("chr", F.col("start").alias("pos"))
     rows = R.containing_a_point(R.unique_reads(C.reads(spark, sf)), points)
-    shares = scores.read_shares(R.at_thresholds(rows, C.THRESHOLDS), ["sample", "threshold"])
-    z = scores.zscore(shares, scores.reference_stats(shares, C.reference(spark, sf), ["threshold", "chr"], ["percentage"]), ["threshold", "chr"], fill=True)
+    shares = scores.shares_of(R.threshold_counts(rows.where(F.col("chr").isin(*S.AUTOSOMES)), C.THRESHOLDS, ["sample", "chr"], {"n_reads": F.lit(True)}), ["sample", "threshold"])
+    z = scores.zscore_of(shares, C.reference(spark, sf), ["threshold", "chr"], fill=True)
     return scores.at_best_combo(z, best(spark), ["threshold"]).select("sample", "chr", "threshold", "zscore")
 
 
@@ -436,5 +435,5 @@ def x33(spark, sf):
     """Reads of chrX over those of the autosomes, with the sample SD."""
     rows = C.reads(spark, sf).withColumn("chr", F.when(F.col("part") % 22 == 21, "chrX").otherwise(F.col("chr")))
     shares = scores.read_shares(rows, ["sample"], (*S.AUTOSOMES, "chrX"))
-    z = scores.zscore(shares, scores.reference_stats(shares, C.reference(spark, sf), ["chr"], ["percentage"], sample_sd=True), ["chr"])
+    z = scores.zscore_of(shares, C.reference(spark, sf), ["chr"], sample_sd=True)
     return z.where("chr = 'chrX'").select("sample", "percentage", "zscore")

@@ -156,7 +156,7 @@ def x19(spark, sf):
 @query("X24_greedy_pairs")
 def x24(spark, sf):
     """Greedy choice of combinations by AUC; tested against brute force."""
-    flags = evaluate.max_chr_flags(C.cohort_scores(spark, sf), C.COMBO, [C.CUTOFF], "episcore").withColumn("part", F.concat_ws("/", *C.COMBO))
+    flags = evaluate.max_chr_flags(C.held_scores(spark, sf), C.COMBO, [C.CUTOFF], "episcore").withColumn("part", F.concat_ws("/", *C.COMBO))
     truth = C.meta(spark, sf).select("sample", (F.col("label") != "Normal").alias("positive"))
     return search.greedy_subset(flags.select("sample", "part", F.col("flag").cast("int").alias("value")), truth, 4)
 
@@ -164,8 +164,9 @@ def x24(spark, sf):
 @query("X25_greedy_shrink")
 def x25(spark, sf):
     """Larger recalls chromosome by chromosome while MCC holds; tested against brute force."""
-    start = C.grid_metrics(spark, sf).groupBy("chr").agg(F.min_by(F.struct("threshold", "recall"), F.struct("recall", "threshold")).alias("c")).select("chr", "c.*")
-    return search.greedy_shrink(C.grid_rows(spark, sf), start, C.CUTOFF)
+    held = C.held_scores(spark, sf)
+    start = C.grid_metrics(spark, sf, held).groupBy("chr").agg(F.min_by(F.struct("threshold", "recall"), F.struct("recall", "threshold")).alias("c")).select("chr", "c.*")
+    return search.greedy_shrink(C.grid_rows(spark, sf, held), start, C.CUTOFF)
 
 
 @query("X23_stable_reference")
@@ -176,7 +177,7 @@ def x23(spark, sf):
     return search.stable_reference(rows.join(C.ez_reference(spark, sf), "sample", "left_semi"), target, 3)
 
 
-STATUS = """SELECT sample, CASE WHEN label = 'T15' AND ff_before_mq < 0.01 THEN 'FN' WHEN starts_with(label, 'T') AND above THEN 'TP' WHEN starts_with(label, 'T') AND below THEN 'FN' WHEN lower(label) = 'normal' AND below THEN 'TN' WHEN lower(label) = 'normal' AND above THEN 'FP' ELSE 'UNK' END AS match_status
+STATUS = """SELECT sample, CASE WHEN label = 'T15' AND ff_before_mq < 0.01 THEN 'FN' WHEN regexp_matches(label, '^T\\d') AND above THEN 'TP' WHEN regexp_matches(label, '^T\\d') AND below THEN 'FN' WHEN lower(label) = 'normal' AND below THEN 'TN' WHEN lower(label) = 'normal' AND above THEN 'FP' ELSE 'UNK' END AS match_status
     FROM (SELECT sample, bool_and(coalesce(zscore < 3, false)) AS below, bool_or(coalesce(zscore > 3, false)) AS above FROM fixed GROUP BY 1) JOIN meta USING (sample)"""
 
 

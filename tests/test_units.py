@@ -1,5 +1,6 @@
 """Operators on hand-made rows: edges, identities, brute force."""
 
+import datetime
 import itertools
 import math
 import random
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar as S
-from cohortlens.operators import admission, evaluate, methyl, panel, resample, scores, search, snp
+from cohortlens.operators import admission, evaluate, meta_etl, methyl, panel, resample, scores, search, snp
 from cohortlens.operators import reads as R
 from cohortlens.sources import files
 
@@ -179,9 +180,47 @@ def test_fisher_exact(spark):
     assert all(got[i] == pytest.approx(p(*t), abs=1e-9) for i, t in enumerate(tables))
 
 
+def test_latest_probe_by_bins_is_that_of_brute_force(spark):
+    rng = random.Random(31)
+    probes = [(rng.choice("ab"), s := rng.randrange(500), s + rng.randrange(60)) for _ in range(40)]
+    sites = [(rng.choice("abc"), s := rng.randrange(600), s + 1, i) for i in range(200)] + [("a", None, None, 900)]
+    want = {}
+    for c, s, _, i in sites:
+        found = [(ps, pe) for pc, ps, pe in probes if s is not None and pc == c and ps <= s]
+        want[i] = max(found) if found else (None, None)
+    p, q = spark.createDataFrame(probes, "chr string, start long, end long"), spark.createDataFrame(sites, "chr string, start long, end long, i long")
+    for width in (10, 100_000):
+        assert {r["i"]: (r["probe_start"], r["probe_end"]) for r in panel.latest_probe(q, p, width=width).collect()} == want
+
+
+def test_nearest_record_is_that_of_brute_force(spark):
+    rng, day = random.Random(32), lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
+    left = [(i, rng.choice("xyz"), day(rng.randrange(60))) for i in range(120)] + [(500, "x", None), (501, "w", day(1))]
+    right = [(i, rng.choice("xyz"), day(rng.randrange(60))) for i in range(60)] + [(900, "x", None)]
+    want = {}
+    for i, k, d in left:
+        near = [(abs((d - t).days), e) for e, w, t in right if w == k and t is not None] if d else []
+        if near:
+            want[i] = min(near)
+    a, b = spark.createDataFrame(left, "i long, k string, d date"), spark.createDataFrame(right, "e long, k string, t date")
+    got = meta_etl.nearest_record(a, b, ["k"], "d", "t", [F.col("e")]).collect()
+    assert {r["i"]: (r["days"], r["e"]) for r in got} == want and len(got) == len(want)
+
+
+def test_p_values(spark):
+    df = spark.createDataFrame([(float(z) / 7,) for z in range(40)], "z double").withColumn("p", admission.two_sided_p(F.col("z")))
+    assert all(r["p"] == pytest.approx(math.erfc(r["z"] / math.sqrt(2)), abs=6e-7) for r in df.collect())
+    fit = admission.uniform_fit(spark.createDataFrame([(40,), (30,), (50,)], "n long"), "n").first()
+    assert fit["chi2"] == pytest.approx(5) and fit["p_value"] == pytest.approx(math.exp(-2.5), abs=0.01)
+    assert admission.uniform_fit(spark.createDataFrame([(0,), (0,)], "n long"), "n").first()["p_value"] is None
+
+
 def test_latest_probe_hides_an_overlapping_earlier_one(spark):
     probes = spark.createDataFrame([("chr1", 0, 100), ("chr1", 10, 12), ("chr2", 5, 6)], "chr string, start long, end long")
     sites = spark.createDataFrame([("chr1", 50, 51), ("chr1", 10, 11), ("chr1", 12, 13), ("chr2", 4, 5), ("chr3", 1, 2)], "chr string, start long, end long")
+    for width in (100_000, 7, 1):
+        again = {(r["chr"], r["start"]): r["probe_start"] for r in panel.latest_probe(sites, probes, width=width).collect()}
+        assert again == {("chr1", 50): 10, ("chr1", 10): 10, ("chr1", 12): 10, ("chr2", 4): None, ("chr3", 1): None}
     got = {(r["chr"], r["start"]): r["probe_start"] for r in panel.latest_probe(sites, probes).collect()}
     assert got == {("chr1", 50): 10, ("chr1", 10): 10, ("chr1", 12): 10, ("chr2", 4): None, ("chr3", 1): None}
     assert [tuple(r) for r in panel.probes_over(sites, probes).collect()] == [("chr1", 10, 12)]
