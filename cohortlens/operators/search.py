@@ -2,29 +2,82 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlens.functions.scalar import z_value
 from cohortlens.operators.evaluate import roc_auc, sample_confusion
+from cohortlens.operators.resample import best_repeat
+from cohortlens.operators.scores import inter_score
+from cohortlens.sources.files import scratch
 
 
-def repeated_scores(rows: DataFrame, draws: DataFrame, value: str) -> DataFrame:
-    """(repeat_id, sample, chr, z) of every sample against each repeat's reference; the repeat is one more key.
+def _met(rows: DataFrame, stats: DataFrame, values: list[str]) -> DataFrame:
+    """Rows (sample, chr, values) with each repeat's parameters of their chromosome (``repeat_id`` and the other columns of ``stats``).
 
-    Every sample meets each repeat by chromosome.  Chromosomes are few, so samples are dealt into
-    slices and a chromosome's parameters (one row with all repeats) go to each of them: keys are
-    as many as tasks, and repeats multiply rows after the join.
+    Chromosomes are few, so samples are dealt into slices and a chromosome's parameters go to
+    each of them, some hundred repeats a row: keys are as many as tasks, and repeats multiply
+    rows after the join.
     """
-    stats = rows.join(draws.select("repeat_id", "sample"), "sample").groupBy("repeat_id", "chr").agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("_m"), F.stddev_pop(value).alias("_sd"))
+    params = [c for c in stats.columns if c != "chr"]
     slices = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    # some hundred repeats a row, so that a row is small however many there are
-    packed = stats.groupBy("chr", F.floor(F.col("repeat_id") / 256).alias("_block")).agg(F.collect_list(F.struct("repeat_id", "_m", "_sd")).alias("_stats"))
+    packed = stats.groupBy("chr", F.floor(F.col("repeat_id") / 256).alias("_block")).agg(F.collect_list(F.struct(*params)).alias("_stats"))
     packed = packed.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    dealt = rows.withColumn("_slice", F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int"))
-    met = dealt.join(packed, ["chr", "_slice"]).select("sample", "chr", value, F.explode("_stats").alias("_s"))
-    return met.select("_s.repeat_id", "sample", "chr", z_value(F.col(value), F.col("_s._m"), F.col("_s._sd")).alias("z"))
+    dealt = rows.select("sample", "chr", *values).withColumn("_slice", F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int"))
+    return dealt.join(packed, ["chr", "_slice"]).select("sample", "chr", *values, F.explode("_stats").alias("_s")).select("sample", "chr", *values, "_s.*")
+
+
+def _parameters(rows: DataFrame, draws: DataFrame, values: list[str]) -> DataFrame:
+    """Mean and SD of ``values`` by repeat and chromosome over the repeat's samples."""
+    aggs = [a for v in values for a in (F.coalesce(F.avg(v), F.lit(0.0)).alias(f"{v}_mean"), F.stddev_pop(v).alias(f"{v}_sd"))]
+    return rows.join(draws.select("repeat_id", "sample"), "sample").groupBy("repeat_id", "chr").agg(*aggs)
+
+
+def repeated_scores(rows: DataFrame, draws: DataFrame, value: str) -> DataFrame:
+    """(repeat_id, sample, chr, z) of every sample against each repeat's reference; the repeat is one more key."""
+    met = _met(rows, _parameters(rows, draws, [value]), [value])
+    return met.select("repeat_id", "sample", "chr", z_value(F.col(value), F.col(f"{value}_mean"), F.col(f"{value}_sd")).alias("z"))
+
+
+TRACKS = ["hypo_z", "hyper_z", "percentage"]
+
+
+def repeated_calls(tracks: DataFrame, draws: DataFrame, ez_reference: DataFrame, strong: float = 4.5, gray: float = 3.0) -> DataFrame:
+    """(repeat_id, sample, chr, strong, gray): calls of the combined score of ``tracks`` (hypo_z, hyper_z, their site counts,
+    percentage) against each repeat's reference and one list of samples for the combination."""
+    met = _met(tracks, _parameters(tracks, draws, TRACKS), [*TRACKS, "hypo_n", "hyper_n"])
+    z = {v: z_value(F.col(v), F.col(f"{v}_mean"), F.col(f"{v}_sd")) for v in TRACKS}
+    both = met.select("repeat_id", "sample", "chr", (inter_score(z["hypo_z"], z["hyper_z"], F.col("hypo_n"), F.col("hyper_n")) + z["percentage"]).alias("s"))
+    flagged = both.join(ez_reference.select("sample").distinct().withColumn("_in", F.lit(True)), "sample", "left")
+    over, own = Window.partitionBy("repeat_id", "chr"), F.when(F.col("_in"), F.col("s"))
+    ez = z_value(F.col("s"), F.coalesce(F.avg(own).over(over), F.lit(0.0)), F.stddev_pop(own).over(over))
+    return flagged.withColumn("ez", ez).select("repeat_id", "sample", "chr", F.coalesce(F.col("ez") > strong, F.lit(False)).alias("strong"), F.coalesce((F.col("ez") >= gray) & (F.col("ez") <= strong), F.lit(False)).alias("gray"))
+
+
+def reference_candidates(tracks: DataFrame, draws: DataFrame, early: DataFrame, ez_reference: DataFrame) -> DataFrame:
+    """(repeat_id, n_changed, n_compared, distance) of each draw of a reference, all in one job.
+
+    ``n_changed`` are the samples, other than early ones and the draw's own, with a call on any
+    chromosome that differs from that against the early reference; ``distance`` is the sum of the
+    squared differences of the draw's parameters from the early ones', relative to the early SDs.
+    """
+    first = early.select(F.lit(-1).cast("long").alias("repeat_id"), "sample").distinct()
+    draws = draws.select(F.col("repeat_id").cast("long"), "sample").distinct()
+    calls = repeated_calls(tracks, draws, ez_reference)
+    base = repeated_calls(tracks, first, ez_reference).select("sample", "chr", F.col("strong").alias("_strong"), F.col("gray").alias("_gray"))
+    others = calls.join(first.select("sample"), "sample", "left_anti").join(draws, ["repeat_id", "sample"], "left_anti")
+    differs = (F.col("strong") != F.col("_strong")) | (F.col("gray") != F.col("_gray"))
+    changed = others.join(base, ["sample", "chr"]).groupBy("repeat_id", "sample").agg(F.bool_or(differs).alias("_changed"))
+    changed = changed.groupBy("repeat_id").agg(F.count_if("_changed").alias("n_changed"), F.count("*").alias("n_compared"))
+    away = _parameters(tracks, draws, TRACKS).join(_parameters(tracks, first, TRACKS).drop("repeat_id").withColumnsRenamed({f"{v}_{k}": f"_{v}_{k}" for v in TRACKS for k in ("mean", "sd")}), "chr")
+    terms = []
+    for v in TRACKS:
+        scale = F.when(F.abs(f"_{v}_sd") > 1e-8, F.abs(f"_{v}_sd")).otherwise(1.0)
+        terms += [F.coalesce(F.pow((F.col(f"{v}_{k}") - F.col(f"_{v}_{k}")) / scale, 2), F.lit(0.0)) for k in ("mean", "sd")]
+    distance = away.groupBy("repeat_id").agg(F.sum(sum(terms, F.lit(0.0))).alias("distance"))
+    return distance.join(changed, "repeat_id", "left").select("repeat_id", F.coalesce("n_changed", F.lit(0)).alias("n_changed"), F.coalesce("n_compared", F.lit(0)).alias("n_compared"), "distance")
 
 
 def repeated_ez(rows: DataFrame, draws: DataFrame, value: str) -> DataFrame:
@@ -99,43 +152,101 @@ def greedy_shrink(rows: DataFrame, start: DataFrame, cutoff: float, rounds: int
     return spark.createDataFrame([(c, *v) for c, v in sorted(now.items())], "chr string, threshold double, recall double")
 
 
-def stable_reference(rows: DataFrame, target: DataFrame, size: int, swaps: int = 20, seed: int = 7) -> DataFrame:
-    """(sample) of a reference whose parameters by chromosome are near the target's: greedy fill, then random single swaps.
+def numbered(pool: DataFrame) -> tuple[DataFrame, int]:
+    """The samples of a pool in order with their ``place`` from 0 (written once), and how many there are."""
+    spark = pool.sparkSession
+    ranked = pool.select("sample").distinct().sort("sample").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
+    kind = pool.schema["sample"].dataType.simpleString()
+    spark.createDataFrame(ranked, f"place long, sample {kind}").write.parquet(path := scratch(spark, "pool"))
+    out = spark.read.parquet(path)
+    return out, out.count()
 
-    The pool's values by sample are a table of candidates; each step scores all of them in one aggregation of sums.
-    """
-    import random
 
-    spark = rows.sparkSession
-    wide = rows.select("sample", "chr", F.col("percentage").alias("x")).join(F.broadcast(target.withColumnsRenamed({"percentage_mean": "m", "percentage_sd": "sd"})), "chr").cache()
-    pool = sorted(r["sample"] for r in wide.select("sample").distinct().collect())
-
-    def distances(held: list[int], candidates: list[int]) -> list[tuple[float, int]]:
-        """Distance of the held samples with each candidate added."""
-        n = len(held) + 1
-        own = wide.groupBy("chr").agg(*[F.coalesce(F.sum(F.when(F.col("sample").isin(held), v)), F.lit(0.0)).alias(a) for a, v in (("s", F.col("x")), ("q", F.col("x") * F.col("x")))])
-        trial = wide.where(F.col("sample").isin(candidates)).join(own, "chr")
-        mu = (F.col("s") + F.col("x")) / n
-        sd = F.sqrt(F.greatest((F.col("q") + F.col("x") * F.col("x")) / n - mu * mu, F.lit(0.0)))
-        scale = F.when(F.abs("sd") > 1e-8, F.abs("sd")).otherwise(1.0)
-        d = F.pow((mu - F.col("m")) / scale, 2) + F.pow((sd - F.col("sd")) / scale, 2)
-        return sorted((round(r["d"], 9), r["sample"]) for r in trial.groupBy("sample").agg(F.sum(d).alias("d")).collect())
+def stable_reference(tracks: DataFrame, early: DataFrame, pool: DataFrame, ez_reference: DataFrame, size: int, n_random: int = 500, swaps: int = 200, block: int = 20, seed: int = 42) -> DataFrame:
+    """(``sample``, ``n_changed``, ``distance``): a reference of ``size`` from ``pool`` that changes fewest calls, then is nearest to the early one.
 
-    try:
-        chosen: list[int] = []
-        best = float("inf")
-        while len(chosen) < min(size, len(pool)):
-            best, name = distances(chosen, [p for p in pool if p not in chosen])[0]
-            chosen.append(name)
-        rng = random.Random(seed)
-        for _ in range(swaps if len(pool) > len(chosen) else 0):
-            out = rng.choice(chosen)
-            held = [c for c in chosen if c != out]
-            d, name = distances(held, [p for p in pool if p not in chosen])[0]
-            if d < best:
-                best, chosen = d, [*held, name]
-            else:
-                break
-    finally:
-        wide.unpersist()
-    return spark.createDataFrame([(c, best) for c in sorted(chosen)], "sample long, distance double")
+    Candidates are the early samples of the pool with random fillers, and with those that greedily
+    bring the parameters nearest; random draws of the whole pool; then random swaps of one
+    sample of the best so far, each kept if it is better, to the end of ``swaps``.  Fillers and
+    draws are places in the counted pool and are all scored in one job; swaps are scored in blocks,
+    from the last one that was kept on.  Only places (``size`` a draw) and a block's figures come
+    to the driver.
+    """
+    spark = tracks.sparkSession
+    places, n = numbered(pool)
+    if n < size:
+        raise ValueError(f"a pool of {n} for a reference of {size}")
+    rng = np.random.default_rng(seed)
+    held = sorted(r["place"] for r in places.join(early.select("sample").distinct(), "sample", "left_semi").select("place").limit(size + 1).collect())
+    draws: list[list[int]] = []
+    if len(held) <= size:
+        for _ in range(n_random):
+            free = [x for x in rng.choice(n, size=min(n, size + len(held)), replace=False).tolist() if x not in held]
+            draws.append([*held, *free[: size - len(held)]])
+        draws.append(_nearest_fillers(tracks, early, places, held, size))
+    draws += [rng.choice(n, size=size, replace=False).tolist() for _ in range(n_random)]
+    draws = [list(d) for d in dict.fromkeys(tuple(sorted(d)) for d in draws)]
+
+    def scored(some: list[list[int]]) -> list[tuple[int, float]]:
+        table = spark.createDataFrame([(r, int(x)) for r, d in enumerate(some) for x in d], "repeat_id long, place long").join(places, "place")
+        found = {r["repeat_id"]: (r["n_changed"], r["distance"]) for r in reference_candidates(tracks, table, early, ez_reference).collect()}
+        return [found[i] for i in range(len(some))]
+
+    figures = scored(draws)
+    best = min(range(len(draws)), key=lambda i: (figures[i][0], round(figures[i][1], 9), i))
+    now, value = draws[best], figures[best]
+    done = 0
+    while done < swaps and n > size:
+        trials = []
+        for _ in range(min(block, swaps - done)):
+            add = int(rng.integers(n))
+            while add in now:
+                add = int(rng.integers(n))
+            drop = now[int(rng.integers(size))]
+            trials.append(sorted([*(x for x in now if x != drop), add]))
+        got = scored(trials)
+        better = next((i for i, g in enumerate(got) if (g[0], round(g[1], 9)) < (value[0], round(value[1], 9))), None)
+        done += len(trials) if better is None else better + 1
+        if better is not None:
+            now, value = trials[better], got[better]
+    chosen = spark.createDataFrame([(int(x),) for x in now], "place long")
+    return places.join(F.broadcast(chosen), "place").select("sample", F.lit(value[0]).cast("long").alias("n_changed"), F.lit(float(value[1])).alias("distance"))
+
+
+def _nearest_fillers(tracks: DataFrame, early: DataFrame, places: DataFrame, held: list[int], size: int) -> list[int]:
+    """``held`` filled up one by one with the sample that brings the parameters nearest to the early ones'; one job a step."""
+    spark = tracks.sparkSession
+    target = _parameters(tracks, early.select(F.lit(0).alias("repeat_id"), "sample"), TRACKS).drop("repeat_id")
+    wide = tracks.join(places, "sample").select("place", "chr", *TRACKS)
+    chosen = list(held)
+    while len(chosen) < size:
+        have = spark.createDataFrame([(int(x),) for x in chosen], "place long")
+        sums = wide.join(F.broadcast(have), "place", "left_semi").groupBy("chr").agg(*[F.coalesce(a, F.lit(0.0)).alias(n) for v in TRACKS for n, a in ((f"{v}_s", F.sum(v)), (f"{v}_q", F.sum(F.col(v) * F.col(v))), (f"{v}_n", F.count(v).cast("double")))])
+        trial = wide.join(F.broadcast(have), "place", "left_anti").join(target, "chr").join(sums, "chr", "left")
+        terms = []
+        for v in TRACKS:
+            x, n = F.coalesce(v, F.lit(0.0)), F.coalesce(f"{v}_n", F.lit(0.0)) + F.col(v).isNotNull().cast("double")
+            mu = F.coalesce(F.try_divide(F.coalesce(f"{v}_s", F.lit(0.0)) + x, F.nullif(n, F.lit(0.0))), F.lit(0.0))
+            sd = F.sqrt(F.greatest(F.coalesce(F.try_divide(F.coalesce(f"{v}_q", F.lit(0.0)) + x * x, F.nullif(n, F.lit(0.0))), F.lit(0.0)) - mu * mu, F.lit(0.0)))
+            scale = F.when(F.abs(f"{v}_sd") > 1e-8, F.abs(f"{v}_sd")).otherwise(1.0)
+            terms += [F.pow((mu - F.col(f"{v}_mean")) / scale, 2), F.coalesce(F.pow((sd - F.col(f"{v}_sd")) / scale, 2), F.lit(0.0))]
+        near = trial.groupBy("place").agg(F.round(F.sum(sum(terms, F.lit(0.0))), 9).alias("d")).orderBy("d", "place").limit(1).first()
+        chosen.append(near["place"])
+    return chosen
+
+
+def ez_reference_search(scores: DataFrame, pool: DataFrame, truth: DataFrame, size: int = 20, repeats: int = 5000, cutoff: float = 3.0, seed: int = 42) -> DataFrame:
+    """(``sample``, ``repeat_id``, ``mcc``): the first of ``repeats`` random references from ``pool`` with the largest MCC over all samples.
+
+    ``scores`` has the combined score (``score``) by sample and chromosome, ``truth`` is (sample,
+    is_true, forced_normal).  All repeats are scored in one job.
+    """
+    spark = scores.sparkSession
+    places, n = numbered(pool)
+    if n < size:
+        raise ValueError(f"a pool of {n} for a reference of {size}")
+    rng = np.random.default_rng(seed)
+    drawn = spark.createDataFrame([(r, int(x)) for r in range(repeats) for x in rng.choice(n, size=size, replace=False)], "repeat_id long, place long").join(places, "place").select("repeat_id", "sample")
+    calls = repeated_scores(scores, drawn, "score").withColumnRenamed("z", "ez").join(truth, "sample")
+    best = best_repeat(calls, cutoff).orderBy(F.round("mcc", 9).desc(), "repeat_id").limit(1).select("repeat_id", "mcc")
+    return drawn.join(F.broadcast(best), "repeat_id").select("sample", "repeat_id", "mcc")

@@ -8,6 +8,7 @@ from cohortlens.functions import scalar as S
 from cohortlens.operators import evaluate, methyl, resample, scores, search, snp
 from cohortlens.plans import cohort as C
 from cohortlens.plans.registry import query
+from cohortlens.sources.files import scratch
 
 KERNEL = "CASE WHEN {p} <= 0 THEN CASE WHEN n_alt = 0 THEN 0 ELSE '-Infinity'::DOUBLE END WHEN {p} >= 1 THEN CASE WHEN n_alt = n_ref + n_alt THEN 0 ELSE '-Infinity'::DOUBLE END ELSE n_alt * ln({p}) + n_ref * ln(1 - {p}) END"
 MIX = ["((1 - f) * 0.0 + f * (0.5 * af))", "((1 - f) * 0.5 + f * (0.25 + 0.5 * af))", "((1 - f) * 1.0 + f * (0.5 + 0.5 * af))"]
@@ -74,9 +75,9 @@ def x13(spark, sf):
 def x11(spark, sf):
     """Distinct random subsets of the normals; tested against their definition."""
     pool = C.meta(spark, sf).where("label = 'Normal'").select("sample")
-    drawn = resample.unique_draws(spark, range(pool.count()), 3, 50).withColumnRenamed("sample", "place")
-    ranked = spark.createDataFrame(pool.sort("sample").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])), "place long, sample long")
-    return drawn.join(ranked, "place").select("repeat_id", "role", "sample")
+    places, n = search.numbered(pool)
+    drawn = resample.unique_draws(spark, range(n), 3, 50).withColumnRenamed("sample", "place")
+    return drawn.join(places, "place").select("repeat_id", "role", "sample")
 
 
 SWEEP = """, rstats AS (SELECT repeat_id, chr, coalesce(avg(percentage), 0) AS m, stddev_pop(percentage) AS sd FROM fixedshares JOIN draws USING (sample) WHERE role = 'ref' GROUP BY ALL), rz AS (SELECT repeat_id, s.sample, s.chr, (s.percentage - m) / nullif(sd, 0) AS z FROM fixedshares s JOIN rstats USING (chr))"""
@@ -169,12 +170,69 @@ def x25(spark, sf):
     return search.greedy_shrink(C.grid_rows(spark, sf, held), start, C.CUTOFF)
 
 
+def fixed_tracks(spark, sf):
+    """Both z values, their site counts and the share of all samples at one combination, written once."""
+    rows = C.episcore_rows(spark, sf).where("threshold = 0.5D and recall = 0.2D").join(C.share_rows(spark, sf), ["sample", "threshold", "chr"]).select("sample", "chr", *search.TRACKS, "hypo_n", "hyper_n")
+    rows.write.parquet(path := scratch(spark, "tracks"))
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _stats(source: str) -> str:
+    return ", ".join(f"coalesce(avg({v}), 0) AS {v}_m, stddev_pop({v}) AS {v}_sd" for v in search.TRACKS) + f" FROM tracks JOIN {source} USING (sample)"
+
+
+def _z(v: str) -> str:
+    return f"(t.{v} - p.{v}_m) / nullif(p.{v}_sd, 0)"
+
+
+AWAY = " + ".join(f"coalesce(((p.{v}_{k} - b.{v}_{k}) / CASE WHEN abs(b.{v}_sd) > 1e-8 THEN abs(b.{v}_sd) ELSE 1 END) ** 2, 0)" for v in search.TRACKS for k in ("m", "sd"))
+CANDIDATES = f"""WITH tracks AS (SELECT e.sample, e.chr, hypo_z, hyper_z, hypo_n, hyper_n, percentage FROM eprows e JOIN shares s ON s.sample = e.sample AND s.chr = e.chr AND s.threshold = e.threshold WHERE e.threshold = 0.5::DOUBLE AND e.recall = 0.2::DOUBLE),
+    own AS (SELECT repeat_id, sample FROM draws WHERE role = 'ref'), every AS (SELECT repeat_id, sample FROM own UNION ALL SELECT -1, sample FROM refs),
+    params AS (SELECT repeat_id, chr, {_stats('every')} GROUP BY ALL),
+    both_ AS (SELECT p.repeat_id, t.sample, t.chr, coalesce((({_z('hyper_z')}) * sqrt(hyper_n) - ({_z('hypo_z')}) * sqrt(hypo_n)) / nullif(sqrt(hyper_n + hypo_n), 0), 0) + {_z('percentage')} AS s FROM tracks t JOIN params p USING (chr)),
+    ezp AS (SELECT repeat_id, chr, coalesce(avg(s), 0) AS m, stddev_pop(s) AS sd FROM both_ JOIN ezrefs USING (sample) GROUP BY ALL),
+    calls_ AS (SELECT b.repeat_id, b.sample, b.chr, coalesce((s - m) / nullif(sd, 0) > 4.5, false) AS strong, coalesce((s - m) / nullif(sd, 0) BETWEEN 3 AND 4.5, false) AS gray FROM both_ b LEFT JOIN ezp USING (repeat_id, chr)),
+    changed AS (SELECT c.repeat_id, c.sample, bool_or(c.strong <> b.strong OR c.gray <> b.gray) AS y FROM calls_ c JOIN calls_ b ON b.repeat_id = -1 AND b.sample = c.sample AND b.chr = c.chr
+        WHERE c.repeat_id >= 0 AND c.sample NOT IN (SELECT sample FROM refs) AND NOT EXISTS (SELECT 1 FROM own o WHERE o.repeat_id = c.repeat_id AND o.sample = c.sample) GROUP BY ALL),
+    away AS (SELECT p.repeat_id, sum({AWAY}) AS distance FROM params p JOIN params b ON b.repeat_id = -1 AND b.chr = p.chr WHERE p.repeat_id >= 0 GROUP BY 1)
+    SELECT repeat_id, coalesce(n_changed, 0) AS n_changed, coalesce(n_compared, 0) AS n_compared, distance FROM away LEFT JOIN (SELECT repeat_id, count(*) FILTER (y) AS n_changed, count(*) AS n_compared FROM changed GROUP BY 1) USING (repeat_id)"""
+
+
+def early_reference(spark, sf):
+    """The three dev normals that come first."""
+    return C.reference(spark, sf).orderBy("sample").limit(3)
+
+
+@query("X23_reference_candidates", CANDIDATES, "distance")
+def x23c(spark, sf):
+    """Changed calls and distance of each draw of a reference, all draws in one job."""
+    return search.reference_candidates(fixed_tracks(spark, sf), C.draws(spark, sf).where("role = 'ref'"), C.reference(spark, sf), C.ez_reference(spark, sf))
+
+
 @query("X23_stable_reference")
 def x23(spark, sf):
-    """A reference by greedy fill and swaps toward given parameters; tested on a small fixture."""
-    rows = C.share_rows(spark, sf).where("threshold = 0.5D")
-    target = scores.reference_stats(rows, C.reference(spark, sf), ["chr"], ["percentage"])
-    return search.stable_reference(rows.join(C.ez_reference(spark, sf), "sample", "left_semi"), target, 3)
+    """A reference by seeds, draws and swaps; tested on a small fixture, its figures by the query above."""
+    normals = C.meta(spark, sf).where("label = 'Normal'").select("sample")
+    return search.stable_reference(fixed_tracks(spark, sf), early_reference(spark, sf), normals, C.ez_reference(spark, sf), 4, n_random=100, swaps=40)
+
+
+@query("X22_reference_search")
+def x22s(spark, sf):
+    """The best of many random references for the combined score; tested against brute force."""
+    score = C.held_scores(spark, sf).where("threshold = 0.5D and recall = 0.2D").select("sample", "chr", (F.col("episcore") + F.col("zscore")).alias("score"))
+    m = C.meta(spark, sf)
+    truth = m.select("sample", S.is_trisomy(F.col("label")).alias("is_true"), ((F.col("label") == "T15") & (F.col("ff_before_mq") < 0.01)).alias("forced_normal"))
+    return search.ez_reference_search(score, m.where("label = 'Normal'"), truth, 3, repeats=500)
+
+
+SUBSETS = "SELECT row_number() OVER (ORDER BY a.r_regionkey, b.r_regionkey, c.r_regionkey) - 1 AS repeat_id, a.r_regionkey AS x, b.r_regionkey AS y, c.r_regionkey AS z FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey JOIN region c ON b.r_regionkey < c.r_regionkey"
+
+
+@query("X12_all_subsets", f"SELECT repeat_id, 'ref' AS role, unnest([x, y, z])::BIGINT AS sample FROM ({SUBSETS})")
+def x12(spark, sf):
+    """All subsets, where there are no more than asked for."""
+    pool = [r["r_regionkey"] for r in C.table(spark, sf, "region").select("r_regionkey").collect()]  # a dimension of five rows
+    return resample.unique_draws(spark, pool, 3, 50)
 
 
 STATUS = """SELECT sample, CASE WHEN label = 'T15' AND ff_before_mq < 0.01 THEN 'FN' WHEN regexp_matches(label, '^T\\d') AND above THEN 'TP' WHEN regexp_matches(label, '^T\\d') AND below THEN 'FN' WHEN lower(label) = 'normal' AND below THEN 'TN' WHEN lower(label) = 'normal' AND above THEN 'FP' ELSE 'UNK' END AS match_status

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,16 +268,88 @@ def test_greedy_shrink_keeps_the_mcc(spark):
     assert {r["chr"]: (r["threshold"], r["recall"]) for r in search.greedy_shrink(df, start, 2.0).collect()} == now
 
 
-def test_stable_reference_takes_the_nearest_pool(spark):
-    rows = [(s, c, float(s) + i) for s in range(6) for i, c in enumerate(("chr1", "chr2"))]
-    df = spark.createDataFrame(rows, "sample long, chr string, percentage double")
-    target = spark.createDataFrame([("chr1", 2.0, 1.0), ("chr2", 3.0, 1.0)], "chr string, percentage_mean double, percentage_sd double")
-    got = [r["sample"] for r in search.stable_reference(df, target, 2).collect()]
-    def d(some):
-        mu = sum(some) / 2
-        sd = math.sqrt(sum((x - mu) ** 2 for x in some) / 2)
-        return 2 * ((mu - 2) ** 2 + (sd - 1) ** 2)
-    assert d(got) <= min(d((2, x)) for x in range(6) if x != 2) + 1e-9 and min(map(d, itertools.combinations(range(6), 2))) <= d(got)
+def plain_tracks(rng, samples):
+    return [(s, f"chr{c}", rng.gauss(0, 1) + (s % 5 == 0) * 3 * (c == 2), rng.gauss(0, 1), rng.gauss(5, 1) + (s % 7 == 0) * 6 * (c == 1), 4 + c, 9 - c) for s in range(samples) for c in (1, 2, 3)]
+
+
+def plain_candidate(rows, draw, early, ez_refs):
+    """(changed calls, compared samples, distance) of one reference."""
+    at = {(s, c): r for s, c, *r in rows}
+    names, samples = sorted({c for _, c in at}), sorted({s for s, _ in at})
+    def params(some):
+        out = {}
+        for c in names:
+            for v in range(3):
+                x = [at[s, c][v] for s in some]
+                m = sum(x) / len(x)
+                out[c, v] = m, math.sqrt(sum((y - m) ** 2 for y in x) / len(x))
+        return out
+    def calls(p):
+        z = lambda s, c, v: (at[s, c][v] - p[c, v][0]) / p[c, v][1]
+        both = {(s, c): (z(s, c, 1) * math.sqrt(at[s, c][4]) - z(s, c, 0) * math.sqrt(at[s, c][3])) / math.sqrt(at[s, c][3] + at[s, c][4]) + z(s, c, 2) for s, c in at}
+        out = {}
+        for c in names:
+            x = [both[s, c] for s in ez_refs]
+            m = sum(x) / len(x)
+            sd = math.sqrt(sum((y - m) ** 2 for y in x) / len(x))
+            out |= {(s, c): ((e := (both[s, c] - m) / sd) > 4.5, 3 <= e <= 4.5) for s in samples}
+        return out
+    p, b = params(draw), params(early)
+    new, old = calls(p), calls(b)
+    compared = [s for s in samples if s not in early and s not in draw]
+    scale = {k: x[1] if abs(x[1]) > 1e-8 else 1 for k, x in b.items()}
+    return sum(any(new[s, c] != old[s, c] for c in names) for s in compared), len(compared), sum(((p[k][0] - b[k][0]) / scale[k]) ** 2 + ((p[k][1] - b[k][1]) / scale[k]) ** 2 for k in p)
+
+
+def test_reference_candidates_and_stable_reference(spark):
+    rng = random.Random(41)
+    rows = plain_tracks(rng, 24)
+    tracks = spark.createDataFrame(rows, "sample long, chr string, hypo_z double, hyper_z double, percentage double, hypo_n long, hyper_n long")
+    early, ez_refs, pool = [1, 2, 3], [8, 9, 11, 12], [s for s in range(24) if s % 5 and s % 7]
+    listed = lambda x: spark.createDataFrame([(s,) for s in x], "sample long")
+    draws = [sorted(rng.sample(pool, 4)) for _ in range(12)]
+    table = spark.createDataFrame([(i, s) for i, d in enumerate(draws) for s in d], "repeat_id long, sample long")
+    got = {r["repeat_id"]: (r["n_changed"], r["n_compared"], r["distance"]) for r in search.reference_candidates(tracks, table, listed(early), listed(ez_refs)).collect()}
+    for i, d in enumerate(draws):
+        want = plain_candidate(rows, d, early, ez_refs)
+        assert got[i][:2] == want[:2] and got[i][2] == pytest.approx(want[2])
+    found = search.stable_reference(tracks, listed(early), listed(pool), listed(ez_refs), 4, n_random=30, swaps=30, block=10).collect()
+    chosen = sorted(r["sample"] for r in found)
+    want = plain_candidate(rows, chosen, early, ez_refs)
+    assert len(chosen) == 4 and set(chosen) <= set(pool) and (found[0]["n_changed"], found[0]["distance"]) == (want[0], pytest.approx(want[2]))
+    # no worse than the greedy fill, the random draws and what a quarter of all references are
+    every = sorted((plain_candidate(rows, d, early, ez_refs)[::2], d) for d in map(list, itertools.combinations(pool, 4)))
+    assert want[::2] <= every[len(every) // 20][0]
+    fill = list(early)
+    while len(fill) < 4:
+        fill.append(min((s for s in pool if s not in fill), key=lambda s: (round(plain_candidate(rows, [*fill, s], early, ez_refs)[2], 9), s)))
+    places = search.numbered(listed(pool))[0]
+    at = {r["sample"]: r["place"] for r in places.collect()}
+    assert sorted(search._nearest_fillers(tracks, listed(early), places, [at[s] for s in early], 4)) == sorted(at[s] for s in fill)
+    with pytest.raises(ValueError, match="a pool of"):
+        search.stable_reference(tracks, listed(early), listed(pool[:2]), listed(ez_refs), 4)
+
+
+def test_ez_reference_search_is_the_first_best(spark):
+    rng = random.Random(42)
+    rows = [(s, c, rng.gauss(0, 1) + 4 * (s % 4 == 0) * (c == "chr1")) for s in range(20) for c in ("chr1", "chr2")]
+    normals = [s for s in range(20) if s % 4]
+    truth = spark.createDataFrame([(s, s % 4 == 0, s == 8) for s in range(20)], "sample long, is_true boolean, forced_normal boolean")
+    got = search.ez_reference_search(spark.createDataFrame(rows, "sample long, chr string, score double"), spark.createDataFrame([(s,) for s in normals], "sample long"), truth, 4, repeats=60).collect()
+    at, gen = {(s, c): x for s, c, x in rows}, np.random.default_rng(42)
+    best = None
+    for r in range(60):
+        some = [normals[i] for i in gen.choice(len(normals), size=4, replace=False)]
+        stat = {c: (np.mean([at[s, c] for s in some]), np.std([at[s, c] for s in some])) for c in ("chr1", "chr2")}
+        y = [any((at[s, c] - stat[c][0]) / stat[c][1] > 3 for c in stat) and s != 8 for s in range(20)]
+        t = [s % 4 == 0 for s in range(20)]
+        n = {(a, b): sum(p == a and q == b for p, q in zip(y, t, strict=True)) for a in (True, False) for b in (True, False)}
+        tp, fp, fn, tn = n[True, True], n[True, False], n[False, True], n[False, False]
+        bottom = math.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+        mcc = (tp * tn - fp * fn) / bottom if bottom else 0.0
+        if best is None or round(mcc, 9) > round(best[0], 9):
+            best = mcc, r, sorted(some)
+    assert sorted(r["sample"] for r in got) == best[2] and got[0]["repeat_id"] == best[1] and got[0]["mcc"] == pytest.approx(best[0])
 
 
 def test_pick_combo_without_hits_takes_fewest_false_positives(spark):
