@@ -45,7 +45,7 @@ from cohortlens.llm.common import keep
 END = b" "  # no word holds a space
 U = np.uint64
 #: Tokens of a chunk (or one text, if that has more), its distinct words, and tokens of a region at most.
-CHUNK, WORDS, REGION = 1_000_000, 300_000, 2_000_000
+CHUNK, WORDS, REGION = 750_000, 250_000, 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
