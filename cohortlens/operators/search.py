@@ -44,16 +44,39 @@ def repeated_scores(rows: DataFrame, draws: DataFrame, value: str) -> DataFrame:
 TRACKS = ["hypo_z", "hyper_z", "percentage"]
 
 
-def repeated_calls(tracks: DataFrame, draws: DataFrame, ez_reference: DataFrame, strong: float = 4.5, gray: float = 3.0) -> DataFrame:
-    """(repeat_id, sample, chr, strong, gray): calls of the combined score of ``tracks`` (hypo_z, hyper_z, their site counts,
-    percentage) against each repeat's reference and one list of samples for the combination."""
+def repeated_tracks(tracks: DataFrame, draws: DataFrame) -> DataFrame:
+    """(repeat_id, sample, chr, episcore, zscore) of ``tracks`` (hypo_z, hyper_z, their site counts, percentage) against each repeat's reference."""
     met = _met(tracks, _parameters(tracks, draws, TRACKS), [*TRACKS, "hypo_n", "hyper_n"])
     z = {v: z_value(F.col(v), F.col(f"{v}_mean"), F.col(f"{v}_sd")) for v in TRACKS}
-    both = met.select("repeat_id", "sample", "chr", (inter_score(z["hypo_z"], z["hyper_z"], F.col("hypo_n"), F.col("hyper_n")) + z["percentage"]).alias("s"))
-    flagged = both.join(ez_reference.select("sample").distinct().withColumn("_in", F.lit(True)), "sample", "left")
+    return met.select("repeat_id", "sample", "chr", inter_score(z["hypo_z"], z["hyper_z"], F.col("hypo_n"), F.col("hyper_n")).alias("episcore"), z["percentage"].alias("zscore"))
+
+
+def combined(scored: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """``scored`` with ``ez`` of the sum of both scores, and its parameters, by repeat and chromosome over the samples of ``chosen`` (``keys``)."""
+    flagged = scored.withColumn("s", F.col("episcore") + F.col("zscore")).join(chosen.select(*keys).distinct().withColumn("_in", F.lit(True)), keys, "left")
     over, own = Window.partitionBy("repeat_id", "chr"), F.when(F.col("_in"), F.col("s"))
-    ez = z_value(F.col("s"), F.coalesce(F.avg(own).over(over), F.lit(0.0)), F.stddev_pop(own).over(over))
-    return flagged.withColumn("ez", ez).select("repeat_id", "sample", "chr", F.coalesce(F.col("ez") > strong, F.lit(False)).alias("strong"), F.coalesce((F.col("ez") >= gray) & (F.col("ez") <= strong), F.lit(False)).alias("gray"))
+    with_stats = flagged.withColumn("ez_mean", F.coalesce(F.avg(own).over(over), F.lit(0.0))).withColumn("ez_sd", F.stddev_pop(own).over(over))
+    return with_stats.withColumn("ez", z_value(F.col("s"), F.col("ez_mean"), F.col("ez_sd"))).drop("s", "_in")
+
+
+def repeated_calls(tracks: DataFrame, draws: DataFrame, ez_reference: DataFrame, strong: float = 4.5, gray: float = 3.0) -> DataFrame:
+    """(repeat_id, sample, chr, strong, gray): calls of the combined score against each repeat's reference and one list of samples for the combination."""
+    ez = combined(repeated_tracks(tracks, draws), ez_reference, ["sample"])
+    return ez.select("repeat_id", "sample", "chr", F.coalesce(F.col("ez") > strong, F.lit(False)).alias("strong"), F.coalesce((F.col("ez") >= gray) & (F.col("ez") <= strong), F.lit(False)).alias("gray"))
+
+
+def reference_matrices(tracks: DataFrame, ref_draws: DataFrame, ez_draws: DataFrame) -> DataFrame:
+    """Each repeat's reference matrices: mean and SD of every track by chromosome, and of the combined score over the repeat's second reference."""
+    second = combined(repeated_tracks(tracks, ref_draws), ez_draws, ["repeat_id", "sample"]).groupBy("repeat_id", "chr").agg(F.first("ez_mean").alias("ez_mean"), F.first("ez_sd").alias("ez_sd"))
+    return _parameters(tracks, ref_draws, TRACKS).join(second, ["repeat_id", "chr"])
+
+
+def signal_variants(tracks: DataFrame, ref_draws: DataFrame, ez_draws: DataFrame, cutoff: float = 3.0, ez_cutoffs: tuple[float, float] = (3.0, 4.5)) -> DataFrame:
+    """By sample and chromosome the share of repeats in which each score, and the combined one at both cutoffs, is above its cutoff."""
+    ez = combined(repeated_tracks(tracks, ref_draws), ez_draws, ["repeat_id", "sample"])
+    share = lambda c, name: (F.count_if(c) / F.count("*")).alias(name)
+    low, high = ez_cutoffs
+    return ez.groupBy("sample", "chr").agg(share(F.col("episcore") > cutoff, "episcore_ratio"), share(F.col("zscore") > cutoff, "zscore_ratio"), share(F.col("ez") > low, "ez_low_ratio"), share(F.col("ez") > high, "ez_high_ratio"))
 
 
 def reference_candidates(tracks: DataFrame, draws: DataFrame, early: DataFrame, ez_reference: DataFrame) -> DataFrame:

@@ -470,10 +470,10 @@ def r3(spark, sf):
     return long.join(C.meta(spark, sf), "sample").select("sample", "chr", "metric", "value", F.when(F.col("label") == F.regexp_replace("chr", "^chr", "T"), "hit").otherwise("other").alias("point"))
 
 
-@query("R5_vectors", "SELECT vec_id, array_length(v) AS n, list_sum(v) AS total FROM (SELECT vec_id, list_transform(string_split(array_to_string(list_transform(embedding[1:8], lambda x: round(x::DOUBLE, 4)), ','), ','), lambda x: x::DOUBLE) AS v FROM embeddings)", "total")
+@query("R5_vectors", "SELECT vec_id, array_length(v) AS n, list_sum(v) AS total FROM (SELECT vec_id, list_transform(string_split(array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE, 4)), ','), ','), lambda x: x::DOUBLE) AS v FROM embeddings)", "total")
 def r5(spark, sf):
     """Score vectors to text and back."""
-    text = S.vector_text(F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double"), 4)))
+    text = S.vector_text(F.transform(F.col("embedding"), lambda x: F.round(x.cast("double"), 4)))
     v = S.vector(text)
     rows = C.table(spark, sf, "embeddings").select("vec_id", v.alias("v"))
     return rows.select("vec_id", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))

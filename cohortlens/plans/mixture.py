@@ -209,6 +209,27 @@ def x23c(spark, sf):
     return search.reference_candidates(fixed_tracks(spark, sf), C.draws(spark, sf).where("role = 'ref'"), C.reference(spark, sf), C.ez_reference(spark, sf))
 
 
+REPEATED = f"""tracks AS (SELECT e.sample, e.chr, hypo_z, hyper_z, hypo_n, hyper_n, percentage FROM eprows e JOIN shares s ON s.sample = e.sample AND s.chr = e.chr AND s.threshold = e.threshold WHERE e.threshold = 0.5::DOUBLE AND e.recall = 0.2::DOUBLE),
+    own AS (SELECT repeat_id, sample FROM draws WHERE role = 'ref'), params AS (SELECT repeat_id, chr, {_stats('own')} GROUP BY ALL),
+    scored AS (SELECT p.repeat_id, t.sample, t.chr, coalesce((({_z('hyper_z')}) * sqrt(hyper_n) - ({_z('hypo_z')}) * sqrt(hypo_n)) / nullif(sqrt(hyper_n + hypo_n), 0), 0) AS e, {_z('percentage')} AS z FROM tracks t JOIN params p USING (chr)),
+    ezp AS (SELECT s.repeat_id, s.chr, coalesce(avg(e + z) FILTER (d.sample IS NOT NULL), 0) AS ez_mean, stddev_pop(e + z) FILTER (d.sample IS NOT NULL) AS ez_sd FROM scored s LEFT JOIN (SELECT repeat_id, sample FROM draws WHERE role = 'ez') d ON d.repeat_id = s.repeat_id AND d.sample = s.sample GROUP BY ALL)"""
+MATRICES = ", ".join(f"{v}_m AS {v}_mean, {v}_sd" for v in search.TRACKS)
+
+
+@query("X15_reference_matrices", f"WITH {REPEATED} SELECT repeat_id, chr, {MATRICES}, ez_mean, ez_sd FROM params JOIN ezp USING (repeat_id, chr)", "hypo_z_mean hypo_z_sd hyper_z_mean hyper_z_sd percentage_mean percentage_sd ez_mean ez_sd")
+def x15(spark, sf):
+    """Every repeat's reference matrices."""
+    draws = C.draws(spark, sf)
+    return search.reference_matrices(fixed_tracks(spark, sf), draws.where("role = 'ref'"), draws.where("role = 'ez'"))
+
+
+@query("X36_signal_variants", f"WITH {REPEATED} SELECT sample, chr, count(*) FILTER (e > 3) / count(*) AS episcore_ratio, count(*) FILTER (z > 3) / count(*) AS zscore_ratio, count(*) FILTER ((e + z - ez_mean) / nullif(ez_sd, 0) > 3) / count(*) AS ez_low_ratio, count(*) FILTER ((e + z - ez_mean) / nullif(ez_sd, 0) > 4.5) / count(*) AS ez_high_ratio FROM scored LEFT JOIN ezp USING (repeat_id, chr) GROUP BY ALL", "episcore_ratio zscore_ratio ez_low_ratio ez_high_ratio")
+def x36v(spark, sf):
+    """The share of repeats in which a chromosome is abnormal by each score, at one combination."""
+    draws = C.draws(spark, sf)
+    return search.signal_variants(fixed_tracks(spark, sf), draws.where("role = 'ref'"), draws.where("role = 'ez'"))
+
+
 @query("X23_stable_reference")
 def x23(spark, sf):
     """A reference by seeds, draws and swaps; tested on a small fixture, its figures by the query above."""

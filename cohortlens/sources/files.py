@@ -101,12 +101,18 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     return require_columns(df, columns).select(*columns) if columns else df
 
 
-def read_deconv(spark: SparkSession, paths: list[str], min_sites: int | None = None) -> tuple[DataFrame, list[str]]:
-    """The reads of all readable files with ``mTcount >= min_sites``, and the paths that could not be read."""
+def read_deconv(spark: SparkSession, paths: list[str], min_sites: int | None = None, verify: bool = True) -> tuple[DataFrame, list[str]]:
+    """The reads of all readable files with ``mTcount >= min_sites``, and the paths that could not be read.
+
+    A file may be broken behind its header, which shows only when it is read: ``verify`` reads
+    the needed columns of each once beforehand, so that it is left out whole.
+    """
     schema, frames, skipped = T.StructType.fromDDL(READS), [], []
     for path in paths:
         try:
             df = read_table(spark, path, schema.names)
+            if verify:
+                df.agg(*[F.max(c) for c in schema.names]).collect()
         except Exception as e:  # an unreadable file is skipped with a warning, as the workflow does
             skipped.append(f"{path}: {type(e).__name__}")
             continue
@@ -241,12 +247,17 @@ def write_xlsx(spark: SparkSession, header: list[str], rows: list[tuple], path:
 
     letter = lambda i: (chr(64 + i // 26) if i >= 26 else "") + chr(65 + i % 26)
     body = "".join(f'<row r="{n}">' + "".join(f'<c r="{letter(i)}{n}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>' for i, v in enumerate(r) if v is not None) + "</row>" for n, r in enumerate([header, *rows], 1))
-    data = io.BytesIO()
+    data = io.BytesIO()  # in memory: the file is a report
     with zipfile.ZipFile(data, "w") as book:
         book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+    write_bytes(spark, data.getvalue(), path)
+
+
+def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    """A small file, written through Spark's file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
-    out.write(bytearray(data.getvalue()))
+    out.write(bytearray(data))
     out.close()
 
 
