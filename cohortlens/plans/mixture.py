@@ -154,9 +154,20 @@ def x19(spark, sf):
     return search.pool_sizes(C.share_rows(spark, sf).where("threshold = 0.5D"), C.meta(spark, sf), [3, 5, 7])
 
 
-@query("X24_greedy_pairs")
+def greedy_sql(steps: int) -> str:
+    """The same steps one after another, each with all pairs of a positive and a negative sample."""
+    out = """WITH flags AS (SELECT sample, concat_ws('/', threshold, recall) AS part, (coalesce(max(episcore) > 1.5, false))::INT AS v FROM scores GROUP BY sample, threshold, recall), parts AS (SELECT DISTINCT part FROM flags),
+    every AS (SELECT m.sample, m.label <> 'Normal' AS positive, p.part, coalesce(v, 0) AS v FROM meta m CROSS JOIN parts p LEFT JOIN flags f ON f.sample = m.sample AND f.part = p.part)"""
+    for k in range(1, steps + 1):
+        chosen = " UNION ALL ".join([f"SELECT part FROM pick{i}" for i in range(1, k)] or ["SELECT NULL::VARCHAR AS part WHERE false"])
+        out += f""", chosen{k} AS ({chosen}), t{k} AS (SELECT e.sample, e.positive, e.part, e.v + coalesce(h, 0) AS s FROM every e LEFT JOIN (SELECT sample, sum(v) AS h FROM every WHERE part IN (SELECT part FROM chosen{k}) GROUP BY 1) USING (sample) WHERE e.part NOT IN (SELECT part FROM chosen{k})),
+    pick{k} AS (SELECT a.part, avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0 END) AS auc FROM t{k} a JOIN t{k} b ON a.part = b.part AND a.positive AND NOT b.positive GROUP BY 1 ORDER BY round(auc, 9) DESC, a.part LIMIT 1)"""
+    return out + " " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS step, part, auc FROM pick{k}" for k in range(1, steps + 1))
+
+
+@query("X24_greedy_pairs", greedy_sql(4), "auc")
 def x24(spark, sf):
-    """Greedy choice of combinations by AUC; tested against brute force."""
+    """Greedy choice of combinations by AUC."""
     flags = evaluate.max_chr_flags(C.held_scores(spark, sf), C.COMBO, [C.CUTOFF], "episcore").withColumn("part", F.concat_ws("/", *C.COMBO))
     truth = C.meta(spark, sf).select("sample", (F.col("label") != "Normal").alias("positive"))
     return search.greedy_subset(flags.select("sample", "part", F.col("flag").cast("int").alias("value")), truth, 4)

@@ -4,6 +4,7 @@ import datetime
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -330,6 +331,17 @@ def test_reference_candidates_and_stable_reference(spark):
         search.stable_reference(tracks, listed(early), listed(pool[:2]), listed(ez_refs), 4)
 
 
+def test_cohort_plans_read_each_table_once(spark):
+    """Scores of a cohort: one scan of the reads by sites and one by chromosomes, and no statistics joined back."""
+    from cohortlens.plans import cohort
+
+    sf = "/root/testdata/sf0.001"
+    for df, most in ((cohort.cohort_scores(spark, sf), 11), (cohort.cohort_ezscores(spark, sf), 13)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scans = re.findall(r"FileScan parquet \[(.*?)\]", plan)
+        assert sum("l_suppkey" in s for s in scans) == 2 and plan.count("Exchange hashpartitioning") <= most, plan
+
+
 def test_ez_reference_search_is_the_first_best(spark):
     rng = random.Random(42)
     rows = [(s, c, rng.gauss(0, 1) + 4 * (s % 4 == 0) * (c == "chr1")) for s in range(20) for c in ("chr1", "chr2")]
