@@ -104,6 +104,19 @@ def by_names(reads: DataFrame, names: DataFrame, keep: bool = True) -> DataFrame
     return reads.join(names.select("name").distinct(), "name", "left_semi" if keep else "left_anti")
 
 
+def merge_alignments(frames: list[DataFrame]) -> DataFrame:
+    """Reads of several tables in order of chromosome, start and name, in ranges of positions."""
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out.repartitionByRange("chr", "start", "name").sortWithinPartitions("chr", "start", "name")
+
+
+def alignment_index(reads: DataFrame, width: int = 16_384) -> DataFrame:
+    """(chr, bin, n_reads, first_start, last_end) by bins of positions: which of them have reads and where they begin."""
+    return reads.groupBy("chr", F.floor(F.col("start") / width).alias("bin")).agg(F.count("*").alias("n_reads"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
+
+
 def without_duplicates(alignments: DataFrame, quality: str = "quality") -> DataFrame:
     """One alignment for each 5' start, strand and mate position: that of the largest quality, then the least name."""
     where = Window.partitionBy("chr", "start", "strand", "mate_start").orderBy(F.col(quality).desc(), F.col("name"))

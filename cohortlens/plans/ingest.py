@@ -8,8 +8,8 @@ import random
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar as S
+from cohortlens.operators import charts, snp
 from cohortlens.operators import reads as R
-from cohortlens.operators import snp
 from cohortlens.plans import cohort as C
 from cohortlens.plans.core import calls
 from cohortlens.plans.registry import query
@@ -230,6 +230,16 @@ def k5(spark, sf):
     return spark.read.csv([f"{base}/a", f"{base}/b"], header=True)
 
 
+@query("K8_charts", """SELECT sample, count(*) FILTER (label = replace(chr, 'chr', 'T')) AS n_hit, count(*) AS n_marks FROM (SELECT sample, chr, unnest([episcore, zscore]) AS value FROM fixed) JOIN meta USING (sample) WHERE value IS NOT NULL GROUP BY 1""")
+def k8(spark, sf):
+    """A chart for each sample, and its marks counted in the written pages."""
+    long = C.fixed_combo_scores(spark, sf).unpivot(["sample", "chr"], ["episcore", "zscore"], "metric", "value").join(C.meta(spark, sf).select("sample", "label"), "sample")
+    points = long.select("sample", "chr", "metric", "value", F.when(F.col("label") == F.regexp_replace("chr", "^chr", "T"), "hit").otherwise("other").alias("point"))
+    charts.write_charts(charts.score_charts(points), path := X.scratch(spark, "charts"))
+    marks = lambda kind: F.size(F.regexp_extract_all("value", F.lit(f'<circle class="{kind}"'), F.lit(0))).cast("long")
+    return spark.read.text(path).select(F.col("sample").cast("long").alias("sample"), marks("hit").alias("n_hit"), (marks("hit") + marks("other")).alias("n_marks"))
+
+
 @query("K9_json", "SELECT set, count(*) AS n FROM meta GROUP BY 1")
 def k9(spark, sf):
     X.write_json_summary(C.meta(spark, sf).groupBy("set").agg(F.count("*").alias("n")), path := X.scratch(spark, "json"))
@@ -245,6 +255,14 @@ def b1(spark, sf):
     return inside.crossJoin(outside.withColumnRenamed("n", "n_out")).selectExpr("n as n_in", "n_out")
 
 
+@query("B2_merge_index", """SELECT chr, start // 16384 AS bin, count(*) AS n_reads, min(start) AS first_start, max("end") AS last_end FROM reads GROUP BY ALL""")
+def b2(spark, sf):
+    """Two tables of reads merged in order, written, and indexed."""
+    rows = C.reads(spark, sf)
+    R.merge_alignments([rows.where("status = 'O'"), rows.where("status <> 'O'")]).write.parquet(path := X.scratch(spark, "merged"))
+    return R.alignment_index(spark.read.parquet(path))
+
+
 @query("B3_mark_duplicates", """SELECT chr, count(*) AS n FROM (SELECT * FROM reads QUALIFY row_number() OVER (PARTITION BY chr, start, status, insert_size ORDER BY price DESC, name) = 1) GROUP BY 1""")
 def b3(spark, sf):
     """One alignment for each position, strand and mate."""
