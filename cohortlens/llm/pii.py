@@ -6,7 +6,8 @@ identifier cues.  At each anchor a deterministic local parser expands to the lef
 right and validates what it has (label structure, octets, Luhn, IBAN mod 97, ...).
 
 Base kinds are leftmost and do not overlap within their kind: ``email``, ``ip``,
-``card``, ``phone``.  Added kinds: ``account``, ``iban``, ``ssn``, ``url``.
+``card``, ``phone``.  Added kinds: ``account``, ``iban``, ``ssn``, ``url`` and ``secret`` (what is
+assigned to a token, key or password).
 
 Edge cases: a null or empty text has no spans; texts of any length are read whole;
 repeated rows give equal rows; columns of the input are never looked at besides the
@@ -27,16 +28,18 @@ from cohortlens.llm.common import with_id
 
 # Order of kinds in the output.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "account", "iban", "ssn", "url")
+KINDS = (*BASE_KINDS, "account", "iban", "ssn", "url", "secret")
 # Cues, matched in lower, upper and title case.
 SCHEMES = ("http://", "https://", "ftp://")
 ACCOUNT_CUES = ("account", "acct", "konto", "compte", "cuenta")
 IBAN_CUES = ("iban",)
 SSN_CUES = ("ssn", "social security")
+SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "private_key")
 
 SPANS_SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
 
 _DIGITS = "0123456789"
+_DIGIT_SET = frozenset(_DIGITS)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _QUAD = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -46,6 +49,8 @@ _URL = re.compile(r"[^\s<>\"'`]+")
 _AFTER_CUE = re.compile(r"[ \t]*(?:(?:number|no\.?|nr\.?|#)[ \t]*)?[:=#]?[ \t]*", re.I)
 _ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){5,16}(?![0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: What is assigned to a secret's name: a word of some length with a digit in it.
+_SECRET = re.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_+/=.-]{8,})")
 _SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9])")
 
 
@@ -61,7 +66,7 @@ def build_automaton():
             found.add_word(f"{a}.{b}", ("dot", 3))
             for joint in ("", " ", "-"):
                 found.add_word(f"{a}{joint}{b}", ("pair", 2 + len(joint)))
-    for tag, cues in (("scheme", SCHEMES), ("account", ACCOUNT_CUES), ("iban", IBAN_CUES), ("ssn", SSN_CUES)):
+    for tag, cues in (("scheme", SCHEMES), ("account", ACCOUNT_CUES), ("iban", IBAN_CUES), ("ssn", SSN_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
             for form in {cue, cue.upper(), cue.title()}:
                 found.add_word(form, (tag, len(cue)))
@@ -133,6 +138,11 @@ def find_spans(text: str | None, automaton) -> list[tuple[str, int, int]]:
             done["phone"] = stop
             if 9 <= sum(c in _DIGITS for c in text[start:stop]) <= 15:
                 out["phone"].append((start, stop))
+        elif tag == "secret":
+            m = _SECRET.match(text, end + 1)
+            if m and m.start(1) >= done["secret"] and not _DIGIT_SET.isdisjoint(m[1]):
+                done["secret"] = m.end()
+                out["secret"].append((m.start(1), m.start(1) + len(m[1].rstrip("."))))
         elif tag == "scheme":
             if start < done["url"] or not (m := _URL.match(text, end + 1)):
                 continue
@@ -189,7 +199,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     as_text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(F.col(id_col), *[count(k) for k in BASE_KINDS], F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+    return found.select(F.col(id_col), *[count(k) for k in BASE_KINDS], F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), count("secret"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -206,6 +206,8 @@ def test_pii_added_kinds_and_redaction(spark):
     spans = pii.find_spans(text, automaton)
     assert [(k, text[s:e]) for k, s, e in spans] == [("email", "x@y.zz"), ("account", "123456789"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789"), ("url", "https://a.b/c")]
     assert pii.redact_text(text, spans) == "IBAN: <IBAN> AND account no. <ACCOUNT> ssn <SSN> <URL>, <EMAIL>"
+    secret = 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and {"api_key": "abc-123_x/9="}, PASSWORD: hunter22. Tokens = 5, token: words, secretary = 12345678'
+    assert [secret[s:e] for k, s, e in pii.find_spans(secret, automaton) if k == "secret"] == ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "abc-123_x/9=", "hunter22"]
     df = spark.createDataFrame([(1, text, "q"), (2, None, None), (3, "", "é"), (1, text, "q")], "doc_id long, text string, spans string")
     got = pii.digest(pii.detect(df)).collect()
     assert sorted(r["n_email"] for r in got) == [0, 0, 1, 1] and {r["base_sha256"] for r in got if r["doc_id"] != 1} == {hashlib.sha256(b"").hexdigest()}
@@ -334,3 +336,30 @@ def test_extra_columns_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "the word", "en", "id", "spans", 1)], "doc_id long, text string, lang string, id string, spans string, n_words long").withColumn("score", F.lit(1))
     assert decontam.contamination(docs, docs.select(F.col("doc_id").alias("item_id"), "text")).count() == 1
     assert langid.identify(docs, langid.fit(docs)).count() == 1 and pii.detect(docs).count() == 1
+    more = docs.select("*", *[F.lit("x").alias(c) for c in ("size", "shard", "law", "slot", "text_crc32", "key", "h", "page_id", "url", "html", "row", "m", "a", "b")])
+    assert sharding.assign(more).first()["size"] == 9
+    assert decontam.contamination(more, more.select("text", F.col("doc_id").alias("item_id"), "id", "m"), block_bytes=0).first()["items"] == ["1"]
+    assert html_extract.extract(more.withColumn("html", F.lit("<p>a</p>"))).first()["text"] == "a"
+    assert {r["url"] for r in html_extract.extract(more).collect()} == {"x"}
+
+
+def test_very_long_texts(spark):
+    words = " ".join(["the of and with that this have from"] * 40_000)
+    spans = "write to a@b.cd or +1 234 567 8901 " * 20_000
+    docs = spark.createDataFrame([(1, words, "en"), (2, "der die und nicht mit sich auf eine " * 20, "de"), (3, spans, "en"), (4, "a " * 200_000, "en"), (5, "x" * 2_000_000, "en")], "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id <= 2"))
+    found = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert found[1]["lang_pred"] == "en" and found[2]["lang_pred"] == "de" and found[1]["spans"][-1]["end"] == len(words)
+    counts = {r["doc_id"]: (r["n_email"], r["n_phone"]) for r in pii.digest(pii.detect(docs)).collect()}
+    assert counts[3] == (20_000, 20_000) and counts[1] == counts[4] == counts[5] == (0, 0)
+    assert sum(r["size"] for r in sharding.assign(docs).collect()) == sum(len(t) + 1 for t in (words, "der die und nicht mit sich auf eine " * 20, spans, "a " * 200_000, "x" * 2_000_000))
+
+
+def test_repeated_words_are_marked_in_linear_time(spark):
+    """A word that fills a document and an item meets itself at every place of both."""
+    docs = spark.createDataFrame([(1, "a " * 100_000 + "b"), (2, "b " + "a " * 9), (3, "a " * 10)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "a " * 2_000), (8, "a " * 30), (9, "b")], "item_id long, text string")
+    for block in (8_000_000, 0):
+        began = time.perf_counter()
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontam.digest(decontam.contamination(docs, bench, block_bytes=block)).collect()}
+        assert got == {1: (100_001, 100_001, 3), 2: (10, 1, 1), 3: (10, 10, 2)} and time.perf_counter() - began < 60
