@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortlens.operators.ranks import numbered
+
 SITE = ["chr", "start", "end"]
 
 
@@ -61,10 +63,9 @@ def mean_normal_depth(depths: DataFrame) -> DataFrame:
 
 
 def ranked_pairs(weak: DataFrame, strong: DataFrame, value: str) -> DataFrame:
-    """The weakest of one panel with the strongest of the other, by rank; panels are small, so a global rank is one sort."""
-    numbered = lambda d, order: d.withColumn("_n", F.row_number().over(Window.orderBy(order, *SITE)))
-    a = numbered(weak, F.round(value, 9).asc()).select("_n", *SITE, F.col(value).alias("weak_depth"))
-    b = numbered(strong, F.round(value, 9).desc()).select("_n", *[F.col(c).alias(f"{c}_donor") for c in SITE], F.col(value).alias("donor_depth"))
+    """The weakest of one panel with the strongest of the other, by rank."""
+    a = numbered(weak, [F.round(value, 9).asc(), *SITE], "_n").select("_n", *SITE, F.col(value).alias("weak_depth"))
+    b = numbered(strong, [F.round(value, 9).desc(), *SITE], "_n").select("_n", *[F.col(c).alias(f"{c}_donor") for c in SITE], F.col(value).alias("donor_depth"))
     return a.join(b, "_n").drop("_n")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlens.functions.scalar import mcc
+from cohortlens.operators.ranks import numbered
 
 
 def unique_draws(spark: SparkSession, pool: list, size: int, repeats: int, seed: int = 42) -> DataFrame:
@@ -59,9 +60,14 @@ def leave_out(rows: DataFrame, keys: list[str], value: str, fold: str | None = N
 
 
 def fold_ids(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
-    """Contiguous folds from 0; the first ones take the remainder."""
-    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return rows.withColumn("fold", (F.ntile(k).over(over.orderBy(*order)) - 1).cast("long"))
+    """Contiguous folds from 0; the first ones take the remainder.  Without keys all rows are numbered in ranges."""
+    if keys:
+        return rows.withColumn("fold", (F.ntile(k).over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+    placed = numbered(rows, order, "_n")
+    total = placed.agg(F.count("*").alias("_all"))
+    at, size, more = F.col("_n") - 1, F.floor(F.col("_all") / k), F.col("_all") % k
+    fold = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor(F.try_divide(at - more * (size + 1), size)))
+    return placed.crossJoin(F.broadcast(total)).select(*rows.columns, fold.cast("long").alias("fold"))
 
 
 def even_split(rows: DataFrame) -> DataFrame:

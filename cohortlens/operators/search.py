@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlens.functions.scalar import z_value
+from cohortlens.operators import ranks
 from cohortlens.operators.evaluate import roc_auc, sample_confusion
 from cohortlens.operators.resample import best_repeat
 from cohortlens.operators.scores import inter_score
@@ -178,10 +179,9 @@ def greedy_shrink(rows: DataFrame, start: DataFrame, cutoff: float, rounds: int
 def numbered(pool: DataFrame) -> tuple[DataFrame, int]:
     """The samples of a pool in order with their ``place`` from 0 (written once), and how many there are."""
     spark = pool.sparkSession
-    ranked = pool.select("sample").distinct().sort("sample").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    kind = pool.schema["sample"].dataType.simpleString()
-    spark.createDataFrame(ranked, f"place long, sample {kind}").write.parquet(path := scratch(spark, "pool"))
-    out = spark.read.parquet(path)
+    ranked = ranks.numbered(pool.select("sample").distinct(), ["sample"], "place").withColumn("place", (F.col("place") - 1).cast("long"))
+    ranked.write.parquet(path := scratch(spark, "pool"))
+    out = spark.read.schema(ranked.schema).parquet(path)
     return out, out.count()
 
 

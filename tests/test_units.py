@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar as S
-from cohortlens.operators import admission, evaluate, meta_etl, methyl, panel, resample, scores, search, snp
+from cohortlens.operators import admission, evaluate, meta_etl, methyl, panel, ranks, resample, scores, search, snp
 from cohortlens.operators import reads as R
 from cohortlens.sources import files
 
@@ -331,6 +331,18 @@ def test_reference_candidates_and_stable_reference(spark):
         search.stable_reference(tracks, listed(early), listed(pool[:2]), listed(ez_refs), 4)
 
 
+def test_numbers_by_ranges(spark):
+    rng = random.Random(51)
+    values = [(rng.randrange(20), i) for i in range(500)]
+    df = spark.createDataFrame(values, "x long, i long").repartition(5)
+    got = [(r["x"], r["i"]) for r in ranks.numbered(df, [F.col("x").desc(), "i"], "n").orderBy("n").collect()]
+    assert got == sorted(values, key=lambda v: (-v[0], v[1]))
+    assert sorted(r["n"] for r in ranks.numbered(df, ["x", "i"], "n").collect()) == list(range(1, 501)) and ranks.numbered(df.limit(0), ["x"], "n").collect() == []
+    for n, k in ((10, 4), (3, 5), (8, 4), (0, 3)):
+        folds = [r["fold"] for r in resample.fold_ids(spark.range(n).withColumnRenamed("id", "sample"), [], ["sample"], k).orderBy("sample").collect()]
+        assert folds == [f for f in range(k) for _ in range(n // k + (f < n % k))]
+
+
 def test_cohort_plans_read_each_table_once(spark):
     """Scores of a cohort: one scan of the reads by sites and one by chromosomes, and no statistics joined back."""
     from cohortlens.plans import cohort
