@@ -105,12 +105,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     good = F.size(vector) > 0
     good &= F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.when(F.coalesce(good, F.lit(False)) & F.col(label_col).isNotNull(), vector).alias("vector"))
-    classes = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    # equal vectors of one label are told apart from others by 128 bits, so that rows are joined without their vectors
+    rows = rows.select("id", "label", "vector", F.xxhash64(F.lit(1), "label", "vector").alias("a"), F.xxhash64(F.lit(2), "vector", "label").alias("b"))
+    classes = rows.where("vector is not null").groupBy("a", "b").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("n"))
     # written, so that the numbers stay the same however often a part is read again
-    classes, _ = keep(classes.select(F.monotonically_increasing_id().alias("class"), "label", "vector", "least", "n"), "vectors")
+    classes, _ = keep(classes.select(F.monotonically_increasing_id().alias("class"), "a", "b", "label", "vector", "least", "n"), "vectors")
 
     sizes = classes.groupBy("label", F.size("vector").alias("dim")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = classes.withColumn("dim", F.size("vector")).join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("class"), "tiles").cast("int"))
+    dealt = classes.drop("a", "b", "least").withColumn("dim", F.size("vector")).join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("class"), "tiles").cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf.iloc[[0]][["label", "dim", "tiles", "own"]].copy()
@@ -137,7 +139,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     placed = classes.select("class", "least", "n").join(roots, "class", "left").join(links, "class", "left")
     placed, _ = keep(placed.select("class", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class").alias("root")), "placed")
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    looked_up = classes.select("class", "label", "vector").join(placed, "class").join(named, "root").select("label", "vector", "n_links", "component_id")
-    linked = rows.where("vector is not null").join(looked_up, ["label", "vector"]).select("id", "n_links", "component_id")
+    looked_up = classes.select("class", "a", "b").join(placed, "class").join(named, "root").select("a", "b", "n_links", "component_id")
+    linked = rows.where("vector is not null").select("id", "a", "b").join(looked_up, ["a", "b"]).select("id", "n_links", "component_id")
     alone = rows.where("vector is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
