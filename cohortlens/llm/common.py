@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -31,6 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Paths of the tables that were written and not deleted yet.
+_MADE: list[str] = []
+
+
 def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder; the reread table and its path.
 
@@ -39,6 +45,7 @@ def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cohortlens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -47,6 +54,19 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that :func:`keep` writes inside are deleted at the end, but for those whose paths are put in the list."""
+    before, stay = set(_MADE), []
+    try:
+        yield stay
+    finally:
+        for path in [p for p in _MADE if p not in before and p not in stay]:
+            discard(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

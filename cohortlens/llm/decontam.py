@@ -195,9 +195,10 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def _marked(source: DataFrame, items: list[tuple[str | None, str | None]], window: int, k: int) -> DataFrame:
-    """(``id``, ``n_words``, spans, items) against a benchmark that is broadcast."""
+def _marked(source: DataFrame, items: list[tuple[str | None, str | None]], window: int, k: int, with_text: bool) -> DataFrame:
+    """(``id``, ``text`` if asked for, ``n_words``, spans, items) against a benchmark that is broadcast."""
     shared = source.sparkSession.sparkContext.broadcast(build_index(items, window, k))
+    carried = ["id", "text"] if with_text else ["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -205,9 +206,10 @@ def _marked(source: DataFrame, items: list[tuple[str | None, str | None]], windo
             texts = b.column(1).to_pylist()
             for first, last in _chunks(texts):
                 found = mark(texts[first:last], index)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array([f[0] for f in found], pa.int64()), *_results(found, index)], names=["id", "n_words", "spans", "items"])
+                part = [b.column(i).slice(first, last - first) for i in range(len(carried))]
+                yield pa.RecordBatch.from_arrays([*part, pa.array([f[0] for f in found], pa.int64()), *_results(found, index)], names=[*carried, "n_words", "spans", "items"])
 
-    return source.mapInArrow(run, with_id(source, f"n_words long, {_SPANS}"))
+    return source.mapInArrow(run, with_id(source, "text string, " * with_text + f"n_words long, {_SPANS}"))
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -240,7 +242,7 @@ def _joined(source: DataFrame, items: DataFrame, window: int, k: int) -> DataFra
     bit = F.col("hash").bitwiseAND((1 << _BITS) - 1)
     parts = prints.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
     held = np.zeros(1 << (_BITS - 3), np.uint8)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():  # 8 MB at most
         held[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(held)  # 8 MB
 
@@ -260,7 +262,7 @@ def _joined(source: DataFrame, items: DataFrame, window: int, k: int) -> DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts = [len(words_of(t.as_py())) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(counts, pa.int64())], names=["id", "a", "b", "n_words"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64())], names=["id", "text", "a", "b", "n_words"])
 
     hits = named.select("text", "a", "b").mapInArrow(of_docs, "hash long, a long, b long").distinct()
     met, _ = keep(hits.join(prints.select("hash", "item"), "hash").select("a", "b", "item").distinct(), "met")
@@ -274,21 +276,21 @@ def _joined(source: DataFrame, items: DataFrame, window: int, k: int) -> DataFra
         return pa.table([left.column("a"), left.column("b"), *_results(mark(left.column("text").to_pylist(), index), index)], names=["a", "b", "spans", "items"])
 
     found, _ = keep(texts.groupBy("a", "b").cogroup(asked.groupBy("a", "b")).applyInArrow(verify, f"a long, b long, {_SPANS}"), "spans")
-    rows = named.mapInArrow(count, with_id(source, "a long, b long, n_words long"))
+    rows = named.mapInArrow(count, with_id(source, "text string, a long, b long, n_words long"))
     none = F.expr("cast(array() as array<struct<start:long,end:long>>)"), F.expr("cast(array() as array<string>)")
-    return rows.join(found, ["a", "b"], "left").select("id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
+    return rows.join(found, ["a", "b"], "left").select("id", "text", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                  window: int = 10, k: int = 5, block_bytes: int = 8_000_000) -> DataFrame:
-    """Of each document: id, ``n_words``, merged hit ``spans`` of words and the sorted ``items`` (as strings) that occur."""
+                  window: int = 10, k: int = 5, block_bytes: int = 8_000_000, with_text: bool = False) -> DataFrame:
+    """Of each document: id, ``n_words``, merged hit ``spans`` of words and the sorted ``items`` (as strings) that occur; the ``text`` too if asked for."""
     if not 1 <= k <= window:
         raise ValueError("k must be from 1 to window")
     items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = _marked(source, [(r["name"], r["text"]) for r in items.collect()], window, k) if total <= block_bytes else _joined(source, items, window, k)
-    return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
+    out = _marked(source, [(r["name"], r["text"]) for r in items.collect()], window, k, with_text) if total <= block_bytes else _joined(source, items, window, k)
+    return out.select(F.col("id").alias(id_col), "n_words", "spans", "items", *["text"] * with_text)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

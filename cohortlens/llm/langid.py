@@ -54,7 +54,9 @@ SCRIPTS = {
 }
 UNDETERMINED = "und"
 #: Characters that are worked on at once; a longer text is a piece of its own.
-_CHUNK = 1_000_000
+_CHUNK = 500_000
+#: A word's score for a language that isn't written in its script.
+_NEVER = -1e6
 
 
 @lru_cache(1)
@@ -171,7 +173,7 @@ def label(texts: list[str], model: dict, penalty: float) -> list[tuple[str, floa
     scores = np.add.reduceat(model["table"][bucket], first, axis=0).astype(np.float64)
     candidate = model["written"][script]
     known = candidate.any(1)
-    scores = np.where(candidate, scores, scores.min() - 50.0)
+    scores = np.where(candidate, scores, _NEVER)
     scores[~known] = 0.0
     letters = np.diff(first, append=len(at))
     begin = at[first]
@@ -195,8 +197,8 @@ def label(texts: list[str], model: dict, penalty: float) -> list[tuple[str, floa
     return out
 
 
-def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0) -> DataFrame:
-    """(``id_col``, ``lang_pred``, ``score``, ``spans``) of each row; no shuffle."""
+def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0, with_text: bool = False) -> DataFrame:
+    """(``id_col``, ``lang_pred``, ``score``, ``spans``, and the ``text`` if asked for) of each row; no shuffle."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
@@ -213,9 +215,11 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 found += label(texts[first:last], model, penalty)
                 first = last
             spans = pa.array([[{"start": s, "end": e, "lang": g} for s, e, g in f[2]] for f in found], span)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans], names=["id", "lang_pred", "score", "spans"])
+            columns = {"id": b.column(0), "lang_pred": pa.array([f[0] for f in found], pa.string()), "score": pa.array([f[1] for f in found], pa.float64()), "spans": spans}
+            columns |= {"text": b.column(1)} if with_text else {}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return source.mapInArrow(run, with_id(source, "lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")).withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, with_id(source, "lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>" + ", text string" * with_text)).withColumnRenamed("id", id_col)
 
 
 def remainder(id_col: str, n: int):

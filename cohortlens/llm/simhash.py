@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import keep, shuffle_partitions, with_id
+from cohortlens.llm.common import keep, scratch, shuffle_partitions, with_id
 from cohortlens.llm.components import connected_components
-from cohortlens.llm.shingles import class_of, mix, sets_of, shingle_set, similar
+from cohortlens.llm.shingles import class_of, histogram, may_reach, mix, sets_of, shingle_set, similar
 
 BITS = 64
 
@@ -262,41 +262,81 @@ def set_prints(found: np.ndarray, prints: int, piece: int = 60_000) -> np.ndarra
     return np.packbits(counts * 2 > len(found)).view(np.int64)
 
 
+#: Members of a key that are compared with each other at once.
+_KEY = 4096
+
+
 def _met(small: int, bits: int):
-    """Reads (key, cls, look) sorted by key and class; yields pairs (u, v, nulls) with looks within so many bits, and of larger keys stars and their entries (nulls, entry)."""
-    names = ["u", "v", "key", "cls", "look"]
+    """Reads (key, cls, look, part) sorted by key and class; yields pairs (u, v, null) with looks within so many bits.
 
-    def pairs(u, v) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), *[pa.nulls(len(u), pa.int64())] * 3], names=names)
+    Where a key has more such pairs than classes, one of its classes is tried against the others;
+    those that are in further pairs are yielded as (cls, null, part) for a second look.
+    """
+
+    def rows(u, v=None, part=None) -> pa.RecordBatch:
+        n = len(u)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.nulls(n, pa.int64()) if v is None else pa.array(v, pa.int64()), pa.nulls(n, pa.int32()) if part is None else pa.array(part, pa.int32())], names=["u", "v", "part"])
 
-    def star(hub, x) -> Iterator[pa.RecordBatch]:
-        key, cls, look = x
+    def hub_of(x) -> tuple[np.int64, np.int64, np.int64]:
+        """The key, and its class that is nearest to what most of them have: copies of one text are nearer to it than to each other."""
+        key, cls, look, _ = x
+        center = np.packbits(np.unpackbits(look.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) * 2 > len(look)).view(np.int64)[0]
+        near = int(_distance(look, center).argmin())
+        return key[0], cls[near], look[near]
+
+    def star(hub, x, whole: bool = False) -> Iterator[pa.RecordBatch]:
+        _, cls, look, part = x
         hit = (_distance(look, hub[2]) <= bits) & (cls != hub[1])
-        yield pairs(np.full(int(hit.sum()), hub[1]), cls[hit])
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(key), pa.int64())] * 2, pa.array(key), pa.array(cls), pa.array(look)], names=names)
+        yield rows(np.full(int(hit.sum()), hub[1]), cls[hit])
+        other = cls != hub[1]
+        if whole and len(cls) <= _KEY:  # those without a near class besides the hub are done
+            for s in range(0, len(cls), 256):
+                near = _distance(look[s : s + 256, None], look[None, :]) <= bits
+                near[np.arange(len(near)), np.arange(s, s + len(near))] = False
+                near[:, cls == hub[1]] = False
+                other[s : s + 256] &= near.any(1)
+        again.append((cls[other], part[other]))
+
+    def members() -> Iterator[pa.RecordBatch]:
+        if again:
+            some = np.unique(np.stack([np.concatenate([a[0] for a in again]), np.concatenate([a[1] for a in again]).astype(np.int64)], 1), axis=0)
+            again.clear()
+            yield rows(some[:, 0], part=some[:, 1])
 
     def solve(x) -> Iterator[pa.RecordBatch]:
-        key, cls, look = x
+        key, cls, look, part = x
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(first, append=len(key))
         run, few = np.repeat(np.arange(len(first)), length), np.repeat(length <= small, length)
-        us, vs = [cls[:0]], [cls[:0]]
+        at, to = [first[:0]], [first[:0]]
         for d in range(1, small):
             i = np.flatnonzero((run[d:] == run[:-d]) & few[d:]) if len(run) > d else np.empty(0, np.int64)
             if not len(i):
                 break
             i = i[_distance(look[i], look[i + d]) <= bits]
-            us.append(cls[i])
-            vs.append(cls[i + d])
-        u, v = np.concatenate(us), np.concatenate(vs)
+            at.append(i)
+            to.append(i + d)
+        i, j = np.concatenate(at), np.concatenate(to)
+        degree = np.bincount(i, minlength=len(key)) + np.bincount(j, minlength=len(key))
+        dense = (np.bincount(run[i], minlength=len(first)) > length)[run[i]]
+        best = np.lexsort((np.arange(len(key)), -degree, run))[first]  # of each key the class with most pairs
+        hub = best[run[i]]
+        done = ~dense | (i == hub) | (j == hub)
+        more = np.concatenate([i[~done], j[~done]])
+        if len(more):
+            again.append((cls[more], part[more]))
+        u, v = cls[i[done]], cls[j[done]]
         both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0) if len(u) else np.empty((0, 2), np.int64)
-        yield pairs(both[:, 0], both[:, 1])
+        yield rows(both[:, 0], both[:, 1])
         for s, n in zip(first[length > small], length[length > small], strict=True):
-            part = [c[s : s + n] for c in x]
-            yield from star([c[0] for c in part], part)
+            own = [c[s : s + n] for c in x]
+            yield from star(hub_of(own), own, whole=True)
+
+    again: list[tuple[np.ndarray, np.ndarray]] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hub = None, None
+        again.clear()
         for b in batches:
             x = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if held is not None:
@@ -314,30 +354,40 @@ def _met(small: int, bits: int):
                 yield from solve([c[:start] for c in x])
             held = [c[start:] for c in x]
             if len(held[0]) > 50_000:
-                hub = [c[0] for c in held]
+                hub = hub_of(held)
                 yield from star(hub, held)
                 held = None
+            if sum(len(a[0]) for a in again) > 500_000:
+                yield from members()
         if held is not None:
             yield from solve(held)
+        yield from members()
 
     return run
 
 
-def _unconnected(entries: DataFrame, roots: DataFrame, bits: int, block: int = 2048) -> DataFrame:
-    """Pairs within so many bits of classes of one key that are not connected yet: blocks of a key meet in pairs."""
-    placed = entries.join(roots, entries["cls"] == roots["node"], "left").select("key", "cls", "look", F.coalesce("root", "cls").alias("root"))
-    sizes = placed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", "n")
-    dealt = placed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("cls"), "n").cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("key", "cls", "look", "root", "own", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"))
+def _unconnected(entries: DataFrame, bits: int, block: int = 2048) -> DataFrame:
+    """Pairs of classes that share a variant, within so many bits, which no link connects yet: blocks of a key meet in pairs.
+
+    Entries are (key, cls, root, look, segment, bins): all variants of a half of a segment are
+    one key, and segments that differ by at most one bit share one of them.  Histograms
+    (``bins``) rule out most pairs that are less similar, so a task returns little more than links.
+    """
+    sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", "n")
+    dealt = entries.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("cls"), "n").cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("key", "cls", "look", "root", "segment", "bins", "own", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         own, i, j = pdf["own"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
-        cls, root, look = (pdf[c].to_numpy(np.int64) for c in ("cls", "root", "look"))
+        cls, root, look, segment = (pdf[c].to_numpy(np.int64) for c in ("cls", "root", "look", "segment"))
+        counts = np.frombuffer(b"".join(pdf["bins"]), "<u4").reshape(len(pdf), -1)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         us, vs = [cls[:0]], [cls[:0]]
         for x in left:
-            hit = right[(_distance(look[right], look[x]) <= bits) & (root[right] != root[x])]
+            hit = right[(_distance(segment[right], segment[x]) <= 1) & (root[right] != root[x])]
+            hit = hit[_distance(look[hit], look[x]) <= bits]
             hit = hit[cls[hit] > cls[x]] if i == j else hit
+            hit = hit[may_reach(counts[x], counts[hit])]
             us.append(np.full(len(hit), cls[x]))
             vs.append(cls[hit])
         return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
@@ -345,56 +395,76 @@ def _unconnected(entries: DataFrame, roots: DataFrame, bits: int, block: int = 2
     return dealt.groupBy("key", "i", "j").applyInPandas(meet, "u long, v long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, prints: int = 5, radius: int = 4, look_bits: int = 20, small: int = 16) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, prints: int = 5, radius: int = 4, look_bits: int = 20, sketch_bits: int = 80, small: int = 16) -> DataFrame:
     """(``id_col``, ``cls``, ``component_id``) of each row: groups of texts whose shingle sets have a Jaccard similarity of 4/5 or more.
 
     Candidates share a deletion variant of one of several independent 64-bit SimHashes of
-    their sets, and the first of these differs by at most ``look_bits`` bits; each is checked
-    on the whole sets, so nothing below 4/5 is linked.  A pair at a similarity of just 4/5
-    differs in 15 % of the bits and is found with a probability of 0.90 with five prints in
-    segments of 21 bits, one at 0.85 with 0.97, one at 0.9 with 0.997 (a group's members are found
+    their sets, the first of these differs by at most ``look_bits`` bits, all of them together by
+    at most ``sketch_bits``, and neither set is smaller than 4/5 of the other.  Each of them
+    is checked on the whole sets, so nothing below 4/5 is linked.  A pair at a similarity of
+    just 4/5 differs in 15 % of the bits (in 10 of 64, and 48 of 320 with a deviation of 6) and is found
+    with a probability of 0.90 with five prints in segments of 21 bits, one at 0.85 with 0.97, one at 0.9 with 0.997 (a group's members are found
     through any of the others).  Equal sets are one class (``cls``) beforehand.  Keys with more
-    than ``small`` classes first try them against one of them; only classes that are not
-    connected by that meet in blocks, all of them.
+    such pairs than classes first try them against one class, the nearest to what most have; only
+    classes in further pairs that are not connected by that meet in blocks, all of them.
 
     Texts without words are one class and link with nothing else; rows with a null id keep their
     group but don't give it its id; repeated rows stay; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
     names = [f"p{k}" for k in range(prints)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(2)]
             found = np.stack([set_prints(x, prints) for x in sets]) if sets else np.empty((0, prints), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), *[pa.array(found[:, k]) for k in range(prints)]],
-                                             names=["id", "cls", "size", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([class_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()),
+                                              pa.array([histogram(x) for x in sets], pa.binary()), *[pa.array(found[:, k]) for k in range(prints)]], names=["id", "key", "cls", "size", "bins", *names])
+
+    rows, _ = keep(source.mapInArrow(describe, with_id(source, "key long, cls long, size int, bins binary, " + ", ".join(f"{n} long" for n in names))), "prints")
+    with scratch(spark) as stay:
+        links = _near_links(rows, source, names, shingle, radius, look_bits, sketch_bits, small)
+        roots = connected_components(links)
+        ids = rows.groupBy("cls").agg(F.min("id").alias("least"))
+        placed, path = keep(ids.join(roots, ids["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root")), "classes")
+        stay.append(path)
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("id", "cls").join(placed.join(named, "root").select("cls", "component_id"), "cls").select(F.col("id").alias(id_col), "cls", "component_id")
 
-    rows, _ = keep(source.mapInArrow(describe, with_id(source, "cls long, size int, " + ", ".join(f"{n} long" for n in names))), "prints")
-    classes = rows.where("size > 0").dropDuplicates(["cls"]).select("cls", F.posexplode(F.array(*names)).alias("print", "fp"), F.col("p0").alias("look"))
+
+def _near_links(rows: DataFrame, source: DataFrame, names: list[str], shingle: int, radius: int, look_bits: int, sketch_bits: int, small: int) -> DataFrame:
+    """Checked links (``u``, ``v``) between classes that share a deletion variant of one of the prints ``names``."""
+    spark = rows.sparkSession
+    sketches, _ = keep(rows.where("size > 0").groupBy("cls").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bins").alias("bins"), *[F.first(n).alias(n) for n in names]), "sketches")
+    classes = sketches.select("cls", F.posexplode(F.array(*names)).alias("print", "fp"), F.col(names[0]).alias("look"))
 
     parts = halves(radius)
     half = F.explode(F.lit(list(range(len(parts)))).cast("array<byte>")).alias("half")
     whole = F.col("fp").bitwiseAND(_of([p[0] for p in parts], "array<long>", F.col("half")))
     segment = F.col("fp").bitwiseAND(_of([p[1] for p in parts], "array<long>", F.col("half")))
-    dealt = classes.select("print", half, "cls", "look", "fp").select("print", "half", "cls", "look", segment.alias("segment"), whole.alias("whole"))
+    placed = lambda d: d.select("*", segment.alias("segment"), whole.alias("whole"))
+    dealt = placed(classes.select("print", half, "cls", "look", "fp")).drop("fp")
     dealt = dealt.repartition(shuffle_partitions(spark), "print", "half", "whole")
     variant = F.explode(_of([[_signed(p[1] & ~(1 << b) & (2**64 - 1)) for b in p[2]] for p in parts], "array<array<long>>", F.col("half"))).alias("mask")
-    spread = dealt.select("print", variant, "cls", "look", "segment").select(F.xxhash64("print", "mask", F.col("segment").bitwiseAND(F.col("mask"))).alias("key"), "cls", "look")
-    met, _ = keep(spread.sortWithinPartitions("key", "cls").mapInArrow(_met(small, look_bits), "u long, v long, key long, cls long, look long"), "met")
+    part = (F.col("print") * len(parts) + F.col("half")).cast("int").alias("part")
+    spread = dealt.select("print", variant, "cls", "look", "segment", part).select(F.xxhash64("print", "mask", F.col("segment").bitwiseAND(F.col("mask"))).alias("key"), "cls", "look", "part")
+    met, _ = keep(spread.sortWithinPartitions("key", "cls").mapInArrow(_met(small, look_bits), "u long, v long, part int"), "met")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs, _ = keep(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-        sets, _ = keep(sets_of(source, pairs.select(F.col("u").alias("cls")).union(pairs.select("v")), shingle), "sets")
-        return keep(similar(pairs, sets), "links")[0]
-
-    links = checked(met.where("u is not null").select("u", "v"))
-    rest = met.where("u is null").select("key", "cls", "look")
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        a, b = (sketches.select(F.col("cls").alias(side), F.struct("key", "size", *names).alias(f"{side}_")) for side in ("u", "v"))
+        apart = sum((F.bit_count(F.col(f"u_.{n}").bitwiseXOR(F.col(f"v_.{n}"))) for n in names), F.lit(0))
+        near = (apart <= sketch_bits) & (5 * F.least("u_.size", "v_.size") >= 4 * F.greatest("u_.size", "v_.size"))
+        pairs, _ = keep(pairs.join(a, "u").join(b, "v").where(near).select("u", "v", F.col("u_.key").alias("u_key"), F.col("v_.key").alias("v_key")), "pairs")
+        sets, _ = keep(sets_of(source, pairs.select(F.col("u_key").alias("key")).union(pairs.select("v_key")), shingle), "sets")
+        return keep(similar(pairs.select("u", "v"), sets), "links")[0]
+
+    links = checked(met.where("v is not null").select("u", "v"))
+    rest = met.where("v is null").select(F.col("u").alias("cls"), F.floor(F.col("part") / len(parts)).cast("int").alias("print"), (F.col("part") % len(parts)).cast("byte").alias("half")).distinct()
     if not rest.isEmpty():
-        links = links.union(checked(_unconnected(rest, connected_components(links), look_bits)))
-    roots = connected_components(links)
-    ids = rows.groupBy("cls").agg(F.min("id").alias("least"))
-    placed, _ = keep(ids.join(roots, ids["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root")), "classes")
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("id", "cls").join(placed.join(named, "root").select("cls", "component_id"), "cls").select(F.col("id").alias(id_col), "cls", "component_id")
+        roots = connected_components(links).withColumnRenamed("node", "cls")
+        known = sketches.select("cls", "bins", F.col(names[0]).alias("look"), F.array(*names).alias("fps")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        entries = placed(rest.join(known, "cls").withColumn("fp", F.element_at("fps", F.col("print") + 1))).select(F.xxhash64("print", "half", "whole").alias("key"), "cls", "root", "look", "segment", "bins")
+        links = links.union(checked(_unconnected(keep(entries, "entries")[0], look_bits)))
+    return links

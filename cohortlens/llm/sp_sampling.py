@@ -41,7 +41,7 @@ SPACE = "▁"
 _LITERAL = "\udfff"  # stands for U+2581 of the text while it is cut; no valid text holds it
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _SHORT = 48  # characters of a unit whose backward sums are products of plain numbers; longer ones go by logarithms
-_CHUNK = 2_000_000  # characters of text worked on at once
+_CHUNK = 1_500_000  # characters of text worked on at once
 _SHIFT = 8
 U = np.uint64
 _BASE, _SPREAD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)

@@ -243,6 +243,18 @@ def test_encode_and_decode(spark):
     assert sorted(r["text"] for r in sp_sampling.decode(broken, queries.PIECES).collect()) == ["", "�"]
 
 
+def test_simhash_and_pieces_with_long_texts_and_clashing_columns(spark):
+    words = [f"w{i % 700}" for i in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, None), (None, "w1 w2"), (4, "w1 w2")]
+    extra = ("id", "fp", "root", "component_id", "fingerprint", "u", "v", "bit", "half", "sample", "ids", "key", "least")
+    df = spark.createDataFrame([(i, t, *("x",) * len(extra)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra))
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(df).collect()}
+    assert got[2]["component_id"] == got[1]["component_id"] == 1 and got[4]["component_id"] == got[None]["component_id"] == 4
+    assert got[1]["fingerprint"] == f"{plain_fingerprint(rows[0][1]):016x}" and got[3]["fingerprint"] == "0" * 16
+    pieces = sp_sampling.decode(sp_sampling.encode(df.where("doc_id <= 2"), queries.PIECES, samples=2), queries.PIECES).collect()
+    assert {(r["doc_id"], r["text"]) for r in pieces} == set(rows[:2]) and len(pieces) == 4
+
+
 def test_pipeline_stages(spark):
     clean = [f"the {a} of {b} and that {c} is with this {a}{b} for it to be {c}{a} on" for a, b, c in itertools.product(["anst", "erle", "onwh"], ["inth", "edly"], ["tion", "ouha"])]
     passage = " ".join(f"bench{i}" for i in range(14))
@@ -265,11 +277,6 @@ def test_pipeline_stages(spark):
     assert all(f(spark, docs.limit(0), SF).count() == 0 for f in (one, two, three, four, five))
 
 
-def test_pipeline_runs(spark):
-    ids = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
-    assert 0 < len(ids) < 200 and corpus_pipeline.ORACLE_SQL is None
-
-
 def plain_shingles(text, n=5):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return frozenset(" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
@@ -298,8 +305,15 @@ def test_near_copies_by_jaccard(spark, small):
     words = [f"v{i}" for i in range(80)]
     texts += [" ".join(words[:k] + [f"u{k}x{r}"] + words[k + 1 :]) for k in range(0, 80, 2) for r in range(2)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["component_id"] for r in corpus_pipeline.shingles.near_duplicates(docs, small=small).collect()}
-    assert got == plain_groups(texts) and len(set(got.values())) < len(texts) - 100
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs, small=small).collect()}
+    want, sets = plain_groups(texts), [plain_shingles(t) for t in texts]
+    assert all(want[i] == want[root] for i, root in got.items())  # nothing below 0.8 is linked
+    pairs = [(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), got[i] == got[j]) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] | sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(pairs) > 300 and sum(found for _, found in pairs) >= 0.95 * len(pairs) and all(found for similar, found in pairs if similar >= 0.9)
+    one = lambda *ids: len({got[i] for i in ids}) == 1
+    assert one(0, 1, 2) and one(3, 4) and not one(0, 3)
+    named = docs.select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("doc_id"), "text", *[F.lit("x").alias(c) for c in ("id", "key", "cls", "size", "p0", "u", "look")])
+    assert simhash.near_copies(named.union(named), small=small).count() == 2 * len(texts) and simhash.near_copies(docs.limit(0)).collect() == []
 
 
 def test_pipeline_drops_near_copies(spark):
@@ -317,3 +331,20 @@ def test_pipeline_drops_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert want == set(range(0, 24, 2))
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == want
+
+
+def test_pipeline_keeps_columns(spark):
+    """Columns with the names that stages use inside, nulls, repeated rows and very long texts."""
+    text = "the and of that with this is for it to be on the one of them and that is all of it"
+    extra = ("row", "_row", "_n", "a", "b", "id", "key", "cls", "component_id", "spans", "items", "score", "lang_pred", "sample")
+    rows = [(1, text), (1, text), (2, text + " "), (None, text), (3, None), (4, ""), (5, ("the and of that with this %d " * 3 % (1, 2, 3)) * 20_000), (None, "a quite other text of the one that is with it and for this to be on")]
+    docs = spark.createDataFrame([(i, t, None, None, None, *extra) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    train = docs.select("doc_id", "text", F.lit("en").alias("lang"), *docs.columns[3:])
+    kept = corpus_pipeline.identify_language(spark, train, SF)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "2", "5", "None", "None"]
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(str(r["doc_id"]) for r in near.collect()) == ["1", "3", "5", "None"]
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_contaminated, corpus_pipeline.redact_personal_data):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and all(tuple(r)[5:] == extra for r in out.collect())
+    assert {r["doc_id"] for r in corpus_pipeline.sample_pieces(spark, docs.where("doc_id < 5"), SF).collect()} == {1, 2, 3, 4}

@@ -1,6 +1,7 @@
 """The registered queries on the smallest tables: against their SQL, or against plain versions."""
 
 import collections
+import functools
 import glob
 import hashlib
 import itertools
@@ -13,8 +14,9 @@ import duckdb
 import pytest
 import xxhash
 
-from cohortlens.llm import queries
-from tests.llm.test_group_operators import plain_scores
+import corpus_pipeline
+from cohortlens.llm import langid, pii, queries, sp_sampling
+from tests.llm.test_group_operators import plain_groups, plain_scores
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,6 +66,100 @@ def test_language_is_told_on_held_out_documents(spark, docs):
     assert sum(got[d["doc_id"]]["lang_pred"] == d["lang"] for d in held) >= 0.95 * len(held)
 
 
+def plain_words(text, bits=16):
+    """(letters, script, trigram buckets) of each word, a run of letters of one script."""
+    script = lambda c: next((i for i, r in enumerate(langid.SCRIPTS.values(), 1) if any(lo <= ord(c) <= hi for lo, hi in r)), 0)
+    low = lambda c: ord(c.lower()) if len(c.lower()) == 1 else ord(c)
+    for is_word, run in itertools.groupby(text or "", key=lambda c: script(c) + 1 if c.isalpha() else 0):
+        if is_word:
+            letters, buckets = [low(c) for c in run], []
+            for a, b, c in zip([0, *letters], letters, [*letters[1:], 0], strict=False):
+                h = (a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F ^ c * 0x165667B19E3779F9) % 2**64
+                buckets.append((h ^ h >> 31) * 0x94D049BB133111EB % 2**64 >> 64 - bits)
+            yield len(letters), is_word - 1, buckets
+
+
+def plain_languages(train, texts, penalty=12.0, bits=16, smoothing=0.5):
+    """(language, score, number of spans) of each text, from labelled (text, lang), with a Viterbi table in full."""
+    langs = sorted({lang for text, lang in train if text is not None and lang is not None})
+    grams, scripts = {g: collections.Counter() for g in langs}, {g: collections.Counter() for g in langs}
+    for text, lang in train:
+        if text is not None and lang is not None:
+            for n, script, buckets in plain_words(text):
+                grams[lang].update(buckets)
+                scripts[lang][script] += n
+    total = {g: sum(grams[g].values()) for g in langs}
+    every = sum(total.values())
+    @functools.cache
+    def weight(bucket):
+        rate = [math.log((grams[g][bucket] + smoothing * total[g] / every) / total[g]) for g in langs]
+        return [x - sum(rate) / len(rate) for x in rate]
+    written = lambda g, script: scripts[g][script] > 0 and scripts[g][script] >= 0.005 * sum(scripts[g].values())
+    out = []
+    for text in texts:
+        words = list(plain_words(text))
+        if not words:
+            out.append(("und", 0.0, 0))
+            continue
+        rows = []
+        for _, script, buckets in words:
+            fits = [written(g, script) for g in langs]
+            rows.append([sum(weight(b)[i] for b in buckets) if fit else 0.0 if not any(fits) else -1e6 for i, fit in enumerate(fits)])
+        now, back = rows[0], []
+        for row in rows[1:]:
+            step = [max(range(len(langs)), key=lambda j, i=i: (now[j] - penalty * (j != i), j == i)) for i in range(len(langs))]
+            now = [now[j] - penalty * (j != i) + row[i] for i, j in enumerate(step)]
+            back.append(step)
+        path = [max(range(len(langs)), key=now.__getitem__)]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        path.reverse()
+        share = [sum(w[0] for w, p in zip(words, path, strict=True) if p == i) for i in range(len(langs))]
+        best, n = share.index(max(share)), 1 + sum(a != b for a, b in itertools.pairwise(path))
+        sums = [sum(r[i] for r in rows) for i in range(len(langs))]
+        posterior = 1 / sum(math.exp(min(x - sums[best], 700)) for x in sums)
+        out.append((langs[best], share[best] / sum(share) * (posterior if n == 1 else 1), n))
+    return out
+
+
+def test_languages(spark, docs):
+    """Fit and prediction of the query against a plain model."""
+    want = plain_languages([(d["text"], d["lang"]) for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 5], [d["text"] for d in docs])
+    got = {r["doc_id"]: r for r in queries.op3_langid(spark, SF).collect()}
+    for d, (lang, score, spans) in zip(docs, want, strict=True):
+        r = got[d["doc_id"]]
+        assert (r["lang_pred"], r["n_spans"]) == (lang, spans) and r["score"] == pytest.approx(score, rel=1e-3), d["doc_id"]
+
+
+def test_pipeline(spark, docs):
+    """All stages over the whole table against plain versions of them."""
+    left = []
+    for d, (lang, score, _) in zip(docs, plain_languages([(d["text"], d["lang"]) for d in docs], [d["text"] for d in docs]), strict=True):
+        if lang != "und" and score >= corpus_pipeline.LEAST_LANGUAGE_SCORE:
+            left.append(d)
+    groups = plain_groups([d["text"] for d in left])
+    least = {}
+    for i, d in enumerate(left):
+        least[groups[i]] = min(least.get(groups[i], d["doc_id"]), d["doc_id"])
+    left = [d for d in left if d["doc_id"] in set(least.values())]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    windows = collections.defaultdict(set)
+    for (text,) in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").collect():
+        own = words(text)
+        m = min(10, len(own))
+        windows[m] |= {tuple(own[i : i + m]) for i in range(len(own) - m + 1)} if own else set()
+    clean = lambda own: not any(tuple(own[i : i + m]) in found for m, found in windows.items() for i in range(len(own) - m + 1))
+    left = [d for d in left if clean(words(d["text"]))]
+    automaton = pii.build_automaton()
+    want = {d["doc_id"]: pii.redact_text(d["text"], pii.find_spans(d["text"], automaton)) for d in left}
+    assert 100 < len(want) < len(docs) and any(want[d["doc_id"]] != d["text"] for d in left)
+    got = collections.defaultdict(list)
+    for r in sp_sampling.decode(corpus_pipeline.run(spark, SF), queries.PIECES).collect():
+        got[r["doc_id"]].append(r)
+    assert {i: {r["text"] for r in rows} for i, rows in got.items()} == {i: {t} for i, t in want.items()}
+    assert all(1 <= len(rows) <= 3 and len({tuple(r["ids"]) for r in rows}) == len(rows) and [r["sample"] for r in sorted(rows, key=lambda r: r["sample"])] == list(range(1, len(rows) + 1)) for rows in got.values())
+
+
 def test_language_model(spark, docs):
     tokens = {d["doc_id"]: [*re.findall(r"[^\x20\x09-\x0D]+", low(d["text"])), None] for d in docs}
     out = {d["doc_id"]: zlib.crc32(str(d["doc_id"]).encode()) % 10 == 0 for d in docs}
@@ -112,6 +208,41 @@ def test_pieces_spell_the_texts(spark, docs):
     assert sum(len(rows) == 3 for rows in by.values()) >= 0.95 * len(by)
 
 
+def test_piece_probabilities(spark, docs):
+    """Log probabilities of the query's samples from plain sums over all segmentations, and one threshold behind a text's inclusion scores."""
+    pieces = sp_sampling.load_pieces(queries.PIECES)
+    normal, first, last = pieces["normal"], min(pieces["normal"].values()), max(pieces["normal"].values())
+    of_byte = -0.5 * math.log(last - first + 200)
+    weight = lambda i: -0.5 * math.log(i - first + 100) if i in places else of_byte
+    places, longest = set(normal.values()), max(map(len, normal))
+
+    @functools.cache
+    def mass(unit):
+        out = [0.0] * (len(unit) + 1)
+        for i in range(len(unit) - 1, -1, -1):
+            terms = [weight(normal[unit[i:j]]) + out[j] for j in range(i + 1, min(len(unit), i + longest) + 1) if unit[i:j] in normal]
+            if unit[i] not in normal:
+                terms.append(of_byte * len(unit[i].encode()) + out[i + 1])
+            top = max(terms)
+            out[i] = top + math.log(sum(math.exp(t - top) for t in terms))
+        return out[0]
+
+    whole = {d["doc_id"]: sum(mass(u) for u in sp_sampling._UNIT.findall("▁" + d["text"].replace(" ", "▁"))) if d["text"] else 0.0 for d in docs}
+    rows = collections.defaultdict(list)
+    for r in sp_sampling.encode(spark.read.parquet(f"{SF}/documents.parquet"), queries.PIECES).collect():
+        rows[r["doc_id"]].append(r)
+    for doc, found in rows.items():
+        kappas = []
+        for r in found:
+            assert r["log_prob"] == pytest.approx(sum(weight(i) for i in r["ids"]) - whole[doc], abs=1e-3 + 1e-5 * len(r["ids"]))
+            assert 0 <= r["inclusion"] <= 1
+            if 1e-6 < r["inclusion"] < 1 - 1e-6:
+                kappas.append(r["log_prob"] - math.log(-math.log1p(-r["inclusion"])))
+        assert [r["perturbed"] for r in sorted(found, key=lambda r: r["sample"])] == sorted((r["perturbed"] for r in found), reverse=True)
+        if len(kappas) > 1:
+            assert max(kappas) - min(kappas) < 1e-3 and max(kappas) <= min(r["perturbed"] for r in found) + 1e-3
+
+
 def test_simhash(spark, docs):
     prints = {}
     for d in docs:
