@@ -416,7 +416,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [f"p{k}" for k in range(prints)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(s, 1000) for x in batches for s in range(0, x.num_rows, 1000)):  # a thousand sets at a time
             sets = [shingle_set(t.as_py(), shingle) for t in b.column(2)]
             found = np.stack([set_prints(x, prints) for x in sets]) if sets else np.empty((0, prints), np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([class_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()),

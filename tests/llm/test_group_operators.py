@@ -99,7 +99,8 @@ def test_embeddings_in_double_precision(spark):
     turned = lambda c: [c, math.sqrt(1 - c * c)]
     rows = [[1.0, 0.0], [1e300, 0.0], [1e-60, 0.0], [5e-324, 0.0], turned(0.93 + 1e-12), turned(0.93 - 1e-12), [1.7e308, 1.7e308], [1.0, float("inf")], [0.0, -0.0]]
     rows += [(rng.normal(size=2) * 10.0 ** rng.integers(-200, 200)).tolist() for _ in range(40)]
-    unit = [np.array(v) / np.abs(v).max() for v in map(np.array, rows)]
+    with np.errstate(invalid="ignore"):
+        unit = [np.array(v) / np.abs(v).max() for v in map(np.array, rows)]
     cos = lambda a, b: float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b))
     good = [i for i, v in enumerate(rows) if np.isfinite(v).all() and np.any(v)]
     links = [(i, j) for i, j in itertools.combinations(good, 2) if cos(unit[i], unit[j]) >= 0.93]
