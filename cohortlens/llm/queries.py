@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat_format, decontam, embed_dedup, html_extract, langid, lm_score, pii, sharding, simhash, sp_sampling
+from cohortlens.llm import chat_format, decontam, embed_dedup, html_extract, langid, lm_score, packing, pii, sharding, simhash, sp_sampling
 from cohortlens.llm.common import table
 
 
@@ -67,7 +67,15 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_sharding, op3_langid, op4_lm_score, op5_pii, op6_chat, op7_embeddings, op8_sentencepiece, op9_simhash, op10_decontam)}
+#: Ranks of the byte-level vocabulary of op13; its ids are those of byte_bpe_50k.json.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), RANKS)
+
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_sharding, op3_langid, op4_lm_score, op5_pii, op6_chat, op7_embeddings, op8_sentencepiece, op9_simhash, op10_decontam, op13_packing)}
 
 #: The generated pages hold one article each, of headings and paragraphs, with few kinds of references: that much is SQL.
 ORACLE_SQL: dict[str, str] = {
