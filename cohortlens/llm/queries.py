@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat_format, decontam, embed_dedup, html_extract, langid, lm_score, packing, pii, sharding, simhash, sp_sampling
+from cohortlens.llm import chat_format, decontam, embed_dedup, html_extract, langid, lexical, lm_score, packing, pii, sharding, simhash, sp_sampling
 from cohortlens.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Ranks of the byte-level vocabulary of op13; its ids are those of byte_bpe_50k.json.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -75,7 +79,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_sharding, op3_langid, op4_lm_score, op5_pii, op6_chat, op7_embeddings, op8_sentencepiece, op9_simhash, op10_decontam, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_sharding, op3_langid, op4_lm_score, op5_pii, op6_chat, op7_embeddings, op8_sentencepiece, op9_simhash, op10_decontam, op12_lexical, op13_packing)}
 
 #: The generated pages hold one article each, of headings and paragraphs, with few kinds of references: that much is SQL.
 ORACLE_SQL: dict[str, str] = {
@@ -131,4 +135,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
         FROM embeddings LEFT JOIN least ON least.u = vec_id LEFT JOIN degree ON degree.u = vec_id
     """,
+    "op12_lexical": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), held AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+        whole AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_words FROM d),
+        worth AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM held, whole GROUP BY term, n_docs),
+        sized AS (SELECT doc_id, 100 - 50 + (50 * len(w) * n_docs) // n_words AS m FROM d, whole WHERE len(w) > 0),
+        scored AS (
+            SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+            FROM asked JOIN held USING (term) JOIN worth USING (term) JOIN sized USING (doc_id) GROUP BY ALL
+        )
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 50
+    """,
 }
