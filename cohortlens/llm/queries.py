@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat_format, decontam, embed_dedup, html_extract, langid, lexical, lm_score, packing, pii, sharding, simhash, sp_sampling
+from cohortlens.llm import chat_format, decontam, embed_dedup, hard_negatives, html_extract, langid, lexical, lm_score, packing, pii, sharding, simhash, sp_sampling
 from cohortlens.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -79,7 +84,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_sharding, op3_langid, op4_lm_score, op5_pii, op6_chat, op7_embeddings, op8_sentencepiece, op9_simhash, op10_decontam, op12_lexical, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_sharding, op3_langid, op4_lm_score, op5_pii, op6_chat, op7_embeddings, op8_sentencepiece, op9_simhash, op10_decontam, op11_hard_negatives, op12_lexical, op13_packing)}
 
 #: The generated pages hold one article each, of headings and paragraphs, with few kinds of references: that much is SQL.
 ORACLE_SQL: dict[str, str] = {
@@ -151,4 +156,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
         FROM scored WHERE score > 0 QUALIFY rank <= 50
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), pairs AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        ), near AS (
+            SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+        )
+        SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+        FROM near JOIN pairs USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 3
+    """,
 }
