@@ -209,7 +209,6 @@ def scan(block: dict, anchors: Anchors, best: Best, dim: int) -> None:
 
 
 _BLOCK = "ids binary, rows binary, labels binary, vectors binary, nodes binary, centres binary, radii binary"
-_SLOT = Window.partitionBy("slot").orderBy(F.desc("score"), "id", "row")
 
 
 def _searched(blocks: DataFrame, anchors: Anchors, k: int, dim: int) -> DataFrame:
@@ -226,7 +225,7 @@ def _searched(blocks: DataFrame, anchors: Anchors, k: int, dim: int) -> DataFram
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.found], names=["slot", "id", "row", "score"])
 
     found = blocks.select(*(c.split()[0] for c in _BLOCK.split(", "))).mapInArrow(run, "slot long, id long, row long, score long")
-    return found.withColumn("rank", F.row_number().over(_SLOT)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("score"), "id", "row"))).where(F.col("rank") <= k)
 
 
 def _floors(seeds: DataFrame, anchors: Anchors, k: int, dim: int) -> np.ndarray:
