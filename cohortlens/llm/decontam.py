@@ -2,15 +2,17 @@
 
 Words are hashed in k-grams; of each run of ``window - k + 1`` consecutive k-grams the one
 with the smallest hash is kept.  Two texts that share ``window`` consecutive words share such a
-run and so a kept hash at the same place in it.  Kept hashes of documents are joined with
-those of benchmark items, and each hit is extended to the windows around it, which are
-looked up among the item's and compared word by word.  Items shorter than ``window`` are one
-window each, and are kept and joined by their own length.
+run and so a kept hash at the same place in it.  A kept hash that the benchmark has too is
+extended to the document's windows around it, each once; their hashes are looked up among all
+windows of the benchmark and compared word by word, and items come in only for windows that do
+occur.  So a phrase that many items share costs a document no more than one item's phrase.  Items
+shorter than ``window`` are one window each, and are kept and looked up by their own length.
 
 A benchmark of at most ``block_bytes`` of text (checked) is broadcast and documents are read
-once, without a shuffle.  A larger one stays a table: its kept hashes are joined with those
-of the documents (after a filter of 8 MB), and each text meets just the items that share one.
-Both ways give the same rows, and no row, item or hit is dropped at any size.
+once, without a shuffle.  A larger one stays a table: kept hashes of documents (after a filter of
+8 MB) are joined with its kept hashes, the windows around those that it has are joined with its
+windows by their words, and those that occur with their items.  Both ways give the same rows, and
+no row, item or hit is dropped at any size.
 
 Edge cases: a null or empty text has no words, no hits and ``contaminated`` false; null or
 wordless items match nothing; an item without an id marks words but is not listed; repeated
@@ -70,12 +72,6 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
 
 
-def _of_item(grams: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """A hash of a gram and the item that has it."""
-    out = (grams + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(31))
-
-
 def fingerprints(ids: np.ndarray, window: int, k: int) -> np.ndarray:
     """The places of the k-grams that are kept."""
     return winnow(_grams(ids, k), window - k + 1)
@@ -90,28 +86,31 @@ def build_index(items: list[tuple[str | None, str | None]], window: int, k: int)
         if words:
             coded.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.uint64))
             names.append(name)
-    # of each length of window (that of short items is their own): kept hashes with their items, and all windows of each item
+    # of each length of window (that of short items is their own): kept hashes, and distinct windows by hash with a place and their items
     lengths: dict[int, dict] = {}
     starts = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+    words = np.concatenate(coded) if coded else np.empty(0, np.uint64)
     for m in sorted({min(window, len(c)) for c in coded}):
         own = [i for i, c in enumerate(coded) if min(window, len(c)) == m]
         size = min(k, m)
-        kept = [_grams(coded[i], size)[fingerprints(coded[i], m, size)] for i in own]
-        found = np.unique(np.rec.fromarrays([np.concatenate(kept), np.repeat(own, [len(x) for x in kept])], names="hash,item"))
+        hashes = np.unique(np.concatenate([_grams(coded[i], size)[fingerprints(coded[i], m, size)] for i in own]))
         grams = [_grams(coded[i], m) for i in own]
-        windows = _of_item(np.concatenate(grams), np.repeat(own, [len(x) for x in grams]))
-        windows, first = np.unique(windows, return_index=True)
-        place = np.concatenate([starts[i] + np.arange(len(x)) for i, x in zip(own, grams, strict=True)])[first]
-        lengths[m] = {"size": size, "hashes": found["hash"].copy(), "items": found["item"].astype(np.int64), "windows": windows, "places": place}
-    return {"vocabulary": vocabulary, "words": np.concatenate(coded) if coded else np.empty(0, np.uint64), "names": names, "lengths": lengths}
+        item, place = np.repeat(own, [len(x) for x in grams]), np.concatenate([starts[i] + np.arange(len(x)) for i, x in zip(own, grams, strict=True)])
+        grams = np.concatenate(grams)
+        order = np.argsort(grams, kind="stable")
+        grams, item, place = grams[order], item[order], place[order]
+        new = np.append(True, grams[1:] != grams[:-1])
+        alike = np.flatnonzero(~new)  # equal hashes are one window only if their words are equal
+        for s in range(0, len(alike), 65_536):
+            at = alike[s : s + 65_536]
+            new[at] = (words[place[at, None] + np.arange(m)] != words[place[at - 1, None] + np.arange(m)]).any(1)
+        first = np.flatnonzero(new)
+        lengths[m] = {"size": size, "hashes": hashes, "windows": grams[first], "places": place[first], "first": np.append(first, len(item)), "items": item}
+    return {"vocabulary": vocabulary, "words": words, "names": names, "lengths": lengths}
 
 
 def mark(texts: list[str | None], index: dict) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
-    """Of each text the number of words, the hit spans of words (may overlap) and the items that occur.
-
-    A kept hash that document and item have in common is extended to all windows that contain
-    it; each is looked up among the item's windows and compared word by word.
-    """
+    """Of each text the number of words, the hit spans of words (may overlap) and the items that occur."""
     get = index["vocabulary"].get
     flat: list[int] = []
     starts, counts = [], []
@@ -123,45 +122,41 @@ def mark(texts: list[str | None], index: dict) -> list[tuple[int, list[tuple[int
         flat.append(0)
     ids = np.array(flat, np.uint64)
     out: list[tuple[int, list[tuple[int, int]], set[int]]] = [(n, [], set()) for n in counts]
-    if not index["lengths"]:
-        return out
     bounds, gone = np.array(starts), np.concatenate([[0], np.cumsum(ids == 0)])
     for m, part in index["lengths"].items():
         size, grams = part["size"], _grams(ids, part["size"])
         at = winnow(grams, m - size + 1)
         at = at[gone[at + size] == gone[at]]  # a k-gram with a word that the benchmark lacks cannot match
-        which, place = _spread(np.searchsorted(part["hashes"], grams[at], "left"), np.searchsorted(part["hashes"], grams[at], "right"))
-        if not len(which):
+        near = np.minimum(np.searchsorted(part["hashes"], grams[at]), len(part["hashes"]) - 1)
+        at = at[part["hashes"][near] == grams[at]]
+        spot = around(at, m - size + 1, len(ids) - m + 1)
+        spot = spot[gone[spot + m] == gone[spot]]  # windows of words of the benchmark alone
+        if not len(spot):
             continue
-        # windows of words of the benchmark alone that hold the k-gram, each with the item once
-        first = (at[which][:, None] - np.arange(m - size + 1)).ravel()
-        item = np.repeat(part["items"][place], m - size + 1)
-        inside = (first >= 0) & (first + m <= len(ids))
-        first, item = first[inside], item[inside]
-        known = gone[first + m] == gone[first]
-        first, item = np.unique(np.stack([first[known], item[known]]), axis=1)
-        whole = np.zeros(len(first), np.uint64)
-        spots, back = np.unique(first, return_inverse=True)
-        if len(spots):
-            whole = _grams(ids[(spots[:, None] + np.arange(m)).ravel()], m)[::m][back]
-        key = _of_item(whole, item)
-        near = np.minimum(np.searchsorted(part["windows"], key), len(part["windows"]) - 1)
-        hit = np.flatnonzero(part["windows"][near] == key)
-        first, item, near = first[hit], item[hit], part["places"][near[hit]]
-        for s in range(0, len(first), 65_536):
-            words = np.arange(m)
-            same = (ids[first[s : s + 65_536, None] + words] == index["words"][near[s : s + 65_536, None] + words]).all(1)
-            spot, which = first[s : s + 65_536][same], item[s : s + 65_536][same]
-            doc = np.searchsorted(bounds, spot, "right") - 1
-            for d in np.unique(doc).tolist():
-                own = doc == d
-                places = np.unique(spot[own]) - starts[d]
-                cut = np.flatnonzero(np.diff(places) > m) + 1  # runs of windows that touch are one span
-                out[d][1].extend((int(x[0]), int(x[-1]) + m) for x in np.split(places, cut))
-                out[d][2].update(which[own].tolist())
+        whole = _grams(ids, m)[spot]
+        which, place = _spread(np.searchsorted(part["windows"], whole, "left"), np.searchsorted(part["windows"], whole, "right"))
+        same = np.zeros(len(which), bool)
+        for s in range(0, len(which), 65_536):
+            rows, found = spot[which[s : s + 65_536]], part["places"][place[s : s + 65_536]]
+            same[s : s + 65_536] = (ids[rows[:, None] + np.arange(m)] == index["words"][found[:, None] + np.arange(m)]).all(1)
+        spot, place = spot[which[same]], place[same]
+        doc = np.searchsorted(bounds, spot, "right") - 1
+        cuts = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            d, places = doc[a], spot[a:b] - starts[doc[a]]
+            runs = np.flatnonzero(np.diff(places) > m) + 1  # runs of windows that touch are one span
+            out[d][1].extend((int(x[0]), int(x[-1]) + m) for x in np.split(places, runs))
+            for w in np.unique(place[a:b]).tolist():
+                out[d][2].update(part["items"][part["first"][w] : part["first"][w + 1]].tolist())
     return out
 
 
+def around(at: np.ndarray, n: int, end: int) -> np.ndarray:
+    """The places from n - 1 before each of ``at`` (in order) up to it, each once, from 0 to before ``end``."""
+    first = np.maximum(at - n + 1, np.concatenate([[0], at[:-1] + 1])) if len(at) else at
+    return _spread(first, np.maximum(first, np.minimum(at + 1, end)))[1]
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted(spans):
@@ -225,19 +220,27 @@ def _kept(ids: np.ndarray, m: int, k: int) -> np.ndarray:
 
 
 def _joined(source: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
-    """The same against a benchmark of any size: kept hashes are joined, and a document meets the items that share one."""
+    """The same against a benchmark of any size, by joins of kept hashes, then of windows, then of windows and items."""
     spark = source.sparkSession
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for text in b.column(1):
                 words = _hashes(words_of(text.as_py()))
-                found = np.unique(_kept(words, min(window, len(words)), k)) if len(words) else words
-                columns = [pa.array(found.view(np.int64)), pa.array(np.full(len(found), key)), pa.array(np.full(len(found), min(window, len(words)), np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["hash", "item", "m"])
+                m = min(window, len(words))
+                found = np.unique(_kept(words, m, k)) if m else words
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), m, np.int32))], names=["hash", "m"])
 
-    numbered, _ = keep(items.select(F.monotonically_increasing_id().alias("item"), "name", "text"), "items")
-    prints, _ = keep(numbered.select("item", "text").mapInArrow(of_items, "hash long, item long, m int"), "item_prints")
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = words_of(text.as_py())
+                m = min(window, len(words))
+                found = sorted({b" ".join(words[i : i + m]) for i in range(len(words) - m + 1)} if m else ())
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([name] * len(found), pa.string())], names=["words", "name"])
+
+    prints, _ = keep(items.select("name", "text").mapInArrow(of_items, "hash long, m int").distinct(), "item_prints")
+    windows, _ = keep(items.select("name", "text").mapInArrow(windows_of, "words binary, name string").distinct(), "item_windows")
     lengths = sorted(r["m"] for r in prints.select("m").distinct().collect())  # as many as the window has words at most
     bit = F.col("hash").bitwiseAND((1 << _BITS) - 1)
     parts = prints.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
@@ -259,26 +262,44 @@ def _joined(source: DataFrame, items: DataFrame, window: int, k: int) -> DataFra
                 found = found[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([x.as_py()] * len(found), pa.int64()), pa.array([y.as_py()] * len(found), pa.int64())], names=["hash", "a", "b"])
 
+    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y, text, hits in zip(*(b.column(c) for c in range(4)), strict=True):
+                words = words_of(text.as_py())
+                ids, hits = _hashes(words), np.sort(hits.values.to_numpy().view(np.uint64))
+                start, size = [], []
+                for m in lengths:
+                    if m <= len(words):
+                        n = min(k, m)
+                        at = fingerprints(ids, m, n)
+                        found = np.isin(_kept(ids, m, k), hits)
+                        start.append(around(at[found], m - n + 1, len(ids) - m + 1))
+                        size += [m] * len(start[-1])
+                start = np.concatenate([*start, np.empty(0, np.int64)]).astype(np.int64)
+                columns = [pa.array([x.as_py()] * len(start), pa.int64()), pa.array([y.as_py()] * len(start), pa.int64()), pa.array(start), pa.array(start + np.array(size, np.int64)), pa.array([b" ".join(words[s : s + m]) for s, m in zip(start.tolist(), size, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "start", "end", "words"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts = [len(words_of(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64())], names=["id", "text", "a", "b", "n_words"])
 
-    hits = named.select("text", "a", "b").mapInArrow(of_docs, "hash long, a long, b long").distinct()
-    met, _ = keep(hits.join(prints.select("hash", "item"), "hash").select("a", "b", "item").distinct(), "met")
-    asked = met.join(numbered, "item").select("a", "b", "name", F.col("text").alias("item_text"))
-    texts = named.select("a", "b", "text").join(met.select("a", "b").distinct(), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
-
-    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("a", pa.int64()), ("b", pa.int64()), ("spans", _FOUND), ("items", pa.list_(pa.string())))})
-        index = build_index(list(zip(right.column("name").to_pylist(), right.column("item_text").to_pylist(), strict=True)), window, k)
-        return pa.table([left.column("a"), left.column("b"), *_results(mark(left.column("text").to_pylist(), index), index)], names=["a", "b", "spans", "items"])
-
-    found, _ = keep(texts.groupBy("a", "b").cogroup(asked.groupBy("a", "b")).applyInArrow(verify, f"a long, b long, {_SPANS}"), "spans")
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [[{"start": s, "end": e} for s, e in _merged([(x["start"], x["end"]) for x in row])] for row in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, _FOUND)], names=["a", "b", "spans"])
+
+    asked = named.select("text", "a", "b").mapInArrow(of_docs, "hash long, a long, b long").distinct()
+    hits = asked.join(prints.select("hash").distinct(), "hash", "left_semi").groupBy("a", "b").agg(F.collect_set("hash").alias("hits"))  # of a text's own hashes
+    texts = named.select("a", "b", "text").where("text is not null").dropDuplicates(["a", "b"]).join(hits, ["a", "b"])
+    near = texts.select("a", "b", "text", "hits").mapInArrow(extended, "a long, b long, start long, end long, words binary")
+    found, _ = keep(near.join(windows.select("words").distinct(), "words", "left_semi"), "found")
+    spans = found.groupBy("a", "b").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(merged, "a long, b long, spans array<struct<start:long,end:long>>")
+    named_items = found.select("a", "b", "words").distinct().join(windows.where("name is not null"), "words").groupBy("a", "b").agg(F.array_sort(F.collect_set("name")).alias("items"))
     rows = named.mapInArrow(count, with_id(source, "text string, a long, b long, n_words long"))
     none = F.expr("cast(array() as array<struct<start:long,end:long>>)"), F.expr("cast(array() as array<string>)")
-    return rows.join(found, ["a", "b"], "left").select("id", "text", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
+    rows = rows.join(spans, ["a", "b"], "left").join(named_items, ["a", "b"], "left")
+    return rows.select("id", "text", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",

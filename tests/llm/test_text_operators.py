@@ -363,3 +363,31 @@ def test_repeated_words_are_marked_in_linear_time(spark):
         began = time.perf_counter()
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontam.digest(decontam.contamination(docs, bench, block_bytes=block)).collect()}
         assert got == {1: (100_001, 100_001, 3), 2: (10, 1, 1), 3: (10, 10, 2)} and time.perf_counter() - began < 60
+
+
+def test_a_phrase_of_many_items_costs_no_more_than_one(spark):
+    """100,000 items begin with one phrase; a text holds it 10,000 times, never a whole window of an item."""
+    import resource
+    import time
+
+    phrase = "please choose the correct answer from the list below"
+    items = [(str(i), f"{phrase} w{i} x{i} y{i} z{i}") for i in range(100_000)]
+    index = decontam.build_index(items, 10, 5)
+    text = " ".join(f"{phrase} other{i % 7}" for i in range(10_000))
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    (n, spans, found), (_, hit, one) = decontam.mark([text, f"{text} {phrase} w5 x5"], index)
+    assert time.perf_counter() - began < 5 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+    assert n == 100_000 and not spans and not found and one == {5} and hit == [(100_000, 100_011)]
+    # the same as a table: the phrase meets no item
+    docs = spark.createDataFrame([(1, text[:20_000]), (2, f"{phrase} w5 x5"), (3, f"a {phrase} w6 b")], "doc_id long, text string")
+    bench = spark.createDataFrame(items[:2000], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontam.digest(decontam.contamination(docs, bench, block_bytes=0)).collect()}
+    assert got == {1: (0, 0), 2: (11, 1), 3: (10, 1)}
+
+
+def test_places_around_hits():
+    import numpy as np
+
+    for at, n, end in ([3, 4, 20, 22, 50], 6, 48), ([0], 6, 3), ([], 6, 10), ([9, 10], 1, 10), ([2], 6, 0):
+        want = sorted({p for x in at for p in range(x - n + 1, x + 1) if 0 <= p < end})
+        assert decontam.around(np.array(at, np.int64), n, end).tolist() == want
