@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlens.functions.scalar import ratio
+from cohortlens.operators.ranks import exact_quantiles
+from cohortlens.sources.files import scratch
 
 #: Fixed value: makes the MAD of a normal distribution its SD.
 MAD_K = 0.6745
@@ -16,9 +18,13 @@ MAD_K = 0.6745
 
 def mad_z(rows: DataFrame, keys: list[str], value: str, reference: Column | None = None) -> DataFrame:
     """``rows`` with ``mad_z`` by median and MAD of ``keys``, of reference rows alone if given; 0 where the MAD is 0."""
+    spark = rows.sparkSession
+    rows.write.parquet(path := scratch(spark, "rows"))  # read four times
+    rows = spark.read.schema(rows.schema).parquet(path)
     some = rows if reference is None else rows.where(reference)
-    center = some.groupBy(*keys).agg(F.median(value).alias("_median"))
-    spread = some.join(center, keys).groupBy(*keys).agg(F.first("_median").alias("_median"), F.median(F.abs(F.col(value) - F.col("_median"))).alias("_mad"))
+    center = exact_quantiles(some, keys, value, {"_median": 0.5})
+    away = some.join(center, keys).withColumn("_away", F.abs(F.col(value) - F.col("_median")))
+    spread = center.join(exact_quantiles(away, keys, "_away", {"_mad": 0.5}), keys)
     z = F.coalesce(ratio(F.lit(MAD_K) * (F.col(value) - F.col("_median")), F.col("_mad")), F.lit(0.0))
     return rows.join(spread, keys, "left").withColumn("mad_z", z).drop("_median", "_mad")
 
@@ -30,8 +36,8 @@ def fences(rows: DataFrame, limit: float = 3.5) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation."""
-    return rows.groupBy(*keys).agg(*[F.percentile(value, q).alias(n) for n, q in at.items()])
+    """Exact quantiles with linear interpolation; a key without values has nulls."""
+    return rows.select(*keys).distinct().join(exact_quantiles(rows, keys, value, at), keys, "left")
 
 
 def density(rows: DataFrame, value: str) -> DataFrame:

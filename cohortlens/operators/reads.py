@@ -90,13 +90,26 @@ def containing_a_point(reads: DataFrame, points: DataFrame, width: int = 1000) -
 
 
 def points_inside(intervals: DataFrame, points: DataFrame, width: int = 1000) -> DataFrame:
-    """``intervals`` with ``n_points``, the points of their chromosome inside; reversed ends are swapped."""
+    """``intervals`` with ``n_points``, the points of their chromosome inside; reversed ends are swapped.
+
+    A count is the number of points up to the end less that up to before the start, so an interval costs
+    the same whatever its length.  Both numbers come from one stream of positions: equal ones are
+    counted first, so a bin of ``width`` positions has as many rows at most; it is numbered by itself, and
+    the points of earlier bins are added from the bins' counts.
+    """
     lo, hi = F.least("start", "end"), F.greatest("start", "end")
-    keyed = intervals.withColumn("_id", F.monotonically_increasing_id()).withColumn("_lo", lo).withColumn("_hi", hi)
-    spread = keyed.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
-    binned = points.select("chr", "pos", F.floor(F.col("pos") / width).alias("_bin"))
-    hits = spread.join(binned, ["chr", "_bin"]).where((F.col("pos") >= F.col("_lo")) & (F.col("pos") <= F.col("_hi"))).groupBy("_id").agg(F.count("*").alias("n_points"))
-    return keyed.join(hits, "_id", "left").select(*intervals.columns, F.coalesce("n_points", F.lit(0)).alias("n_points"))
+    keyed = intervals.withColumn("_lo", lo - 1).withColumn("_hi", hi)
+    asked = keyed.select("chr", F.explode(F.array("_lo", "_hi")).alias("_x")).where("_x is not null")
+    stream = points.where("pos is not null").select("chr", F.col("pos").alias("_x"), F.lit(1).cast("long").alias("_n")).unionByName(asked.withColumn("_n", F.lit(0).cast("long")))
+    places = stream.groupBy("chr", "_x").agg(F.sum("_n").alias("_n")).withColumn("_bin", F.floor(F.col("_x") / width))
+    bins = places.groupBy("chr", "_bin").agg(F.sum("_n").alias("_n"))
+    earlier = Window.partitionBy("chr").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin: as many as a chromosome has
+    before = bins.select("chr", "_bin", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.sum("_n").over(Window.partitionBy("chr", "_bin").orderBy("_x"))
+    ranks = places.withColumn("_own", own).join(before, ["chr", "_bin"]).select("chr", "_x", (F.col("_own") + F.col("_before")).alias("_rank"))
+    upper, lower = ranks.withColumnsRenamed({"_x": "_hi", "_rank": "_upper"}), ranks.withColumnsRenamed({"_x": "_lo", "_rank": "_lower"})
+    met = keyed.join(upper, ["chr", "_hi"], "left").join(lower, ["chr", "_lo"], "left")
+    return met.select(*intervals.columns, F.coalesce(F.col("_upper") - F.col("_lower"), F.lit(0)).alias("n_points"))
 
 
 def by_names(reads: DataFrame, names: DataFrame, keep: bool = True) -> DataFrame:
