@@ -264,7 +264,10 @@ def mine(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id", vector_c
         out[at, np.arange(len(flat)) - np.repeat(ends - size, size)] = np.floor(flat * float(scale))
         return out
 
-    drawn = rows.select("vector").orderBy(F.xxhash64("row")).limit(max(64, min(sample, 8_000_000 // dim))).toArrow()  # a bounded sample
+    few = max(64, min(sample, 8_000_000 // dim))
+    # a bounded sample; those out of question go before the order, which brings `few` rows from every task
+    draw = F.pmod(F.xxhash64("row"), F.lit(total))
+    drawn = rows.where(draw < 2 * few).select("vector", draw.alias("draw")).orderBy("draw").limit(few).select("vector").toArrow()
     largest = rows.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] or 0.0
     if (largest * scale + 1) ** 2 * dim >= 2**53:
         raise ValueError("scores of these vectors can reach 2**53, beyond which they are not exact")

@@ -229,8 +229,10 @@ def _group(source: DataFrame, asked: list[list[str]], k: int, cluster: int, part
 
     # documents with a term; the others score nothing
     useful = held.where(F.octet_length("terms") > 0)
-    drawn = useful.select("terms", F.xxhash64("id", "terms").alias("draw")).orderBy("draw").limit(sample).select("terms").collect()  # a bounded sample
     total = useful.count()
+    # a bounded sample; those out of question go before the order, which brings `sample` rows from every task
+    some = useful.select("terms", F.pmod(F.xxhash64("id", "terms"), F.lit(max(1, total))).alias("draw")).where(F.col("draw") < 2 * sample)
+    drawn = some.orderBy("draw").limit(sample).select("terms").collect()
     levels = min(int(math.log2(max(1, math.ceil(total / part)))) if total > part else 0, int(math.log2(max(1, len(drawn) // cluster))), int(math.log2(max(1, rules_cells // len(names)))))
     doc, term = _postings([bytes(r["terms"]) for r in drawn])
     upper = spark.sparkContext.broadcast(rules(doc, term, len(drawn), len(names), levels))
