@@ -2,38 +2,23 @@
 
 from __future__ import annotations
 
-import itertools
-import math
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlens.functions.scalar import mcc
+from cohortlens.operators.draws import distinct_draws
 from cohortlens.operators.ranks import numbered
 
 
 def unique_draws(spark: SparkSession, pool: list, size: int, repeats: int, seed: int = 42) -> DataFrame:
-    """(``repeat_id``, ``role`` ref, ``sample``): distinct random subsets; all subsets if there are no more than asked for.
+    """(``repeat_id``, ``role`` ref, ``sample``): distinct random subsets of a listed pool; all subsets if there are no more than asked for.
 
-    The pool is sorted first, so a seed gives the same draws wherever it is run.
+    The pool is sorted first, so a seed gives the same draws wherever it is run.  Members are drawn by
+    their places on the executors (:func:`cohortlens.operators.draws.distinct_draws`).
     """
-    pool = sorted(pool)
-    if math.comb(len(pool), size) <= repeats:
-        found = [list(c) for c in itertools.combinations(pool, size)]
-    else:
-        rng, seen, found = np.random.default_rng(seed), set(), []
-        for _ in range(repeats * 50):
-            some = tuple(sorted(rng.choice(len(pool), size, replace=False).tolist()))
-            if some not in seen:
-                seen.add(some)
-                found.append([pool[i] for i in some])
-                if len(found) == repeats:
-                    break
-        else:
-            raise ValueError(f"found only {len(found)} distinct draws of {repeats}")
-    return spark.createDataFrame([(r, "ref", s) for r, members in enumerate(found) for s in members], "repeat_id long, role string, sample long")
+    listed = spark.createDataFrame([(i, x) for i, x in enumerate(sorted(pool))], "place long, sample long")
+    return distinct_draws(spark, len(pool), size, repeats, seed).join(listed, "place").select("repeat_id", "role", "sample")
 
 
 def hashed_draws(pool: DataFrame, repeats: int, n_ref: int, n_ez: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from cohortlens.functions.scalar import z_value
 from cohortlens.operators import ranks
+from cohortlens.operators.draws import keyed_draws
 from cohortlens.operators.evaluate import roc_auc, sample_confusion
 from cohortlens.operators.resample import best_repeat
 from cohortlens.operators.scores import inter_score
@@ -258,18 +259,22 @@ def _nearest_fillers(tracks: DataFrame, early: DataFrame, places: DataFrame, hel
     return chosen
 
 
+def called_normal(rows: DataFrame, scores: list[str], cutoff: float = 3.0) -> DataFrame:
+    """(``sample``, ``normal``): whether no chromosome is above the cutoff by any of the scores; a sample so called stays normal whatever the combined score says."""
+    above = F.lit(False)
+    for s in scores:
+        above |= F.coalesce(F.col(s) > cutoff, F.lit(False))
+    return rows.groupBy("sample").agg((~F.bool_or(above)).alias("normal"))
+
+
 def ez_reference_search(scores: DataFrame, pool: DataFrame, truth: DataFrame, size: int = 20, repeats: int = 5000, cutoff: float = 3.0, seed: int = 42) -> DataFrame:
     """(``sample``, ``repeat_id``, ``mcc``): the first of ``repeats`` random references from ``pool`` with the largest MCC over all samples.
 
     ``scores`` has the combined score (``score``) by sample and chromosome, ``truth`` is (sample,
-    is_true, forced_normal).  All repeats are scored in one job.
+    is_true, forced_normal).  Repeats are drawn on the executors and all scored in one job.
     """
-    spark = scores.sparkSession
     places, n = numbered(pool)
-    if n < size:
-        raise ValueError(f"a pool of {n} for a reference of {size}")
-    rng = np.random.default_rng(seed)
-    drawn = spark.createDataFrame([(r, int(x)) for r in range(repeats) for x in rng.choice(n, size=size, replace=False)], "repeat_id long, place long").join(places, "place").select("repeat_id", "sample")
+    drawn = keyed_draws(scores.sparkSession, n, {"ez": size}, repeats, seed).join(places, "place").select("repeat_id", "sample")
     calls = repeated_scores(scores, drawn, "score").withColumnRenamed("z", "ez").join(truth, "sample")
     best = best_repeat(calls, cutoff).orderBy(F.round("mcc", 9).desc(), "repeat_id").limit(1).select("repeat_id", "mcc")
     return drawn.join(F.broadcast(best), "repeat_id").select("sample", "repeat_id", "mcc")

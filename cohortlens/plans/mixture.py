@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar as S
-from cohortlens.operators import evaluate, methyl, resample, scores, search, snp
+from cohortlens.operators import draws, evaluate, methyl, resample, scores, search, snp
 from cohortlens.plans import cohort as C
 from cohortlens.plans.registry import query
 from cohortlens.sources.files import scratch
@@ -76,8 +76,35 @@ def x11(spark, sf):
     """Distinct random subsets of the normals; tested against their definition."""
     pool = C.meta(spark, sf).where("label = 'Normal'").select("sample")
     places, n = search.numbered(pool)
-    drawn = resample.unique_draws(spark, range(n), 3, 50).withColumnRenamed("sample", "place")
-    return drawn.join(places, "place").select("repeat_id", "role", "sample")
+    return draws.distinct_draws(spark, n, 3, 50).join(places, "place").select("repeat_id", "role", "sample")
+
+
+def feistel_sql(members: str, repeats: int, n: str, seed: int = 42) -> str:
+    """Views ``walk`` and ``keyed`` (repeat_id, j, place) of the keyed permutation; ``n`` and ``members`` are scalar subqueries."""
+    half, i, key, own = draws.FACTORS
+
+    def mixed(side: str) -> str:
+        v = f"(({side} * {half} + (i % {draws.ROUNDS}) * {i} + repeat_id * {key} + {seed * own}) % {draws.PRIME})"
+        for _ in range(3):
+            v = f"(({v} * {v} + {draws.ADDED}) % {draws.PRIME})"
+        return v
+
+    done = f"i > 0 AND i % {draws.ROUNDS} = 0 AND l * b + r < n"
+    return f"""size AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b, {members} AS k FROM (SELECT n, greatest(1, ceil(sqrt(n))::BIGINT) AS a FROM (SELECT ({n})::BIGINT AS n))),
+        walk AS (SELECT t.repeat_id, u.j, 0::BIGINT AS i, u.j // b AS l, u.j % b AS r, n, a, b FROM size, range({repeats}) t(repeat_id), LATERAL (SELECT unnest(range(k)) AS j) u
+            UNION ALL SELECT repeat_id, j, i + 1, CASE WHEN i % 2 = 0 THEN (l + {mixed('r')}) % a ELSE l END, CASE WHEN i % 2 = 1 THEN (r + {mixed('l')}) % b ELSE r END, n, a, b FROM walk WHERE NOT ({done})),
+        keyed AS (SELECT repeat_id, j, l * b + r AS place FROM walk WHERE {done}),
+        places AS (SELECT sample, row_number() OVER (ORDER BY sample) - 1 AS place FROM meta WHERE label = 'Normal')"""
+
+
+NORMALS = "SELECT count(*) FROM meta WHERE label = 'Normal'"
+
+
+@query("X11_X13_keyed_draws", f"""WITH {feistel_sql('(n // 2) * 2', 1000, NORMALS)} SELECT repeat_id, CASE WHEN j < (SELECT k // 2 FROM size) THEN 'ref' ELSE 'ez' END AS role, sample FROM keyed JOIN places USING (place)""")
+def x13k(spark, sf):
+    """A thousand repeats of two disjoint halves, drawn on the executors by a keyed permutation."""
+    places, n = search.numbered(C.meta(spark, sf).where("label = 'Normal'").select("sample"))
+    return draws.keyed_draws(spark, n, {"ref": n // 2, "ez": n // 2}, 1000).join(places, "place").select("repeat_id", "role", "sample")
 
 
 SWEEP = """, rstats AS (SELECT repeat_id, chr, coalesce(avg(percentage), 0) AS m, stddev_pop(percentage) AS sd FROM fixedshares JOIN draws USING (sample) WHERE role = 'ref' GROUP BY ALL), rz AS (SELECT repeat_id, s.sample, s.chr, (s.percentage - m) / nullif(sd, 0) AS z FROM fixedshares s JOIN rstats USING (chr))"""
@@ -248,13 +275,27 @@ def x23(spark, sf):
     return search.stable_reference(fixed_tracks(spark, sf), early_reference(spark, sf), normals, C.ez_reference(spark, sf), 4, n_random=100, swaps=40)
 
 
-@query("X22_reference_search")
+EZ_SIZE = "least(20, greatest(3, n // 4))"
+
+
+@query("X22_reference_search", f"""WITH RECURSIVE {feistel_sql(EZ_SIZE, 5000, NORMALS)}, own AS (SELECT repeat_id, sample FROM keyed JOIN places USING (place)),
+    sums AS (SELECT sample, chr, episcore, zscore, episcore + zscore AS s FROM fixed),
+    stats AS (SELECT repeat_id, chr, coalesce(avg(s), 0) AS m, stddev_pop(s) AS sd FROM sums JOIN own USING (sample) GROUP BY ALL),
+    truth AS (SELECT sample, regexp_matches(label, '^T\\d') AS t, label = 'T15' AND ff_before_mq < 0.01 OR f AS forced FROM meta JOIN (SELECT sample, NOT bool_or(coalesce(episcore > 3, false) OR coalesce(zscore > 3, false)) AS f FROM fixed GROUP BY 1) USING (sample)),
+    called AS (SELECT repeat_id, sample, t, coalesce(max((s - m) / nullif(sd, 0)) > 3, false) AND NOT forced AS y FROM sums JOIN stats USING (chr) JOIN truth USING (sample) GROUP BY repeat_id, sample, t, forced),
+    n AS (SELECT repeat_id, count(*) FILTER (y AND t) AS tp, count(*) FILTER (y AND NOT t) AS fp, count(*) FILTER (NOT y AND t) AS fn, count(*) FILTER (NOT y AND NOT t) AS tn FROM called GROUP BY 1),
+    best AS (SELECT repeat_id, {MCC} AS mcc FROM n ORDER BY round({MCC}, 9) DESC, repeat_id LIMIT 1)
+    SELECT sample, repeat_id, mcc FROM own JOIN best USING (repeat_id)""", "mcc")
 def x22s(spark, sf):
-    """The best of many random references for the combined score; tested against brute force."""
-    score = C.held_scores(spark, sf).where("threshold = 0.5D and recall = 0.2D").select("sample", "chr", (F.col("episcore") + F.col("zscore")).alias("score"))
+    """The best of 5,000 random references of up to 20 for the combined score; samples whose own scores call nothing stay normal."""
+    rows = C.held_scores(spark, sf).where("threshold = 0.5D and recall = 0.2D")
     m = C.meta(spark, sf)
-    truth = m.select("sample", S.is_trisomy(F.col("label")).alias("is_true"), ((F.col("label") == "T15") & (F.col("ff_before_mq") < 0.01)).alias("forced_normal"))
-    return search.ez_reference_search(score, m.where("label = 'Normal'"), truth, 3, repeats=500)
+    both = search.called_normal(rows, ["episcore", "zscore"])
+    weak = (F.col("label") == "T15") & (F.col("ff_before_mq") < 0.01)
+    truth = m.join(both, "sample").select("sample", S.is_trisomy(F.col("label")).alias("is_true"), (weak | F.col("normal")).alias("forced_normal"))
+    normals = m.where("label = 'Normal'")
+    size = min(20, max(3, normals.count() // 4))
+    return search.ez_reference_search(rows.select("sample", "chr", (F.col("episcore") + F.col("zscore")).alias("score")), normals, truth, size, repeats=5000)
 
 
 SUBSETS = "SELECT row_number() OVER (ORDER BY a.r_regionkey, b.r_regionkey, c.r_regionkey) - 1 AS repeat_id, a.r_regionkey AS x, b.r_regionkey AS y, c.r_regionkey AS z FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey JOIN region c ON b.r_regionkey < c.r_regionkey"
