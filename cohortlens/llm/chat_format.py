@@ -1,9 +1,9 @@
 """Chat formatting by schema fingerprints, with DataFrame operations only.
 
-The nested field paths that any layout knows are hashed, of each JSON record and of a typed
-table's schema alike; the fingerprint selects a declarative mapping that turns it into
-canonical turns (rows of conversation, order, role, text).  Records of one column may have a
-layout each.  Fields that no layout knows don't matter.
+Of each JSON record, and of a typed table's schema alike, the nested field paths that a layout
+asks for are hashed; where the fingerprint is that layout's own, its declarative mapping makes
+canonical turns (rows of conversation, order, role, text).  Layouts are tried in their order, with
+one fingerprint each.  Records of one column may have a layout each; further fields don't matter.
 
 The template writes each turn as ``### <role>: <text></turn>`` and a line end.  Control
 strings inside roles and texts are escaped reversibly: a backslash as two, ``###`` as
@@ -14,8 +14,8 @@ formatted text) of the assistants' escaped texts.
 Edge cases: a null text or role is empty; turns of one number are ordered by role and text;
 null conversation ids are one conversation; repeated rows are repeated turns; an empty table
 gives no rows; columns besides those of the layout are not looked at.  Records that are null,
-not JSON, of no known layout, or whose list of turns is empty or null give no turns and are
-listed with the reason by :func:`rejected_records`; none stops the job.  A typed table of no
+not JSON, with a key twice, not an object, of no known layout, or whose list of turns is empty or
+null give no turns and are listed with the reason by :func:`rejected_records`; none stops the job.  A typed table of no
 known layout is an error that names its fields.  A text that isn't one (a list of parts)
 becomes its JSON.  A conversation becomes one row by definition, so it must fit in a row, but
 no other group is gathered.
@@ -86,25 +86,14 @@ def print_of(paths) -> int:
     return found - (1 << 64) if found >> 63 else found
 
 
-def registry(layouts: dict[str, tuple[str, ...]]) -> tuple[list[str], dict[int, str]]:
-    """All paths that the layouts know, and the layout of each set of known paths by its fingerprint.
+def registry(layouts: dict[str, tuple[str, ...]]) -> dict[str, tuple[list[str], int]]:
+    """The sorted paths that each layout asks for and their fingerprint, in the order in which layouts are tried."""
+    return {name: (sorted(paths), print_of(paths)) for name, paths in layouts.items()}
 
-    Of several layouts whose paths are all there the first one holds; sets without any have no
-    entry.  Paths that no layout knows are left out of fingerprints, so further fields of a
-    record don't change its mapping.
-    """
-    known = sorted({p for paths in layouts.values() for p in paths})
-    # a path below another can't be there without it
-    above = {p: p.split("[]")[0] for p in known}
-    sets: list[frozenset[str]] = [frozenset()]
-    for p in known:
-        sets += [s | {p} for s in sets if above[p] == p or above[p] in s]
-    found = {}
-    for s in sets:
-        name = next((n for n, paths in layouts.items() if s.issuperset(paths)), None)
-        if name:
-            found[print_of(s)] = name
-    return known, found
+
+def layout_of(paths: set[str], layouts: dict[str, tuple[str, ...]]) -> str | None:
+    """The first layout whose fingerprint the paths have."""
+    return next((name for name, (own, mark) in registry(layouts).items() if print_of(paths.intersection(own)) == mark), None)
 
 
 def _record_paths(v: Column, known: list[str]) -> Column:
@@ -119,28 +108,28 @@ def _record_paths(v: Column, known: list[str]) -> Column:
     return F.array_sort(F.array_intersect(found, F.lit(known)))
 
 
-def _read(records: DataFrame, id_col: str, json_col: str) -> tuple[DataFrame, dict[int, str]]:
-    known, found = registry({n: paths for n, (paths, _) in LAYOUTS.items()})
+def _read(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """Records as variants, with their known field paths and the layout that they have."""
+    known = registry({n: paths for n, (paths, _) in LAYOUTS.items()})
     rows = records.select(F.col(id_col).alias("conv_id"), F.col(json_col).cast("string").alias("record"), F.try_parse_json(F.col(json_col).cast("string")).alias("v"))
-    rows = rows.withColumn("paths", F.array_join(_record_paths(F.col("v"), known), "\n"))
-    return rows.withColumn("print", F.xxhash64("paths")), found
+    rows = rows.withColumn("paths", _record_paths(F.col("v"), sorted({p for paths, _ in known.values() for p in paths})))
+    layout = F.coalesce(*[F.when(F.xxhash64(F.array_join(F.array_intersect("paths", F.lit(paths)), "\n")) == mark, name) for name, (paths, mark) in known.items()])
+    return rows.withColumn("layout", layout)
 
 
 def turns_of_records(records: DataFrame, id_col: str = "conv_id", json_col: str = "record") -> DataFrame:
     """Canonical turns (``conv_id``, ``turn``, ``role``, ``text``) of JSON records of any known layouts; those without turns are in :func:`rejected_records`."""
-    rows, found = _read(records, id_col, json_col)
-    turns = None
-    for name, (_, make) in LAYOUTS.items():
-        chosen = F.col("print").isin([p for p, n in found.items() if n == name])
-        turns = F.when(chosen, make()) if turns is None else turns.when(chosen, make())
-    return rows.select("conv_id", F.posexplode(turns).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")
+    turns = F.coalesce(*[F.when(F.col("layout") == name, make()) for name, (_, make) in LAYOUTS.items()])
+    return _read(records, id_col, json_col).select("conv_id", F.posexplode(turns).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")
 
 
 def rejected_records(records: DataFrame, id_col: str = "conv_id", json_col: str = "record") -> DataFrame:
-    """(``conv_id``, ``record``, ``reason``) of the records that have no turns: null, not JSON, or of no known layout (empty lists are none)."""
-    rows, found = _read(records, id_col, json_col)
-    reason = F.when(F.col("record").isNull(), "null").when(F.col("v").isNull(), "not JSON")
-    reason = reason.when(~F.col("print").isin(list(found)), F.concat(F.lit("no mapping for the fields "), F.replace("paths", F.lit("\n"), F.lit(", "))))
+    """(``conv_id``, ``record``, ``reason``) of the records that have no turns and why (empty lists are no known layout)."""
+    rows = _read(records, id_col, json_col)
+    reason = F.when(F.col("record").isNull(), "null")
+    reason = reason.when(F.col("v").isNull(), F.when(F.get_json_object("record", "$").isNull(), "not JSON").otherwise("a key comes twice"))
+    reason = reason.when(~F.schema_of_variant("v").startswith("OBJECT"), "not an object")
+    reason = reason.when(F.col("layout").isNull(), F.when(F.size("paths") == 0, "no known field").otherwise(F.concat(F.lit("no mapping for the fields "), F.array_join("paths", ", "))))
     return rows.select("conv_id", "record", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
@@ -159,12 +148,10 @@ def turns_of_table(table: DataFrame, id_col: str | None = None) -> DataFrame:
     The conversation of a record is ``id_col``, or else the first column that its layout doesn't use.
     """
     paths = set(field_paths(table.schema))
-    known, found = registry(ROW_LAYOUTS)
-    name = found.get(print_of(paths.intersection(known)))
+    name = layout_of(paths, ROW_LAYOUTS)
     if name:
         return table.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(ROW_LAYOUTS[name], ("conv_id", "turn", "role", "text"), strict=True)])
-    known, found = registry({n: p for n, (p, _) in LAYOUTS.items()})
-    name = found.get(print_of(paths.intersection(known)))
+    name = layout_of(paths, {n: p for n, (p, _) in LAYOUTS.items()})
     tops = sorted({p.split("[]")[0] for p in LAYOUTS[name][0]}) if name else []
     rest = [id_col] if id_col else [c for c in table.columns if c not in tops]
     if not name or not rest:

@@ -252,12 +252,25 @@ def test_chat_layouts(spark):
 
 
 def test_chat_mappings_are_selected_by_fingerprint():
-    known, found = chat_format.registry({n: paths for n, (paths, _) in chat_format.LAYOUTS.items()})
-    assert {"messages[].role", "prompt"} <= set(known)
-    for name, (paths, _) in chat_format.LAYOUTS.items():
-        assert found[chat_format.print_of(paths)] == name
-    assert found[chat_format.print_of(["prompt", "response", "completion"])] == "prompt_response"
-    assert chat_format.print_of(["prompt"]) not in found and chat_format.print_of([]) not in found
+    layouts = {n: paths for n, (paths, _) in chat_format.LAYOUTS.items()}
+    assert len(chat_format.registry(layouts)) == len({mark for _, mark in chat_format.registry(layouts).values()}) == len(layouts)
+    for name, paths in layouts.items():
+        assert chat_format.layout_of({*paths, "other", "messages[].name"}, layouts) == name
+    assert chat_format.layout_of({"prompt", "response", "completion"}, layouts) == "prompt_response"
+    assert chat_format.layout_of({"prompt"}, layouts) is None and chat_format.layout_of(set(), layouts) is None
+
+
+def test_chat_reasons_say_what_is_wrong(spark):
+    bad = {'{"prompt": "a", "prompt": "b"}': "a key comes twice", '[1, 2]': "not an object", '"text"': "not an object", '{"x": 1}': "no known field", '{"prompt": "a"}': "no mapping for the fields prompt", "{": "not JSON", None: "null"}
+    got = chat_format.rejected_records(spark.createDataFrame([(i, r) for i, r in enumerate(bad)], "conv_id long, record string")).collect()
+    assert {r["record"]: r["reason"] for r in got} == bad
+
+
+def test_chat_very_long_texts(spark):
+    text = "### a</turn>\\" * 300_000
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text), (2, 0, "assistant", "x" * 5_000_000)], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.digest(chat_format.format_turns(turns)).collect()}
+    assert got[1]["loss_chars"] == len(text) and got[1]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got[2]["loss_chars"] == 5_000_000
 
 
 def test_chat_odd_records_stop_nothing(spark):
