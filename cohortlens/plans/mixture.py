@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar as S
-from cohortlens.operators import draws, evaluate, methyl, resample, scores, search, snp
+from cohortlens.operators import blocks, draws, evaluate, methyl, resample, scores, search, snp
 from cohortlens.plans import cohort as C
 from cohortlens.plans.registry import query
 from cohortlens.sources.files import scratch
@@ -173,6 +173,59 @@ def t9(spark, sf):
     return resample.best_repeat(ez.join(m, "sample"), 3.0).orderBy(F.round("mcc", 8).desc(), "repeat_id").limit(1).select("repeat_id")
 
 
+def keyed_sql(repeats: int) -> str:
+    """Views of a sweep over repeats of 3 and 3 normals by the keyed permutation: references, z against the first, ez against the second."""
+    return f"""{feistel_sql("6", repeats, NORMALS)}, kd AS (SELECT repeat_id, CASE WHEN j < 3 THEN 'ref' ELSE 'ez' END AS role, sample FROM keyed JOIN places USING (place)),
+    ks AS (SELECT sample, chr, percentage FROM shares WHERE threshold = 0.5::DOUBLE), kst AS (SELECT repeat_id, chr, coalesce(avg(percentage), 0) AS m, stddev_pop(percentage) AS sd FROM ks JOIN kd USING (sample) WHERE role = 'ref' GROUP BY ALL),
+    kz AS (SELECT repeat_id, s.sample, s.chr, (s.percentage - m) / nullif(sd, 0) AS z FROM ks s JOIN kst USING (chr)),
+    kest AS (SELECT kz.repeat_id, chr, coalesce(avg(z), 0) AS m, stddev_pop(z) AS sd FROM kz JOIN kd ON kd.repeat_id = kz.repeat_id AND kd.sample = kz.sample AND role = 'ez' GROUP BY ALL),
+    kez AS (SELECT kz.repeat_id, kz.sample, kz.chr, (z - m) / nullif(sd, 0) AS ez FROM kz JOIN kest ON kest.repeat_id = kz.repeat_id AND kest.chr = kz.chr)"""
+
+
+def block_sweep(spark, sf, repeats: int):
+    """(packed shares with the truth, parameters of the first references and of the second) of many keyed repeats, written once."""
+    m = C.meta(spark, sf).select("sample", (F.col("label") != "Normal").alias("is_true"), (F.col("sample") % 11 == 0).alias("forced_normal"), "label")
+    places, n = search.numbered(m.where("label = 'Normal'").select("sample"))
+    drawn = draws.keyed_draws(spark, n, {"ref": 3, "ez": 3}, repeats).join(places, "place").select("repeat_id", "role", "sample")
+    tracks = blocks.pack(C.share_rows(spark, sf).where("threshold = 0.5D"), ["percentage"], m)
+    tracks = tracks._replace(rows=held(tracks.rows, "tracks"))
+    first = held(blocks.parameters(tracks, drawn.where("role = 'ref'")), "first")
+    return tracks, first, blocks.second_parameters(tracks, first, drawn.where("role = 'ez'"))
+
+
+def held(rows, name):
+    rows.write.parquet(path := scratch(rows.sparkSession, name))
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@query("X16_block_repeat_mcc", f"""WITH RECURSIVE {keyed_sql(1000)} SELECT *, {MCC} AS mcc FROM (SELECT repeat_id, count(*) FILTER (y AND t) AS tp, count(*) FILTER (y AND NOT t) AS fp, count(*) FILTER (NOT y AND t) AS fn, count(*) FILTER (NOT y AND NOT t) AS tn FROM (SELECT repeat_id, sample, label <> 'Normal' AS t, coalesce(max(ez) > 3, false) AND sample % 11 <> 0 AS y FROM kez JOIN meta USING (sample) GROUP BY repeat_id, sample, label) GROUP BY 1)""", "mcc")
+def x16b(spark, sf):
+    """Confusion and MCC of a thousand repeats by block products."""
+    tracks, first, second = block_sweep(spark, sf, 1000)
+    return blocks.confusion(tracks, first, 3.0, second)
+
+
+@query("X17_block_signal_ratio", f"""WITH RECURSIVE {keyed_sql(1000)} SELECT sample, cutoff, count(*) FILTER (top > cutoff) AS n_abnormal, count(*) AS n_total FROM (SELECT repeat_id, sample, coalesce(max(z), '-Infinity'::DOUBLE) AS top FROM kz GROUP BY ALL), (SELECT unnest([3.0, 4.5])::DOUBLE AS cutoff) GROUP BY ALL""", "cutoff")
+def x17b(spark, sf):
+    """How often each sample is abnormal over a thousand repeats, at two cutoffs."""
+    tracks, first, _ = block_sweep(spark, sf, 1000)
+    return blocks.signal_counts(tracks, first, [3.0, 4.5])
+
+
+@query("X18_block_ez_cutoffs", f"""WITH RECURSIVE {keyed_sql(1000)} SELECT sample, cutoff, count(*) FILTER (top > cutoff) AS n_abnormal, count(*) AS n_total FROM (SELECT repeat_id, sample, coalesce(max(ez), '-Infinity'::DOUBLE) AS top FROM kez GROUP BY ALL), (SELECT unnest([2.0, 3.0, 4.5])::DOUBLE AS cutoff) GROUP BY ALL""", "cutoff")
+def x18b(spark, sf):
+    """Two references a repeat, flags at several cutoffs."""
+    tracks, first, second = block_sweep(spark, sf, 1000)
+    return blocks.signal_counts(tracks, first, [2.0, 3.0, 4.5], second)
+
+
+@query("X36_block_per_chr_ratio", f"""WITH RECURSIVE {keyed_sql(1000)} SELECT sample, chr, count(*) FILTER (z > 3) / count(*) AS ratio FROM kz GROUP BY ALL""", "ratio")
+def x36b(spark, sf):
+    """The share of a thousand repeats in which a chromosome is abnormal."""
+    tracks, first, _ = block_sweep(spark, sf, 1000)
+    return blocks.chromosome_shares(tracks, first, 3.0)
+
+
 @query("X19_pool_sizes", f"""{FIXED}, p AS (SELECT sample, row_number() OVER (ORDER BY (sample * 7919) % 1000003, sample) AS n FROM meta WHERE label = 'Normal'), st AS (SELECT size, chr, avg(percentage) AS m, stddev_pop(percentage) AS sd FROM fixedshares JOIN p USING (sample), (SELECT unnest([3, 5, 7]) AS size) WHERE n <= size GROUP BY ALL),
     t AS (SELECT size, s.sample, max((percentage - m) / nullif(sd, 0)) AS top FROM fixedshares s JOIN st USING (chr) GROUP BY ALL), l AS (SELECT t.*, label <> 'Normal' AS y FROM t JOIN meta USING (sample) WHERE top IS NOT NULL)
     SELECT size, (SELECT avg(CASE WHEN a.top > b.top THEN 1.0 WHEN a.top = b.top THEN 0.5 ELSE 0 END) FROM l a JOIN l b ON a.size = b.size AND a.y AND NOT b.y WHERE a.size = x.size) AS auc FROM (SELECT unnest([3, 5, 7]) AS size) x""", "auc")
@@ -268,6 +321,16 @@ def x36v(spark, sf):
     return search.signal_variants(fixed_tracks(spark, sf), draws.where("role = 'ref'"), draws.where("role = 'ez'"))
 
 
+@query("X15_block_matrices", f"WITH {REPEATED} SELECT repeat_id, chr, {MATRICES}, ez_mean, ez_sd FROM params JOIN ezp USING (repeat_id, chr)", "hypo_z_mean hypo_z_sd hyper_z_mean hyper_z_sd percentage_mean percentage_sd ez_mean ez_sd")
+def x15b(spark, sf):
+    """Every repeat's reference matrices, by block products over all tracks."""
+    drawn = C.draws(spark, sf)
+    tracks = blocks.pack(fixed_tracks(spark, sf), search.TRACKS)
+    tracks = tracks._replace(rows=held(tracks.rows, "tracks"))
+    first = held(blocks.parameters(tracks, drawn.where("role = 'ref'")), "first")
+    return blocks.matrices(tracks, first, blocks.second_parameters(tracks, first, drawn.where("role = 'ez'")))
+
+
 @query("X23_stable_reference")
 def x23(spark, sf):
     """A reference by seeds, draws and swaps; tested on a small fixture, its figures by the query above."""
