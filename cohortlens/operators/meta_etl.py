@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortlens.functions.scalar import date_of
+
 
 def nearest_record(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, ties: list[Column]) -> DataFrame:
     """Each left row with the right row of its keys of the nearest date, and ``days`` between them; ``ties`` order equally near ones.
@@ -27,6 +29,45 @@ def nearest_record(left: DataFrame, right: DataFrame, keys: list[str], left_date
     return first_by(flat, ["_left"], [F.col("days"), *ties]).drop("_left")
 
 
+#: Endings of sample names that stand for each other.
+SWAPPED = {"H1": "S1", "S1": "H1"}
+
+
+def swapped_name(sample: Column) -> Column:
+    """The sample's other name, where it ends with one of :data:`SWAPPED`."""
+    out = F.lit(None).cast("string")
+    for a, b in SWAPPED.items():
+        out = F.when(F.endswith(sample, F.lit(a)), F.concat(F.substring(sample, F.lit(1), F.length(sample) - len(a)), F.lit(b))).otherwise(out)
+    return out
+
+
+def map_to_qc(files: DataFrame, qc: DataFrame) -> DataFrame:
+    """Each file (sample, clean_bam, batch) with one quality record (sample, dataset, dataset_date, puc19, lambda) of its sample.
+
+    A sample without records takes those of its other name.  One record is taken whatever its date; of
+    several the nearest by date, a data set named ``-XML`` before others on ties, then by name; without
+    dates on either side the preferred one.  ``dataset_date`` falls back to the date in the data
+    set's name.  ``map_rule`` says which rule held; files without any record have ``missing``.
+    """
+    dated = F.coalesce(F.to_date("dataset_date"), date_of(F.col("dataset")))
+    liked = F.when(F.endswith("dataset", F.lit("-XML")), 0).when(F.contains("dataset", F.lit("-XML")), 1).otherwise(2)
+    sets = qc.select(F.col("sample").alias("qc_sample"), F.col("dataset").alias("qc_dataset"), dated.alias("qc_dataset_date"), "lambda", "puc19", liked.alias("_liked")).where("qc_sample is not null")
+    sets = first_by(sets, ["qc_sample", "qc_dataset"], [F.asc_nulls_last("qc_dataset_date"), F.col("puc19"), F.col("lambda")])
+    order = [F.col("_liked"), F.col("qc_dataset")]
+    known = sets.groupBy("qc_sample").agg(F.count("*").alias("n_qc_for_sample"), F.min_by(F.struct("qc_dataset", "qc_dataset_date", "lambda", "puc19"), F.struct("_liked", "qc_dataset")).alias("_first"))
+    rows = files.withColumns({"_date": date_of(F.col("batch")), "_other": swapped_name(F.col("sample"))})
+    own, other = known.select(F.col("qc_sample").alias("_own")), known.select(F.col("qc_sample").alias("_alias"))
+    rows = rows.join(own, rows["sample"] == F.col("_own"), "left").join(other, F.col("_own").isNull() & (F.col("_other") == F.col("_alias")), "left")
+    rows = rows.withColumn("qc_sample", F.coalesce("_own", "_alias")).withColumn("sample_match", F.when(F.col("_own").isNotNull(), "exact_sample").when(F.col("_alias").isNotNull(), "hs_swap").otherwise("missing")).drop("_own", "_alias", "_other")
+    number = files.groupBy("sample").agg(F.count_distinct("clean_bam").alias("n_bam_for_sample"))
+    rows = rows.join(number, "sample", "left")
+    near = nearest_record(rows.where("qc_sample is not null").select("clean_bam", "sample", "qc_sample", "_date").distinct(), sets.withColumn("_found", F.struct("qc_dataset", "qc_dataset_date", "lambda", "puc19")).select("qc_sample", "qc_dataset_date", "qc_dataset", "_liked", "_found"), ["qc_sample"], "_date", "qc_dataset_date", order)
+    near = near.select("clean_bam", "sample", "_date", "_found", F.col("days").alias("day_delta"))
+    rows = rows.join(near, ["clean_bam", "sample", "_date"], "left").join(known, "qc_sample", "left").withColumn("_hit", F.coalesce("_found", "_first"))
+    rule = F.when(F.col("qc_sample").isNull(), "missing").when(F.col("n_qc_for_sample") > 1, "nearest_date").when(F.col("n_bam_for_sample") == 1, "direct_singleton").otherwise("direct_single_qc")
+    return rows.select("sample", "clean_bam", "qc_sample", "sample_match", "n_bam_for_sample", F.coalesce("n_qc_for_sample", F.lit(0)).alias("n_qc_for_sample"), rule.alias("map_rule"), "_hit.qc_dataset", "_hit.qc_dataset_date", "day_delta", "_hit.lambda", "_hit.puc19")
+
+
 def distinct_over(value: str, keys: list[str]) -> Column:
     """The distinct values of a partition on each of its rows."""
     return F.size(F.collect_set(value).over(Window.partitionBy(*keys))).cast("long")

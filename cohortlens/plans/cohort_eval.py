@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlens.functions import scalar as S
-from cohortlens.operators import admission, evaluate, meta_etl, panel, resample, scores, snp
+from cohortlens.operators import admission, evaluate, meta_etl, panel, resample, scores, snp, sweeps
 from cohortlens.plans import cohort as C
 from cohortlens.plans.registry import query
+from cohortlens.sources.files import scratch
 
 # --- confusion, choice, search -------------------------------------------------------------------------------------
 
@@ -366,6 +367,21 @@ def a18(spark, sf):
     return shards.groupBy("sample").agg(F.sum("n_abnormal").alias("n_abnormal"), (F.sum("n_abnormal") / F.lit(9.0)).alias("ratio"))
 
 
+@query("A18_resumed_sweep", """SELECT sample, sum(n)::BIGINT AS n_abnormal, sum(t)::BIGINT AS n_total FROM (SELECT sample, threshold, count(*) FILTER (f) AS n, count(*) AS t FROM (SELECT sample, threshold, recall, coalesce(max(episcore) > 1.5, false) AS f FROM scores GROUP BY ALL) GROUP BY ALL) GROUP BY 1""")
+def a18r(spark, sf):
+    """A sweep in shards, one of thresholds each, that is stopped after the first and gone on with."""
+    rows, path = C.held_scores(spark, sf), scratch(spark, "sweep")
+
+    def score(shard: int):
+        some = rows.where(F.col("threshold") == C.THRESHOLDS[shard])
+        return resample.signal_counts(evaluate.max_chr_flags(some, C.COMBO, [C.CUTOFF], "episcore"), ["threshold"])
+
+    made_with = {"thresholds": C.THRESHOLDS, "cutoff": C.CUTOFF}
+    sweeps.run_sweep(spark, path, [0], score, made_with)
+    sweeps.run_sweep(spark, path, range(len(C.THRESHOLDS)), score, made_with)
+    return sweeps.summed(spark, path, ["sample"], ["n_abnormal", "n_total"], range(len(C.THRESHOLDS)))
+
+
 # --- windows -------------------------------------------------------------------------------------------------------
 
 

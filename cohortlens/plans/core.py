@@ -299,6 +299,31 @@ def j22(spark, sf):
     return meta_etl.nearest_record(left, right, ["who"], "d", "t", [F.col("event_id")]).select("o_orderkey", "event_id", "days")
 
 
+FILES = "SELECT concat('c', o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'H1' WHEN o_orderkey % 3 = 0 THEN 'S1' ELSE '' END) AS sample, o_orderkey AS clean_bam, CASE WHEN o_orderkey % 7 = 0 THEN 'none' ELSE concat('b', {day}(o_orderdate, '{form}')) END AS batch FROM {{orders}}"
+RECORDS = """SELECT concat('c', user_id, CASE event_id % 3 WHEN 0 THEN 'S1' WHEN 1 THEN 'H1' ELSE '' END) AS sample, concat(CASE WHEN event_id % 10 = 0 THEN 'x' ELSE concat('d', {day}(ts, '{form}')) END, event_type, CASE event_id % 4 WHEN 0 THEN '-XML' WHEN 1 THEN '-XML2' ELSE '' END) AS dataset,
+    CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS dataset_date, CAST(event_id % 13 AS DOUBLE) AS lam, value AS puc19 FROM {{events}}"""
+
+
+def duck(view: str) -> str:
+    return view.format(day="strftime", form="%Y%m%d").format(orders="orders", events="events")
+
+
+def shown(spark, sf, view: str):
+    return spark.sql(view.format(day="date_format", form="yyyyMMdd"), orders=C.table(spark, sf, "orders"), events=C.table(spark, sf, "events"))
+
+
+@query("J22_qc_mapping", f"""WITH f AS (SELECT *, TRY_CAST(strptime(nullif(regexp_extract(batch, '(20\\d{{6}})', 1), ''), '%Y%m%d') AS DATE) AS d, CASE WHEN suffix(sample, 'H1') THEN left(sample, -2) || 'S1' WHEN suffix(sample, 'S1') THEN left(sample, -2) || 'H1' END AS other FROM ({duck(FILES)})),
+    q AS (SELECT *, coalesce(dataset_date, TRY_CAST(strptime(nullif(regexp_extract(dataset, '(20\\d{{6}})', 1), ''), '%Y%m%d') AS DATE)) AS qd, CASE WHEN suffix(dataset, '-XML') THEN 0 WHEN contains(dataset, '-XML') THEN 1 ELSE 2 END AS liked FROM ({duck(RECORDS)})),
+    u AS (SELECT *, count(*) OVER (PARTITION BY sample) AS n_qc FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY sample, dataset ORDER BY qd NULLS LAST, puc19, lam) = 1)),
+    m AS (SELECT *, CASE WHEN sample IN (SELECT sample FROM u) THEN sample WHEN other IN (SELECT sample FROM u) THEN other END AS qc_sample, count(*) OVER (PARTITION BY sample) AS n_bam FROM f),
+    j AS (SELECT m.*, u.dataset, u.qd, u.lam, u.puc19, u.n_qc, abs(date_diff('day', m.d, u.qd)) AS delta, u.liked FROM m LEFT JOIN u ON u.sample = m.qc_sample QUALIFY row_number() OVER (PARTITION BY clean_bam ORDER BY coalesce(abs(date_diff('day', m.d, u.qd)), 1000000000), u.liked, u.dataset) = 1)
+    SELECT clean_bam, qc_sample, CASE WHEN qc_sample IS NULL THEN 'missing' WHEN qc_sample = sample THEN 'exact_sample' ELSE 'hs_swap' END AS sample_match, CASE WHEN qc_sample IS NULL THEN 'missing' WHEN n_qc > 1 THEN 'nearest_date' WHEN n_bam = 1 THEN 'direct_singleton' ELSE 'direct_single_qc' END AS map_rule,
+        coalesce(n_qc, 0) AS n_qc_for_sample, n_bam AS n_bam_for_sample, dataset AS qc_dataset, delta AS day_delta, lam, puc19 FROM j""", "lam puc19")
+def j22q(spark, sf):
+    """Files with the quality record of their sample, or of its other name, by rules and dates."""
+    return meta_etl.map_to_qc(shown(spark, sf, FILES), shown(spark, sf, RECORDS).withColumnRenamed("lam", "lambda")).withColumnRenamed("lambda", "lam").drop("sample", "qc_dataset_date")
+
+
 @query("J25_sample_universe", "SELECT sample FROM meta WHERE sample IN (SELECT sample FROM reads WHERE prob_class_1 >= 0.7) AND sample IN (SELECT sample FROM shares) AND ff_before_mq > 0.01 UNION SELECT sample FROM refs")
 def j25(spark, sf):
     m = C.meta(spark, sf)
