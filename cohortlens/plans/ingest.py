@@ -155,12 +155,7 @@ def s19(spark, sf):
 
 def listed(spark, meta):
     base = X.scratch(spark, "files")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for r in meta.select("sample").collect():
-        at = jvm.org.apache.hadoop.fs.Path(f"{base}/s{r['sample']}_beta_value.tsv.gz")
-        out = at.getFileSystem(conf).create(at)
-        out.write(0)  # Spark leaves out files without content
-        out.close()
+    X.write_files(meta.select(F.format_string("s%s_beta_value.tsv.gz", "sample").alias("name"), F.encode(F.lit("x"), "utf-8").alias("content")), base)
     return X.samples_in(spark, base)
 
 
@@ -188,14 +183,13 @@ def s22(spark, sf):
 
 @query("S24_workbook", "SELECT CAST(sample AS VARCHAR) AS sample, label FROM meta")
 def s24(spark, sf):
-    """The first sheet of a workbook."""
+    """The first sheets of workbooks, made and parsed by tasks."""
     return from_book(spark, C.meta(spark, sf))
 
 
 def from_book(spark, meta):
-    rows = meta.selectExpr("cast(sample as string)", "label").collect()
-    X.write_xlsx(spark, ["sample", "label"], [tuple(r) for r in rows], path := X.scratch(spark, "book.xlsx"))
-    return X.read_xlsx(spark, path)
+    X.write_workbooks(meta.select("sample", "label"), path := X.scratch(spark, "books"), per_book=100)
+    return X.read_workbooks(spark, path, ["sample", "label"]).select("sample", "label")
 
 
 @query("S25_K6_shards", "SELECT repeat_id, role, count(*) AS n FROM draws GROUP BY ALL")
@@ -276,9 +270,10 @@ def b4(spark, sf):
     return C.side(C.reads(spark, sf).withColumn("pos", F.col("part")), ["chr", "pos"])
 
 
-@query("F_scalar_text", """SELECT t, CASE WHEN t = 1 THEN '1' ELSE rtrim(CAST(t::DECIMAL(18, 6) AS VARCHAR), '0') END AS plain, regexp_extract(concat('220k_cpg_recall_', t, '.txt'), '([0-9]+\\.[0-9]+)', 1) AS from_name, TRY_CAST(strptime(d, '%Y%m%d') AS DATE) AS day
-    FROM (SELECT * FROM (VALUES (0.5::DOUBLE, '20240229'), (0.05::DOUBLE, '20241219'), (0.125::DOUBLE, '20230101')) v(t, d))""", "t")
+@query("F_scalar_text", """SELECT event_id, t, CASE WHEN t = 0 THEN '0' WHEN t = 1 THEN '1' ELSE rtrim(rtrim(CAST(t::DECIMAL(18, 6) AS VARCHAR), '0'), '.') END AS plain, regexp_extract(concat('220k_cpg_recall_', t, '.txt'), '([0-9]+\\.[0-9]+)', 1) AS from_name, TRY_CAST(strptime(d, '%Y%m%d') AS DATE) AS day
+    FROM (SELECT event_id, round((event_id % 201) / 200.0::DOUBLE, 6) AS t, strftime(ts, '%Y%m%d') AS d FROM events)""", "t")
 def f_text(spark, sf):
     """Thresholds as plain decimals, from file names, and dates from text."""
-    rows = spark.createDataFrame([(0.5, "x20240229"), (0.05, "20241219.0"), (0.125, "a_20230101_b")], "t double, d string")
-    return rows.select("t", S.plain_decimal(F.col("t")).alias("plain"), F.regexp_extract(F.concat(F.lit("220k_cpg_recall_"), "t", F.lit(".txt")), r"([0-9]+\.[0-9]+)", 1).alias("from_name"), S.date_of(F.col("d")).alias("day"))
+    rows = C.table(spark, sf, "events").select("event_id", F.round((F.col("event_id") % 201) / 200.0, 6).alias("t"), F.date_format("ts", "yyyyMMdd").alias("d"), (F.col("event_id") % 3).alias("k"))
+    text = F.when(F.col("k") == 0, F.concat(F.lit("x"), "d")).when(F.col("k") == 1, F.concat("d", F.lit(".0"))).otherwise(F.concat(F.lit("a_"), "d", F.lit("_b")))
+    return rows.select("event_id", "t", S.plain_decimal(F.col("t")).alias("plain"), F.regexp_extract(F.concat(F.lit("220k_cpg_recall_"), "t", F.lit(".txt")), r"([0-9]+\.[0-9]+)", 1).alias("from_name"), S.date_of(text).alias("day"))

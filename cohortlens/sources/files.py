@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.scalar import fixed6, number
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 # Required columns of each step's sample sheet.
 SHEETS = {
     "split_bam": ("sample", "clean_bam", "deconv_res"),
@@ -91,38 +96,116 @@ def sniff(spark: SparkSession, path: str) -> str:
     return "gzip" if head[:2] == [0x1F, 0x8B] else "text"
 
 
+def known_values(df: DataFrame) -> DataFrame:
+    """Text columns with missing tokens as NULL."""
+    return df.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = "\t") -> DataFrame:
     """A table of any sniffed format with a header, missing tokens as NULL, and only ``columns``."""
     if sniff(spark, path) == "parquet":
         df = spark.read.parquet(path)
     else:
         df = spark.read.csv(path, sep=sep, header=True)
-        df = df.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
+        df = known_values(df)
     return require_columns(df, columns).select(*columns) if columns else df
 
 
-def read_deconv(spark: SparkSession, paths: list[str], min_sites: int | None = None, verify: bool = True) -> tuple[DataFrame, list[str]]:
-    """The reads of all readable files with ``mTcount >= min_sites``, and the paths that could not be read.
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path, without hidden ones; none if it isn't there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return []
+    if not store.getFileStatus(at).isDirectory():
+        return [at.toString()]
+    return sorted(x for f in store.listStatus(at) if not f.getPath().getName().startswith(("_", ".")) for x in (list_files(spark, f.getPath().toString()) if f.isDirectory() else [f.getPath().toString()]))
+
+
+def opened(path: str):
+    """(file system, path in it) of a file, in a task; Hadoop's short form of local paths is known."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+
 
-    A file may be broken behind its header, which shows only when it is read: ``verify`` reads
-    the needed columns of each once beforehand, so that it is left out whole.
+def inspect_files(spark: SparkSession, files: list[str], columns: list[str]) -> DataFrame:
+    """(``path``, ``kind``, ``header``, ``error``) of tables, each read to its end by one task in pieces.
+
+    ``header`` is the first line of text; ``error`` says why a file can't be used.
+    """
+    import pyarrow as pa
+
+    def look(path: str) -> tuple[str, str]:
+        import pyarrow.parquet as pq
+
+        store, at = opened(path)
+        with store.open_input_file(at) as file:
+            head = file.read(4)
+            file.seek(0)
+            if head == b"PAR1":
+                table = pq.ParquetFile(file)
+                missing = [c for c in columns if c not in table.schema_arrow.names]
+                if missing:
+                    raise ValueError(f"missing columns: {', '.join(missing)}")
+                for i in range(table.num_row_groups):
+                    table.read_row_group(i, columns)
+                return "parquet", ""
+            packed = head[:2] == b"\x1f\x8b"
+            unpack, line = zlib.decompressobj(31), b""
+            while chunk := file.read(1 << 20):
+                while packed and chunk:
+                    data = unpack.decompress(chunk)
+                    line += data if b"\n" not in line else b""
+                    chunk = unpack.unused_data
+                    if unpack.eof:
+                        unpack = zlib.decompressobj(31) if chunk else unpack
+                if not packed:
+                    line += chunk
+                    if b"\n" in line:
+                        break
+            if packed and not unpack.eof:
+                raise ValueError("the file is cut")
+            header = line.split(b"\n")[0].rstrip(b"\r").decode()
+            missing = [c for c in columns if c not in header.split("\t")]
+            if missing:
+                raise ValueError(f"missing columns: {', '.join(missing)}")
+            return "text", header
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path in b.column(0).to_pylist():
+                try:
+                    rows.append((path, *look(path), None))
+                except Exception as e:  # an unreadable file is reported, as the workflow does
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}"[:300]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 4, names=["path", "kind", "header", "error"])
+
+    paths = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)))
+    return paths.mapInArrow(run, "path string, kind string, header string, error string")
+
+
+def read_deconv(spark: SparkSession, paths: list[str], min_sites: int | None = None) -> tuple[DataFrame, list[str]]:
+    """The reads of all readable paths with ``mTcount >= min_sites``, and the paths that could not be read.
+
+    A file may be broken behind its header, which shows only when it is read: all are looked at in one
+    job beforehand, a file a task, and a path with a broken one is left out whole.  The others are
+    one scan for each format and header.
     """
-    schema, frames, skipped = T.StructType.fromDDL(READS), [], []
-    for path in paths:
-        try:
-            df = read_table(spark, path, schema.names)
-            if verify:
-                df.agg(*[F.max(c) for c in schema.names]).collect()
-        except Exception as e:  # an unreadable file is skipped with a warning, as the workflow does
-            skipped.append(f"{path}: {type(e).__name__}")
-            continue
+    schema = T.StructType.fromDDL(READS)
+    of_path = {p: list_files(spark, p) for p in paths}
+    seen = {r["path"]: r for r in inspect_files(spark, sorted({f for fs in of_path.values() for f in fs}), schema.names).collect()}  # a row a file
+    skipped = [f"{p}: " + next((seen[f]["error"] for f in fs if seen[f]["error"]), "no file") for p, fs in of_path.items() if not fs or any(seen[f]["error"] for f in fs)]
+    good = {p: fs for p, fs in of_path.items() if fs and not any(seen[f]["error"] for f in fs)}
+    alike: dict[tuple[str, str], list[str]] = {}
+    for f in (f for fs in good.values() for f in fs):
+        alike.setdefault((seen[f]["kind"], seen[f]["header"]), []).append(f)
+    out = spark.createDataFrame([], schema)
+    for (kind, _), some in alike.items():
+        df = spark.read.parquet(*some) if kind == "parquet" else known_values(spark.read.csv(some, sep="\t", header=True))
         df = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
-        frames.append(df.where(F.col("mTcount") >= min_sites) if min_sites is not None else df)
-    if not frames:
-        return spark.createDataFrame([], schema), skipped
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df)
+        out = out.unionByName(df.where(F.col("mTcount") >= min_sites) if min_sites is not None else df)
     return out, skipped
 
 
@@ -211,12 +294,12 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("start is not null").distinct()
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a workbook as text columns; a small file, read by the driver through Spark's own reader."""
+def sheet_rows(content: bytes) -> list[dict[int, str]]:
+    """The cells of a workbook's first sheet by column, row by row."""
     import io
 
     main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(io.BytesIO(bytes(spark.read.format("binaryFile").load(path).first()["content"]))) as book:
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = book.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
@@ -235,22 +318,84 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
             elif value is not None:
                 cells[column - 1] = shared[int(value.text)] if cell.get("t") == "s" else value.text
         rows.append(cells)
-    header = [rows[0][i] for i in sorted(rows[0])] if rows else []
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-    return spark.createDataFrame([tuple(r.get(i) for i in range(len(header))) for r in rows[1:]], schema)
+    return rows
 
 
-def write_xlsx(spark: SparkSession, header: list[str], rows: list[tuple], path: str) -> None:
-    """A one-sheet workbook of text cells; a small file, written through Spark's file system."""
+def sheet_bytes(header: list[str], rows: list[tuple]) -> bytes:
+    """A one-sheet workbook of text cells."""
     import io
     from xml.sax.saxutils import escape
 
     letter = lambda i: (chr(64 + i // 26) if i >= 26 else "") + chr(65 + i % 26)
     body = "".join(f'<row r="{n}">' + "".join(f'<c r="{letter(i)}{n}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>' for i, v in enumerate(r) if v is not None) + "</row>" for n, r in enumerate([header, *rows], 1))
-    data = io.BytesIO()  # in memory: the file is a report
+    data = io.BytesIO()  # in memory: a workbook is a report
     with zipfile.ZipFile(data, "w") as book:
         book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
-    write_bytes(spark, data.getvalue(), path)
+    return data.getvalue()
+
+
+def read_workbooks(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """(``path``, ``row``, ``columns``) of the first sheets of all workbooks of a path, each parsed by a task; a missing column is an error."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for at, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = sheet_rows(content.as_buffer().to_pybytes())
+                places = {v: i for i, v in (rows[0] if rows else {}).items()}
+                missing = [c for c in columns if c not in places]
+                if missing:
+                    raise ValueError(f"{at}: missing columns: {', '.join(missing)}")
+                cells = [pa.array([r.get(places[c]) for r in rows[1:]], pa.string()) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(rows[1:]), pa.string()), pa.array(range(1, len(rows)), pa.int64()), *cells], names=["path", "row", *columns])
+
+    books = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("row", T.LongType()), *[T.StructField(c, T.StringType()) for c in columns]])
+    return books.mapInArrow(run, schema)
+
+
+def write_workbooks(rows: DataFrame, path: str, per_book: int = 10_000) -> int:
+    """Rows as text cells of as many workbooks as they need, each made and written by a task; the number of workbooks."""
+    import pyarrow as pa
+
+    columns = rows.columns
+    books = max(1, -(-rows.count() // per_book))
+    dealt = rows.select(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(books)).alias("_book"), *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
+
+    def pack(t: pa.Table) -> pa.Table:
+        cells = list(zip(*(t.column(c).to_pylist() for c in columns), strict=True))
+        return pa.table({"name": [f"book-{t.column('_book')[0].as_py()}.xlsx"], "content": [sheet_bytes(columns, cells)]})
+
+    return write_files(dealt.groupBy("_book").applyInArrow(pack, "name string, content binary"), path)
+
+
+def write_files(files: DataFrame, path: str) -> int:
+    """(``name``, ``content``) as files of a folder, written by the tasks that have them; how many."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                store, at = opened(f"{path}/{name}")
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(at) as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return files.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of one small workbook as text columns, read by the driver through Spark's own reader; see :func:`read_workbooks`."""
+    rows = sheet_rows(bytes(spark.read.format("binaryFile").load(path).first()["content"]))
+    header = [rows[0][i] for i in sorted(rows[0])] if rows else []
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
+    return spark.createDataFrame([tuple(r.get(i) for i in range(len(header))) for r in rows[1:]], schema)
+
+
+def write_xlsx(spark: SparkSession, header: list[str], rows: list[tuple], path: str) -> None:
+    """One small workbook of text cells, written through Spark's file system; see :func:`write_workbooks`."""
+    write_bytes(spark, sheet_bytes(header, rows), path)
 
 
 def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:

@@ -424,3 +424,41 @@ def test_left_out_scores_against_explicit_references(spark):
             mu = sum(v) / len(v)
             return (x - mu) / math.sqrt(sum((y - mu) ** 2 for y in v) / len(v))
         assert got[s, c] == pytest.approx((z(b, 3) * math.sqrt(nb) - z(a, 2) * math.sqrt(na)) / math.sqrt(na + nb) + z(p, 6), abs=1e-8)
+
+
+def test_files_are_looked_at_whole(spark, tmp_path):
+    """Folders and files of all kinds; a path with a broken file is left out whole, and columns in any order are read."""
+    import gzip
+
+    names = files.READS.replace(",", "").split()[::2]
+    line = ["a", "chr1", "1", "5", "t", "0.5", "3", "150"]
+    def text(order, rows):
+        return ("\n".join("\t".join(dict(zip(names, r, strict=True))[n] for n in order) for r in [names, *rows]) + "\n").encode()
+    (tmp_path / "dir").mkdir()
+    (tmp_path / "dir" / "x.tsv").write_bytes(text(names, [line]))
+    (tmp_path / "dir" / "y.tsv").write_bytes(text(names[::-1], [["b", "chr2", "NA", "6", "t", "0.1", "9", "1"], ["c", "chr2", "7", "8", "t", "0.1", "2", "1"]]))
+    two = gzip.compress(text(names, [line])) + gzip.compress(b"\t".join(x.encode() for x in line) + b"\n")  # two members in one file
+    (tmp_path / "two.tsv.gz").write_bytes(two)
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed" / "good.tsv").write_bytes(text(names, [line]))
+    (tmp_path / "mixed" / "cut.tsv.gz").write_bytes(gzip.compress(text(names, [line] * 5000))[:-30])
+    (tmp_path / "short.tsv").write_bytes(b"name\tchr\nx\ty\n")
+    spark.createDataFrame([("p", "chr3", 1, 2, "t", 0.2, 4.0, 7)], files.READS).write.parquet(str(tmp_path / "parquet"))
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1" + b"x" * 50)
+    paths = [str(tmp_path / p) for p in ("dir", "two.tsv.gz", "mixed", "short.tsv", "parquet", "bad.parquet", "none")]
+    df, skipped = files.read_deconv(spark, paths, 3)
+    assert sorted(tuple(r) for r in df.select("name", "chr", "start", "mTcount").collect()) == sorted([("a", "chr1", 1, 3.0)] * 3 + [("p", "chr3", 1, 4.0)] + [("b", "chr2", None, 9.0)], key=str)
+    assert [s.split(":")[0].rsplit("/", 1)[1] for s in skipped] == ["mixed", "short.tsv", "bad.parquet", "none"]
+    assert "cut" in skipped[0] and "missing columns: start" in skipped[1] and "no file" in skipped[3]
+    none, skipped = files.read_deconv(spark, [paths[-1]])
+    assert none.collect() == [] and len(skipped) == 1
+
+
+def test_workbooks_by_tasks(spark, tmp_path):
+    rows = [(i, f"l<{i}>&", None if i % 3 == 0 else "é") for i in range(57)]
+    df = spark.createDataFrame(rows, "a long, b string, c string")
+    assert files.write_workbooks(df, str(tmp_path / "books"), per_book=10) == 6
+    got = files.read_workbooks(spark, str(tmp_path / "books"), ["c", "a"])
+    assert sorted((int(r["a"]), r["c"]) for r in got.collect()) == [(r[0], r[2]) for r in rows] and got.select("path").distinct().count() == 6
+    with pytest.raises(Exception, match="missing columns: d"):
+        files.read_workbooks(spark, str(tmp_path / "books"), ["a", "d"]).collect()
