@@ -10,8 +10,10 @@ a fifth of it, plain paragraphs beside it, and headings before it if it has none
 Lists and boxes within that are nearly all links are menus and go.
 
 Boilerplate neither scores nor is kept: menus, headers, footers, sidebars, forms and dialogs
-by element or role, hidden elements, and elements whose class or id has a word for notices,
-adverts, comments and the like, or that begin with a heading for comments.  A word after
+by element or role, hidden elements, and elements (articles too) whose class or id has a word
+for notices, adverts, comments and the like, alone or in a compound, or that begin with a
+heading for comments.  Some words tell less: with them a paragraph or section goes only if it
+has few words, many links or fewer points a block than half of what is around it.  A word after
 ``has``, ``with`` or ``no`` says nothing, nor does one on a wrapper that holds most of the page,
 and the head of an article is part of it.  The ancestors of the largest article are never
 boilerplate, nor a form around most of the page.  If nothing is left, class and id words are
@@ -59,10 +61,15 @@ _LINKS = frozenset("ul ol menu dl table div section".split())
 _BOILERPLATE = frozenset("nav header footer aside form menu dialog button search fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 _NEGATIVE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr "
-    "header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination paywall popup promo promoted promotion rail related "
-    "remarks replies reply respond responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split()
+    "ad ads adv advert adverts advertisement advertising adslot alert alerts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus feedback footer gdpr "
+    "header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion rail "
+    "remarks replies reply respond reviews share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser teasers toolbar widget".split()
 )
+# words that may as well be a part of the text's own, and what makes them boilerplate all the same
+_WEAK = frozenset("discussion discussions recommended related responses review".split())
+_LISTS = frozenset("articles content items links news pages posts products reading stories topics videos".split())
+# parts of compounds: what a word has in it, and what may follow or come before "ad" and "ads"
+_COMPOUND = re.compile(r"advert|breadcrumb|comments|cookie|disqus|masthead|newsletter|paywall|pop(?:up|over)|sidebar|sponsor|^ads?(?:bar|block|box|container|frame|holder|label|panel|sense|slot|space|unit|wrap|wrapper|zone)|^comment(?:area|box|form|list|section|thread)|(?:banner|sky|text|top)ads?$")
 _HEAD_WORDS = frozenset("header masthead banner".split())
 _OWN_HEAD = frozenset("article content entry post story title".split())
 _SAYS_NOTHING = frozenset("has with no without".split())
@@ -78,17 +85,19 @@ _ENDS = {
 }
 
 
-def _class_words(value: str) -> tuple[bool, bool]:
-    """Whether a class or id has a word for boilerplate, and whether it may be that of a wrapper."""
-    negative = wrapper = False
+def _class_words(value: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id has a word for boilerplate, one that tells less, and whether it may be that of a wrapper."""
+    negative = weak = wrapper = False
     for name in value.lower().split():
         words = _WORD.findall(name)
-        hit = [w for w in words if w in _NEGATIVE]
+        hit = [w for w in words if w in _NEGATIVE or _COMPOUND.search(w)]
+        hit += [w for w, after in zip(words, [*words[1:], ""], strict=True) if w in _WEAK and (after in _LISTS or after == "list")]
+        weak = weak or not _WEAK.isdisjoint(words)
         if not hit or words[0] in _SAYS_NOTHING or (_HEAD_WORDS.issuperset(hit) and not _OWN_HEAD.isdisjoint(words)):
             continue
         negative = True
         wrapper = wrapper or words[-1] in _WRAPPER
-    return negative, wrapper
+    return negative, weak, wrapper
 
 
 class _Page:
@@ -96,20 +105,20 @@ class _Page:
 
     def __init__(self) -> None:
         self.tag, self.parent = ["#"], [-1]
-        self.negative, self.named, self.wrapper = [False], [False], [False]  # by element or state; by class words; of a possible wrapper
+        self.negative, self.named, self.weak, self.wrapper = [False], [False], [False], [False]  # by element or state; by class words; by those that tell less; of a possible wrapper
         self.blocks: list[tuple[int, str, int]] = []
 
     def add(self, tag: str, attributes: str, parent: int) -> int:
-        negative, named, wrapper = tag in _BOILERPLATE, False, False
-        if attributes and tag not in ("html", "body", "article", "main"):
+        negative, named, weak, wrapper = tag in _BOILERPLATE, False, False, False
+        if attributes and tag not in ("html", "body", "main"):
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name in ("class", "id"):
-                    one, other = _class_words(value)
-                    named, wrapper = named or one, wrapper or other
+                    one, less, other = _class_words(value)
+                    named, weak, wrapper = named or one, weak or less, wrapper or other
                 elif name == "hidden" or (name == "role" and value.lower() in _ROLES) or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value.lower())):
                     negative = True
-        for held, value in ((self.tag, tag), (self.parent, parent), (self.negative, negative), (self.named, named), (self.wrapper, wrapper)):
+        for held, value in ((self.tag, tag), (self.parent, parent), (self.negative, negative), (self.named, named), (self.weak, weak), (self.wrapper, wrapper)):
             held.append(value)
         return len(self.tag) - 1
 
@@ -262,6 +271,33 @@ def _sums(page: _Page, gone: list[bool] | None = None) -> tuple[list[int], list[
     return whole, linked
 
 
+def _points_of(text: str) -> float:
+    return 1 + text.count(",") + min(len(text) / 100, 3)
+
+
+def _poor(page: _Page, whole: list[int], linked: list[int]) -> list[bool]:
+    """Which elements with a word that tells less are no part of the text: lists and boxes, and what has few words, many links or few points a block."""
+    n = len(page.tag)
+    blocks, points, words = [0] * n, [0.0] * n, [0] * n
+    for node, text, _ in page.blocks:
+        blocks[node] += 1
+        points[node] += _points_of(text)
+        words[node] += len(text.split())
+    for i in range(n - 1, 0, -1):
+        p = page.parent[i]
+        blocks[p], points[p], words[p] = blocks[p] + blocks[i], points[p] + points[i], words[p] + words[i]
+    out = [False] * n
+    for i in range(1, n):
+        if page.weak[i]:
+            own = page.tag[i] in ("p", "section", *_HEADING)
+            up = page.parent[i]
+            others, rest = blocks[up] - blocks[i], points[up] - points[i]
+            like = not others or points[i] * others >= 0.5 * rest * blocks[i]
+            heading = page.tag[i] in _HEADING
+            out[i] = not own or (not heading and (words[i] < 5 or linked[i] * 4 > whole[i] or not like))
+    return out
+
+
 def _boilerplate(page: _Page, by_name: bool) -> list[bool]:
     """Which elements are, or are in, boilerplate."""
     n = len(page.tag)
@@ -279,12 +315,13 @@ def _boilerplate(page: _Page, by_name: bool) -> list[bool]:
         if box > 0 and not seen[box] and page.tag[box] not in ("html", "body", "article", "main"):
             remarks[box] = page.tag[node] in _HEADING and _REMARKS.fullmatch(text) is not None
         seen[box] = True
+    poor = _poor(page, whole, linked) if by_name and any(page.weak) else page.weak
     gone, inside = [False] * n, [False] * n
     for i in range(1, n):
         p, tag = page.parent[i], page.tag[i]
         inside[i] = inside[p] or tag in ("article", "main")
         drop = page.negative[i] and not (tag == "header" and inside[p]) and not (tag in ("form", "fieldset") and whole[i] * 2 > whole[0])
-        drop = drop or remarks[i] or (by_name and page.named[i] and not (page.wrapper[i] and whole[i] * 2 > whole[0]))
+        drop = drop or remarks[i] or (by_name and poor[i]) or (by_name and page.named[i] and not (page.wrapper[i] and whole[i] * 2 > whole[0]))
         gone[i] = gone[p] or (drop and not safe[i])
     return gone
 
@@ -313,7 +350,7 @@ def extract_text(source: str | None) -> str:
         around[i] = i if tag[i] == "article" or (tag[i] == "main" and not has_article[i]) else around[parent[i]]
     points = [0.0] * n
     for node, text, _ in kept:
-        score = 1 + text.count(",") + min(len(text) / 100, 3)
+        score = _points_of(text)
         # a bare run of text in a box counts for that box, a paragraph for what holds it
         level, up = 0, node if tag[node] in _BOX else parent[node]
         while up >= 0 and level < 5:

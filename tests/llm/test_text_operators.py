@@ -71,6 +71,49 @@ def test_html_scores(page, text):
     assert html_extract.extract_text(page) == text
 
 
+STORY = f"<p>{LONG}</p><p>{LONG}</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # articles that are comments or teasers, beside the story and in main
+        (f"<article>{STORY}</article><div><article class='comment'>I agree, all of it</article></div>", f"{LONG}\n\n{LONG}"),
+        (f"<main><article>{STORY}</article><article class='comment'>I agree, all of it</article><article class='teaser'>Read this, too</article></main>", f"{LONG}\n\n{LONG}"),
+        (f"<main>{STORY}<article class='comment'><p>{LONG}</p></article></main>", f"{LONG}\n\n{LONG}"),
+        # words alone and in compounds
+        *[(f"<article>{STORY}<div class='{c}'><p>{LONG}</p></div></article>", f"{LONG}\n\n{LONG}") for c in ("user-reviews", "feedback", "alert alert-info", "cookiebar", "postcomments", "adbox", "js-adslot2 ad", "commentlist", "topads", "newsletter2", "related-posts", "discussion", "sponsoredbox")],
+        # words that may be the text's own
+        (f"<article>{STORY}<p class='discussion'>{LONG}</p></article>", f"{LONG}\n\n{LONG}\n\n{LONG}"),
+        (f"<article>{STORY}<section id='related-work'><h2>Related work</h2><p>{LONG}</p></section></article>", f"{LONG}\n\n{LONG}\n\nRelated work\n\n{LONG}"),
+        (f"<article class='review'>{STORY}</article>", f"{LONG}\n\n{LONG}"),
+        (f"<article>{STORY}<section class='related'><p><a href=x>{LONG}</a></p></section><p class='related'>see also</p></article>", f"{LONG}\n\n{LONG}"),
+        # other words that only look alike
+        (f"<article>{STORY}<p class='address lead-in headline'>{LONG}</p><p class='loads readme uploads shadow'>{LONG}</p></article>", f"{LONG}\n\n{LONG}\n\n{LONG}\n\n{LONG}"),
+    ],
+)
+def test_html_class_words(page, text):
+    assert html_extract.extract_text(page) == text
+
+
+def test_html_without_article_is_decided_by_scores():
+    """Pages of plain boxes: the story's box is found among lists of links, short boxes and named ones, at any depth and place."""
+    rng = random.Random(21)
+    word = lambda: rng.choice("lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor".split())
+    for _ in range(60):
+        story = [" ".join(word() for _ in range(rng.randint(25, 60))) + "." for _ in range(rng.randint(3, 8))]
+        box = "".join(f"<p>{p}</p>" for p in story)
+        for _ in range(rng.randrange(3)):
+            box = f"<div>{box}</div>"
+        links = lambda: "<div>" + "".join(f"<p><a href=x>{' '.join(word() for _ in range(rng.randint(3, 20)))}</a></p>" for _ in range(rng.randint(1, 12))) + "</div>"
+        short = lambda: f"<div><span>{word()}</span></div>"
+        named = lambda: f"<div class='{rng.choice(['comments', 'cookiebar', 'ad-box', 'sidebar left', 'user-reviews'])}'>" + "".join(f"<p>{' '.join(word() for _ in range(60))}</p>" for _ in range(9)) + "</div>"
+        others = [rng.choice([links, short, named])() for _ in range(rng.randint(1, 6))]
+        at = rng.randint(0, len(others))
+        page = "<html><body>" + "".join(others[:at]) + f"<div>{box}</div>" + "".join(others[at:]) + "</body></html>"
+        assert html_extract.extract_text(page) == "\n\n".join(story), page
+
+
 BROKEN = {"open": "<a ", "quote": '<a b="x ', "inline": "<b>", "items": "<li>x</li>", "less": "<", "raw": "<svg>", "quoted ends": "<a x=\">\" ", "cells": "<td>x", "comments": "<!--", "articles": "<article>", "ends": "</div>", "ps": "<p><b>"}
 
 
