@@ -69,6 +69,9 @@ def flexible_search(metrics: DataFrame, scores: DataFrame, cutoff: float, steps:
     picked = pick_combo(tried, ["min_recall", "chr"], F.col("min_recall")).select("min_recall", "chr", "threshold", "recall", "has_target")
     every = metrics.select("chr").distinct().count()
     whole = picked.withColumn("_n", F.count("*").over(Window.partitionBy("min_recall"))).where(F.col("_n") == every).drop("_n")
+    # least recalls that lead to the same choices are one: the largest of them, which wins on ties
+    choices = whole.groupBy("min_recall").agg(F.array_sort(F.collect_list(F.struct("chr", "threshold", "recall"))).alias("_all"))  # a chromosome each
+    whole = whole.join(choices.groupBy("_all").agg(F.max("min_recall").alias("min_recall")).select("min_recall"), "min_recall", "left_semi")
     at = scores.join(whole, ["chr", "threshold", "recall"])
     found = sample_confusion(at, ["min_recall"], cutoff)
     best = found.agg(F.max_by("min_recall", F.struct(F.round("mcc", 8), F.col("min_recall"))).alias("min_recall"))

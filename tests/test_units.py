@@ -462,3 +462,20 @@ def test_workbooks_by_tasks(spark, tmp_path):
     assert sorted((int(r["a"]), r["c"]) for r in got.collect()) == [(r[0], r[2]) for r in rows] and got.select("path").distinct().count() == 6
     with pytest.raises(Exception, match="missing columns: d"):
         files.read_workbooks(spark, str(tmp_path / "books"), ["a", "d"]).collect()
+
+
+@pytest.mark.parametrize("genotype", [False, True])
+def test_likelihood_grid_equals_the_expression(spark, genotype):
+    """Vectors over the grid against the formula in columns, with impossible and certain alleles, empty counts and nulls."""
+    rng = random.Random(61)
+    rows = [(rng.choice(["x", "y"]), rng.choice([0.0, 1.0, 0.5, rng.random(), None]), rng.choice([0, 1, 30, None]), rng.choice([0, 2, 25]), rng.randrange(9), rng.randrange(9)) for _ in range(200)]
+    snps = spark.createDataFrame(rows, "k string, af double, n_ref long, n_alt long, m_ref long, m_alt long")
+    got = {(r["k"], round(r["f"], 6)): r["log_likelihood"] for r in snp.likelihood_grid(snps, ["k"], 0.0, 1.0, 0.1, genotype).collect()}
+    grid = snps.withColumn("f", F.explode(F.array(*[F.lit(0.0 + i * 0.1) for i in range(11)])))
+    called = snp.maternal_genotype(F.col("m_ref"), F.col("m_alt")) if genotype else None
+    want = grid.groupBy("k", "f").agg(F.sum(snp.snp_log_likelihood(F.col("f"), F.col("af"), F.col("n_ref"), F.col("n_alt"), called)).alias("l")).collect()
+    assert len(got) == len(want) == 22
+    for r in want:
+        assert got[r["k"], round(r["f"], 6)] == pytest.approx(r["l"], rel=1e-9)
+    some = snps.where("af between 0.2 and 0.8 and n_ref is not null")
+    assert all(math.isfinite(r["log_likelihood"]) for r in snp.likelihood_grid(some, ["k"], 0.0, 0.5, 0.1, genotype).collect())
