@@ -93,24 +93,39 @@ def two_sided_p(z: Column) -> Column:
     return F.pow(1 / (1 + below), F.lit(16))
 
 
-def uniform_fit(counts: DataFrame, value: str, n_sim: int = 20_000, seed: int = 0) -> DataFrame:
+# Fixed values of the simulated fit: draws, what counts as no smaller than the observed statistic, and the observed one that is added to the draws.
+DRAWS, TOLERANCE, OBSERVED = 20_000, 1e-12, 1
+#: Categories that a fit may have, as each draw holds them all, and draws of a block.
+MOST_CATEGORIES, BLOCK = 10_000, 500
+
+
+def uniform_fit(counts: DataFrame, value: str, n_sim: int = DRAWS, seed: int = 0) -> DataFrame:
     """(``chi2``, ``p_value``): goodness of fit of a few categories' counts to equal shares, p from seeded draws of the same total.
 
-    One row a category comes together; the draws are made in blocks.
+    The statistic is an aggregation.  Draws are made in blocks, each from the seed and its own number, by
+    as many tasks as there are, so p doesn't depend on how they are dealt.  More categories than
+    ``MOST_CATEGORIES`` are an error; no counts have a statistic of 0 and no p.
     """
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf[value].to_numpy(np.int64)
-        e = n.sum() / len(n)
-        if n.sum() == 0:
-            return pd.DataFrame({"chi2": [0.0], "p_value": [None]})
-        chi, rng, above = float(((n - e) ** 2 / e).sum()), np.random.default_rng(seed), 0
-        for done in range(0, n_sim, 1000):
-            drawn = rng.multinomial(n.sum(), np.full(len(n), 1 / len(n)), size=min(1000, n_sim - done))
-            above += int((((drawn - e) ** 2 / e).sum(1) >= chi - 1e-12).sum())
-        return pd.DataFrame({"chi2": [chi], "p_value": [(1 + above) / (1 + n_sim)]})
-
-    return counts.groupBy().applyInPandas(test, "chi2 double, p_value double")
+    n = F.col(value).cast("double")
+    whole = counts.agg(F.count(value).alias("k"), F.coalesce(F.sum(n), F.lit(0.0)).alias("total"), F.coalesce(F.sum(n * n), F.lit(0.0)).alias("squares"))
+    found = whole.select("k", "total", F.coalesce(F.try_divide(F.col("squares") * F.col("k"), F.nullif("total", F.lit(0.0))) - F.col("total"), F.lit(0.0)).alias("chi2")).first()
+    k, total, chi2 = int(found["k"]), int(found["total"]), float(found["chi2"])
+    if k > MOST_CATEGORIES:
+        raise ValueError(f"{k} categories: the draws are for {MOST_CATEGORIES} at most")
+    spark = counts.sparkSession
+    if not total:
+        return spark.createDataFrame([(chi2, None)], "chi2 double, p_value double")
+
+    @F.pandas_udf("long")
+    def extreme(block: pd.Series) -> pd.Series:
+        out = []
+        for i in block:
+            drawn = np.random.default_rng([seed, i]).multinomial(total, np.full(k, 1 / k), size=min(BLOCK, n_sim - i * BLOCK))
+            out.append(int(((drawn.astype(np.float64) ** 2).sum(1) * k / total - total >= chi2 - TOLERANCE * max(1.0, total)).sum()))
+        return pd.Series(out, dtype="int64")
+
+    blocks = spark.range(-(-n_sim // BLOCK)).select(extreme("id").alias("above"))
+    return blocks.agg(F.lit(chi2).alias("chi2"), ((OBSERVED + F.sum("above")) / (OBSERVED + n_sim)).alias("p_value"))
 
 
 def mann_whitney(rows: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:

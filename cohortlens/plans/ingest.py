@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -224,6 +225,16 @@ def k5(spark, sf):
     return spark.read.csv([f"{base}/a", f"{base}/b"], header=True)
 
 
+@query("K7_database", "SELECT sample, label, set FROM meta WHERE set = 'test'")
+def k7(spark, sf):
+    """A database's table whose rows are replaced; a database in memory stands in."""
+    url, driver = f"jdbc:derby:memory:cohort{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = C.meta(spark, sf).select("sample", "label", "set")
+    X.write_database(rows.where("set = 'dev'"), url, "meta", driver=driver)
+    X.write_database(rows.where("set = 'test'"), url, "meta", driver=driver)
+    return spark.read.jdbc(url, "meta", properties={"driver": driver})
+
+
 @query("K8_charts", """SELECT sample, count(*) FILTER (label = replace(chr, 'chr', 'T')) AS n_hit, count(*) AS n_marks FROM (SELECT sample, chr, unnest([episcore, zscore]) AS value FROM fixed) JOIN meta USING (sample) WHERE value IS NOT NULL GROUP BY 1""")
 def k8(spark, sf):
     """A chart for each sample, and its marks counted in the written pages."""

@@ -71,14 +71,6 @@ def x13(spark, sf):
     return C.draws(spark, sf)
 
 
-@query("X11_X12_unique_draws")
-def x11(spark, sf):
-    """Distinct random subsets of the normals; tested against their definition."""
-    pool = C.meta(spark, sf).where("label = 'Normal'").select("sample")
-    places, n = search.numbered(pool)
-    return draws.distinct_draws(spark, n, 3, 50).join(places, "place").select("repeat_id", "role", "sample")
-
-
 def feistel_sql(members: str, repeats: int, n: str, seed: int = 42) -> str:
     """Views ``walk`` and ``keyed`` (repeat_id, j, place) of the keyed permutation; ``n`` and ``members`` are scalar subqueries."""
     half, i, key, own = draws.FACTORS
@@ -100,6 +92,15 @@ def feistel_sql(members: str, repeats: int, n: str, seed: int = 42) -> str:
 NORMALS = "SELECT count(*) FROM meta WHERE label = 'Normal'"
 
 
+@query("X11_X12_unique_draws", f"""WITH {feistel_sql('3', 1600, NORMALS)}, sets AS (SELECT repeat_id, list_sort(list(place)) AS s FROM keyed GROUP BY 1), firsts AS (SELECT s, row_number() OVER (ORDER BY min(repeat_id)) - 1 AS repeat_id FROM sets GROUP BY 1)
+    SELECT repeat_id, 'ref' AS role, sample FROM (SELECT repeat_id, unnest(s) AS place FROM firsts WHERE repeat_id < 50) JOIN places USING (place)""")
+def x11(spark, sf):
+    """Distinct random subsets of the normals; tested against their definition."""
+    pool = C.meta(spark, sf).where("label = 'Normal'").select("sample")
+    places, n = search.numbered(pool)
+    return draws.distinct_draws(spark, n, 3, 50).join(places, "place").select("repeat_id", "role", "sample")
+
+
 @query("X11_X13_keyed_draws", f"""WITH {feistel_sql('(n // 2) * 2', 1000, NORMALS)} SELECT repeat_id, CASE WHEN j < (SELECT k // 2 FROM size) THEN 'ref' ELSE 'ez' END AS role, sample FROM keyed JOIN places USING (place)""")
 def x13k(spark, sf):
     """A thousand repeats of two disjoint halves, drawn on the executors by a keyed permutation."""

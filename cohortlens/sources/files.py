@@ -34,7 +34,10 @@ READS = "name string, chr string, start long, end long, text string, prob_class_
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a local session gets a temporary one."""
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a local session gets a temporary one.
+
+    What is written there goes when the driver ends.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -45,7 +48,10 @@ def scratch(spark: SparkSession, name: str) -> str:
             spark.sparkContext.setCheckpointDir(found)
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{found.rstrip('/')}/cohortlens-{name}-{uuid.uuid4().hex}"
+    path = f"{found.rstrip('/')}/cohortlens-{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def require_columns(df: DataFrame, columns: tuple[str, ...] | list[str]) -> DataFrame:
