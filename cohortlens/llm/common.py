@@ -37,15 +37,24 @@ def shared_dir(spark: SparkSession) -> str:
 _MADE: list[str] = []
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, deleted when the driver ends at the latest."""
+    path = f"{shared_dir(spark)}/cohortlens-{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _MADE.append(path)
+    return path
+
+
 def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder; the reread table and its path.
 
-    Cuts lineage: a lost executor costs no recomputation of what is written.
+    Cuts lineage: a lost executor costs no recomputation of what is written.  What is not
+    discarded before goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cohortlens-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -1,11 +1,16 @@
 """Near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
 Equal vectors of one label are one class beforehand.  The classes of a label are dealt into
-tiles; each pair of tiles is one task.  A unit vector ``u`` is coded as ``s * q`` with int8
-``q``; its error ``|u - s q|`` is kept, and ``u . v`` differs from ``s t (q . r)`` by at most
-``e_u (1 + e_v) + e_v``.  Only pairs that can reach the threshold under that bound are
-computed in double precision, so nothing is missed and nothing below it is linked.  A task
-returns link counts and a spanning forest of its links, never the pairs.
+tiles, and each pair of tiles of a label is compared once: groups of tiles of at most about
+``group_bytes`` are broadcast, one after the other, and every tile meets those of the group that come
+at or after it.  So vectors are moved once for each group, not once for each tile.  A pair of
+tiles whose centres are too far apart for their radii is left out whole.
+
+A unit vector ``u`` is coded as ``s * q`` with int8 ``q``; its error ``|u - s q|`` is kept, and
+``u . v`` differs from ``s t (q . r)`` by at most ``e_u (1 + e_v) + e_v``.  Only pairs that can reach
+the threshold under that bound are computed in double precision, so nothing is missed and nothing
+below it is linked.  A pair of tiles gives link counts and a spanning forest of its links, never
+the pairs.
 
 Comparisons are within a label and a length of vectors.  Vectors that are null, empty, zero
 or hold null or non-finite components, and vectors without a label, link with nothing.
@@ -15,13 +20,17 @@ apart as rows.  An empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import keep
+from cohortlens.llm.common import keep, new_path, shuffle_partitions
 from cohortlens.llm.components import connected_components
 
 
@@ -72,7 +81,7 @@ def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def tile_links(a: pd.Series, b: pd.Series | None, threshold: float, strip: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tile_links(a: dict, b: dict | None, threshold: float, strip: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class, links) sums and forest edges as (kind, u, v) columns; kind 0: u has v links, kind 1: u and v are connected."""
     load = lambda t: (np.frombuffer(t["ids"], np.int64), np.frombuffer(t["counts"], np.int64), np.frombuffer(t["vectors"], t["kind"]).reshape(-1, t["dim"]).astype(np.float64))
     ia, ca, va = load(a)
@@ -97,8 +106,23 @@ def tile_links(a: pd.Series, b: pd.Series | None, threshold: float, strip: int =
     return (np.repeat([0, 1], [len(some), len(moved)]), np.concatenate([ids[some], ids[moved]]), np.concatenate([links[some].astype(np.int64), ids[root[moved]]]))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile: int = 2048) -> DataFrame:
+def ball(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centre of the rows' directions and their largest distance from it."""
+    x = _scaled(x)
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    centre = unit.mean(0)
+    return centre, float(np.sqrt(((unit - centre) ** 2).sum(1).max()))
+
+
+def can_meet(a: tuple[np.ndarray, float], b: tuple[np.ndarray, float], threshold: float) -> bool:
+    """Whether rows of two balls can have a cosine of the threshold."""
+    reach = a[1] * np.sqrt((b[0] ** 2).sum()) + b[1] * np.sqrt((a[0] ** 2).sum()) + a[1] * b[1]
+    return float(a[0] @ b[0]) + reach >= threshold - 1e-6
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile: int = 2048, group_bytes: int = 32_000_000) -> DataFrame:
     """(``id_col``, ``n_links``, ``component_id``, ``kept``) of each row."""
+    spark = vectors.sparkSession
     # single precision stays so until it is computed with; all other numbers are doubles
     single = isinstance(vectors.schema[vector_col].dataType, T.ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
     vector = F.col(vector_col).cast("array<float>" if single else "array<double>")
@@ -115,25 +139,43 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dealt = classes.drop("a", "b", "least").withColumn("dim", F.size("vector")).join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("class"), "tiles").cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[[0]][["label", "dim", "tiles", "own"]].copy()
+        head = pdf.iloc[[0]][["label", "dim", "own"]].copy()
         head["ids"], head["counts"] = [pdf["class"].to_numpy(np.int64).tobytes()], [pdf["n"].to_numpy(np.int64).tobytes()]
         head["kind"] = "<f4" if single else "<f8"
-        head["vectors"] = [np.stack(pdf["vector"].to_numpy()).astype(head["kind"].iloc[0]).tobytes()]
+        held = np.stack(pdf["vector"].to_numpy()).astype(head["kind"].iloc[0])
+        centre, head["radius"] = ball(held.astype(np.float64))
+        head["vectors"], head["centre"] = [held.tobytes()], [centre.tobytes()]
         return head
 
     kind = classes.schema["label"].dataType.simpleString()
-    packed = dealt.groupBy("label", "dim", "own").applyInPandas(pack, f"label {kind}, dim int, tiles int, own int, ids binary, counts binary, kind string, vectors binary")
+    fields = "ids binary, counts binary, kind string, radius double, vectors binary, centre binary"
+    packed = dealt.groupBy("label", "dim", "own").applyInPandas(pack, f"label {kind}, dim int, own int, {fields}")
+    # tiles are told apart by a hash of their label, length and number, and those of one label and length by another
+    packed = packed.withColumn("of", F.xxhash64("label", "dim")).drop("label").withColumn("key", F.xxhash64("of", "own"))
     packed, _ = keep(packed, "tiles")
-    pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("own")
-        if len(pdf) == 1 and pdf["i"].iloc[0] != pdf["j"].iloc[0]:  # the other tile is empty
-            return pd.DataFrame({"kind": [], "u": [], "v": []})
-        found = tile_links(pdf.iloc[0], pdf.iloc[1] if len(pdf) > 1 else None, threshold)
-        return pd.DataFrame(dict(zip(("kind", "u", "v"), found, strict=True)))
-
-    found, _ = keep(pairs.groupBy("label", "dim", "i", "j").applyInPandas(meet, "kind int, u long, v long"), "links")
+    groups = max(1, math.ceil((packed.agg(F.sum(F.octet_length("vectors").cast("long"))).first()[0] or 0) / group_bytes))
+    tasks = shuffle_partitions(spark)
+    out = new_path(spark, "links")
+    for g in range(groups):
+        group = packed.where(F.pmod("key", F.lit(groups)) == g).toArrow().to_pylist()  # about `group_bytes`
+        shared = spark.sparkContext.broadcast(group)
+
+        def meet(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    one = b.slice(i, 1).to_pylist()[0]
+                    own = np.frombuffer(one["centre"]), one["radius"]
+                    for other in shared.value:
+                        if one["of"] == other["of"] and one["dim"] == other["dim"] and one["own"] <= other["own"]:
+                            same = one["own"] == other["own"]
+                            if same or can_meet(own, (np.frombuffer(other["centre"]), other["radius"]), threshold):
+                                found = tile_links(one, None if same else other, threshold)
+                                yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(found, (np.int32, np.int64, np.int64), strict=True)], names=["kind", "u", "v"])
+
+        labels = packed.where(F.col("of").isin(sorted({t["of"] for t in group}))) if groups > 1 else packed
+        labels.repartition(tasks, "key").mapInArrow(meet, "kind int, u long, v long").write.mode("append").parquet(out)
+        shared.unpersist()
+    found = spark.read.schema("kind int, u long, v long").parquet(out)
     links = found.where("kind = 0").groupBy(F.col("u").alias("class")).agg(F.sum("v").alias("links"))
     roots = connected_components(found.where("kind = 1").select("u", "v")).withColumnRenamed("node", "class")
     placed = classes.select("class", "least", "n").join(roots, "class", "left").join(links, "class", "left")

@@ -349,3 +349,27 @@ def test_pipeline_keeps_columns(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and all(tuple(r)[5:] == extra for r in out.collect())
     assert {r["doc_id"] for r in corpus_pipeline.sample_pieces(spark, docs.where("doc_id < 5"), SF).collect()} == {1, 2, 3, 4}
+
+
+def test_embedding_tiles_meet_once_in_any_groups(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(5, 6))
+    rows = [(i, int(i % 2), (centres[rng.integers(5)] + 0.1 * rng.normal(size=6)).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    want = sorted(map(tuple, embed_dedup.near_duplicates(df).collect()))
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, _, x in rows}
+    assert {i: n for i, n, *_ in want} == {i: sum(j != i and k == label and float(unit[i] @ unit[j]) >= 0.93 for j, k, _ in rows) for i, label, _ in rows}
+    for tile, group in ((7, 1), (7, 500), (20, 2_000)):
+        assert sorted(map(tuple, embed_dedup.near_duplicates(df, tile=tile, group_bytes=group).collect())) == want
+
+
+def test_tiles_left_out_cannot_link():
+    rng = np.random.default_rng(3)
+    left_out = 0
+    for _ in range(300):
+        a, b = (rng.normal(size=4) * 3 + rng.normal(size=(20, 4)) * rng.choice([0.05, 0.5, 2]) for _ in range(2))
+        if not embed_dedup.can_meet(embed_dedup.ball(a), embed_dedup.ball(b), 0.9):
+            left_out += 1
+            unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b)]
+            assert (unit[0] @ unit[1].T).max() < 0.9
+    assert left_out > 50
