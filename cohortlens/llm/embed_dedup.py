@@ -153,7 +153,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # tiles are told apart by a hash of their label, length and number, and those of one label and length by another
     packed = packed.withColumn("of", F.xxhash64("label", "dim")).drop("label").withColumn("key", F.xxhash64("of", "own"))
     packed, _ = keep(packed, "tiles")
-    groups = max(1, math.ceil((packed.agg(F.sum(F.octet_length("vectors").cast("long"))).first()[0] or 0) / group_bytes))
+    size, tiles = packed.agg(F.coalesce(F.sum(F.octet_length("vectors").cast("long")), F.lit(0)), F.count("*")).first()
+    groups = max(1, min(tiles, math.ceil(size / group_bytes)))
     tasks = shuffle_partitions(spark)
     out = new_path(spark, "links")
     for g in range(groups):

@@ -359,7 +359,7 @@ def test_embedding_tiles_meet_once_in_any_groups(spark):
     want = sorted(map(tuple, embed_dedup.near_duplicates(df).collect()))
     unit = {i: np.array(x) / np.linalg.norm(x) for i, _, x in rows}
     assert {i: n for i, n, *_ in want} == {i: sum(j != i and k == label and float(unit[i] @ unit[j]) >= 0.93 for j, k, _ in rows) for i, label, _ in rows}
-    for tile, group in ((7, 1), (7, 500), (20, 2_000)):
+    for tile, group in ((40, 1), (7, 2_500)):
         assert sorted(map(tuple, embed_dedup.near_duplicates(df, tile=tile, group_bytes=group).collect())) == want
 
 
