@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlens.functions.scalar import z_value
-from cohortlens.operators import ranks
+from cohortlens.operators import blocks, ranks
 from cohortlens.operators.draws import keyed_draws
 from cohortlens.operators.evaluate import roc_auc, sample_confusion
-from cohortlens.operators.resample import best_repeat
 from cohortlens.operators.scores import inter_score
 from cohortlens.sources.files import scratch
 
@@ -271,10 +270,13 @@ def ez_reference_search(scores: DataFrame, pool: DataFrame, truth: DataFrame, si
     """(``sample``, ``repeat_id``, ``mcc``): the first of ``repeats`` random references from ``pool`` with the largest MCC over all samples.
 
     ``scores`` has the combined score (``score``) by sample and chromosome, ``truth`` is (sample,
-    is_true, forced_normal).  Repeats are drawn on the executors and all scored in one job.
+    is_true, forced_normal).  Repeats are drawn on the executors and scored as block products.
     """
     places, n = numbered(pool)
     drawn = keyed_draws(scores.sparkSession, n, {"ez": size}, repeats, seed).join(places, "place").select("repeat_id", "sample")
-    calls = repeated_scores(scores, drawn, "score").withColumnRenamed("z", "ez").join(truth, "sample")
-    best = best_repeat(calls, cutoff).orderBy(F.round("mcc", 9).desc(), "repeat_id").limit(1).select("repeat_id", "mcc")
+    tracks = blocks.pack(scores, ["score"], truth)
+    tracks.rows.write.parquet(path := scratch(scores.sparkSession, "tracks"))
+    tracks = tracks._replace(rows=scores.sparkSession.read.schema(tracks.rows.schema).parquet(path))
+    found = blocks.confusion(tracks, blocks.parameters(tracks, drawn), cutoff)
+    best = found.orderBy(F.round("mcc", 9).desc(), "repeat_id").limit(1).select("repeat_id", "mcc")
     return drawn.join(F.broadcast(best), "repeat_id").select("sample", "repeat_id", "mcc")
