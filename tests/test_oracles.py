@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from cohortlens.plans import cohort_eval, core, ingest, mixture, stream  # noqa: F401
+from cohortlens.plans import aligned, cohort_eval, core, ingest, mixture, stream  # noqa: F401
 from cohortlens.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
