@@ -74,6 +74,15 @@ def keyed_draws(spark: SparkSession, n: int, sizes: dict[str, int], repeats: int
     return rows.select(F.col("id").alias("repeat_id"), role.alias("role"), place_of(F.col("_j"), F.col("id"), n, seed).alias("place"))
 
 
+def of_pool(drawn: DataFrame, places: DataFrame) -> DataFrame:
+    """``drawn`` with the rows of a pool by ``place``.
+
+    Draws are made by an explode, so the planner takes them for as many as repeats and would broadcast
+    them; the pool is the side that is held, a partition of it at a time.
+    """
+    return drawn.join(places.hint("shuffle_hash"), "place")
+
+
 def subset_at(number: int, n: int, size: int) -> list[int]:
     """The subset of a number in the order of sorted subsets."""
     out, least = [], 0

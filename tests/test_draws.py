@@ -54,6 +54,16 @@ def test_a_hundred_thousand_repeats(spark):
     assert len(got) == 2 * 96 and all(abs(r["n"] - 100_000 * 40 / 96) < 5 * math.sqrt(100_000 * 40 / 96) for r in got)
 
 
+def test_draws_are_not_broadcast(spark, tmp_path):
+    """The planner sees 50 rows where the explode makes 400,000: the pool is what a join holds."""
+    spark.range(8_000).select(F.col("id").alias("place"), (F.col("id") * 3).alias("sample")).write.parquet(str(tmp_path / "pool"))
+    drawn = draws.keyed_draws(spark, 8_000, {"ref": 4_000, "ez": 4_000}, 50)
+    df = draws.of_pool(drawn, spark.read.parquet(str(tmp_path / "pool")))
+    assert df.agg(F.count("*"), F.count_distinct("repeat_id", "sample"), F.count_if(F.col("sample") != F.col("place") * 3)).first()[:] == (400_000, 400_000, 0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "ShuffledHashJoin" in plan
+
+
 def test_distinct_sets(spark):
     for n, size, repeats in ((30, 4, 100), (6, 3, 19), (7, 2, 20)):  # the last two ask for nearly all sets, so many fall out
         by = collections.defaultdict(list)
