@@ -227,12 +227,13 @@ def k5(spark, sf):
 
 @query("K7_database", "SELECT sample, label, set FROM meta WHERE set = 'test'")
 def k7(spark, sf):
-    """A database's table whose rows are replaced; a database in memory stands in."""
-    url, driver = f"jdbc:derby:memory:cohort{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
-    rows = C.meta(spark, sf).select("sample", "label", "set")
-    X.write_database(rows.where("set = 'dev'"), url, "meta", driver=driver)
-    X.write_database(rows.where("set = 'test'"), url, "meta", driver=driver)
-    return spark.read.jdbc(url, "meta", properties={"driver": driver})
+    """A database's table whose rows are replaced; a table of the catalog, which all executors see, stands in."""
+    rows, name = C.meta(spark, sf).select("sample", "label", "set"), f"cohortlens_meta_{uuid.uuid4().hex}"
+    X.write_table(rows.where("set = 'dev'"), name, path=X.scratch(spark, "database"))
+    X.write_table(rows.where("set = 'test'"), name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # a lasting catalog isn't left with it; its files stay as long as the driver
+    return table
 
 
 @query("K8_charts", """SELECT sample, count(*) FILTER (label = replace(chr, 'chr', 'T')) AS n_hit, count(*) AS n_marks FROM (SELECT sample, chr, unnest([episcore, zscore]) AS value FROM fixed) JOIN meta USING (sample) WHERE value IS NOT NULL GROUP BY 1""")

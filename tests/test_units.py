@@ -5,9 +5,13 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
+import uuid
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar as S
@@ -422,6 +426,34 @@ def test_database_rows_are_replaced(spark):
     assert [r["sample"] for r in spark.read.jdbc(url, "sheet", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"}).collect()] == ["c"]
 
 
+def test_catalog_rows_are_replaced(spark, tmp_path):
+    name = f"replaced_{uuid.uuid4().hex}"
+    files.write_table(spark.createDataFrame([("a", 1), ("b", 2)], "sample string, n long"), name, path=f"file://{tmp_path}/t")
+    files.write_table(spark.createDataFrame([(3, "c")], "n int, sample string"), name)
+    assert spark.table(name).dtypes == [("sample", "string"), ("n", "bigint")] and spark.table(name).collect() == [("c", 3)]
+    files.write_table(spark.createDataFrame([("d",)], "sample string"), name)
+    assert spark.table(name).collect() == [("d", None)]
+    with pytest.raises(AnalysisException):
+        files.write_table(spark.createDataFrame([("e", 1, 2)], "sample string, n long, m long"), name)
+    files.write_table(spark.table(name).where("false").localCheckpoint(), name)
+    assert spark.table(name).columns == ["sample", "n"] and spark.table(name).count() == 0
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_database_of_several_executors(tmp_path):
+    """Driver and executors are processes of their own, as on a cluster."""
+    code = f"""
+import __spark_entry__
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+rows = __spark_entry__.queries()["K7_database"](spark, "/root/testdata/sf0.001")
+print("rows:", sorted(r["sample"] for r in rows.collect()), {{r["set"] for r in rows.collect()}}, [t.name for t in spark.catalog.listTables()])
+spark.stop()
+"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert f"rows: {list(range(1, 11, 2))} {{'test'}} []" in run.stdout, run.stderr[-3000:]
+
+
 def test_left_out_scores_against_explicit_references(spark):
     rng = random.Random(5)
     rows = [(s, c, rng.gauss(0, 1), rng.gauss(0, 1), 4, 9, rng.random()) for s in range(6) for c in ("chr1", "chr2")]
